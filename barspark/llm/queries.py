@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barspark.llm import decontaminate
+from barspark.llm import decontaminate, mixing, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,10 +35,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.archive(_table(spark, sf_dir, "pages")))
+
+
+_B32 = " || ".join(f"translate(to_base(CAST('0x' || substr(h, {1 + 10 * i}, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(4))
+
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id, {_B32} AS payload_digest FROM p),
+u AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[^:/]+://', '') AS rest FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+       array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(rest, '^[^/]*')), '^www[.]', ''), '.')), ',') || ')' || regexp_replace(rest, '^[^/]*', '') AS url_key, true AS digest_ok
+FROM u
+"""
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_warc": op4_warc,
+    "op5_mix_sources": op5_mix_sources,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
+    "op4_warc": OP4_SQL,
+    "op5_mix_sources": mixing.oracle_sql(),
 }
