@@ -97,7 +97,7 @@ class Mix:
         met = spread.join(self.draws.select("rank", "block", "words", "shard"), ["rank", "block"], "left")
         overlap = F.greatest(F.lit(0), F.least("end", F.col("block") * b + F.col("words")) - F.greatest("start", F.col("block") * b))
         keys = ["doc_id", "source", "rank", "bucket", "pos", "size", "source_size", "target"]
-        got = met.withColumn("overlap", F.coalesce(overlap, F.lit(0))).groupBy(*keys).agg(F.sum("overlap").alias("taken"), F.collect_set(F.when(F.col("overlap") > 0, F.col("shard"))).alias("s"))
+        got = met.withColumn("overlap", F.when(F.col("words").isNotNull(), overlap).otherwise(F.lit(0))).groupBy(*keys).agg(F.sum("overlap").alias("taken"), F.collect_set(F.when(F.col("overlap") > 0, F.col("shard"))).alias("s"))
         return got.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("s").cast("long").alias("n_shards"))
 
 
