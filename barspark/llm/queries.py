@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barspark.llm import decontaminate, embeddings, jaccard, lines, mixing, spans, warc
+from barspark.llm import decontaminate, embeddings, jaccard, language, licenses, lines, mixing, spans, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,6 +37,19 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_
 
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(_table(spark, sf_dir, "documents")).drop("tk")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over web pages, where the evidence is the lang attribute, the suffix and the host."""
+    return language.identify_pages(_table(spark, sf_dir, "pages"), language.fit(_table(spark, sf_dir, "documents")))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.archive(_table(spark, sf_dir, "pages")))
 
@@ -103,6 +116,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
+    "page_languages": page_languages,
+    "op3_license_scan": op3_license_scan,
     "op4_warc": op4_warc,
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
@@ -113,6 +129,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
+    "op3_license_scan": licenses.oracle_sql(),
     "op4_warc": OP4_SQL,
     "op5_mix_sources": mixing.oracle_sql(),
     "op6_jaccard_join": OP6_SQL,
