@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barspark.llm import decontaminate, embeddings, jaccard, language, licenses, lines, mixing, spans, warc
+from barspark.llm import decontaminate, embeddings, interpolation, jaccard, language, licenses, lines, mixing, spans, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,6 +110,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -124,6 +128,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_line_dedup": op10_line_dedup,
 }
 
