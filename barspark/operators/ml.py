@@ -58,7 +58,7 @@ def logistic_regression(p: dict[str, Any], data: DataFrame) -> Estimator:
 
 
 def linear_svc(p: dict[str, Any], data: DataFrame) -> Estimator:
-    return LinearSVC(regParam=1 / (p.get("C", 1.0) * max(data.count(), 1)), maxIter=p.get("max_iter", 100), weightCol="weight")
+    return LinearSVC(regParam=1 / (p.get("C", 1.0) * max(data.count(), 1)), maxIter=p.get("max_iter", 15), tol=p.get("tol", 1e-3), weightCol="weight")
 
 
 class Boosted:

@@ -1,2 +1,248 @@
+"""Analysis, scans, splits, metrics and backtests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barspark.functions.scalars import min_win_rate, regulatory_fee
+from barspark.operators import analysis, backtest, cross, features, labels, metrics, splits
+from barspark.plans import feature_queries as fq
+from barspark.plans.bar_queries import rounded
+from barspark.plans.sqlbars import HOURLY, bars, r6, ratio0
+from barspark.sources.bars import daily_bars, event_bars
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+TP, SL, H, COST = fq.TP, fq.SL, fq.H, 0.004
+hourly = fq.hourly
+
+
+def register(name: str, make, sql: str | None = None) -> None:
+    QUERIES[name] = make
+    if sql:
+        ORACLE[name] = sql
+
+
+# --- analysis ----------------------------------------------------------------------------------------------------
+register(
+    "data_stats", lambda s, d: analysis.data_stats(hourly(s, d).withColumn("imputed", F.col("volume") == 1)).select("symbol", "start_date", "end_date", "n_rows", "min_low", "max_high", F.round("mean_close", 2).alias("mean_close"), F.round("pct_imputed", 1).alias("pct_imputed")),
+    f"SELECT symbol, CAST(min(timestamp) AS DATE) AS start_date, CAST(max(timestamp) AS DATE) AS end_date, count(*) AS n_rows, min(low) AS min_low, max(high) AS max_high, round(avg(close), 2) AS mean_close, round(avg(CASE WHEN volume = 1 THEN 100.0 ELSE 0.0 END), 1) AS pct_imputed FROM ({HOURLY}) GROUP BY symbol",
+)
+register("longest_session", lambda s, d: analysis.longest_session(hourly(s, d)), f"SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM ({HOURLY}) GROUP BY symbol, CAST(timestamp AS DATE))")
+_FEATURES = ["pct_change_1", "pct_change_2", "close_lag_1_pct_diff", "close_sma_9_pct_diff"]
+register(
+    "feature_target_corr", lambda s, d: rounded(analysis.feature_correlations(fq.training_table(s, d), _FEATURES, "move_target"), "corr"),
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, {r6(f'corr({f}, move_target)')} AS corr FROM ({fq._TRAIN_SQL})" for f in _FEATURES),
+)
+_DAYS = f"SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS r FROM ({fq._DAY})"
+
+
+def pair_correlation(s: SparkSession, d: str) -> DataFrame:
+    r = features.daily_return(hourly(s, d))
+    a, b = (r.where(F.col("symbol") == x).select("trade_date", F.col("daily_return").alias(f"r_{x}")) for x in ("view", "click"))
+    return rounded(a.join(b, "trade_date").agg(F.corr("r_view", "r_click").alias("corr"), F.count("*").alias("n")), "corr")
+
+
+register("pair_correlation", pair_correlation, f"WITH r AS ({_DAYS}) SELECT {r6('corr(a.r, b.r)')} AS corr, count(*) AS n FROM r a JOIN r b USING (trade_date) WHERE a.symbol = 'view' AND b.symbol = 'click' AND a.r IS NOT NULL AND b.r IS NOT NULL")
+_PAIR = f"p AS (SELECT x.timestamp, x.close AS a, y.close AS b, CAST(x.timestamp AS DATE) AS d FROM ({HOURLY}) x JOIN ({HOURLY}) y USING (timestamp) WHERE x.symbol = 'view' AND y.symbol = 'click'), f AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN lead(a, 2) OVER w / a - 1 END AS ra, CASE WHEN a > 0 AND b > 0 THEN lead(b, 2) OVER w / b - 1 END AS rb FROM p WINDOW w AS (PARTITION BY d ORDER BY timestamp))"
+register(
+    "band_stats", lambda s, d: rounded(analysis.band_stats(analysis.pair_returns(hourly(s, d), "view", "click", 2), 0.1, 2.0), "mean", "median", "std", "mean_sum", "share_mirror"),
+    f"WITH {_PAIR} SELECT count(*) AS n, {r6('avg(rb)')} AS mean, {r6('median(rb)')} AS median, {r6('stddev_samp(rb)')} AS std, {r6('avg(ra + rb)')} AS mean_sum, count(*) FILTER (WHERE rb BETWEEN -2.0 AND -0.1) AS n_mirror, {r6('count(*) FILTER (WHERE rb BETWEEN -2.0 AND -0.1) / count(*)')} AS share_mirror FROM f WHERE ra IS NOT NULL AND rb IS NOT NULL AND ra BETWEEN 0.1 AND 2.0",
+)
+_T = fq.trades_sql()
+register(
+    "exit_kind_summary", lambda s, d: rounded(analysis.exit_summary(labels.gross_return(hourly(s, d), TP, SL, H)), "pct_tp", "pct_sl", "pct_horizon", "mean_return", "mean_horizon", "std_return"),
+    f"SELECT symbol, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE exit_kind = {k}) AS n_{x}, ' + r6(f'100.0 * count(*) FILTER (WHERE exit_kind = {k}) / count(*)') + f' AS pct_{x}' for x, k in (('tp', 0), ('sl', 1), ('horizon', 2)))}, {r6('avg(gross_return)')} AS mean_return, {r6('avg(gross_return) FILTER (WHERE exit_kind = 2)')} AS mean_horizon, {r6('stddev_pop(gross_return)')} AS std_return FROM ({_T}) WHERE exit_kind >= 0 GROUP BY symbol",
+)
+
+# --- scans -------------------------------------------------------------------------------------------------------
+TPS, SLS = (0.5, 1.0, 2.0), (0.5, 0.9)
+_SCAN = ["revenue", "cost", "profit", "pct_trades", "pct_days", "mean_duration"]
+
+
+def scan(s: SparkSession, d: str) -> DataFrame:
+    return analysis.aggregate_trades(labels.grid_trades(hourly(s, d).withColumn("imputed", F.col("volume") == 1), TPS, SLS), COST)
+
+
+_GRID = (
+    f"{bars(HOURLY, 'lead(high) OVER w AS entry')}, g AS (SELECT * FROM (SELECT unnest([{', '.join(map(str, TPS))}]::DOUBLE[]) AS tp), (SELECT unnest([{', '.join(map(str, SLS))}]::DOUBLE[]) AS sl)), "
+    "j AS (SELECT a.symbol, a.d, a.volume, a.timestamp, a.i, a.entry, g.tp, g.sl, min(CASE WHEN f.high >= a.entry * (1 + g.tp) THEN f.i END) AS up, min(CASE WHEN f.low <= a.entry * (1 - g.sl) THEN f.i END) AS dn FROM x a CROSS JOIN g JOIN x f ON f.symbol = a.symbol AND f.d = a.d AND f.i >= a.i + 2 WHERE a.i < a.n - 3 GROUP BY ALL), "
+    "k AS (SELECT *, entry > 0 AND up IS NOT NULL AND (dn IS NULL OR up < dn) AS win, up - i - 1 AS dur FROM j), "
+    f"z AS (SELECT symbol, tp, sl, coalesce(sum(tp) FILTER (WHERE win), 0.0) AS revenue, count(*) FILTER (WHERE win) * {COST} AS cost, count(*) FILTER (WHERE win) AS n_trades, count(*) FILTER (WHERE win) / count(*) AS pct_trades, count(DISTINCT d) FILTER (WHERE win) / count(DISTINCT d) AS pct_days, count(*) FILTER (WHERE win AND volume = 1) AS imputed, coalesce(avg(dur) FILTER (WHERE win), 0.0) AS mean_duration FROM k GROUP BY ALL), "
+    "sc AS (SELECT *, revenue - cost AS profit FROM z)"
+)
+_SC = "symbol, tp, sl, n_trades, imputed, " + ", ".join(f"{r6(c)} AS {c}" for c in _SCAN)
+register("scan_grid", lambda s, d: rounded(scan(s, d), *_SCAN), f"{_GRID} SELECT {_SC} FROM sc")
+register("scan_top10", lambda s, d: rounded(analysis.top_profits(scan(s, d), 3), *_SCAN), f"{_GRID} SELECT {_SC}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY profit DESC, tp, sl) AS rank FROM sc) WHERE rank <= 3")
+register("scan_best_sorted", lambda s, d: rounded(analysis.top_profits(scan(s, d), 1).drop("rank").orderBy(F.desc("profit")), *_SCAN), f"{_GRID} SELECT {_SC} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY profit DESC, tp, sl) AS rank FROM sc) WHERE rank = 1 ORDER BY profit DESC")
+
+# --- splits ------------------------------------------------------------------------------------------------------
+_ORD = f"SELECT *, row_number() OVER (ORDER BY timestamp, symbol) - 1 AS o, count(*) OVER () AS c FROM ({fq._TRAIN_SQL})"
+_SPLIT = f"SELECT *, CASE WHEN o < c - CAST(floor(c * 0.2) AS BIGINT) - CAST(floor(c * 0.15) AS BIGINT) THEN 'train' WHEN o < c - CAST(floor(c * 0.2) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM ({_ORD})"
+
+
+def split_table(s: SparkSession, d: str) -> DataFrame:
+    return splits.chrono_split(fq.training_table(s, d), 0.15, 0.2)
+
+
+register("chrono_split", lambda s, d: split_table(s, d).select("symbol", "timestamp", "split"), f"SELECT symbol, timestamp, split FROM ({_SPLIT})")
+register(
+    "chrono_split_two_way", lambda s, d: splits.chrono_split(fq.training_table(s, d), 0, 0.2).groupBy("split").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts")),
+    f"SELECT CASE WHEN o < c - CAST(floor(c * 0.2) AS BIGINT) THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(timestamp) AS first_ts FROM ({_ORD}) GROUP BY 1",
+)
+register("split_stats", lambda s, d: rounded(splits.split_stats(split_table(s, d), "move_target"), "pct_positive", "years"), f"SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE move_target = 1) AS n_positive, {r6('100.0 * count(*) FILTER (WHERE move_target = 1) / count(*)')} AS pct_positive, min(timestamp) AS first_ts, max(timestamp) AS last_ts, {r6('epoch(max(timestamp) - min(timestamp)) / 86400 / 365.25')} AS years FROM ({_SPLIT}) GROUP BY split")
+register(
+    "zscore_splits", lambda s, d: rounded(splits.zscore_splits(split_table(s, d), _FEATURES), *_FEATURES),
+    f"WITH s AS ({_SPLIT}), m AS (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in _FEATURES)} FROM s WHERE split = 'train') SELECT symbol, timestamp, move_target, split, {', '.join(r6(f'({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END') + f' AS {f}' for f in _FEATURES)} FROM s, m",
+)
+register(
+    "session_bounds_filter", lambda s, d: features.bars_until_close(features.bars_since_open(hourly(s, d))).where("bars_since_open >= 6 AND bars_until_close <= 10").select("symbol", "timestamp", "bars_since_open", "bars_until_close"),
+    f"{bars(HOURLY)} SELECT symbol, timestamp, i AS bars_since_open, n - 1 - i AS bars_until_close FROM x WHERE i >= 6 AND n - 1 - i <= 10",
+)
+
+
+def _targets(s: SparkSession, d: str) -> DataFrame:
+    return labels.tp_before_sl(hourly(s, d), 2.0, SL, H).select("symbol", "timestamp", "target")
+
+
+_TARGETS = fq._hits(f"a.i + 1 + {H}", "entry", "2.0", str(SL)) + " SELECT symbol, timestamp, CASE WHEN i < n - 3 AND e > 0 AND up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 1 ELSE 0 END AS target FROM j"
+
+
+def _down_sql(rows: str, seed: int) -> str:
+    return f"WITH r AS ({rows}), c AS (SELECT count(*) FILTER (WHERE target = 0) AS neg, count(*) FILTER (WHERE target = 1) AS pos FROM r), k AS (SELECT r.*, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws('|', symbol, strftime(timestamp, '%Y-%m-%d %H:%M:%S'), '{seed}'))) AS o FROM r) SELECT symbol, timestamp, target FROM k, c WHERE o <= least(neg, pos)"
+
+
+register("downsample_negatives", lambda s, d: splits.downsample(_targets(s, d), "target", ["symbol", "timestamp"], 42, True), _down_sql(_TARGETS, 42))
+register("downsample_majority", lambda s, d: splits.downsample(_targets(s, d), "target", ["symbol", "timestamp"], 43), _down_sql(_TARGETS, 43))
+register("class_ratio", lambda s, d: rounded(splits.class_ratio(_targets(s, d), "target"), "ratio"), f"SELECT count(*) FILTER (WHERE target = 0) AS n_neg, count(*) FILTER (WHERE target = 1) AS n_pos, {r6('coalesce(count(*) FILTER (WHERE target = 0) / nullif(count(*) FILTER (WHERE target = 1), 0), 1.0)')} AS ratio FROM ({_TARGETS})")
+register(
+    "balanced_weights", lambda s, d: rounded(splits.balanced_weights(_targets(s, d), "target").groupBy("target").agg(F.count("*").alias("n"), F.sum("weight").alias("total")), "total"),
+    f"SELECT target, count(*) AS n, {r6('sum(count(*)) OVER () / 2')} AS total FROM ({_TARGETS}) GROUP BY target",
+)
+
+# --- metrics: predictions of a fixed rule ------------------------------------------------------------------------
+
+
+def preds(s: SparkSession, d: str) -> DataFrame:
+    df = features.pct_change(features.close_sma(labels.tp_before_sl(hourly(s, d), TP, SL, H), (9,)), (1,))
+    return df.select("symbol", "timestamp", F.col("target").alias("y"), F.col("close_sma_9_pct_diff").alias("score"), (F.col("close_sma_9_pct_diff") > 0).cast("int").alias("pred"), F.array((F.col("close_sma_9_pct_diff") > 0).cast("int"), (F.col("pct_change_1") > 0).cast("int")).alias("votes"))
+
+
+_FX = f"{bars(HOURLY, 'lag(close) OVER w AS c1, count(*) OVER ' + fq._HIST.format(8) + ' AS k, avg(close) OVER ' + fq._HIST.format(8) + ' AS a')} SELECT symbol, timestamp, {ratio0('close', 'CASE WHEN k = 9 THEN a END')} AS score, CASE WHEN c1 <> 0 THEN (close - c1) / c1 ELSE 0.0 END AS pc FROM x"
+_PREDS = f"SELECT symbol, timestamp, target AS y, score, CAST(score > 0 AS INTEGER) AS pred, CAST(pc > 0 AS INTEGER) AS pred2 FROM ({fq._LABEL}) JOIN ({_FX}) USING (symbol, timestamp)"
+_CONF = "count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn"
+_RATES = {"accuracy": "coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0)", "precision": "coalesce(tp / nullif(tp + fp, 0), 0)", "recall": "coalesce(tp / nullif(tp + fn, 0), 0)", "f1": "coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)", "auc": "(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2"}
+_PNL = {
+    "profit": f"(tp * {TP} - fp * {SL} - (tp + fp) * {COST})", "max_profit": f"(tp + fn) * {TP}", "max_net": f"(tp + fn) * ({TP} - {COST})", "loss_rate": "coalesce(fp / nullif(tp + fp, 0), 0)",
+    "capture_pct": f"coalesce(100 * (tp * {TP} - fp * {SL} - (tp + fp) * {COST}) / nullif((tp + fn) * ({TP} - {COST}), 0), 0)", "break_even_gap": f"coalesce(tp / nullif(tp + fp, 0), 0) - ({SL} + {COST}) / ({TP} + {SL})",
+}
+_cols = lambda m: ", ".join(f"{r6(v)} AS {k}" for k, v in m.items())
+register("confusion_matrix", lambda s, d: metrics.confusion(preds(s, d), ["symbol"]), f"SELECT symbol, {_CONF} FROM ({_PREDS}) GROUP BY symbol")
+register("prf_metrics", lambda s, d: rounded(metrics.rates(metrics.confusion(preds(s, d), ["symbol"])), *_RATES), f"SELECT symbol, tp, fp, fn, tn, {_cols(_RATES)} FROM (SELECT symbol, {_CONF} FROM ({_PREDS}) GROUP BY symbol)")
+register("auc_hard_labels", lambda s, d: rounded(metrics.rates(metrics.confusion(preds(s, d))).select("auc"), "auc"), f"SELECT {r6(_RATES['auc'])} AS auc FROM (SELECT {_CONF} FROM ({_PREDS}))")
+register("pnl_approx", lambda s, d: rounded(metrics.pnl(metrics.confusion(preds(s, d), ["symbol"]), TP, SL, COST), *_PNL), f"SELECT symbol, tp, fp, fn, tn, {_cols(_PNL)} FROM (SELECT symbol, {_CONF} FROM ({_PREDS}) GROUP BY symbol)")
+register("trade_only_profit", lambda s, d: rounded(metrics.pnl(metrics.confusion(preds(s, d)), TP, SL, COST).select("profit", "max_net", "capture_pct", "break_even_gap"), "profit", "max_net", "capture_pct", "break_even_gap"), f"SELECT {_cols({k: _PNL[k] for k in ('profit', 'max_net', 'capture_pct', 'break_even_gap')})} FROM (SELECT {_CONF} FROM ({_PREDS}))")
+
+
+def leg_trades(s: SparkSession, d: str) -> DataFrame:
+    trades = labels.gross_return(hourly(s, d), TP, SL, H).select("symbol", "timestamp", "gross_return")
+    mine = trades.where("symbol = 'view'").join(preds(s, d).select("symbol", "timestamp", "pred"), ["symbol", "timestamp"])
+    return cross.swapped_lookup(mine, trades, "click", "gross_return")
+
+
+_LEGS = f"SELECT v.symbol, v.timestamp, v.gross_return, p.pred, o.gross_return AS other_gross_return FROM ({_T}) v JOIN ({_PREDS}) p ON p.symbol = v.symbol AND p.timestamp = v.timestamp LEFT JOIN ({_T}) o ON o.symbol = 'click' AND o.timestamp = v.timestamp WHERE v.symbol = 'view'"
+register("symbol_swap_lookup", lambda s, d: rounded(leg_trades(s, d), "gross_return", "other_gross_return"), f"SELECT symbol, timestamp, pred, {r6('gross_return')} AS gross_return, {r6('other_gross_return')} AS other_gross_return FROM ({_LEGS})")
+register("two_leg_profit", lambda s, d: rounded(metrics.two_leg(leg_trades(s, d), COST), "gross", "net", "mean_net"), f"SELECT count(*) AS n, count(*) FILTER (WHERE pred = 1) AS n_long, {r6('sum(r)')} AS gross, {r6(f'sum(r - {COST})')} AS net, {r6(f'avg(r - {COST})')} AS mean_net FROM (SELECT *, CASE WHEN pred = 1 THEN gross_return ELSE other_gross_return END AS r FROM ({_LEGS})) WHERE r IS NOT NULL")
+register("selective_leg_return", lambda s, d: rounded(metrics.selective_leg(leg_trades(s, d), COST), "gross", "net"), f"SELECT count(*) AS n, {r6('sum(gross_return)')} AS gross, {r6(f'sum(gross_return) - count(*) * 2 * {COST}')} AS net FROM ({_LEGS}) WHERE pred = 1 AND gross_return IS NOT NULL")
+_SHARES = ("share_all_1", "share_all_0")
+register(
+    "consensus_report", lambda s, d: rounded(metrics.consensus_report(preds(s, d)), *_SHARES, *_RATES),
+    f"WITH p AS (SELECT y, CASE WHEN pred = 1 AND pred2 = 1 THEN 1 WHEN pred = 0 AND pred2 = 0 THEN 0 ELSE -1 END AS pred FROM ({_PREDS})), a AS (SELECT count(*) AS n, count(*) FILTER (WHERE pred >= 0) AS n_decided, count(*) FILTER (WHERE pred = 1) / count(*) AS share_all_1, count(*) FILTER (WHERE pred = 0) / count(*) AS share_all_0 FROM p), c AS (SELECT {_CONF} FROM p WHERE pred >= 0) SELECT n, n_decided, {', '.join(f'{r6(c)} AS {c}' for c in _SHARES)}, tp, fp, fn, tn, {_cols(_RATES)} FROM a, c",
+)
+_THR = (-0.5, 0.0, 0.5, 1.0, 50.0)
+_SWEPT = f"SELECT *, tp + fp AS n_trades, tp + fp < 50 AS skipped FROM (SELECT threshold, {_CONF} FROM (SELECT y, threshold, CAST(score > threshold AS INTEGER) AS pred FROM ({_PREDS}), (SELECT unnest([{', '.join(map(str, _THR))}]::DOUBLE[]) AS threshold)) GROUP BY threshold)"
+
+
+def sweep(s: SparkSession, d: str) -> DataFrame:
+    return metrics.threshold_sweep(preds(s, d), list(_THR), TP, SL, COST, 50)
+
+
+_SWEEP_COLS = f"threshold, tp, fp, fn, tn, n_trades, skipped, {_cols(_RATES)}, {_cols(_PNL)}"
+register("threshold_sweep", lambda s, d: rounded(sweep(s, d), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT})")
+register("best_thresholds", lambda s, d: rounded(metrics.best_thresholds(sweep(s, d), 2), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT}) WHERE NOT skipped ORDER BY {_PNL['profit']} DESC, {_RATES['precision']} DESC, n_trades, threshold LIMIT 2")
+register("score_summary", lambda s, d: rounded(metrics.score_summary(preds(s, d)), "min_score", "median_score", "max_score"), f"SELECT {r6('min(score)')} AS min_score, {r6('median(score)')} AS median_score, {r6('max(score)')} AS max_score FROM ({_PREDS})")
+_WIN = [(0.04, 0.02, 0.004), (0.03, 0.02, 0.004), (TP, SL, COST)]
+register("min_win_rate", lambda s, d: rounded(s.createDataFrame([(*w, min_win_rate(*w)) for w in _WIN], "tp double, sl double, cost double, rate double"), "rate"), " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS tp, CAST({sl} AS DOUBLE) AS sl, CAST({c} AS DOUBLE) AS cost, {r6(f'({sl} + {c}) / ({t} + {sl})')} AS rate" for t, sl, c in _WIN))
+
+# --- backtest ----------------------------------------------------------------------------------------------------
+BPS, CASH = 10.0, 1_000_000.0
+
+
+def orders(s: SparkSession, d: str) -> DataFrame:
+    """Buy 10 half an hour after each day's first bar, sell 6 after its last but one; a few orders of other types."""
+    b = features.bars_until_close(features.bars_since_open(hourly(s, d)))
+    marked = b.where("bars_since_open = 0 OR bars_until_close = 1").withColumn("side", F.when(F.col("bars_since_open") == 0, "buy").otherwise("sell"))
+    out = marked.select("symbol", "side", F.when(F.col("side") == "buy", 10).otherwise(6).alias("qty"), F.when((F.dayofmonth("timestamp") % 9) == 0, "limit").otherwise("market").alias("type"), (F.col("timestamp") + F.expr("interval 30 minutes")).alias("submitted"))
+    return out.withColumn("seq", F.concat_ws("|", F.date_format("submitted", "yyyyMMddHHmm"), "symbol", "side"))
+
+
+_ORDERS = f"{bars(HOURLY)} SELECT symbol, CASE WHEN i = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN i = 0 THEN 10 ELSE 6 END AS qty, CASE WHEN day(timestamp) % 9 = 0 THEN 'limit' ELSE 'market' END AS type, timestamp + INTERVAL 30 MINUTE AS submitted, concat_ws('|', strftime(timestamp + INTERVAL 30 MINUTE, '%Y%m%d%H%M'), symbol, CASE WHEN i = 0 THEN 'buy' ELSE 'sell' END) AS seq FROM x WHERE i = 0 OR n - 1 - i = 1"
+_UP = lambda x: f"ceil(({x}) * 100) / 100.0"
+_FEE = f"({_UP('0.00003::DOUBLE * qty')} + CASE WHEN side = 'sell' THEN {_UP('least(0.000166::DOUBLE * qty, 8.30)')} ELSE 0.0 END)"
+_MET = f"SELECT o.symbol, o.side, o.qty, o.type, o.submitted, o.seq, first(b.timestamp ORDER BY b.timestamp) AS filled, first(b.close ORDER BY b.timestamp) AS close FROM ({_ORDERS}) o JOIN ({HOURLY}) b ON b.symbol = o.symbol AND b.timestamp >= o.submitted WHERE o.type = 'market' GROUP BY o.symbol, o.side, o.qty, o.type, o.submitted, o.seq"
+_FILLS = f"SELECT symbol, side, qty, type, submitted, seq, filled, close * CASE WHEN side = 'buy' THEN 1 + {BPS} / 10000 ELSE 1 - {BPS} / 10000 END AS price, {_UP(_FEE)} AS fee FROM ({_MET})"
+
+
+def fills(s: SparkSession, d: str) -> DataFrame:
+    return backtest.market_fills(orders(s, d), hourly(s, d), BPS)
+
+
+register("fills_market_close", lambda s, d: rounded(fills(s, d), "price", "fee"), f"SELECT symbol, side, qty, type, submitted, seq, filled, {r6('price')} AS price, {r6('fee')} AS fee FROM ({_FILLS})")
+register(
+    "regulatory_fees", lambda s, d: rounded(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", regulatory_fee(F.when(F.col("l_returnflag") == "A", "sell").otherwise("buy"), F.col("l_quantity") * 1000).alias("fee")), "fee"),
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r6(_FEE)} AS fee FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'sell' ELSE 'buy' END AS side, l_quantity * 1000 AS qty FROM lineitem)",
+)
+_SGN = "CASE WHEN side = 'buy' THEN 1 ELSE -1 END"
+_LEDGER = f"SELECT *, {CASH} + sum(-({_SGN}) * price * qty - fee) OVER (ORDER BY filled, seq) AS cash, CAST(sum(({_SGN}) * qty) OVER (PARTITION BY symbol ORDER BY filled, seq) AS BIGINT) AS position FROM ({_FILLS})"
+register("ledger_cash_qty", lambda s, d: rounded(backtest.ledger(fills(s, d), CASH).select("symbol", "seq", "filled", "cash", "position"), "cash"), f"SELECT symbol, seq, filled, {r6('cash')} AS cash, position FROM ({_LEDGER})")
+register("oversell_violations", lambda s, d: backtest.oversells(backtest.ledger(fills(s, d).where("side = 'sell' OR dayofmonth(filled) < 4"), CASH)).select("symbol", "seq", "position"), f"SELECT symbol, seq, position FROM ({_LEDGER.replace(f'FROM ({_FILLS})', f"FROM ({_FILLS}) WHERE side = 'sell' OR day(filled) < 4")}) WHERE position < 0")
+_SEQF = f"f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filled, seq) AS k FROM ({_FILLS}))"
+register(
+    "avg_cost_basis", lambda s, d: rounded(backtest.average_cost(fills(s, d)), "qty", "basis", "avg_price"),
+    f"WITH RECURSIVE {_SEQF}, r AS (SELECT symbol, k, CAST(CASE WHEN side = 'buy' THEN qty ELSE -qty END AS DOUBLE) AS q, CASE WHEN side = 'buy' THEN qty * price ELSE 0.0 END AS basis FROM f WHERE k = 1 UNION ALL SELECT f.symbol, f.k, CASE WHEN side = 'buy' THEN q + qty ELSE q - qty END, CASE WHEN side = 'buy' THEN basis + qty * price WHEN q - qty = 0 THEN 0.0 ELSE basis - CASE WHEN q <> 0 THEN basis / q ELSE 0 END * qty END FROM r JOIN f ON f.symbol = r.symbol AND f.k = r.k + 1), "
+    f"z AS (SELECT symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM r GROUP BY symbol) SELECT symbol, {r6('q')} AS qty, {r6('basis')} AS basis, {r6('basis / q')} AS avg_price FROM z WHERE q <> 0",
+)
+register(
+    "equity_curve", lambda s, d: rounded(backtest.equity_curve(fills(s, d), hourly(s, d), CASH), "equity"),
+    f"WITH f AS ({_FILLS}), b AS ({HOURLY}), t AS (SELECT DISTINCT timestamp FROM b), m AS (SELECT t.timestamp, s.symbol, (SELECT last(close ORDER BY b.timestamp) FROM b WHERE b.symbol = s.symbol AND b.timestamp <= t.timestamp) AS mark FROM t, (SELECT DISTINCT symbol FROM b) s), "
+    f"p AS (SELECT t.timestamp, f.symbol, sum(({_SGN}) * qty) AS q, sum(-({_SGN}) * price * qty - fee) AS c FROM t JOIN f ON f.filled <= t.timestamp GROUP BY ALL) SELECT t.timestamp, {r6(f'{CASH} + coalesce(sum(c + q * mark), 0)')} AS equity FROM t LEFT JOIN p USING (timestamp) LEFT JOIN m ON m.timestamp = p.timestamp AND m.symbol = p.symbol GROUP BY t.timestamp",
+)
+register(
+    "order_violations", lambda s, d: backtest.order_violations(orders(s, d).withColumn("qty", F.when(F.dayofmonth("submitted") == 5, 0).otherwise(F.col("qty")))).select("symbol", "seq", "violation"),
+    f"SELECT symbol, seq, CASE WHEN qty <= 0 THEN 'quantity must be above 0' ELSE 'limit price missing' END AS violation FROM (SELECT * REPLACE (CASE WHEN day(submitted) = 5 THEN 0 ELSE qty END AS qty) FROM ({_ORDERS})) WHERE qty <= 0 OR type = 'limit'",
+)
+register("order_ids", lambda s, d: backtest.with_ids(orders(s, d)).select("seq", "order_id"), f"SELECT seq, 'sim-' || (row_number() OVER (ORDER BY seq) - 1) AS order_id FROM ({_ORDERS})")
+
+
+class BuyDips:
+    """Buys 5 of each symbol whose close is below its bar's vwap, sells all after three bars."""
+
+    def __init__(self) -> None:
+        self.age: dict[str, int] = {}
+
+    def next(self, time, snapshot, portfolio):
+        out = []
+        for symbol, close, vwap in zip(snapshot["symbol"], snapshot["close"], snapshot["vwap"], strict=True):
+            held = portfolio.position(symbol).quantity
+            self.age[symbol] = self.age.get(symbol, 0) + 1 if held else 0
+            if not held and close < vwap:
+                out.append((symbol, "buy", 5))
+            elif held and self.age[symbol] >= 3:
+                out.append((symbol, "sell", held))
+        return out
+
+
+register("run_backtest", lambda s, d: rounded(backtest.run_backtest(hourly(s, d).withColumn("run", F.col("symbol")), BuyDips, 10_000.0, "run", 5.0), "equity", "cash"))
+register("closing_price_stats_minute", lambda s, d: event_bars(s, d, "minute").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "SELECT count(*) AS n, min(low) AS low, max(high) AS high FROM (" + HOURLY.replace("'hour'", "'minute'") + ")")
+register("daily_symbol_union", lambda s, d: analysis.union_all([daily_bars(s, d).select("symbol", "timestamp"), hourly(s, d).select("symbol", "timestamp")]).groupBy("symbol").count().withColumnRenamed("count", "n"), f"SELECT symbol, count(*) AS n FROM (SELECT l_returnflag AS symbol, l_shipdate AS t FROM lineitem GROUP BY 1, 2 UNION ALL SELECT symbol, timestamp FROM ({HOURLY})) GROUP BY symbol")

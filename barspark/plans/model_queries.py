@@ -1,2 +1,116 @@
+"""Models: exact ones with SQL, fitted ones on Spark ML (rows only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barspark.operators import metrics, ml, splits
+from barspark.plans import desk_queries as dq
+from barspark.plans.bar_queries import rounded
+
+FEATURES = dq._FEATURES
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scaled train, val and test rows with a features vector."""
+    data = ml.assemble(splits.zscore_splits(dq.split_table(s, d), FEATURES).withColumnRenamed("move_target", "target"), FEATURES).cache()
+    return tuple(data.where(F.col("split") == x) for x in ("train", "val", "test"))
+
+
+def _report(preds: DataFrame) -> DataFrame:
+    return rounded(metrics.rates(metrics.confusion(preds.select(F.col("label").alias("y"), F.col("prediction").alias("pred")))), *dq._RATES)
+
+
+def _fitted(build, **params):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        train, _, test = tables(s, d)
+        return _report(build(params, train).fit(train).transform(test))
+
+    return query
+
+
+def fourier_svm(s: SparkSession, d: str) -> DataFrame:
+    train, _, test = (ml.fourier_features(t, len(FEATURES)) for t in tables(s, d))
+    return _report(ml.linear_svc({"C": 0.1}, train).fit(train).transform(test))
+
+
+def _sweep(build, thresholds: list[float]):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        train, val, _ = tables(s, d)
+        scored = ml.positive_scores(build({"C": 0.1}, train).fit(train).transform(val)).select(F.col("label").alias("y"), "score")
+        return rounded(metrics.threshold_sweep(scored, thresholds, dq.TP, dq.SL, dq.COST, 20), *dq._RATES, *dq._PNL)
+
+    return query
+
+
+def grid_search_refit(s: SparkSession, d: str) -> DataFrame:
+    train, val, test = tables(s, d)
+    model, best, value = ml.grid_search(ml.decision_tree, {"max_depth": [2, 4], "min_samples_leaf": [1, 20]}, train, val, n_jobs=2)
+    return _report(model.transform(test)).withColumn("max_depth", F.lit(best["max_depth"])).withColumn("val_score", F.lit(round(value, 6)))
+
+
+def ensemble(s: SparkSession, d: str) -> DataFrame:
+    train, _, test = tables(s, d)
+    models = [b({}, train).fit(train) for b in (ml.decision_tree, ml.logistic_regression, ml.gradient_boosting)]
+    return rounded(metrics.consensus_report(ml.vote(test.select("features", F.col("label").cast("int").alias("y")), models)), *dq._SHARES, *dq._RATES)
+
+
+def kmeans(s: SparkSession, d: str) -> DataFrame:
+    train, _, test = tables(s, d)
+    return ml.kmeans_distances(train.select("features"), test.select("symbol", "timestamp", "features"), 4).drop("features")
+
+
+def gmm(s: SparkSession, d: str) -> DataFrame:
+    train, _, test = tables(s, d)
+    return ml.gmm_probabilities(train.select("features"), test.select("symbol", "timestamp", "features"), 4).drop("features")
+
+
+def _plain(s: SparkSession, d: str) -> DataFrame:
+    """Raw features cut to 6 digits, so that both engines start from the same doubles."""
+    return rounded(dq.split_table(s, d), *FEATURES).withColumnRenamed("move_target", "target")
+
+
+_ROWS = f"SELECT symbol, timestamp, split, move_target AS target, {', '.join(f'{dq.r6(f)} AS {f}' for f in FEATURES)} FROM ({dq._SPLIT})"
+
+
+def gnb(s: SparkSession, d: str) -> DataFrame:
+    t = _plain(s, d)
+    return ml.gaussian_nb(t.where("split = 'train'"), t.where("split = 'test'").select("symbol", "timestamp", *FEATURES), FEATURES).select("symbol", "timestamp", "pred")
+
+
+_LL = "ln(c.n / c.total)" + "".join(f" - 0.5 * ln(2 * pi() * (v_{f} + 1e-9 * top)) - (r.{f} - m_{f}) * (r.{f} - m_{f}) / (2 * (v_{f} + 1e-9 * top))" for f in FEATURES)
+_GNB = f"""WITH r AS ({_ROWS}), g AS (SELECT count(*) AS total, greatest({', '.join(f'var_pop({f})' for f in FEATURES)}) AS top FROM r WHERE split = 'train'),
+c AS (SELECT target, count(*) AS n, {', '.join(f'avg({f}) AS m_{f}, var_pop({f}) AS v_{f}' for f in FEATURES)}, any_value(total) AS total, any_value(top) AS top FROM r, g WHERE split = 'train' GROUP BY target),
+l AS (SELECT r.symbol, r.timestamp, c.target, {_LL} AS ll FROM r, c WHERE split = 'test')
+SELECT symbol, timestamp, arg_max(target, ll) AS pred FROM l GROUP BY ALL"""
+
+
+def knn(s: SparkSession, d: str) -> DataFrame:
+    t = _plain(s, d)
+    return ml.knn(t.where("split = 'train'"), t.where("split = 'test'"), FEATURES, ["symbol", "timestamp"], 5)
+
+
+_DIST = " + ".join(f"(q.{f} - r.{f}) * (q.{f} - r.{f})" for f in FEATURES)
+_KNN = f"""WITH r AS ({_ROWS}), p AS (SELECT q.symbol, q.timestamp, r.target, row_number() OVER (PARTITION BY q.symbol, q.timestamp ORDER BY {_DIST}, concat_ws('|', r.symbol, strftime(r.timestamp, '%Y-%m-%d %H:%M:%S'))) AS k FROM r q, r WHERE q.split = 'test' AND r.split = 'train')
+SELECT symbol, timestamp, CAST(sum(target) AS BIGINT) AS votes, CAST(sum(target) / 5 > 0.5 AS INTEGER) AS pred FROM p WHERE k <= 5 GROUP BY ALL"""
+
+QUERIES |= {
+    "gnb_predict": gnb,
+    "knn_predict": knn,
+    "decision_tree": _fitted(ml.decision_tree, max_depth=4),
+    "random_forest": _fitted(ml.random_forest, n_estimators=10),
+    "gbt": _fitted(ml.gradient_boosting),
+    "adaboost_samme": _fitted(ml.adaboost, n_estimators=3),
+    "mlp": _fitted(ml.perceptron, hidden=(8,), max_iter=30),
+    "logreg_sweep": _sweep(ml.logistic_regression, [0.3, 0.5, 0.7]),
+    "linear_svc_sweep": _sweep(ml.linear_svc, [-0.5, 0.0, 0.5]),
+    "rff_svm": fourier_svm,
+    "kmeans_distance_features": kmeans,
+    "gmm_proba_features": gmm,
+    "grid_search_refit": grid_search_refit,
+    "unanimous_ensemble": ensemble,
+}
+ORACLE |= {"gnb_predict": _GNB, "knn_predict": _KNN}
