@@ -72,7 +72,7 @@ def runs_needed(threshold: float, coords: int, branching: float, depth: int, rec
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stay)))
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, coords: int = 64, branching: float = 2.2, depth: int = 4, small: int = 512, recall: float = 0.9999, seed: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, coords: int = 64, branching: float = 2.2, depth: int = 4, small: int = 4096, recall: float = 0.9999, seed: int = 3) -> DataFrame:
     """One row per document: id, class_id (smallest id of its connected class), n_links, kept."""
     spark = docs.sparkSession
     mult, add = _odd(seed, coords), _odd(seed + 1, coords)
@@ -141,7 +141,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return same >= math.ceil((threshold - slack) * coords)
 
     bucketed = ready.join(reps, "rep").select("path", "rep", "weight", "sketch")
-    loose = materialize(connected_components(compare(bucketed, ["path"], maybe).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()))
+    loose = materialize(connected_components(compare(bucketed, ["path"], maybe, 2048).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()))
     loose = loose.join(reps.select("rep", "weight"), loose["node"] == reps["rep"]).select(F.col("component").alias("grp"), "rep", "weight")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
