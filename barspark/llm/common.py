@@ -132,6 +132,6 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text hash are in ``gone`` (id, tk); all their columns stay."""
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("tk").alias("_gone_tk")).distinct()
-    keyed = docs.withColumn("_tk", F.xxhash64(text_col))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["_gone_id"]) & (keyed["_tk"] == gone["_gone_tk"]), "left_anti").drop("_tk")
+    gone = gone.select(F.col("id").alias("__gone_id"), F.col("tk").alias("__gone_tk")).distinct()
+    keyed = docs.withColumn("__row_tk", F.xxhash64(text_col))
+    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__gone_id"]) & (keyed["__row_tk"] == gone["__gone_tk"]), "left_anti").drop("__row_tk")

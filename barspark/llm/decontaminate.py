@@ -40,6 +40,11 @@ def _gram(h: Column, i: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(h, i + o) for o in range(n)])
 
 
+def _all_grams(n: int) -> Column:
+    """The hashes of all n-grams of the word hashes ``h``."""
+    return F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: _gram(F.col("h"), i, n))).otherwise(_empty())
+
+
 def _empty() -> Column:
     return F.array().cast("array<bigint>")
 
@@ -110,8 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         parts.append(_hits(kept, wins, full, small))
     for n in sorted(stat[2] or []):
         wins = bench.where(F.size("h") == n).select("item", F.col("h").alias("wh"), _gram(F.col("h"), F.lit(0), n).alias("f"), F.lit(0).alias("off"))
-        grams = F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i, n=n: _gram(F.col("h"), i, n))).otherwise(_empty())
-        kept = rows.select("id", "tk", "h", F.posexplode(grams).alias("p", "f"))
+        kept = rows.select("id", "tk", "h", F.posexplode(_all_grams(n)).alias("p", "f"))
         parts.append(_hits(kept, wins, n, small))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SEPARATORS_ANY_CASE), lambda x: x != "")).cast("long").alias("n_words"))
     no_spans, no_items = F.array().cast("array<struct<q:int,n:int>>"), F.array().cast("array<string>")
@@ -131,10 +135,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns."""
-    found = decontaminate(docs.withColumn("_key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))), benchmark, id_col="_key", **options)
-    bad = found.where("n_hit > 0").select("_key").distinct()
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")))
-    return keyed.join(bad, keyed["_key"].eqNullSafe(bad["_key"]), "left_anti").drop("_key")
+    found = decontaminate(docs.withColumn("__row_key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))), benchmark, id_col="__row_key", **options)
+    bad = found.where("n_hit > 0").select("__row_key").distinct()
+    keyed = docs.withColumn("__row_key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")))
+    return keyed.join(bad, keyed["__row_key"].eqNullSafe(bad["__row_key"]), "left_anti").drop("__row_key")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

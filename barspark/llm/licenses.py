@@ -66,11 +66,16 @@ SENTENCES = {
     "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
 }
 
+# On one line, the colon before the first condition does not end a sentence.
+SENTENCES["bsd-grant-source"] = SENTENCES["bsd-grant"] + " " + SENTENCES["bsd-source"]
+
 # Licence rules, the most specific first.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-grant-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", ["bsd-grant-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-warranty", "apache-limits"]),
     ("Apache-2.0", ["apache-grant", "apache-copy-2", "apache-warranty", "apache-limits"]),
     ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty", "gpl-details"]),

@@ -141,11 +141,12 @@ def aligned_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the aligned lines deleted from ``text_col``; adds n_lines and n_deleted."""
+    """``docs`` with the aligned lines deleted from ``text_col``; adds (or replaces) n_lines and n_deleted."""
+    docs = docs.drop("n_lines", "n_deleted")
     cut = aligned_lines(docs, id_col=id_col, text_col=text_col, **options)
     cut = cut.select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.col("lines").alias("_lines"))
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
-    joined = keyed.join(cut, keyed[id_col].eqNullSafe(cut["_id"]) & (keyed["_key"] == cut["_tk"]), "left")
+    keyed = docs.withColumn("__row_key", F.xxhash64(text_col))
+    joined = keyed.join(cut, keyed[id_col].eqNullSafe(cut["_id"]) & (keyed["__row_key"] == cut["_tk"]), "left")
     split = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_lines", i)), "\n")
     out = joined.withColumn("_n", F.when(F.length(text_col) > 0, F.size(split)).otherwise(0)).withColumn("_new", F.when(F.col("_lines").isNotNull(), left).otherwise(F.col(text_col)))
