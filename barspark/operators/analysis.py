@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.cross import pair_align
@@ -28,19 +28,24 @@ def top_profits(scan: DataFrame, k: int = 10) -> DataFrame:
     return scan.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def data_stats(bars: DataFrame) -> DataFrame:
-    """Per symbol: first and last day, rows, extremes, mean close (4 digits), imputed percent (2 digits)."""
+def data_stats(bars: DataFrame, close_digits: int = 4, pct_digits: int = 2) -> DataFrame:
+    """Per symbol: first and last day, rows, extremes, mean close and imputed percent, rounded half to even."""
     imputed = F.coalesce("imputed", F.lit(False)) if "imputed" in bars.columns else F.lit(False)
-    return bars.groupBy("symbol").agg(F.to_date(F.min("timestamp")).alias("start_date"), F.to_date(F.max("timestamp")).alias("end_date"), F.count("*").alias("n_rows"), F.min("low").alias("min_low"), F.max("high").alias("max_high"), F.bround(F.avg("close"), 4).alias("mean_close"), F.bround(F.avg(F.when(imputed, 100.0).otherwise(0.0)), 2).alias("pct_imputed"))
+    return bars.groupBy("symbol").agg(F.to_date(F.min("timestamp")).alias("start_date"), F.to_date(F.max("timestamp")).alias("end_date"), F.count("*").alias("n_rows"), F.min("low").alias("min_low"), F.max("high").alias("max_high"), F.bround(F.avg("close"), close_digits).alias("mean_close"), F.bround(F.avg(F.when(imputed, 100.0).otherwise(0.0)), pct_digits).alias("pct_imputed"))
 
 
 def longest_session(bars: DataFrame) -> DataFrame:
     return with_trade_date(bars).groupBy(*SESSION).count().agg(F.greatest(F.max("count"), F.lit(1)).alias("longest"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation, null where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def feature_correlations(table: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, corr), all from one aggregation, the strongest first."""
-    row = table.agg(*[F.corr(f, target).alias(f) for f in features])
+    row = table.agg(*[correlation(f, target).alias(f) for f in features])
     return row.select(F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])).alias("feature", "corr")).orderBy(F.desc(F.abs("corr")), "feature")
 
 

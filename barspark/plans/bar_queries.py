@@ -97,7 +97,7 @@ _UP = f"SELECT symbol, max(high) AS high, count(*) AS n FROM ({ORDERS}) GROUP BY
 QUERIES = {
     "bars_hourly": _bars(source.event_bars),
     "bars_minute": _bars(minute),
-    "bars_daily": lambda spark, d: rounded(source.daily_bars(spark, d), "vwap"),
+    "bars_daily": source.daily_bars,
     "bars_orders": _bars(source.order_bars),
     "nyse_sessions": nyse,
     "rth_grid": lambda spark, d: calendar.rth_grid(sessions(spark)).groupBy("trade_date").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")),
@@ -120,7 +120,7 @@ _GAP = "SELECT symbol, previous, timestamp, CASE WHEN gap < 0 THEN 'closer than'
 ORACLE = {
     "bars_hourly": _bar_sql(HOURLY),
     "bars_minute": _bar_sql(MINUTE),
-    "bars_daily": f"SELECT symbol, timestamp, open, high, low, close, volume, trade_count, {r6('vwap')} AS vwap FROM ({DAILY})",
+    "bars_daily": f"SELECT symbol, timestamp, open, high, low, close, volume, trade_count, vwap FROM ({DAILY})",
     "bars_orders": _bar_sql(ORDERS),
     "nyse_sessions": f"SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n_sessions, CAST(count(*) FILTER (WHERE early) AS BIGINT) AS n_early, min(market_open) AS first_open, max(market_close) AS last_close FROM ({_SESSIONS}) GROUP BY 1",
     "rth_grid": f"SELECT trade_date, count(*) AS n, min(t) AS first_ts, max(t) AS last_ts FROM (SELECT trade_date, unnest(generate_series(market_open, market_close, INTERVAL 1 MINUTE)) AS t FROM ({_JAN})) GROUP BY 1",

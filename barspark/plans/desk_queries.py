@@ -26,14 +26,14 @@ def register(name: str, make, sql: str | None = None) -> None:
 
 # --- analysis ----------------------------------------------------------------------------------------------------
 register(
-    "data_stats", lambda s, d: analysis.data_stats(hourly(s, d).withColumn("imputed", F.col("volume") == 1)).select("symbol", "start_date", "end_date", "n_rows", "min_low", "max_high", F.round("mean_close", 2).alias("mean_close"), F.round("pct_imputed", 1).alias("pct_imputed")),
-    f"SELECT symbol, CAST(min(timestamp) AS DATE) AS start_date, CAST(max(timestamp) AS DATE) AS end_date, count(*) AS n_rows, min(low) AS min_low, max(high) AS max_high, round(avg(close), 2) AS mean_close, round(avg(CASE WHEN volume = 1 THEN 100.0 ELSE 0.0 END), 1) AS pct_imputed FROM ({HOURLY}) GROUP BY symbol",
+    "data_stats", lambda s, d: analysis.data_stats(hourly(s, d).withColumn("imputed", F.col("volume") == 1), 9, 9),
+    f"SELECT symbol, CAST(min(timestamp) AS DATE) AS start_date, CAST(max(timestamp) AS DATE) AS end_date, count(*) AS n_rows, min(low) AS min_low, max(high) AS max_high, round(avg(close), 9) AS mean_close, round(avg(CASE WHEN volume = 1 THEN 100.0 ELSE 0.0 END), 9) AS pct_imputed FROM ({HOURLY}) GROUP BY symbol",
 )
 register("longest_session", lambda s, d: analysis.longest_session(hourly(s, d)), f"SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM ({HOURLY}) GROUP BY symbol, CAST(timestamp AS DATE))")
 _FEATURES = ["pct_change_1", "pct_change_2", "close_lag_1_pct_diff", "close_sma_9_pct_diff"]
 register(
     "feature_target_corr", lambda s, d: rounded(analysis.feature_correlations(fq.training_table(s, d), _FEATURES, "move_target"), "corr"),
-    " UNION ALL ".join(f"SELECT '{f}' AS feature, {r6(f'corr({f}, move_target)')} AS corr FROM ({fq._TRAIN_SQL})" for f in _FEATURES),
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, {r6(f'covar_pop({f}, move_target) / nullif(stddev_pop({f}) * stddev_pop(move_target), 0)')} AS corr FROM ({fq._TRAIN_SQL})" for f in _FEATURES),
 )
 _DAYS = f"SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS r FROM ({fq._DAY})"
 
@@ -41,10 +41,10 @@ _DAYS = f"SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_
 def pair_correlation(s: SparkSession, d: str) -> DataFrame:
     r = features.daily_return(hourly(s, d))
     a, b = (r.where(F.col("symbol") == x).select("trade_date", F.col("daily_return").alias(f"r_{x}")) for x in ("view", "click"))
-    return rounded(a.join(b, "trade_date").agg(F.corr("r_view", "r_click").alias("corr"), F.count("*").alias("n")), "corr")
+    return rounded(a.join(b, "trade_date").agg(analysis.correlation("r_view", "r_click").alias("corr"), F.count("*").alias("n")), "corr")
 
 
-register("pair_correlation", pair_correlation, f"WITH r AS ({_DAYS}) SELECT {r6('corr(a.r, b.r)')} AS corr, count(*) AS n FROM r a JOIN r b USING (trade_date) WHERE a.symbol = 'view' AND b.symbol = 'click' AND a.r IS NOT NULL AND b.r IS NOT NULL")
+register("pair_correlation", pair_correlation, f"WITH r AS ({_DAYS}) SELECT {r6('covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0)')} AS corr, count(*) AS n FROM r a JOIN r b USING (trade_date) WHERE a.symbol = 'view' AND b.symbol = 'click' AND a.r IS NOT NULL AND b.r IS NOT NULL")
 _PAIR = f"p AS (SELECT x.timestamp, x.close AS a, y.close AS b, CAST(x.timestamp AS DATE) AS d FROM ({HOURLY}) x JOIN ({HOURLY}) y USING (timestamp) WHERE x.symbol = 'view' AND y.symbol = 'click'), f AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN lead(a, 2) OVER w / a - 1 END AS ra, CASE WHEN a > 0 AND b > 0 THEN lead(b, 2) OVER w / b - 1 END AS rb FROM p WINDOW w AS (PARTITION BY d ORDER BY timestamp))"
 register(
     "band_stats", lambda s, d: rounded(analysis.band_stats(analysis.pair_returns(hourly(s, d), "view", "click", 2), 0.1, 2.0), "mean", "median", "std", "mean_sum", "share_mirror"),

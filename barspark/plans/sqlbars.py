@@ -10,7 +10,7 @@ def events(unit: str) -> str:
 
 
 HOURLY, MINUTE = events("hour"), events("minute")
-DAILY = f"SELECT l_returnflag AS symbol, l_shipdate AS timestamp, {_PICK.format(p='l_extendedprice / l_quantity', o='l_orderkey, l_linenumber, l_partkey, l_suppkey')}, CAST(sum(l_quantity) AS BIGINT) AS volume, count(*) AS trade_count, sum(l_extendedprice) / sum(l_quantity) AS vwap FROM lineitem GROUP BY 1, 2"
+DAILY = f"SELECT l_returnflag AS symbol, l_shipdate AS timestamp, {_PICK.format(p='l_extendedprice / l_quantity', o='l_orderkey, l_linenumber, l_partkey, l_suppkey')}, CAST(sum(l_quantity) AS BIGINT) AS volume, count(*) AS trade_count, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / sum(l_quantity) AS vwap FROM lineitem GROUP BY 1, 2"
 ORDERS = f"SELECT o_orderpriority AS symbol, o_orderdate AS timestamp, {_PICK.format(p='o_totalprice', o='o_orderkey')}, CAST(count(*) AS BIGINT) AS volume, count(*) AS trade_count, avg(o_totalprice) AS vwap FROM orders GROUP BY 1, 2"
 
 W = "WINDOW w AS (PARTITION BY symbol, d ORDER BY timestamp), s AS (PARTITION BY symbol, d), h AS (PARTITION BY symbol ORDER BY timestamp)"

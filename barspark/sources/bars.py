@@ -14,7 +14,7 @@ BAR_SCHEMA = "symbol string, timestamp timestamp, open double, high double, low
 def build_bars(ticks: DataFrame, symbol: Column, bar_time: Column, price: Column, order: list[Column], volume: Column | None = None, vwap: Column | None = None) -> DataFrame:
     """One bar per (symbol, time): a single hash aggregation. ``order`` breaks ties for open and close."""
     rows = ticks.select(symbol.alias("symbol"), bar_time.cast("timestamp_ntz").alias("timestamp"), price.alias("p"), F.struct(*order).alias("o"), (F.lit(1) if volume is None else volume).alias("v"), (price if vwap is None else vwap).alias("w"))
-    mean = F.avg("w") if vwap is None else F.sum("w") / F.sum("v")
+    mean = F.avg("w") if vwap is None else F.sum("w").cast("double") / F.sum("v")
     return rows.groupBy("symbol", "timestamp").agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"),
         F.sum("v").cast("bigint").alias("volume"), F.count("*").alias("trade_count"), mean.alias("vwap"),
@@ -29,7 +29,7 @@ def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFram
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    return build_bars(t, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), order, F.col("l_quantity"), F.col("l_extendedprice"))
+    return build_bars(t, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), order, F.col("l_quantity"), F.col("l_extendedprice").cast("decimal(18,2)"))
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
