@@ -29,7 +29,7 @@ from barspark.llm.textvec import LOWER, text_slices
 
 CELLS = 1 << 16
 SAMPLE_ROWS = 8_000
-UNKNOWN = -9.2
+UNKNOWN = -10.0
 #: Every ASCII byte that is no lower-case letter becomes a blank.
 _BLANKS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _CLEAN = bytes(_BLANKS[b] for b in LOWER)
