@@ -271,11 +271,27 @@ def test_lm(spark, texts, docs):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(x in c for x in t), n, zlib.crc32(str(i).encode()) % 7 == 2)
         assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
-    whole = {r["doc_id"]: r["score"] for r in interpolation.score_documents(docs).collect()}
-    assert sum(whole.values()) > sum(r["base_score"] for r in got.values())
-    # With every word in the head, the score follows from the counts and the learned weights alone.
+    # The whole model by brute force; the sizes of the broadcast heads do not matter.
     pairs = collections.Counter(p for t in train for p in zip([None, *t], t, strict=False))
-    assert all(x < 0 for x in whole.values()) and max(pairs.values()) >= 1
+    pairs = {p: x for p, x in pairs.items() if x >= 2}
+    held = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 7 == 3]
+    hc, hp = collections.Counter(x for t in held for x in t), collections.Counter(p for t in held for p in zip([None, *t], t, strict=False))
+    step = lambda x: min(0, max(-499, round(4 * math.log2(max(x, 1e-30)))))
+    cells = collections.Counter()
+    for t in held:
+        for a, b in zip([None, *t], t, strict=False):
+            cv, cw, c2 = c[a] - hc[a], c[b] - hc[b], pairs.get((a, b), 0)
+            c2 = c2 - hp[a, b] if c2 else 0
+            cells[cv.bit_length() * 1000 + step(cw / (n - sum(hc.values()))) + 500, step(c2 / cv) if c2 > 0 and cv > 0 else -999] += 1
+    w = interpolation.learn_weights([(*k, float(x)) for k, x in sorted(cells.items())], v)
+    other = {r["doc_id"]: r["score"] for r in interpolation.score_documents(docs).collect()}
+    for i, t in enumerate(toks):
+        want = 0.0
+        for a, b in zip([None, *t], t, strict=False):
+            l2, l1, l0 = w[c[a].bit_length()]
+            want += math.log10((l2 * pairs.get((a, b), 0) / c[a] if c[a] else 0) + l1 * c[b] / n + l0 / (v + 1))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-6) and math.isclose(other[i], want, rel_tol=1e-6)
+    assert sum(other.values()) > sum(r["base_score"] for r in got.values())
 
 
 def test_awkward_rows(spark):
