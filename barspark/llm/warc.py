@@ -1,7 +1,8 @@
 """WARC archives: writing with revisit records, reading back, and the external merge of capture indexes.
 
 Writing: one record per page, as text with the line separator CR LF CR LF, which is how WARC records end, so
-Spark's own text writer (and its committer) writes the archives to any store it knows. Payload equal to another
+Spark's own text writer (and its committer) writes the archives to any store it knows. Pages are written by size
+class, so that an archive's records are bounded in number and in bytes: it is read as one row. Payload equal to another
 page's (by SHA-1) is written once, as the ``response`` of the smallest page id; the others are ``revisit``
 records without a payload that name it. Reading parses each archive by its Content-Length fields, one record at
 a time, and takes digest and length of responses from the bytes it finds.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from barspark.llm.common import materialize, shared_folder
 
 CRLF = "\r\n"
-RECORDS_PER_FILE = 5_000
+#: (payload bytes below which a page is of this class, records in one archive): at most about 320 MB before compression.
+CLASSES = ((1 << 16, 5_000), (1 << 22, 78), (1 << 31, 1))
 _FIELDS = "page_id string, url string, captured_at string, payload_bytes long, payload_digest string, record_type string, refers_to string, ok boolean, archive string, offset long"
 RUN_ROWS = "url_key string, captured_at string, page_id string, archive string, offset long, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, ok boolean"
 
@@ -79,9 +81,16 @@ def record_text(plan: DataFrame) -> DataFrame:
     return plan.select(F.concat(head, whole).alias("value"))
 
 
-def write_archives(plan: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write gzip-compressed WARC files below ``path``."""
-    record_text(plan).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, classes: tuple[tuple[int, int], ...] = CLASSES, html_col: str = "html", **columns) -> None:
+    """Write gzip-compressed WARC files below ``path``, a folder for each size class that has pages.
+
+    Equal payloads have equal lengths, so revisits are found within a class.
+    """
+    size = F.coalesce(F.octet_length(html_col), F.lit(0))
+    of = F.coalesce(*[F.when(size < most, i) for i, (most, _) in enumerate(classes)])
+    for i in sorted(pages.select(of.alias("c")).agg(F.collect_set("c")).first()[0]) or [0]:
+        plan = capture_plan(pages.where(of == i), min_revisit_bytes, html_col=html_col, **columns)
+        record_text(plan).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", classes[i][1]).text(f"{path}/class-{i}")
 
 
 def records_in(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -138,7 +147,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_runs(spark, path: str) -> DataFrame:
     """The captures in the archives below ``path``: each archive is one locally sorted run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_read, RUN_ROWS)
 
 
@@ -200,7 +209,7 @@ def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
 def archive(pages: DataFrame, min_revisit_bytes: int = 0, path: str | None = None, **columns) -> DataFrame:
     """Write the pages' archives, read them back and return the ordered capture history."""
     path = path or shared_folder(pages.sparkSession)
-    write_archives(capture_plan(pages, min_revisit_bytes, **columns), path)
+    write_archives(pages, path, min_revisit_bytes, **columns)
     return merge_runs(materialize(read_runs(pages.sparkSession, path)))
 
 

@@ -149,6 +149,9 @@ def test_embeddings(spark):
     for i in range(100, 107):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert got[40]["component_id"] == got[0]["component_id"] == 0 and len(got) == len(rows)
+    floats = spark.createDataFrame([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], m) for i, v, m in rows], "vec_id long, embedding array<float>, label int")
+    doubles = floats.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted(map(tuple, embeddings.near_duplicates(floats).collect())) == sorted(map(tuple, embeddings.near_duplicates(doubles).collect()))
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(empty).count() == 0
 
@@ -233,6 +236,10 @@ def test_warc(spark):
         want = first.get(html or "", i)
         assert got[i]["record_type"] == ("response" if i == want else "revisit") and got[i]["refers_to"] == (None if i == want else want)
         assert got[i]["payload_bytes"] == len((html or "").encode())
+    classed = warc.archive(pages, classes=((10, 3), (1 << 20, 2))).collect()
+    cols = ("page_id", "payload_digest", "record_type", "refers_to")
+    assert sorted(str([r[c] for c in cols]) for r in classed) == sorted(str([r[c] for c in cols]) for r in out)
+    assert max(collections.Counter(r["archive"] for r in classed).values()) <= 3
     keys = [(r["url_key"], r["captured_at"]) for r in out]
     assert keys == sorted(keys) and warc.url_key("http://www.a.example.com:80/x?y#z") == "com,example,a)/x?y"
     rng = random.Random(0)
