@@ -57,7 +57,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds; each round is a grouped minimum and one join, so a hub is
     pre-aggregated before its shuffle and never gathered into one task. Every round is written to the shared
-    folder. Nodes without an edge do not appear.
+    folder. Nodes without an edge do not appear. Rounds grow with the logarithm of the longest chain; should
+    ``max_rounds`` not be enough, it fails rather than return components that are cut in two.
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
@@ -75,6 +76,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now[0] == now[2] and cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots).distinct()
 
