@@ -6,6 +6,7 @@ share a table's code with probability (1 - angle / pi) ** bits, and as many tabl
 ``bits`` follows from the number of representatives, so that buckets keep their size as the table grows. Vectors
 of a bucket are compared by exact cosine in double precision; buckets give trees of links, components are found on
 those, and the links of each vector are then counted exactly within its component (all its links are there).
+Vectors travel in the type they have (float vectors as floats) and are widened in the task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, null labels and null
 ids link with nothing; vectors of different lengths do not link; rows that share an id are one node, and a repeated
@@ -42,7 +43,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     """One row per vector: id, n_links, component_id, kept."""
     fine = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")).withColumn("ok", F.coalesce(fine & F.coalesce(finite, F.lit(False)), F.lit(False)))
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.col(label_col).alias("label")).withColumn("ok", F.coalesce(fine & F.coalesce(finite, F.lit(False)), F.lit(False)))
     rows = rows.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(1), "label", "v"))
     good = rows.where("ok")
     classes = good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
@@ -74,7 +76,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         norm = np.sqrt((x * x).sum(axis=1))
         return x @ x.T / (norm[:, None] * norm[None, :]) >= threshold
 
-    hashed = reps.mapInArrow(codes, "tab int, code long, part long, rep long, weight long, v array<double>")
+    hashed = reps.mapInArrow(codes, f"tab int, code long, part long, rep long, weight long, v array<{kind}>")
     found = materialize(compare(hashed, ["tab", "code", "part"], close).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     groups = materialize(connected_components(found))
     linked = reps.join(groups, reps["rep"] == groups["node"]).select("component", "part", "rep", "weight", "v")
