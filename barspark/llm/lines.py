@@ -1,12 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Each line (stripped, not blank) is hashed; a line that several documents hold links each of them with the first of
-its holders, so a line that a third of the documents share gives one link per holder, not one per pair. Two
-documents overlap if they share a rare line (held by at most ``rare`` documents) or ``common`` lines of any kind;
-the links are summed per pair before any text is looked at. The pair's line hashes are aligned by patience diff:
-lines that are unique in both and keep their order are anchors (longest increasing subsequence), matches grow from
-the anchors to both sides, and gaps between anchors are aligned the same way again. Aligned blocks with a rare line
-or at least ``common`` lines are deleted from the later document.
+Each line (stripped, not blank) is hashed, and so are the runs of 2 and of ``common`` consecutive lines. A run that
+several documents hold links each of them with the first of its own holders, so a run that a third of the documents
+share gives one link per holder, not one per pair, and a block is found although its single lines occur elsewhere
+before. A run counts, however many documents hold it, if it has ``common`` lines, or at least ``long`` bytes, or is
+all that the later document holds; shorter runs count if at most ``rare`` documents hold them. Two documents overlap
+if they share a run that counts or ``common`` lines of any kind; the links are summed per pair before any text is
+looked at. The pair's line hashes are aligned by patience diff: lines that are unique in both and keep their order
+are anchors (longest increasing subsequence), matches grow from the anchors to both sides, and gaps between anchors
+are aligned the same way again. Aligned blocks with a run that counts or at least ``common`` lines are deleted from
+the later document.
 
 "Earlier" is the smaller id (null last; then by text hash). Defined results: null and empty texts have no lines and
 stay as they are; rows that repeat id and text are one document; blank lines belong to a block only between its
@@ -29,22 +32,55 @@ from barspark.llm.textvec import byte_table, mix, text_slices, words
 
 RARE = 16
 COMMON = 3
+LONG = 32
 _LINE = byte_table((0x0A, 0x0A))
+U = np.uint64
 
 
-def line_hashes(parts: list[bytes]) -> list[np.ndarray]:
-    """The hashes of the lines of each text, 0 for blank ones; a line's outer white space does not count."""
+def line_hashes(parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, bytes) of the lines of each text, 0 for blank ones; a line's outer white space does not count."""
     out = []
     for p in parts:
         lines = [x.strip(b" \t\r\x0b\x0c") for x in p.split(b"\n")]
         h = np.zeros(len(lines), dtype=np.uint64)
-        some = np.array([bool(x) for x in lines])
+        size = np.array([len(x) for x in lines])
+        some = size > 0
         if some.any():
             h[some] = words(b"\n".join(x for x in lines if x), _LINE)[0]
-        out.append(mix(h) * some)
+        out.append((mix(h) * some, size))
     return out
 
 
+def run_keys(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first line) of the runs of ``k`` lines that are not blank; the lowest two bits of a key are 0.
+
+    The number of blank lines between the lines is part of the run.
+    """
+    at = np.flatnonzero(h)
+    n = max(len(at) - k + 1, 0)
+    key = h[at[:n]]
+    for j in range(1, k):
+        key = mix(key * U(0x9FB21C651E98DF25) + h[at[j : j + n]] + (at[j : j + n] - at[j - 1 : j - 1 + n]).astype(np.uint64))
+    return key & ~U(3), at[:n]
+
+
+def runs(h: np.ndarray, size: np.ndarray, common: int = COMMON, long: int = LONG) -> tuple[np.ndarray, int]:
+    """(distinct runs, the run that is the whole text or 0). Bit 0: counts however many hold it; bit 1: one line."""
+    out = []
+    filled = size[h != 0]
+    whole = 0
+    for k in sorted({1, 2, common}):
+        key, _ = run_keys(h, k)
+        if not len(key):
+            break
+        total = np.convolve(filled, np.ones(k, dtype=np.int64), "valid")
+        key |= ((total >= long) | (k >= common)).astype(np.uint64) | U(2 * (k == 1))
+        if len(key) == 1:
+            whole = int(key.view(np.int64)[0])
+        out.append(key)
+    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64), whole
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of ``pairs`` (sorted by the first) whose second members increase."""
     tails: list[int] = []
@@ -93,15 +129,20 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], rare: set[int], common: int) -> list[int]:
-    """The lines of ``b`` in aligned blocks that hold a rare line or at least ``common`` lines that are not blank."""
+def common_blocks(a: list[int], b: list[int], counted: set[int], common: int) -> list[int]:
+    """The lines of ``b`` in aligned blocks that hold a run of ``counted`` or at least ``common`` lines that are not blank."""
+    found: set[tuple[int, int]] = set()
+    h = np.array(b, dtype=np.int64).view(np.uint64)
+    for k in (1, 2):
+        key, first = run_keys(h, k)
+        found |= {(k, int(i)) for x, i in zip(key.view(np.int64).tolist(), first, strict=True) if x in counted}
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             full = [k for k in block if b[k]]
-            if len(full) >= common or any(b[k] in rare for k in full):
+            if len(full) >= common or any((1, k) in found for k in full) or any((2, k) in found for k in full[:-1]):
                 out += block
             block = []
         block.append(j)
@@ -109,34 +150,40 @@ def common_blocks(a: list[int], b: list[int], rare: set[int], common: int) -> li
     return out
 
 
-def aligned_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, common: int = COMMON) -> DataFrame:
+def aligned_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, common: int = COMMON, long: int = LONG) -> DataFrame:
     """(id, tk, n_lines, lines): the sorted numbers of the lines to delete in each document that has any."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, parts in text_slices(batch.column(2)):
-                h = [x.view(np.int64) for x in line_hashes(parts)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(parts)) for c in (0, 1)], pa.array(h, pa.list_(pa.int64()))], ["id", "tk", "h"])
+                hashes = line_hashes(parts)
+                h = [x.view(np.int64) for x, _ in hashes]
+                found = [runs(x, size, common, long) for x, size in hashes]
+                some = [x.view(np.int64) for x, _ in found]
+                cols = [pa.array(h, pa.list_(pa.int64())), pa.array(some, pa.list_(pa.int64())), pa.array([x for _, x in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(parts)) for c in (0, 1)], *cols], ["id", "tk", "h", "runs", "whole"])
 
     keyed = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     id_type = dict(keyed.dtypes)["id"]
-    rows = materialize(keyed.mapInArrow(hashed, f"id {id_type}, tk long, h array<long>"))
+    rows = materialize(keyed.mapInArrow(hashed, f"id {id_type}, tk long, h array<long>, runs array<long>, whole long"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "tk")
-    single = rows.select(order.alias("doc"), F.explode(F.array_distinct("h")).alias("line")).where("line <> 0").distinct()
-    shared = materialize(single.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    links = single.join(shared, "line").where("doc <> first")
-    pairs = links.groupBy("first", "doc").agg(F.count("*").alias("n_shared"), F.collect_set(F.when(F.col("n") <= rare, F.col("line"))).alias("rare"))
-    pairs = materialize(pairs.where((F.col("n_shared") >= common) | (F.size("rare") > 0)).select("first", "doc", "rare"))
+    single = rows.select(order.alias("doc"), F.explode("runs").alias("run"), "whole").distinct()
+    shared = materialize(single.groupBy("run").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    links = single.join(shared, "run").where("doc <> first")
+    counts = (F.col("run").bitwiseAND(1) == 1) | (F.col("run") == F.col("whole")) | (F.col("n") <= rare)
+    one = F.col("run").bitwiseAND(2) == 2
+    pairs = links.groupBy("first", "doc").agg(F.count(F.when(one, 1)).alias("n_shared"), F.collect_set(F.when(counts, F.col("run").bitwiseAND(-4))).alias("counted"))
+    pairs = materialize(pairs.where((F.col("n_shared") >= common) | (F.size("counted") > 0)).select("first", "doc", "counted"))
     whole = rows.select(order.alias("doc"), "h").groupBy("doc").agg(F.max("h").alias("h"))
     both = pairs.join(whole.select(F.col("doc").alias("first"), F.col("h").alias("a")), "first").join(whole.select("doc", F.col("h").alias("b")), "doc")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, r = (batch.column(c).to_pylist() for c in ("a", "b", "rare"))
+            a, b, r = (batch.column(c).to_pylist() for c in ("a", "b", "counted"))
             gone = [common_blocks(x, y, set(z), common) for x, y, z in zip(a, b, r, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(gone, pa.list_(pa.int32()))], ["id", "tk", "gone"])
 
-    cut = both.select("doc.id", "doc.tk", "a", "b", "rare").mapInArrow(align, f"id {id_type}, tk long, gone array<int>")
+    cut = both.select("doc.id", "doc.tk", "a", "b", "counted").mapInArrow(align, f"id {id_type}, tk long, gone array<int>")
     return cut.where(F.size("gone") > 0).groupBy("id", "tk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("lines"))
 
 

@@ -170,6 +170,22 @@ def test_lines(spark):
     assert lines.patience([1, 1, 2], [1, 2, 2]) == [(0, 0), (2, 2)]
 
 
+def test_lines_in_many_documents(spark):
+    """However many documents hold it: a long line, two lines, a whole document; blocks whose lines occur elsewhere before."""
+    line, two = "one passage on a single line " * 12, ["first line of the pair", "second line of the pair"]
+    rows = [(100 + i, f"own {i}\n{line}\nend {i}") for i in range(40)]
+    rows += [(200 + i, "\n".join([f"before {i}", *two, f"after {i}"])) for i in range(40)] + [(300 + i, "short copy") for i in range(40)]
+    block = ["alpha", "beta", "gamma"]
+    rows += [(i, f"u{i}\n{x}\nv{i}") for i, x in enumerate(block)]
+    rows += [(10 + i, f"s{i}\n{block[i % 3]}\nt{i}") for i in range(60)]  # so that no single line is rare
+    rows += [(400 + i, "\n".join([f"x{i}", *block, f"y{i}"])) for i in range(2)]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_deleted"] for i in (100, 200, 300, 400)] == [0] * 4
+    for i in range(1, 40):
+        assert (got[100 + i]["text"], got[200 + i]["text"], got[300 + i]["text"]) == (f"own {i}\nend {i}", f"before {i}\nafter {i}", "")
+    assert got[401]["text"] == "x1\ny1" and all(got[10 + i]["n_deleted"] == 0 for i in range(60))
+
+
 def test_spans(spark, texts):
     rng = random.Random(9)
     words = vocabulary(rng, 500)
