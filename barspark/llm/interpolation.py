@@ -6,8 +6,11 @@ them is held out, the estimates are made from the other counts, and the weights
 The final estimates use all training counts. Words and the end of the text are tokens; the context of the first
 word is an end.
 
-Counts of words and bigrams are grouped sums over all training documents, keyed by 64-bit hashes; a bigram seen once
-counts as unseen (``min_count``). What a document needs is looked up in two ways: the most frequent words and bigrams
+Counts of words and bigrams are grouped sums over all training documents, keyed by 64-bit hashes; bigrams seen fewer
+than ``min_count`` times count as unseen (the query counts all). The table of counts holds the bigrams seen twice or
+more, and those seen once that a document of the test fold holds: any other bigram that a training document asks for
+is seen once, by itself, or not at all once that document is held out, so it need not be looked up. What a document needs is looked up in two ways: the
+most frequent words and bigrams
 (at most ``head_words`` and ``head_bigrams``, a fixed bound) are broadcast, which also keeps hot keys out of the
 shuffle; all others are requests, one row each, that are joined with the counts and summed per document. Where a word
 or its context is outside the head, three counts make one term: their requests carry the position, by which they are
@@ -131,11 +134,15 @@ def _head(counts: DataFrame, limit: int) -> Head:
     return Head(k[order], n.astype(small), f.astype(small))
 
 
-def count_tokens(train: DataFrame, min_count: int) -> DataFrame:
-    """(k, n, f) of all words (even keys) and of the bigrams (odd keys) seen ``min_count`` times; train: (text, held)."""
+def count_tokens(docs: DataFrame, min_count: int) -> DataFrame:
+    """(k, n, f) of all words (even keys) and of the bigrams (odd keys) seen ``min_count`` times; docs: (text, part).
+
+    Part 0 is trained on, 1 also held out; of part 2 no token is counted. With a ``min_count`` of 1, bigrams seen once are
+    listed only if part 2 holds them.
+    """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        held: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -149,26 +156,27 @@ def count_tokens(train: DataFrame, min_count: int) -> DataFrame:
                     del at
                     for a in range(0, len(k), 100_000):
                         m = n[a : a + 100_000].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(m), pa.array(m * fold)], ["k", "n", "f"])
+                        yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(m * (fold < 2)), pa.array(m * (fold == 1)), pa.array(np.full(len(m), fold == 2))], ["k", "n", "f", "t"])
 
         for batch in batches:
-            fold = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            fold = batch.column(1).to_numpy()
             for first, parts in text_slices(batch.column(0)):
                 tok, at = tokens(parts)
                 pair = pair_keys(tok)
                 which = np.repeat(fold[first : first + len(parts)], np.diff(at))
-                for x in (False, True):
+                for x in held:
                     if (some := which == x).any():
-                        held[x] += [tok[some], pair[some]]
+                        held[x] += [tok[some], pair[some]] if x < 2 else [pair[some]]
                 size += 2 * len(tok)
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    rows = train.mapInArrow(partial, "k long, n long, f long")
+    rows = docs.mapInArrow(partial, "k long, n long, f long, t boolean")
+    listed = f"k % 2 = 0 OR n >= {max(min_count, 2)}" + (" OR n = 1 AND t" if min_count <= 1 else "")
     # Tasks have combined their rows already: dealing them out first spares a second combining, which spills.
-    return materialize(rows.repartition("k").groupBy("k").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).where(f"k % 2 = 0 OR n >= {min_count}"))
+    return materialize(rows.repartition("k").groupBy("k").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.max("t").alias("t")).where(listed).select("k", "n", "f"))
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -199,7 +207,10 @@ def learn_weights(cells: list[tuple[int, int, float]], v: int, rounds: int = 60)
 
 
 def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = None) -> DataFrame:
-    """Rows for the join with the counts; docs: (rid, doc_id, text); shared: the model. Without weights: to learn them."""
+    """Rows for the join with the counts; docs: (rid, doc_id, text, unlisted); shared: the model. Without weights: to learn them.
+
+    ``unlisted`` is the count of the document's bigrams that are not in the table; their requests carry it as n.
+    """
     learn = weights is None
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +219,11 @@ def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = N
         end_at, end_ok = m.words.find(np.array([END & ~U(1)]))
         for batch in batches:
             rid = batch.column(0).to_numpy()
+            unlisted = batch.column(3).to_numpy()
             for first, parts in text_slices(batch.column(2)):
                 tok, at = tokens(parts)
                 rids = np.repeat(rid[first : first + len(parts)], np.diff(at))
+                once = np.repeat(unlisted[first : first + len(parts)], np.diff(at))
                 pos = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
                 place, known = m.words.find(tok)
                 cw = m.words.count(place, known, learn)
@@ -223,10 +236,10 @@ def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = N
                 pair = pair_keys(tok)
                 spot, near = m.pairs.find(pair)
                 ask = whole & ~near & (cv > 0) & m.may_have(pair)
-                c = m.pairs.count(spot, near, learn)
+                c = np.where(near, m.pairs.count(spot, near, learn), once)
                 here, split = whole & ~ask, ~whole
                 out = [
-                    (pair[split].view(np.int64), rids[split], pos[split], _SPLIT, np.ones(split.sum()), np.where(before, cv, -1)[split].astype(float), np.where(known, cw, -1)[split].astype(float)),
+                    (pair[split].view(np.int64), rids[split], pos[split], _SPLIT, np.ones(split.sum()) if learn else once[split], np.where(before, cv, -1)[split].astype(float), np.where(known, cw, -1)[split].astype(float)),
                     (tok[~known].view(np.int64), rids[~known], pos[~known], _WORD, np.ones((~known).sum()), None, None),
                 ]
                 if learn:
@@ -244,7 +257,7 @@ def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = N
                     n_known = np.add.reduceat((known & (cw > 0)).astype(np.int64), at[:-1])
                     own, ids = rid[first : first + len(parts)], batch.column(1).slice(first, len(parts))
                     out += [
-                        (pair[ask].view(np.int64), rids[ask], None, _REQUEST, np.ones(ask.sum()), cv[ask].astype(float), cw[ask].astype(float)),
+                        (pair[ask].view(np.int64), rids[ask], None, _REQUEST, once[ask], cv[ask].astype(float), cw[ask].astype(float)),
                         (own, own, None, _SUMS, np.zeros(len(own)), score, base),
                         (ids.fill_null(0).to_numpy(), own, None, _DOC, ids.is_valid().to_numpy(zero_copy_only=False), np.diff(at).astype(float), n_known.astype(float)),
                     ]
@@ -284,7 +297,7 @@ def _step_of(x: Column) -> Column:
 
 def _learned(rows: DataFrame, counts: DataFrame, shared: Broadcast) -> np.ndarray:
     """The mixture weights; rows: the training documents held out of the estimates."""
-    held = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), shared)
+    held = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.lit(0).alias("unlisted")), shared)
     met = _twice(held.join(counts.select("k", (F.col("n") - F.col("f")).alias("c")), "k", "left").withColumn("c", F.coalesce("c", F.lit(0))))
     c, cv = F.col("c"), F.col("a")
     seen = F.when(F.col("kind") == _CELL, F.col("r").cast("int")).when((F.col("kind") == _HELD) & (c > 0), _step_of(c / cv)).when(F.col("kind") == _HELD, -999)
@@ -301,8 +314,9 @@ def _learned(rows: DataFrame, counts: DataFrame, shared: Broadcast) -> np.ndarra
 def _scores(rows: DataFrame, counts: DataFrame, shared: Broadcast, weights: np.ndarray) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each row."""
     n, v = shared.value.n, shared.value.v
-    asked = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), shared, weights)
-    met = asked.join(counts.select("k", F.col("n").alias("c")), "k", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    asked = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "unlisted"), shared, weights)
+    unlisted = F.when(F.col("kind").isin(_REQUEST, _SPLIT), F.col("n")).otherwise(0)
+    met = asked.join(counts.select("k", F.col("n").alias("c")), "k", "left").withColumn("c", F.coalesce("c", unlisted))
     kind, c = F.col("kind"), F.col("c")
     full = float(n + v + 1)
 
@@ -335,7 +349,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), fold.alias("fold"))
-    counts = count_tokens(rows.where(F.col("fold") != test_fold).select("text", (F.col("fold") == weight_fold).alias("held")), min_count)
+    every = min_count <= 1
+    part = F.when(F.col("fold") == test_fold, 2).when(F.col("fold") == weight_fold, 1).otherwise(0)
+    counts = count_tokens(rows.where(F.lit(every) | (F.col("fold") != test_fold)).select("text", part.alias("part")), min_count)
     tidy(docs.sparkSession)
     words, pairs = counts.where("k % 2 = 0"), counts.where("k % 2 <> 0")
     n, n_held, v = words.agg(F.sum("n"), F.sum("f"), F.count("*")).first()
@@ -343,7 +359,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     head = _head(words, head_words)
     model = Model(head, _head(pairs, head_bigrams), n, v, n_held, _bitmap(pairs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    weights = _learned(rows.where(F.col("fold") == weight_fold), counts, shared)
+    weights = _learned(rows.where((F.col("fold") == weight_fold) & (F.col("fold") != test_fold)), counts, shared)
+    rows = rows.withColumn("unlisted", (F.lit(every) & (F.col("fold") != test_fold)).cast("int"))
     tidy(docs.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
     done = []

@@ -111,7 +111,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpolation.score_documents(_table(spark, sf_dir, "documents"))
+    return interpolation.score_documents(_table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,6 +317,32 @@ def test_lm(spark, texts, docs):
     assert sum(other.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_lm_query_counts_every_bigram(spark, texts, docs, tmp_path):
+    """The query's scores are those of the brute-force model with bigrams seen once."""
+    from barspark.llm.queries import op9_lm_score
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in op9_lm_score(spark, str(tmp_path)).collect()}
+    asked = {r["doc_id"]: r["score"] for r in interpolation.score_documents(docs, min_count=1, head_words=64, head_bigrams=64, slices=1).collect()}
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)) + [None] for t in texts]
+    pairs_of = lambda t: zip([None, *t], t, strict=False)
+    train = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 7 == 3]
+    c, hc = (collections.Counter(x for t in d for x in t) for d in (train, held))
+    p, hp = (collections.Counter(x for t in d for x in pairs_of(t)) for d in (train, held))
+    n, v = sum(c.values()), len(c)
+    step = lambda x: min(0, max(-499, round(4 * math.log2(max(x, 1e-30)))))
+    cells = collections.Counter()
+    for a, b in (x for t in held for x in pairs_of(t)):
+        cv, c2 = c[a] - hc[a], p[a, b] - hp[a, b]
+        cells[cv.bit_length() * 1000 + step((c[b] - hc[b]) / (n - sum(hc.values()))) + 500, step(c2 / cv) if c2 > 0 and cv > 0 else -999] += 1
+    w = interpolation.learn_weights([(*k, float(x)) for k, x in sorted(cells.items())], v)
+    for i, t in enumerate(toks):
+        terms = [(w[c[a].bit_length()], a, b) for a, b in pairs_of(t)]
+        want = sum(math.log10((l2 * p[a, b] / c[a] if c[a] else 0) + l1 * c[b] / n + l0 / (v + 1)) for (l2, l1, l0), a, b in terms)
+        assert math.isclose(got[i], want, rel_tol=1e-6) and math.isclose(asked[i], want, rel_tol=1e-6)
+
+
 def test_awkward_rows(spark):
     d = awkward(spark)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, "w1 x1"), (2, None)], BENCH)
