@@ -1,13 +1,14 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences (after . ! ? and white space, and at line breaks). A sentence of more than ``longest``
-words is cut further after words whose hash is a multiple of ``cut``, wherever it stands, so that the same passage
-is cut alike in any surroundings. From every sentence a run is hashed: at least two consecutive sentences, and as
-many as make ``words_per_run`` words. Runs are joined globally by hash; the first occurrence is the smallest
-(id, text hash, sentence); sentences covered by any other occurrence of a repeated run are removed. With the
-defaults a run covers at least 20 words, and a passage of over 50 words holds whole runs.
-
-Occurrences of a run are counted and their first found by pre-aggregated minima; only repeated runs are joined back.
+A text is cut into sentences (after . ! ? and white space, and at line breaks). Sentences of any length are cut
+further after the word of the smallest hash (the last of equal ones) of every ``window`` consecutive words, so cuts
+are at most ``window`` words apart, and from ``window`` words inside a passage on they do not depend on what stands
+around it. From every sentence a run is hashed: at least two consecutive sentences, and as many as make
+``words_per_run`` words. Runs are joined globally by hash; the first occurrence is the smallest (id, text hash,
+sentence); sentences covered by any other occurrence of a repeated run are removed. A passage of
+4 * window + words_per_run - 3 words (49 with the defaults) holds a whole run in any surroundings.
+
+The first occurrence is found by a window over the rows of a run, dealt once.
 Defined results: null and empty texts have no sentences and stay; texts of fewer words than a run have none; a run
 that a document repeats is removed from the second time on; rows that repeat id and text are one document; a null
 id comes last. What remains of a text keeps its own white space.
@@ -20,31 +21,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize
 from barspark.llm.textvec import SPACED, mix, text_slices, words
 
 WORDS_PER_RUN = 20
-LONGEST = 16
-CUT = 8
+WINDOW = 8
 _END = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\n+")
 U = np.uint64
 
 
-def sentences(data: bytes, longest: int = LONGEST, cut: int = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentences(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each sentence and the number of words at the end, word hashes, word starts in bytes)."""
     h, starts, _ = words(data, SPACED)
     if not len(h):
         return np.zeros(1, dtype=np.int64), h, starts
     ends = np.fromiter((m.end() for m in _END.finditer(data)), dtype=np.int64)
     first = np.unique(np.concatenate([[0], np.searchsorted(starts, ends), [len(h)]]))
-    lengths = np.diff(first)
-    if (lengths > longest).any():
-        long = np.repeat(lengths > longest, lengths)
-        more = np.flatnonzero(long & (h % U(cut) == 0)) + 1
-        first = np.unique(np.concatenate([first, more]))
+    if len(h) >= window:
+        # Reversed, so that the last of equal hashes is taken.
+        least = len(h) - 1 - (np.lib.stride_tricks.sliding_window_view(h[::-1], window).argmin(axis=1) + np.arange(len(h) - window + 1))
+        first = np.unique(np.concatenate([first, least + 1]))
     return first, h, starts
 
 
@@ -66,7 +64,7 @@ def runs(first: np.ndarray, h: np.ndarray, words_per_run: int = WORDS_PER_RUN) -
     return mix((total[b] - total[a]) * np.cumprod(down, dtype=np.uint64)[a] + (b - a).astype(np.uint64)), start, end - start
 
 
-def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_run: int = WORDS_PER_RUN, longest: int = LONGEST, cut: int = CUT) -> DataFrame:
+def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_run: int = WORDS_PER_RUN, window: int = WINDOW) -> DataFrame:
     """(id, tk, starts, counts): the runs to remove from each document that has any."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +72,7 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for at, parts in text_slices(batch.column(2)):
                 got = []
                 for p in parts:
-                    first, h, _ = sentences(p, longest, cut)
+                    first, h, _ = sentences(p, window)
                     got.append(runs(first, h, words_per_run))
                 n = np.array([len(g[0]) for g in got])
                 if not n.sum():
@@ -85,16 +83,15 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield from pa.Table.from_arrays(out, ["id", "tk", "run", "start", "n"]).to_batches(max_chunksize=20_000)
 
     keyed = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    rows = materialize(keyed.mapInArrow(hashed, f"id {dict(keyed.dtypes)['id']}, tk long, run long, start int, n int"))
+    rows = keyed.mapInArrow(hashed, f"id {dict(keyed.dtypes)['id']}, tk long, run long, start int, n int")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "tk", "start")
-    again = rows.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("seen")).where("seen > 1").select("run", "first")
-    met = rows.join(again, "run").where(place != F.col("first"))
+    met = rows.withColumn("first", F.min(place).over(Window.partitionBy("run"))).where(place != F.col("first"))
     return met.groupBy("id", "tk").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs")).select("id", "tk", F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"))
 
 
-def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_run: int = WORDS_PER_RUN, longest: int = LONGEST, cut: int = CUT) -> DataFrame:
+def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_run: int = WORDS_PER_RUN, window: int = WINDOW) -> DataFrame:
     """(id, text, n_sentences, n_removed, words_removed) of every document; ``text`` is what remains."""
-    found = repeated_sentences(docs, id_col=id_col, text_col=text_col, words_per_run=words_per_run, longest=longest, cut=cut)
+    found = repeated_sentences(docs, id_col=id_col, text_col=text_col, words_per_run=words_per_run, window=window)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     joined = keyed.join(found, keyed["id"].eqNullSafe(found["id"]) & (keyed["tk"] == found["tk"]), "left").select(keyed["id"], keyed["text"], "starts", "counts")
 
@@ -105,7 +102,7 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 null = batch.column(1).slice(at, len(parts)).is_null().to_pylist()
                 text, size, gone, gone_words = [], [], [], []
                 for i, p in enumerate(parts):
-                    first, h, places = sentences(p, longest, cut)
+                    first, h, places = sentences(p, window)
                     drop = np.zeros(len(first) - 1, dtype=bool)
                     for s, c in zip(starts[i] or (), counts[i] or (), strict=True):
                         drop[s : s + c] = True

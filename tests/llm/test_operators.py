@@ -212,6 +212,19 @@ def test_spans(spark, texts):
     assert {i: got[i]["n_removed"] for i in cases} == {i: len(x) for i, x in expect.items()}
 
 
+def test_spans_find_every_passage_of_51_words(spark):
+    """Without sentence ends of its own, in any surroundings, whatever its words."""
+    rng = random.Random(4)
+    words = vocabulary(rng, 5000)
+    text = lambda n, v=words: " ".join(rng.choices(v, k=n))
+    rows = []
+    for i in range(150):
+        passage = text(51, words if i % 2 else words[i : i + 12])
+        rows += [(i, f"{text(rng.randint(0, 30))} {passage} {text(rng.randint(0, 30))}"), (1000 + i, f"{text(rng.randint(0, 5))}. {passage} {text(rng.randint(0, 5))}. {text(9)}")]
+    got = {r["doc_id"]: r["words_removed"] for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(150) if got[1000 + i] < spans.WORDS_PER_RUN] == []
+
+
 def test_language(spark):
     rng = random.Random(2)
     alphabets = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwxyzé"}
