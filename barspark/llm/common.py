@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,29 +15,79 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: A key with more than one in HEAVY of all rows is heavy, so there are fewer than HEAVY of these.
+HEAVY = 1000
+#: Heavy keys are split into parts of about one in PARTS of all rows.
+PARTS = 4096
+
+
+def fresh(name: str = "c") -> str:
+    """A column name that no caller's table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession, outer: bool = False) -> str:
     """A new path below the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a folder below the warehouse is taken.
+    Only where the session names none and runs on one machine (tests) a folder below the warehouse is taken; a
+    cluster without the setting is an error. Within :func:`scratch` the path is deleted at its end; ``outer``: at
+    the end of the scope around it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    scopes = _scopes.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(path)
+    return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
-    """
-    path = shared_folder(df.sparkSession)
+def materialize(df: DataFrame, outer: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    path = shared_folder(df.sparkSession, outer)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, by collecting the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when the block ends, what was written to the shared folder in it.
+
+    A result that is used after the block is written with ``materialize(result, outer=True)``.
+    """
+    written: list[str] = []
+    token = _scopes.set((*_scopes.get(), written))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in written:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined on ``keys`` with ``right``, which has one row for a key and is read three times.
+
+    ``n`` is right's number of rows of the key in ``left``. A heavy key's rows are dealt by ``spread`` over parts in
+    proportion to its share, and its row of ``right`` is copied to each part. Heavy keys are fewer than ``HEAVY``,
+    by their definition, so they are broadcast to mark the rows.
+    """
+    salt = fresh("salt")
+    total = right.agg(F.sum(n)).first()[0] or 0
+    parts = F.when(F.col(n) * HEAVY > total, F.ceil(F.col(n) * PARTS / F.lit(max(total, 1)))).otherwise(1).cast("int")
+    heavy = right.where(F.col(n) * HEAVY > total).select(*keys, parts.alias(salt))
+    dealt = left.join(F.broadcast(heavy), keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salt, F.lit(1))).cast("int"))
+    copied = right.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copied, [*keys, salt], how).drop(salt)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -60,26 +111,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     folder. Nodes without an edge do not appear. Rounds grow with the logarithm of the longest chain; should
     ``max_rounds`` not be enough, it fails rather than return components that are cut in two.
     """
-    cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(max_rounds):
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low2, "u")
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(linked.select("u", F.col("m").alias("v")))
-        cur = materialize(small.where("u <> v").distinct())
-        now = cur.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1000003).cast("long")), F.countDistinct("u")).first()
-        if now == mark or now[0] == 0:
-            break
-        if now[0] == now[2] and cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots).distinct()
+    spark = edges.sparkSession
+    with scratch(spark):
+        cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        mark = None
+        for _ in range(max_rounds):
+            both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+            linked = large.join(low2, "u")
+            small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(linked.select("u", F.col("m").alias("v")))
+            cur = materialize(small.where("u <> v").distinct())
+            now = cur.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1000003).cast("long")), F.countDistinct("u")).first()
+            if now == mark or now[0] == 0:
+                break
+            if now[0] == now[2] and cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+                break
+            mark = now
+        else:
+            raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+        roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
+        return materialize(cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots).distinct(), outer=True)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -134,7 +187,11 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id and text hash are in ``gone`` (id, tk); all their columns stay."""
-    gone = gone.select(F.col("id").alias("__gone_id"), F.col("tk").alias("__gone_tk")).distinct()
-    keyed = docs.withColumn("__row_tk", F.xxhash64(text_col))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__gone_id"]) & (keyed["__row_tk"] == gone["__gone_tk"]), "left_anti").drop("__row_tk")
+    """``docs`` without the rows whose id and text hash are in ``gone`` (id, tk); all their columns stay.
+
+    ``gone`` is written first, so that Spark knows its size: where it is small it is broadcast and no text is shuffled.
+    """
+    i, t, k = fresh("id"), fresh("tk"), fresh("tk")
+    gone = materialize(gone.select(F.col("id").alias(i), F.col("tk").alias(t)).distinct(), outer=True)
+    keyed = docs.withColumn(k, F.xxhash64(text_col))
+    return keyed.join(gone, keyed[id_col].eqNullSafe(gone[i]) & (keyed[k] == gone[t]), "left_anti").drop(k)

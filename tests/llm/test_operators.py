@@ -186,6 +186,81 @@ def test_lines_in_many_documents(spark):
     assert got[401]["text"] == "x1\ny1" and all(got[10 + i]["n_deleted"] == 0 for i in range(60))
 
 
+def brute_lines(rows: list[tuple[int, str]], common: int = 3, long: int = 32) -> dict[int, set[int]]:
+    """Lines deleted from each document when all pairs are aligned; every run here has few holders."""
+    cut = {i: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for i, t in rows}
+
+    def counted(x, y, k):
+        """The runs of k lines (with the gaps between them) of x that y holds too, by first line."""
+        def found(ls):
+            at = [i for i, v in enumerate(ls) if v]
+            return {tuple((ls[p], p - at[j]) for p in at[j : j + k]): at[j] for j in range(len(at) - k + 1)}
+        fx, fy = found(x), found(y)
+        return {r for r in fx if r in fy}
+
+    gone = collections.defaultdict(set)
+    for i, (a_id, _) in enumerate(rows):
+        for b_id, _ in rows[i + 1 :]:
+            a, b = cut[a_id], cut[b_id]
+            if a == b and any(b):
+                gone[b_id] = set(range(len(b)))
+                continue
+            one, two, three = (counted(a, b, k) for k in (1, 2, common))
+            if not one:
+                continue
+            block, last = [], (-2, -2)
+            for m in [*lines.patience(a, b), (-9, -9)]:
+                if m != (last[0] + 1, last[1] + 1):
+                    if any(b[j] for j in block):  # every shared line is rare, so any block with a line counts
+                        gone[b_id] |= set(block)
+                    block = []
+                block.append(m[1])
+                last = m
+    return gone
+
+
+def test_lines_by_brute_force(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        pool = [f"line {i} " + "x" * rng.choice([0, 30]) for i in range(60)]
+        rows = []
+        for d in range(14):
+            body = []
+            for _ in range(rng.randint(1, 6)):
+                at = rng.randrange(len(pool))
+                body += rng.choice([pool[at : at + rng.randint(1, 6)], [f"own {d} {rng.random()}"], [""]])
+            rows.append((d, "\n".join(body)))
+        rows += [(20, rows[3][1]), (21, rows[3][1])]
+        got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = brute_lines(rows)
+        for i, t in rows:
+            ls = t.split("\n")
+            assert got[i]["n_deleted"] == len(want[i]), (seed, i)
+            assert got[i]["text"] == "\n".join(x for j, x in enumerate(ls) if j not in want[i])
+
+
+def test_lines_are_found_beside_other_holders(spark):
+    """Two documents share a block whose lines, one by one, are first held by others; also with a rare line in it."""
+    rows = [(i, f"a{i}\n{x}\nb{i}") for i, x in enumerate(["first", "second", "third"])]
+    rows += [(10 + i, f"c{i}\n{['first', 'second', 'third'][i % 3]}\nd{i}") for i in range(60)]
+    rows += [(500, "p\nfirst\nsecond\nthird\nq"), (501, "r\nfirst\nsecond\nthird\ns")]
+    rows += [(80, "e\nrare line\nf"), (600, "p6\nfirst\nrare line\nthird\nq6"), (601, "r6\nfirst\nrare line\nthird\ns6")]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[501]["text"] == "r\ns" and got[601]["text"] == "r6\ns6" and got[600]["text"] == "p6\nfirst\nthird\nq6"
+    assert all(got[i]["n_deleted"] == 0 for i, _ in rows if i < 200)
+
+
+def test_lines_extra_columns_and_scratch(spark):
+    from pathlib import Path
+
+    where = Path(common.shared_folder(spark).removeprefix("file:")).parent
+    before = set(where.iterdir()) if where.exists() else set()
+    d = spark.createDataFrame([(1, "a b\nc d\ne f", 1, 2, 3, 4), (2, "a b\nc d\ne f", 5, 6, 7, 8), (None, "a b\nc d\ne f", 5, 6, 7, 8), (1, "a b\nc d\ne f", 1, 2, 3, 4), (3, None, 0, 0, 0, 0), (4, " \n", 0, 0, 0, 0)], "doc_id long, text string, _lines int, _n int, __row_key int, _gone int")
+    got = sorted(((r["doc_id"] or 99, r["text"], r["n_deleted"], r["_lines"]) for r in lines.dedup_lines(d).collect()), key=str)
+    assert got == sorted([(1, "a b\nc d\ne f", 0, 1), (1, "a b\nc d\ne f", 0, 1), (2, "", 3, 5), (99, "", 3, 5), (3, None, 0, 0), (4, " \n", 0, 0)], key=str)
+    assert len(set(where.iterdir()) - before) <= 1  # the result's table alone
+
+
 def test_spans(spark, texts):
     rng = random.Random(9)
     words = vocabulary(rng, 500)
