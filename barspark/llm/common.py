@@ -46,13 +46,46 @@ def shared_folder(spark: SparkSession, outer: bool = False) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what is run in the block as soon as it is done."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, outer: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffles behind it are no longer needed and are deleted.
+    """
     path = shared_folder(df.sparkSession, outer)
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
+    """``df`` as a table dealt into ``buckets`` by ``key``, which joins on the key read without a shuffle; dropped at the end.
+
+    ``df`` is partitioned by ``key`` into as many partitions, so each task writes one file.
+    """
+    spark, name = df.sparkSession, fresh("bucketed")
+    path = shared_folder(spark)
+    with _shuffles_deleted(spark):
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, when the block ends, what was written to the shared folder in it.

@@ -6,21 +6,22 @@ them is held out, the estimates are made from the other counts, and the weights
 The final estimates use all training counts. Words and the end of the text are tokens; the context of the first
 word is an end.
 
-Counts of words and bigrams are grouped sums over all training documents, keyed by 64-bit hashes; bigrams seen fewer
-than ``min_count`` times count as unseen (the query counts all). The table of counts holds the bigrams seen twice or
-more, and those seen once that a document of the test fold holds: any other bigram that a training document asks for
-is seen once, by itself, or not at all once that document is held out, so it need not be looked up. What a document needs is looked up in two ways: the
-most frequent words and bigrams
-(at most ``head_words`` and ``head_bigrams``, a fixed bound) are broadcast, which also keeps hot keys out of the
-shuffle; all others are requests, one row each, that are joined with the counts and summed per document. Where a word
-or its context is outside the head, three counts make one term: their requests carry the position, by which they are
-put together after the join. So the heads' sizes say only which way a count is looked up, never what it is. Documents
-are scored in ``slices`` passes by a hash of the row, so that the disk holds the requests of one pass. A bitmap of
-fixed size over the hashes of the counted bigrams spares the requests that would find nothing; where it fills up, more
-requests are sent, and the result is the same.
-
-The held-out statistics are a histogram over (bucket, unigram, bigram probability in quarter powers of two), so what
-reaches the driver is bounded, whatever the size of the corpus.
+Counts of words and bigrams are grouped sums over all training documents, keyed by 64-bit hashes, and exact. The
+table of counts, written once and bucketed by key, holds the bigrams seen twice or more, and those seen once that a
+document of the test fold holds: any other bigram that a training document asks for is seen once, by itself, or not at
+all once that document is held out, so it need not be looked up. What a document needs is looked up in two ways: the
+most frequent words and bigrams (at most ``head_words`` and ``head_bigrams``, a fixed bound) are broadcast, which also
+keeps hot keys out of the shuffle; all others are requests, one row each, that are joined with the counts and summed
+per document. Where a word or its context is outside the head, three counts make one term: their requests carry the
+position, by which they are put together after the join. So the heads' sizes say only which way a count is looked up,
+never what it is. Documents are scored in ``slices`` passes by a hash of the row, so that the disk holds the requests of
+one pass. A bitmap of fixed size over the hashes of the counted bigrams spares the requests that would find nothing;
+where it fills up, more requests are sent, and the result is the same.
+
+The held-out statistics are sums in cells (bucket, unigram and bigram probability in half powers of two), at most
+BUCKETS * STEPS * STEPS and, as a bigram's probability is at least one in its bucket, in fact under 300,000 whatever
+the size of the corpus. EM takes each cell's mean probabilities, so only the spread within a cell (at most a factor of
+1.42) is lost: with means kept, a mixture's log likelihood is off by at most log(1.42)^2 / 8, 0.016, a token.
 
 Defined results: a null text is empty: its one token is the end; a null id is hashed as ''; repeated rows each get
 their row; without any training document all counts are 0.
@@ -38,12 +39,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize
+from barspark.llm.common import bucketed, materialize
 from barspark.llm.textvec import SPACED, hashed_words, mix, text_slices
 
 U = np.uint64
 END = U(0xE7D0C0FFEE123456)
 BUCKETS = 48
+#: Half powers of two of a probability that are told apart.
+STEPS = 96
 HEAD_WORDS = 1 << 19
 HEAD_BIGRAMS = 1 << 20
 FLUSH = 12_000_000
@@ -134,11 +137,11 @@ def _head(counts: DataFrame, limit: int) -> Head:
     return Head(k[order], n.astype(small), f.astype(small))
 
 
-def count_tokens(docs: DataFrame, min_count: int) -> DataFrame:
-    """(k, n, f) of all words (even keys) and of the bigrams (odd keys) seen ``min_count`` times; docs: (text, part).
+def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
+    """(k, n, f) of all words (even keys) and of bigrams (odd keys), in ``buckets`` partitions by k; docs: (text, part).
 
-    Part 0 is trained on, 1 also held out; of part 2 no token is counted. With a ``min_count`` of 1, bigrams seen once are
-    listed only if part 2 holds them.
+    Part 0 is trained on, 1 also held out; of part 2 no token is counted. Bigrams seen once are listed only if part 2
+    holds them.
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +177,9 @@ def count_tokens(docs: DataFrame, min_count: int) -> DataFrame:
         yield from flush()
 
     rows = docs.mapInArrow(partial, "k long, n long, f long, t boolean")
-    listed = f"k % 2 = 0 OR n >= {max(min_count, 2)}" + (" OR n = 1 AND t" if min_count <= 1 else "")
     # Tasks have combined their rows already: dealing them out first spares a second combining, which spills.
-    return materialize(rows.repartition("k").groupBy("k").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.max("t").alias("t")).where(listed).select("k", "n", "f"))
+    summed = rows.repartition(buckets, "k").groupBy("k").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.max("t").alias("t"))
+    return summed.where("k % 2 = 0 OR n >= 2 OR n = 1 AND t").select("k", "n", "f")
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -184,17 +187,22 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 
 def _step(x: np.ndarray) -> np.ndarray:
-    return np.round(4 * np.log2(np.maximum(x, 1e-30))).astype(np.int64)
+    """The half power of two of a probability, 0 (for 1) to STEPS - 1."""
+    return np.clip(np.round(-2 * np.log2(np.maximum(x, 1e-30))), 0, STEPS - 1).astype(np.int64)
 
 
-def learn_weights(cells: list[tuple[int, int, float]], v: int, rounds: int = 60) -> np.ndarray:
-    """EM over (packed bucket and unigram step, bigram step or -999, count)."""
+def learn_weights(cells: list[tuple[int, float, float, float]], v: int, rounds: int = 60) -> np.ndarray:
+    """EM over (bucket, mean bigram and unigram probability, count): a row of weights (bigram, unigram, uniform) a bucket.
+
+    A context that was never seen has no bigram term, so that the weights of its bucket are those of the other two.
+    """
     w = np.tile(np.array([0.3, 0.6, 0.1]), (BUCKETS, 1))
+    w[0] = [0.0, 0.85, 0.15]
     if not cells:
         return w
-    packed, p2, n = (np.array(x) for x in zip(*cells, strict=True))
-    bucket, p1 = packed // 1000, packed % 1000 - 500
-    p = np.column_stack([np.where(p2 <= -900, 0.0, 2.0 ** (p2 / 4)), 2.0 ** (p1 / 4), np.full(len(p1), 1 / (v + 1))])
+    bucket, p2, p1, n = (np.array(x) for x in zip(*cells, strict=True))
+    bucket = bucket.astype(np.int64)
+    p = np.column_stack([p2, p1, np.full(len(p1), 1 / (v + 1))])
     for _ in range(rounds):
         share = w[bucket] * p
         share *= (n / share.sum(axis=1))[:, None]
@@ -243,10 +251,14 @@ def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = N
                     (tok[~known].view(np.int64), rids[~known], pos[~known], _WORD, np.ones((~known).sum()), None, None),
                 ]
                 if learn:
-                    packed = b * 1000 + np.clip(_step(p1), -499, 0) + 500
-                    p2 = np.where((c > 0) & (cv > 0), np.clip(_step(c / np.maximum(cv, 1)), -499, 0), -999)
-                    cell, n = np.unique(packed[here] * 2000 + p2[here] + 1000, return_counts=True)
-                    out += [(pair[ask].view(np.int64), packed[ask], None, _HELD, np.ones(ask.sum()), cv[ask].astype(float), None), (cell, cell // 2000, None, _CELL, n, np.zeros(len(cell)), (cell % 2000 - 1000).astype(float))]
+                    # Cells: (bucket, step of each probability) with the count and the sums of the probabilities.
+                    p2 = np.where(cv > 0, c / np.maximum(cv, 1), 0.0)
+                    cell, at_cell, n = np.unique((b * STEPS + _step(p1))[here] * (STEPS + 1) + np.where(p2 > 0, _step(p2), STEPS)[here], return_inverse=True, return_counts=True)
+                    sums = [np.bincount(at_cell, x[here], minlength=len(cell)) for x in (p2, p1)]
+                    out += [
+                        (pair[ask].view(np.int64), np.zeros(ask.sum(), dtype=np.int64), None, _HELD, np.ones(ask.sum()), cv[ask].astype(float), cw[ask].astype(float)),
+                        (cell, cell, None, _CELL, n, sums[0], sums[1]),
+                    ]
                 else:
                     w = weights
                     a = np.where(cv > 0, w[b, 0] / np.maximum(cv, 1), 0.0)
@@ -291,24 +303,29 @@ def _bucket_of(cv: Column) -> Column:
 
 
 def _step_of(x: Column) -> Column:
-    """As _step, between -499 and 0."""
-    return F.least(F.greatest(F.round(4 * F.log2(F.greatest(x, F.lit(1e-30)))), F.lit(-499.0)), F.lit(0.0)).cast("int")
+    """As _step."""
+    return F.least(F.greatest(F.round(-2 * F.log2(F.greatest(x, F.lit(1e-30)))), F.lit(0.0)), F.lit(STEPS - 1.0)).cast("long")
 
 
 def _learned(rows: DataFrame, counts: DataFrame, shared: Broadcast) -> np.ndarray:
     """The mixture weights; rows: the training documents held out of the estimates."""
     held = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.lit(0).alias("unlisted")), shared)
-    met = _twice(held.join(counts.select("k", (F.col("n") - F.col("f")).alias("c")), "k", "left").withColumn("c", F.coalesce("c", F.lit(0))))
-    c, cv = F.col("c"), F.col("a")
-    seen = F.when(F.col("kind") == _CELL, F.col("r").cast("int")).when((F.col("kind") == _HELD) & (c > 0), _step_of(c / cv)).when(F.col("kind") == _HELD, -999)
-    # One row per position that is put together; the others are counted by (rid: bucket and unigram step, bigram step).
-    once = met.groupBy("rid", "pos", seen.alias("seen")).agg(F.sum("n").alias("n"), *_split_counts())
-    split = F.col("pos") >= 0
+    met = held.join(counts.select("k", (F.col("n") - F.col("f")).alias("c")), "k", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     total = float(max(shared.value.n - shared.value.n_held, 1))
-    packed = F.when(split, _bucket_of(F.col("cv")) * 1000 + _step_of(F.col("cw") / F.lit(total)) + 500).otherwise(F.col("rid"))
-    p2 = F.when(~split, F.col("seen")).when((F.col("c2") > 0) & (F.col("cv") > 0), _step_of(F.col("c2") / F.col("cv"))).otherwise(-999)
-    cells = once.groupBy(packed.alias("packed"), p2.alias("p2")).agg(F.sum(F.when(split, 1).otherwise(F.col("n"))).alias("n")).collect()  # bounded: buckets x steps x steps
-    return learn_weights([(r[0], r[1], float(r[2])) for r in sorted(cells)], shared.value.v)
+
+    def sums(cv: Column, cw: Column, c2: Column) -> list[Column]:
+        p2, p1 = F.when(cv > 0, c2 / F.greatest(cv, F.lit(1.0))).otherwise(0.0), cw / F.lit(total)
+        cell = (_bucket_of(cv) * STEPS + _step_of(p1)) * (STEPS + 1) + F.when(p2 > 0, _step_of(p2)).otherwise(STEPS)
+        return [cell.cast("long").alias("cell"), F.lit(1).cast("long").alias("n"), p2.alias("p2"), p1.alias("p1")]
+
+    kind = F.col("kind")
+    ready = met.where(kind == _CELL).select(F.col("rid").alias("cell"), F.col("n").cast("long").alias("n"), F.col("a").alias("p2"), F.col("r").alias("p1"))
+    asked = met.where(kind == _HELD).select(*sums(F.col("a"), F.col("r"), F.col("c").cast("double")))
+    split = _twice(met.where(kind.isin(_SPLIT, _WORD))).groupBy("rid", "pos").agg(*_split_counts()).where("c2 IS NOT NULL")
+    split = split.select(*sums(F.col("cv"), F.col("cw"), F.col("c2")))
+    cells = ready.unionAll(asked).unionAll(split).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
+    got = sorted(cells.collect())  # bounded: buckets x steps x steps
+    return learn_weights([(r["cell"] // (STEPS + 1) // STEPS, r["p2"] / r["n"], r["p1"] / r["n"], float(r["n"])) for r in got], shared.value.v)
 
 
 def _scores(rows: DataFrame, counts: DataFrame, shared: Broadcast, weights: np.ndarray) -> DataFrame:
@@ -341,28 +358,28 @@ def _scores(rows: DataFrame, counts: DataFrame, shared: Broadcast, weights: np.n
     ).drop("rid")
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, test_fold: int = 2, weight_fold: int = 3, min_count: int = 2, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_BIGRAMS, slices: int = 4) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, test_fold: int = 2, weight_fold: int = 3, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_BIGRAMS, slices: int = 3, buckets: int | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(id as text) mod ``folds`` is ``test_fold`` are not learned from; those with ``weight_fold``
-    are training documents whose counts are held out while the weights are learned.
+    are training documents whose counts are held out while the weights are learned. ``buckets`` of the table of
+    counts: as many as shuffle partitions, where not given.
     """
+    spark = docs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), fold.alias("fold"))
-    every = min_count <= 1
     part = F.when(F.col("fold") == test_fold, 2).when(F.col("fold") == weight_fold, 1).otherwise(0)
-    counts = count_tokens(rows.where(F.lit(every) | (F.col("fold") != test_fold)).select("text", part.alias("part")), min_count)
-    words, pairs = counts.where("k % 2 = 0"), counts.where("k % 2 <> 0")
-    n, n_held, v = words.agg(F.sum("n"), F.sum("f"), F.count("*")).first()
-    n, n_held = n or 0, n_held or 0
-    head = _head(words, head_words)
-    model = Model(head, _head(pairs, head_bigrams), n, v, n_held, _bitmap(pairs))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    weights = _learned(rows.where((F.col("fold") == weight_fold) & (F.col("fold") != test_fold)), counts, shared)
-    rows = rows.withColumn("unlisted", (F.lit(every) & (F.col("fold") != test_fold)).cast("int"))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
-    done = []
-    for i in range(slices):
-        done.append(materialize(_scores(rows.where(part == i), counts, shared, weights)))
+    with bucketed(count_tokens(rows.select("text", part.alias("part")), buckets), "k", buckets) as counts:
+        words, pairs = counts.where("k % 2 = 0"), counts.where("k % 2 <> 0")
+        n, n_held, v = words.agg(F.sum("n"), F.sum("f"), F.count("*")).first()
+        n, n_held = n or 0, n_held or 0
+        model = Model(_head(words, head_words), _head(pairs, head_bigrams), n, v, n_held, _bitmap(pairs))
+        shared = spark.sparkContext.broadcast(model)
+        weights = _learned(rows.where((F.col("fold") == weight_fold) & (F.col("fold") != test_fold)), counts, shared)
+        rows = rows.withColumn("unlisted", (F.col("fold") != test_fold).cast("int"))
+        part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
+        done = [materialize(_scores(rows.where(part == i), counts, shared, weights)) for i in range(slices)]
+        shared.unpersist()
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     return reduce(DataFrame.unionAll, done).select(F.col("doc_id").alias(id_col), (crc == test_fold).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
