@@ -1,38 +1,40 @@
 """n-gram Jaccard join by chosen paths.
 
-A document is the set of its shingles of ``n`` words. Equal sets are one class with a representative. Each
-representative has a sketch of ``coords`` minhash values, which agree with probability J. A run starts with all
-representatives in one bucket; a bucket draws coordinates at random (about ``branching`` of them) and sends each
-representative to one child bucket per drawn coordinate, named by the path and the representative's value there,
-so that only sets that share the sampled tokens stay together. Buckets of at most ``small`` sets, and those left at
-``depth``, are compared by brute force; the number of runs follows from the chance that a pair at the threshold
-stays together down to the last level, so that the recall is reached. Buckets with the same sets are compared once.
-
-Sketches only say which sets are worth an exact look (their estimate's error is allowed for): they give loose
-groups, and within each loose group all sets are compared exactly, in blocks. So links are counted exactly for
-every representative while no list of pairs is ever made.
+A document is the set of its shingles of ``n`` words. Documents with equal sets are one class. Each class has a sketch
+of ``coords`` minhash values, which agree with probability J. A run starts with all classes in one bucket; a bucket
+draws coordinates at random (about ``branching`` of them) and sends each class to one child bucket per drawn
+coordinate, named by the path and the class's value there, so that only sets that share the sampled tokens stay
+together. Buckets of at most ``small`` sets, and those left at ``depth``, are compared by brute force; the number of
+runs follows from the chance that a pair at the threshold stays together down to the last level, so that the recall is
+reached. Buckets with the same sets are compared once.
+
+A bucket's brute force has two steps. The sketches alone tell which rows have a partner worth an exact look (five
+standard deviations are allowed for: a pair at the threshold is lost with a chance under 1e-6). Only to these rows
+their shingle sets are joined, and compared exactly. A pair that meets in several buckets counts in the one of the
+smallest path, which follows from the lists of paths that the rows carry, so links are counted once without being
+listed. Classes are the connected components over trees of the links.
 
 Defined results: words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; a text of fewer than
 ``n`` words is one shingle; null texts and texts without words link with nothing and are kept; documents with equal
-sets have similarity 1; rows that share an id are one node; a null id links with nothing.
+sets have similarity 1; a null id links with nothing; each row is a document of its own, also where rows share an id:
+rows with equal sets link with each other, rows of one id that differ do not.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import connected_components, materialize
-from barspark.llm.pairs import compare
+from barspark.llm import pairs
+from barspark.llm.common import connected_components, fresh, join_counted, materialize, scratch
 from barspark.llm.textvec import LETTERS, hashed_words, mix, text_slices
 
-#: Most representatives whose ids are broadcast to pick their texts (16 bytes each); beyond, that join shuffles.
-MAX_BROADCAST_IDS = 2_000_000
 U = np.uint64
 
 
@@ -72,9 +74,15 @@ def runs_needed(threshold: float, coords: int, branching: float, depth: int, rec
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stay)))
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, coords: int = 64, branching: float = 2.2, depth: int = 4, small: int = 4096, recall: float = 0.9999, seed: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, coords: int = 64, branching: float = 2.2, depth: int = 4, small: int = 2048, recall: float = 0.99999, seed: int = 3) -> DataFrame:
     """One row per document: id, class_id (smallest id of its connected class), n_links, kept."""
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession):
+        found = _similar(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, threshold, coords, branching, depth, small, recall, seed)
+        return materialize(found.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")), outer=True)
+
+
+def _sketched(docs: DataFrame, n: int, coords: int, seed: int) -> DataFrame:
+    """(id, h1, h2, size, sketch) of each document."""
     mult, add = _odd(seed, coords), _odd(seed + 1, coords)
 
     def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +98,20 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 if len(full):
                     for c in range(coords):
                         low[full, c] = np.minimum.reduceat((s * mult[c] + add[c]) >> U(32), starts[full]).astype("<u4")
-                    h1[full] = np.add.reduceat(s, starts[full])
-                    h2[full] = np.add.reduceat(mix(s ^ U(0x5851F42D4C957F2D)), starts[full])
+                    h1[full], h2[full] = set_hashes(s, starts[full])
                 sketch = pa.array([r.tobytes() for r in low], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size.astype(np.int64)), sketch], ["id", "h1", "h2", "size", "sketch"])
 
-    base = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sketches, "id long, h1 long, h2 long, size long, sketch binary"))
-    full = base.where("size > 0 AND id IS NOT NULL")
-    classes = full.groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    members = materialize(base.select("id", "h1", "h2", "size").join(classes, ["h1", "h2", "size"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), "weight"))
-    reps = materialize(full.join(classes, ["h1", "h2", "size"]).where("id = rep").groupBy("rep").agg(F.max("weight").alias("weight"), F.first("sketch").alias("sketch")))
-    runs = runs_needed(threshold, coords, branching, depth, recall)
+    return docs.mapInArrow(sketches, "id long, h1 long, h2 long, size long, sketch binary")
+
+
+def set_hashes(s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set of shingles, whatever their order."""
+    return np.add.reduceat(s, starts), np.add.reduceat(mix(s ^ U(0x5851F42D4C957F2D)), starts)
+
+
+def _paths(classes: DataFrame, threshold: float, coords: int, branching: float, depth: int, small: int, recall: float, seed: int) -> DataFrame:
+    """(path, rep): the buckets to compare."""
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = U(int(branching / coords * 2.0**64))
@@ -115,43 +126,77 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 child = mix(r[i, c] + low[i, c].astype(np.uint64) * U(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(part.column(1).to_numpy()[i])], ["path", "rep"])
 
+    runs = runs_needed(threshold, coords, branching, depth, recall)
     start = np.random.default_rng(seed + 2).integers(-(1 << 62), 1 << 62, runs).tolist()
-    level = reps.select(F.explode(F.array(*[F.lit(x) for x in start])).alias("path"), "rep", "sketch")
-    ready: DataFrame | None = None
+    level = classes.select(F.explode(F.array(*[F.lit(x) for x in start])).alias("path"), "rep", "sketch")
+    ready: list[DataFrame] = []
     for k in range(depth):
-        children = level.mapInArrow(split, "path long, rep long").distinct()
-        sizes = children.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("sig")).where("n > 1")
-        sizes = sizes.groupBy("n", "sig").agg(F.min("path").alias("path"))
-        nodes = materialize(children.join(sizes.select("path", "n"), "path"))
         last = k == depth - 1
-        done = nodes if last else nodes.where(F.col("n") <= small)
-        ready = done.select("path", "rep") if ready is None else ready.unionAll(done.select("path", "rep"))
-        large = nodes.where(F.col("n") > small)
+        children = materialize(level.mapInArrow(split, "path long, rep long"))  # distinct: coordinates give distinct paths
+        sizes = children.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("sig")).where("n > 1")
+        compared = F.lit(True) if last else F.col("n") <= small
+        # Of buckets with the same sets one is compared; those that are split again are all kept, each with its own draws.
+        sizes = materialize(sizes.groupBy("n", F.when(compared, F.col("sig")).otherwise(F.col("path")).alias("sig")).agg(F.min("path").alias("path")).select("path", "n", compared.alias("done")))
+        nodes = materialize(join_counted(children, sizes, ["path"], "n", F.col("rep")))
+        ready.append(nodes.where("done").select("path", "rep"))
+        large = nodes.where("NOT done").select("path", "rep")
         if last or large.isEmpty():
             break
-        level = large.join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+        level = large.join(classes.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+    return reduce(DataFrame.unionAll, ready)
 
-    slack = 3.5 * math.sqrt(threshold * (1 - threshold) / coords)
 
-    def maybe(table: pa.Table) -> np.ndarray:
-        low = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype="<u4").reshape(table.num_rows, coords)
-        same = np.zeros((len(low), len(low)), dtype=np.uint8)
-        for c in range(coords):
-            same += low[:, c][:, None] == low[:, c][None, :]
-        return same >= math.ceil((threshold - slack) * coords)
-
-    bucketed = ready.join(reps, "rep").select("path", "rep", "weight", "sketch")
-    loose = materialize(connected_components(compare(bucketed, ["path"], maybe, 2048).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()))
-    loose = loose.join(reps.select("rep", "weight"), loose["node"] == reps["rep"]).select(F.col("component").alias("grp"), "rep", "weight")
+def _token_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rep, tokens) of the ``wanted`` classes (id, rep), from a document of each."""
+    key = "h1 long, h2 long, size long"
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, parts in text_slices(batch.column(3)):
+            for _, parts in text_slices(batch.column(0)):
                 d, s = shingles(parts, n)
                 cut = np.searchsorted(d, np.arange(len(parts) + 1))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(parts)) for c in range(3)], pa.array([s[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["grp", "rep", "weight", "tokens"])
+                full = np.flatnonzero(np.diff(cut))
+                h1, h2 = set_hashes(s, cut[full]) if len(full) else (np.zeros(0, dtype=np.uint64),) * 2
+                cols = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(cut)[full])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([s[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], ["h1", "h2", "size", "tokens"])
+
+    texts = docs.join(wanted.select("id").distinct(), "id").select("text").mapInArrow(sets, key + ", tokens binary")
+    keyed = texts.select(F.xxhash64("h1", "h2", "size").alias("rep"), "tokens")  # an id's other texts find no class
+    return keyed.join(wanted.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.max("tokens").alias("tokens"))
+
+
+def _similar(docs: DataFrame, n: int, threshold: float, coords: int, branching: float, depth: int, small: int, recall: float, seed: int) -> DataFrame:
+    base = materialize(_sketched(docs, n, coords, seed))
+    full = base.where("size > 0 AND id IS NOT NULL")
+    classes = full.groupBy("h1", "h2", "size").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))  # equal sets, equal sketches
+    classes = materialize(classes.withColumn("rep", F.xxhash64("h1", "h2", "size")))
+    ready = materialize(_paths(classes, threshold, coords, branching, depth, small, recall, seed))
+    of_rep = ready.groupBy("rep").agg(F.collect_list("path").alias("paths"))  # at most runs * branching ** depth, about
+    known = classes.select("rep", "weight", "sketch").join(of_rep, "rep")
+    least = math.ceil((threshold - 5 * math.sqrt(threshold * (1 - threshold) / coords)) * coords)
+
+    def first_met(linked: np.ndarray, path: int, paths: list[list[int]]) -> np.ndarray:
+        """Without the pairs that also meet in a bucket of a smaller path."""
+        some = np.flatnonzero(linked.any(axis=1))
+        lower = [(i, p) for i in some for p in paths[i] if p < path]
+        if lower:
+            rows, names = zip(*lower, strict=True)
+            _, col = np.unique(np.array(names), return_inverse=True)
+            held = np.zeros((len(linked), col.max() + 1), dtype=np.float32)
+            held[np.array(rows), col] = 1
+            linked &= held @ held.T == 0
+        return linked
+
+    def maybe(key: tuple, table: pa.Table) -> np.ndarray:
+        low = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype="<u4").reshape(table.num_rows, coords)
+        same = np.zeros((len(low), len(low)), dtype=np.uint8)
+        for c in range(coords):
+            same += low[:, c][:, None] == low[:, c][None, :]
+        linked = same >= least
+        np.fill_diagonal(linked, False)
+        return first_met(linked, key[0], table["paths"].to_pylist())
 
-    def alike(table: pa.Table) -> np.ndarray:
+    def alike(key: tuple, table: pa.Table) -> np.ndarray:
         rows = [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()]
         size = np.array([len(r) for r in rows], dtype=np.float64)
         token, where = np.unique(np.concatenate(rows), return_inverse=True)
@@ -165,22 +210,29 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             m = np.zeros((len(rows), min(step, len(token) - a)), dtype=np.float32)
             m[row[lo:hi], where[lo:hi] - a] = 1
             both += m @ m.T
-        return both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-
-    n_loose = loose.count()
-    picked = F.broadcast(loose) if n_loose <= MAX_BROADCAST_IDS else loose
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(picked, "rep").select("grp", "rep", "weight", "text")
-    tokens = texts.mapInArrow(sets, "grp long, rep long, weight long, tokens binary").groupBy("grp", "rep").agg(F.max("weight").alias("weight"), F.max("tokens").alias("tokens"))
-    exact = materialize(compare(tokens, ["grp"], alike))
-    groups = connected_components(exact.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    counts = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_rep = groups.join(counts, groups["node"] == counts["rep"], "left").select(F.col("node").alias("rep"), "component", F.coalesce("links", F.lit(0)).alias("links"))
-    out = members.join(per_rep, "rep", "left")
-    out = out.select("id", F.coalesce("component", "rep", "id").alias("class_id"), (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+        linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+        np.fill_diagonal(linked, False)
+        return first_met(linked, key[0], table["paths"].to_pylist())
+
+    bucketed = materialize(ready.join(known, "rep").select("path", "rep", "sketch", "paths"))
+    asked = materialize(pairs.candidates(pairs.deal(bucketed, ["path"], small), ["path"], maybe))
+    wanted = materialize(asked.select("rep").distinct().join(classes, "rep").select("rep", "id"))
+    tokens = materialize(_token_sets(docs, wanted, n))
+    met = asked.join(tokens, "rep").join(known.select("rep", "weight", "paths"), "rep")
+    found = materialize(pairs.links(met, ["path"], alike))
+    groups = connected_components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.select("h1", "h2", "size", "rep", "id", "weight").join(groups, F.col("rep") == F.col("node"), "left").drop("node")
+    least_id = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least_id"))
+    named = named.join(least_id, "component", "left").join(links, "rep", "left")
+    named = materialize(named.select("h1", "h2", "size", "weight", F.coalesce("least_id", "id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    linked = join_counted(full.select("id", "h1", "h2", "size"), named, ["h1", "h2", "size"], "weight", F.col("id"))
+    alone = base.where("NOT (size > 0 AND id IS NOT NULL)").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.select("id", "class_id", F.col("n_links").cast("long").alias("n_links")).unionAll(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the others of each class, with all their columns."""
-    gone = similar_documents(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents without the others of each class, with all their columns, whatever their names."""
+    name = fresh("gone")
+    gone = materialize(similar_documents(docs, **options).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), outer=True)
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -113,9 +113,50 @@ def test_large_groups_are_compared_in_blocks(spark):
     from barspark.llm import pairs
 
     rows = spark.createDataFrame([(1, i, 1, float(i % 3)) for i in range(50)], "g long, rep long, weight long, x double")
-    same = lambda t: t["x"].to_numpy()[:, None] == t["x"].to_numpy()[None, :]
-    got = pairs.compare(rows, ["g"], same, block=8).groupBy("rep").agg(F.sum("links").alias("n")).collect()
+    same = lambda _, t: t["x"].to_numpy()[:, None] == t["x"].to_numpy()[None, :]
+    dealt = pairs.deal(rows, ["g"], block=8)
+    got = pairs.links(dealt, ["g"], same).groupBy("rep").agg(F.sum("links").alias("n")).collect()
     assert {r["rep"]: r["n"] for r in got} == {i: len([j for j in range(50) if j % 3 == i % 3]) - 1 for i in range(50)}
+    alone = lambda _, t: (t["rep"].to_numpy()[:, None] + t["rep"].to_numpy()[None, :]) == 49
+    got = pairs.candidates(dealt, ["g"], alone).collect()
+    assert sorted(r["rep"] for r in got) == list(range(50))  # each row is asked for where its one partner is
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id with different contents are separate documents and vectors; each keeps its own links."""
+    rng = random.Random(11)
+    words = vocabulary(rng, 300)
+    a, b = (prose(rng, words, 80) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b), (4, b), (None, a), (5, None), (5, "")]
+    got = sorted(((r["doc_id"] or 0), r["class_id"] or 0, r["n_links"], r["kept"]) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 3, True), (2, 1, 1, False), (3, 1, 3, False), (4, 1, 3, False), (4, 1, 3, False), (0, 0, 0, True), (5, 5, 0, True), (5, 5, 0, True)])
+    v = np.random.default_rng(1).normal(size=(3, 8))
+    rows = [(1, v[0], 1), (1, v[1], 1), (3, 2 * v[1], 1), (2, v[0], 1), (2, v[0], 1), (7, v[2], 1), (7, None, 1), (8, v[2], 2)]
+    frame = spark.createDataFrame([(i, None if x is None else [float(y) for y in x], m) for i, x, m in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["component_id"], r["n_links"], r["kept"]) for r in embeddings.near_duplicates(frame.withColumn("rep", F.lit(0)).withColumn("v", F.lit(1))).collect())
+    assert got == sorted([(1, 1, 2, True), (1, 1, 1, True), (3, 1, 1, False), (2, 1, 2, False), (2, 1, 2, False), (7, 7, 0, True), (7, 7, 0, True), (8, 8, 0, True)])
+
+
+def test_recall_of_the_similarity_joins(spark):
+    """Many pairs just above the thresholds, against all pairs by brute force."""
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(104)] for _ in range(150)]
+    near = [[*t[:94], *(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(5, 16)))] for t in base]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*base, *near])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    want = {i for i in range(150) if len(sets[i] & sets[150 + i]) >= 0.8 * len(sets[i] | sets[150 + i])}
+    for small in (2048, 2):
+        got = {r["doc_id"] for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), small=small).where("n_links = 1 AND doc_id < 150").collect()}
+        assert len(want) > 50 and got == want
+    g = np.random.default_rng(3)
+    x = g.normal(size=(400, 24))
+    x = np.concatenate([x, x + g.normal(scale=0.37, size=x.shape)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    frame = spark.createDataFrame([(i, [float(y) for y in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for bucket in (256, 4):
+        got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, bucket=bucket).collect()}
+        assert link.sum() > 1000 and got == {i: int(link[i].sum()) - 1 for i in range(len(x))}
 
 
 def test_components(spark):
