@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,33 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, spr
     return dealt.join(copied, [*keys, salt], how).drop(salt)
 
 
+def heavy_values(rows: DataFrame, name: str, support: int = HEAVY) -> DataFrame:
+    """The values of the long column ``name`` that more than one row in ``support`` holds, by an exact rule; at most 2 * ``support``.
+
+    Each task keeps the frequent items of its rows by Misra-Gries counters, whose error is at most one row in
+    2 * ``support``; a value above one in ``support`` in all is above one in 2 * ``support`` after the errors, so none
+    is missed. What a task sends has at most 2 * ``support`` rows.
+    """
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), 0
+        for batch in batches:
+            n += batch.num_rows
+            value, count = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            value, at = np.unique(np.concatenate([held[0], value]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([held[1], count]), len(value)).astype(np.int64)
+            if len(count) > 2 * support:
+                count = count - np.partition(count, len(count) - 2 * support - 1)[len(count) - 2 * support - 1]
+            held = value[count > 0], count[count > 0]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(np.where(np.arange(len(held[0])) == 0, n, 0))] if len(held[0]) else [pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["v", "n", "rows"])
+
+    got = rows.select(F.col(name).cast("long").alias("v")).mapInArrow(frequent, "v long, n long, rows long").groupBy("v").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    got = materialize(got)
+    total = got.agg(F.sum("rows")).first()[0] or 0
+    return got.where(F.col("n") * 2 * support > total).select(F.col("v").alias(name))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII texts take the faster ``lower``, which is the same there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))

@@ -1,145 +1,253 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
-Texts are cut into sentences (at . ! ? before white space, and at line breaks) and normalised: lower case, every run
-of other characters than a-z and 0-9 one blank. A join maps known sentences to identifiers (the table below is fixed
-and small, so it is broadcast); a document's identifiers in text order are then matched against the licence rules, in
-their order: a rule is a sequence of identifiers that must follow one another, and what it matches is used up, so
-that a longer rule takes precedence over its parts.
+A text is prepared as licences are shipped: comment leaders and list numbers at line starts go, copyright and title
+lines stand by themselves, a colon before a list ends a sentence, a full stop after Inc., Ltd. and the like does not.
+It is then cut into sentences at . ! ? before white space and at blank lines; single line breaks within are white space,
+so wrapped texts count. A sentence is normalised (lower case, every run of other characters than a-z and 0-9 one blank;
+holders' names, subjects and the ways to say "licensed under" become one form each) and looked up among the known
+sentences, a fixed table; where the whole is unknown, its lines are looked up. What is found are identifiers in text
+order, with ``?`` for each sentence that is not known. Copyright lines, "all rights reserved", titles, numbers and empty
+pieces are left out.
+
+The sequence is matched against the licence rules in their order: a rule is a sequence of identifiers that must follow
+one another, an unknown sentence breaks it, and what a rule matches is used up, so that a longer rule takes precedence.
+A rule may ask for the end of the text (``$``): two-clause BSD needs its disclaimer or the end after its clauses, so a
+text with one more clause, known or not, is never called by that name. What the rules leave is named by sentences that
+stand for a licence alone. All of it happens within a row: nothing is shuffled.
 
 Defined results: null and empty texts have no sentences; a licence that occurs twice is named once; documents
-without known sentences get empty lists; repeated documents each get their row.
+without known sentences get empty lists; repeated documents each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import same_row
-
-BREAK = r"[.!?]+[ \t\r]+|\n+"
+from barspark.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower
 
 # Public licence sentences.
 SENTENCES = {
-    "mit-line": "Released under the MIT License.",
-    "mit-line-2": "Licensed under the MIT License.",
-    "mit-line-3": "This project is licensed under the MIT License.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-notice-2": "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "apache-line": "Licensed under the Apache License, Version 2.0.",
     "apache-grant": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "apache-copy-2": "You may obtain a copy of the License at",
+    "apache-copy-s": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy-at": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-url-s": "https://www.apache.org/licenses/LICENSE-2.0",
     "apache-warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "apache-limits": "See the License for the specific language governing permissions and limitations under the License.",
-    "gpl3-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl3-line-2": "Licensed under the GNU General Public License v3.0.",
-    "gpl2-line": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-details": "See the GNU General Public License for more details.",
-    "lgpl21-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "lgpl-details": "See the GNU Lesser General Public License for more details.",
-    "agpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
     "mpl2-grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "mpl2-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
-    "mpl2-tail": "2.0.",
     "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl2-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl1-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-includes": "This product includes software developed by HOLDER",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-provided": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "bsl-line": "Distributed under the Boost Software License, Version 1.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc0-line": "This work is dedicated to the public domain under CC0 1.0.",
-    "ccby4-line": "Licensed under CC BY 4.0.",
-    "ccbysa4-line": "Licensed under CC BY-SA 4.0.",
-    "ccbync4-line": "Licensed under CC BY-NC 4.0.",
-    "ccbyncnd4-line": "Licensed under CC BY-NC-ND 4.0.",
-    "ccby4-full": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
-    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "cc0-waived": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
 }
 
-# On one line, the colon before the first condition does not end a sentence.
-SENTENCES["bsd-grant-source"] = SENTENCES["bsd-grant"] + " " + SENTENCES["bsd-source"]
+# Licences that a line can name, by the names it can give them after "licensed under".
+NAMES = {
+    "MIT": ["MIT License", "MIT Licence", "MIT"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache License v2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause", "3-Clause BSD License", "New BSD License"],
+    "ISC": ["ISC License", "ISC"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL-2.0", "MPL 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License - v 2.0", "EPL-2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License - v 1.0", "EPL-1.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
+    "Artistic-2.0": ["Artistic License 2.0", "Artistic-2.0"],
+    "Unlicense": ["Unlicense"],
+    "WTFPL": ["WTFPL", "Do What The Fuck You Want To Public License, Version 2"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "CC0-1.0"],
+}
+
+# The GNU licences by name and version, the Creative Commons licences by their parts and versions.
+GNU = {"GPL": ("GNU General Public License", ["2", "3"]), "LGPL": ("GNU Lesser General Public License", ["2.1", "3"]), "AGPL": ("GNU Affero General Public License", ["3"])}
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
 
-# Licence rules, the most specific first.
+# Licence rules of several sentences, the most specific first; ``$`` is the end of the text.
+_BSD = ["bsd-grant", "bsd-source", "bsd-binary"]
+_BSD_END = ["bsd-provided", "bsd-liability"]
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
-    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-3-Clause", ["bsd-grant-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("BSD-2-Clause", ["bsd-grant-source", "bsd-binary"]),
+    ("MIT", ["mit-grant", "mit-notice-2", "mit-warranty", "mit-liability"]),
+    ("BSD-4-Clause", [*_BSD, "bsd-advert", "bsd-includes", "bsd-endorse", *_BSD_END]),
+    ("BSD-3-Clause", [*_BSD, "bsd-endorse", *_BSD_END]),
+    ("BSD-3-Clause", [*_BSD, "bsd-endorse"]),
+    ("BSD-2-Clause", [*_BSD, *_BSD_END]),
+    ("BSD-2-Clause", [*_BSD, "bsd-provided"]),
+    ("BSD-2-Clause", [*_BSD, "$"]),
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-warranty", "apache-limits"]),
-    ("Apache-2.0", ["apache-grant", "apache-copy-2", "apache-warranty", "apache-limits"]),
-    ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty", "gpl-details"]),
-    ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty", "gpl-details"]),
-    ("GPL-3.0-or-later", ["gpl3-grant"]),
-    ("GPL-2.0-or-later", ["gpl2-grant"]),
-    ("LGPL-2.1-or-later", ["lgpl21-grant"]),
-    ("AGPL-3.0-or-later", ["agpl3-grant"]),
-    ("MPL-2.0", ["mpl2-head", "mpl2-tail", "mpl2-copy"]),
-    ("MPL-2.0", ["mpl2-grant"]),
-    ("MIT", ["mit-grant"]),
-    ("Apache-2.0", ["apache-grant"]),
-    ("ISC", ["isc-grant"]),
-    ("Unlicense", ["unlicense"]),
-    ("MIT", ["mit-line"]),
-    ("MIT", ["mit-line-2"]),
-    ("MIT", ["mit-line-3"]),
-    ("MIT", ["spdx-mit"]),
-    ("Apache-2.0", ["apache-line"]),
-    ("Apache-2.0", ["spdx-apache"]),
-    ("GPL-3.0", ["gpl3-line"]),
-    ("GPL-3.0", ["gpl3-line-2"]),
-    ("GPL-3.0", ["spdx-gpl3"]),
-    ("GPL-2.0", ["gpl2-line"]),
-    ("BSD-3-Clause", ["spdx-bsd3"]),
-    ("CC0-1.0", ["cc0-line"]),
-    ("CC-BY-4.0", ["ccby4-line"]),
-    ("CC-BY-4.0", ["ccby4-full"]),
-    ("CC-BY-SA-4.0", ["ccbysa4-line"]),
-    ("CC-BY-NC-4.0", ["ccbync4-line"]),
-    ("CC-BY-NC-ND-4.0", ["ccbyncnd4-line"]),
+    ("Apache-2.0", ["apache-grant", "apache-copy-s", "apache-warranty", "apache-limits"]),
+    ("Apache-2.0", ["apache-grant", "apache-copy-at", "apache-url", "apache-warranty", "apache-limits"]),
+    ("Apache-2.0", ["apache-grant", "apache-copy-at", "apache-url-s", "apache-warranty", "apache-limits"]),
+    ("ISC", ["isc-grant", "isc-warranty", "isc-liability"]),
+    ("ISC", ["isc-grant-2", "isc-warranty", "isc-liability"]),
+    ("0BSD", ["0bsd-grant", "isc-warranty", "isc-liability"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("MPL-2.0", ["mpl2-grant", "mpl2-copy"]),
+    ("MPL-2.0", ["mpl2-grant", "mpl2-copy-http"]),
+]
+
+# Sentences that name a licence by themselves.
+ALONE = {"mit-grant": "MIT", "apache-grant": "Apache-2.0", "isc-grant": "ISC", "isc-grant-2": "ISC", "0bsd-grant": "0BSD", "zlib-grant": "Zlib", "bsl-grant": "BSL-1.0", "bsl-line": "BSL-1.0", "unlicense": "Unlicense", "cc0-line": "CC0-1.0", "cc0-waived": "CC0-1.0", "mpl2-grant": "MPL-2.0", "epl2-grant": "EPL-2.0", "epl1-grant": "EPL-1.0"}
+
+#: Every known sentence holds one of these (single words, as texts may be wrapped anywhere), so other texts need no closer look.
+ANCHORS = ["licen", "permission", "redistribut", "domain", "warrant", "liable", "endorse", "advertising", "developed", "apache", "mpl", "released", "distributed", "available", "published", "provided", "spdx"]
+
+# How a text is prepared: (pattern, replacement), written so that Java's and RE2's expressions agree; ^ and $ are line ends.
+PREPARE = [
+    (r"^[ \t]*(?:/\*+|\*+/|//+|\*+|#+|--+|;+|%+|<!--|dnl |rem |REM )*[ \t]*", ""),
+    (r"[ \t]*(?:\*+/|-->)[ \t\r]*$", ""),
+    (r"^(?:\(?[0-9][0-9]?[.)]|\(?[a-zA-Z][.)]|[o\-*])[ \t]+", ""),
+    (r"\b(Inc|Ltd|Corp|Co|LLC|GmbH|[vV])\.([ \t\r\n])", r"\1\2"),
+    (r"^((?:Copyright|COPYRIGHT|\([Cc]\)|©)[^\n]*|[Aa]ll [Rr]ights [Rr]eserved\.?[ \t\r]*)$", "\n\\1\n\n"),
+    (r"^((?:[Tt]he |THE )?[A-Za-z0-9][A-Za-z0-9 .\-]* (?:[Ll]icen[sc]e|LICENSE)(?: \([^)\n]*\))?[ \t\r]*)$", "\n\\1\n\n"),
+    (r"(conditions are met|following conditions|following restrictions|[Aa]cknowledge?ment|to the following):", r"\1."),
+    (r":[ \t\r]*\n", ".\n\n"),
+    (r":[ \t\r]+\(?(?:[0-9]|[a-z]|[*o\-])[.)]?[ \t]+", ". "),
+]
+CUT = "[.!?]+[\"')\\]]*[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n"
+
+# How a normalised sentence is unified: (pattern, replacement).
+UNIFY = [
+    (r"^neither the names? of .{1,120} nor the names? of (?:its|their|his|her|any) contributors may ", "neither the name of the copyright holder nor the names of its contributors may "),
+    (r"^this software is provided by .{1,120} as is and any express ", "this software is provided by the copyright holders and contributors as is and any express "),
+    (r"^in no event shall .{1,120} be liable for any direct indirect ", "in no event shall the copyright holder or contributors be liable for any direct indirect "),
+    (r"^this product includes software developed by .*$", "this product includes software developed by holder"),
+    (r"^(?:this|the) (?:program|library|software|file|package|project|code|work|module|script) is free software ", "this program is free software "),
+    (r"^(?:this|the) (?:program|library|software|file|package|project|code|work|module|script) is distributed in the hope ", "this program is distributed in the hope "),
+    (r"^[a-z0-9]+ is free software ", "this program is free software "),
+    (r"^(?:(?:this|the) (?:project|work|software|file|program|code|source code|library|repository|material|package|document|text) is )?(?:released|licensed|licenced|distributed|available|published|provided|made available) under (?:the terms of )?(?:the |an? )?", "under "),
 ]
+#: Pieces that neither count nor break a sequence.
+SKIPPED = r"^(?:[0-9a-z]?|[0-9]+|copyright .*|c [0-9]{4}.*|all rights reserved.*|(?:the )?[a-z0-9 ]{1,40} licen[sc]e(?: mit| version [0-9 ]+)?)$"
+
+
+def normalise(sentence: str) -> str:
+    """What :func:`normalised` makes of an ASCII sentence."""
+    out = re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
+    for pattern, by in UNIFY:
+        out = re.sub(pattern, by, out)
+    return out
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+    out = F.trim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
+    for pattern, by in UNIFY:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def known_sentences() -> tuple[dict[str, str], dict[str, str]]:
+    """(identifier by normalised sentence, licence by identifier of those that name one alone)."""
+    ids, alone = {normalise(re.sub(r"\bv\. ", "v ", s)): k for k, s in SENTENCES.items()}, dict(ALONE)
+
+    def line(sid: str, license_name: str, *sentences: str) -> None:
+        for s in sentences:
+            ids.setdefault(normalise(s), sid)
+        alone[sid] = license_name
 
+    for name, titles in NAMES.items():
+        line(f"under-{name}", name, *[f"Licensed under the {re.sub(r'v[.] ', 'v ', t)}" for t in titles])
+        line(f"spdx-{name}", name, f"SPDX-License-Identifier: {name}")
+    for short, (title, versions) in GNU.items():
+        for v in versions:
+            full = v if "." in v else f"{v}.0"
+            grant = f"This program is free software: you can redistribute it and/or modify it under the terms of the {title}"
+            by = "as published by the Free Software Foundation"
+            later, only = f"{short}-{full}-or-later", f"{short}-{full}-only"
+            line(f"grant-{later}", later, f"{grant} {by}, either version {v} of the License, or (at your option) any later version.", f"{grant} {by}; either version {v}, or (at your option) any later version.", f"Licensed under the {title}, version {v} or later", f"Licensed under the {title} v{full} or later")
+            line(f"grant-{only}", only, f"{grant} {by}, version {v} of the License.", f"{grant} {by}; version {v}.", f"{grant} version {v} {by}.", f"{grant}, version {v}, {by}.", f"Licensed under the {title}, version {v}.", f"Licensed under the {title} v{full}.", f"Licensed under the {title} version {full}", f"Licensed under the {short} v{v}", f"Licensed under {short}-{full}")
+            line(f"spdx-{later}", later, f"SPDX-License-Identifier: {later}", f"SPDX-License-Identifier: {short}-{full}+")
+            line(f"spdx-{only}", only, f"SPDX-License-Identifier: {only}", f"SPDX-License-Identifier: {short}-{full}")
+    for short, title in CC.items():
+        for v in CC_VERSIONS:
+            name = f"CC-{short}-{v}"
+            words = title.replace("-", " ")
+            kinds = ["International", "Unported", "Generic", ""]
+            line(f"under-{name}", name, f"Licensed under CC {short} {v}.", f"Licensed under the CC {short} {v} License", *[f"Licensed under a Creative Commons {x} {v} {k} License." for x in (title, words) for k in kinds])
+            line(f"spdx-{name}", name, f"SPDX-License-Identifier: {name}")
+    return ids, alone
 
-def known_sentences(spark, sentences: dict[str, str] | None = None) -> DataFrame:
-    rows = spark.createDataFrame(list((sentences or SENTENCES).items()), "sid string, sentence string")
-    return rows.select("sid", normalised(F.regexp_replace("sentence", r"[.!?]+$", "")).alias("norm"))
 
+def _prepared(text: Column) -> Column:
+    for pattern, by in PREPARE:
+        text = F.regexp_replace(text, "(?md)" + pattern, re.sub(r"\\(\d)", r"$\1", by))
+    return text
 
-def match_rules(seq: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """The names of the rules that match the identifiers in ``seq`` (",a,b,"), sorted and distinct."""
+
+def identifiers(text: Column) -> Column:
+    """The known sentences' identifiers in text order, ``?`` for others, and ``$`` at the end."""
+    ids, _ = known_sentences()
+    table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    # A piece's normal form is computed once: an element of an array that a lambda walks over.
+    name = lambda norm: F.coalesce(F.try_element_at(table, norm), F.when(norm.rlike(SKIPPED), F.lit("")).otherwise(F.lit("?")))
+    named = lambda pieces: F.transform(F.transform(pieces, normalised), name)
+    lines = lambda piece: named(F.split(piece, "\n"))
+    pieces = F.split(_prepared(text), CUT)
+    whole = F.arrays_zip(pieces.alias("piece"), named(pieces).alias("id"))
+    found = F.flatten(F.transform(whole, lambda p: F.when((p["id"] == "?") & F.contains(p["piece"], F.lit("\n")), lines(p["piece"])).otherwise(F.array(p["id"]))))
+    return F.concat(F.filter(found, lambda x: x != ""), F.array(F.lit("$")))
+
+
+def match_rules(seq: Column, rules: list[tuple[str, list[str]]], alone: dict[str, str]) -> Column:
+    """The names of the licences in the identifiers ``seq`` (",a,,b,"), sorted and distinct."""
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("ids")) for name, ids in rules])
     start = F.struct(seq.alias("seq"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.when(
         F.contains(acc["seq"], r["ids"]), F.struct(F.replace(acc["seq"], r["ids"], F.lit(",*,")).alias("seq"), F.array_append(acc["found"], r["name"]).alias("found"))
     ).otherwise(acc)
-    return F.array_sort(F.array_distinct(F.aggregate(table, start, step, lambda acc: acc["found"])))
+    names = F.create_map(*[F.lit(x) for pair in alone.items() for x in pair])
+    rest = lambda acc: F.concat(acc["found"], F.filter(F.transform(F.split(acc["seq"], ","), lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()))
+    return F.array_sort(F.array_distinct(F.aggregate(table, start, step, rest)))
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """One row per document: id, sentence_ids (in text order) and licenses."""
-    key = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk")]
-    cut = docs.where(F.col(text_col).isNotNull()).select(*key, F.posexplode(F.split(F.col(text_col), BREAK)).alias("pos", "sentence"))
-    # The last sentence keeps its full stop; normalising drops it.
-    hits = cut.select("id", "tk", "pos", normalised(F.col("sentence")).alias("norm")).join(F.broadcast(known_sentences(docs.sparkSession, sentences)), "norm")
-    found = hits.groupBy("id", "tk").agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).alias("s")).select("id", "tk", F.col("s.sid").alias("sentence_ids"))
-    found = found.withColumn("licenses", match_rules(F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(",")), rules or RULES))
-    base = docs.select(*key)
+    text = F.col(text_col)
+    low = ascii_lower(text)
+    worth = F.lit(False)
+    for anchor in ANCHORS:
+        worth = worth | F.contains(low, F.lit(anchor))
     none = F.array().cast("array<string>")
-    return base.join(found, same_row(base, found, ["id", "tk"]), "left").select(base["id"].alias(id_col), F.coalesce("sentence_ids", none).alias("sentence_ids"), F.coalesce("licenses", none).alias("licenses"))
+    rows = docs.select(F.col(id_col).alias("id"), F.when(F.coalesce(worth, F.lit(False)), identifiers(text)).alias("seq"))
+    known = F.filter("seq", lambda x: ~x.isin("?", "$"))
+    found = F.when(F.col("seq").isNotNull() & (F.size(known) > 0), match_rules(F.concat(F.lit(","), F.array_join("seq", ",,"), F.lit(",")), rules or RULES, known_sentences()[1]))
+    return rows.select(F.col("id").alias(id_col), F.coalesce(known, none).alias("sentence_ids"), F.coalesce(found, none).alias("licenses"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -147,19 +255,38 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def oracle_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in SENTENCES.items())
-    fold = "SELECT doc_id, n, ids, ',' || array_to_string(l, ',,') || ',' AS seq, '' AS found FROM g"
-    for name, ids in RULES:
-        pat = "," + ",,".join(ids) + ","
-        fold = f"SELECT doc_id, n, ids, CASE WHEN contains(seq, '{pat}') THEN replace(seq, '{pat}', ',*,') ELSE seq END AS seq, CASE WHEN contains(seq, '{pat}') THEN found || '{name},' ELSE found END AS found FROM ({fold})"
-    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    ids, alone = known_sentences()
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    sql_map = lambda m: f"map([{', '.join(quoted(k) for k in m)}], [{', '.join(quoted(v) for v in m.values())}])"
+    text = "coalesce(text, '')"
+    for pattern, by in PREPARE:
+        text = f"regexp_replace({text}, {quoted('(?m)' + pattern)}, {quoted(by)}, 'g')"
+
+    def norm(x: str) -> str:
+        out = f"trim(regexp_replace(translate({x}, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+        for pattern, by in UNIFY:
+            out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by)}, 'g')"
+        return out
+
+    fold = "SELECT doc_id, l, ',' || array_to_string(l, ',,') || ',' AS seq, '' AS found FROM s"
+    for name, seq in RULES:
+        pat = "," + ",,".join(seq) + ","
+        fold = f"SELECT doc_id, l, CASE WHEN contains(seq, '{pat}') THEN replace(seq, '{pat}', ',*,') ELSE seq END AS seq, CASE WHEN contains(seq, '{pat}') THEN found || '{name},' ELSE found END AS found FROM ({fold})"
+    named = lambda x: f"coalesce(i.id, CASE WHEN regexp_matches({x}, {quoted(SKIPPED)}) THEN '' ELSE '?' END)"
     return f"""
-WITH k AS (SELECT sid, {norm.format("regexp_replace(sentence, '[.!?]+$', '')")} AS norm FROM (VALUES {values}) AS v(sid, sentence)),
-s AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id, string_split_regex(text, '[.!?]+[ \\t\\r]+|\\n+') AS a FROM documents)),
-h AS (SELECT doc_id, pos, sid FROM (SELECT doc_id, pos, {norm.format("sentence")} AS norm FROM s) JOIN k USING (norm)),
-g AS (SELECT doc_id, count(*) AS n, string_agg(sid, ',' ORDER BY pos, sid) AS ids, list(sid ORDER BY pos, sid) AS l FROM h GROUP BY doc_id),
-f AS ({fold})
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(ids, '') AS sentence_ids,
-       coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split(found, ','), lambda x: x <> ''))), ','), '') AS licenses, coalesce(found, '') <> '' AS has_license
-FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id
+WITH i AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS id FROM (SELECT {sql_map(ids)} AS m)),
+a AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS name FROM (SELECT {sql_map(alone)} AS m)),
+p AS (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) AS pos FROM (SELECT doc_id, string_split_regex({text}, {quoted(CUT)}) AS c FROM documents)),
+n AS (SELECT doc_id, pos, 0 AS ln, piece, {norm("piece")} AS norm FROM p),
+w AS (SELECT doc_id, pos, ln, piece, {named("norm")} AS id FROM n LEFT JOIN i ON i.k = norm),
+x AS (SELECT doc_id, pos, unnest(c) AS line, generate_subscripts(c, 1) AS ln FROM (SELECT doc_id, pos, string_split(piece, chr(10)) AS c FROM w WHERE id = '?' AND contains(piece, chr(10)))),
+y AS (SELECT doc_id, pos, ln, {norm("line")} AS norm FROM x),
+z AS (SELECT doc_id, pos, ln, {named("norm")} AS id FROM y LEFT JOIN i ON i.k = norm),
+q AS (SELECT doc_id, pos, ln, id FROM w WHERE NOT (id = '?' AND contains(piece, chr(10))) UNION ALL SELECT doc_id, pos, ln, id FROM z),
+s AS (SELECT doc_id, list_append(coalesce(list(id ORDER BY pos, ln) FILTER (WHERE id <> ''), []), '$') AS l FROM q GROUP BY doc_id),
+f AS ({fold}),
+r AS (SELECT doc_id, l, list_concat(string_split(found, ','), list_transform(string_split(seq, ','), lambda t: {sql_map(alone)}[t])) AS names FROM f),
+o AS (SELECT doc_id, list_filter(l, lambda t: t <> '?' AND t <> '$') AS known, list_sort(list_distinct(list_filter(names, lambda t: t IS NOT NULL AND t <> ''))) AS licenses FROM r)
+SELECT d.doc_id, CAST(coalesce(len(known), 0) AS BIGINT) AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids, coalesce(array_to_string(licenses, ','), '') AS licenses, coalesce(len(licenses), 0) > 0 AS has_license
+FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id
 """

@@ -1,16 +1,20 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 Each source's documents, in the order (bucket, id), are one stream of words, cut into blocks of ``block`` words;
-only a source's last block may be shorter. A source's target is drawn as whole passes over its blocks and one
-part of a pass: draw r of a pass takes the block that a pseudorandom permutation of the source's full blocks
-(one per source and pass) gives for r; the short block comes last, and the last draw takes only as many words of
-its block as the target still needs. So taken words equal the target (rounded) and no word is taken more often
-than the passes. All draws of all sources are numbered and dealt to output slots by one more permutation; the
-counts of sources in an output shard are then a multinomial draw conditioned on the totals.
+only a source's last block may be shorter. A source's target is so many draws of blocks: whole passes over its blocks
+and one part of a pass. The output has as many slots as there are draws, in shards of ``shard_slots``. Each slot draws
+its source by the sources' shares, so the counts of sources in a shard are a multinomial draw; ``Mix.counts`` holds
+them. Running sums of these counts number the slots of each source. The few slots that a source was given above its
+draws (about the square root of them) go to the sources that fell short, so that taken words equal the target
+(rounded) and no word is taken more often than the passes. Slot r of a source then takes the block that a pseudorandom
+permutation of the source's full blocks (one per source and pass) gives for r; the short block comes last in its pass,
+and the last draw takes only as many words of its block as the target still needs. Blocks are joined by index.
 
 Permutations are swap-or-not shuffles in integer arithmetic: stateless, over any number of blocks, the same on
 every run. A source's stream positions come from sums per (source, bucket), so that a source with most of the
-rows is spread over many tasks; only one row per source meets in one task.
+rows is spread over many tasks; the number of buckets is fixed, so a document's place among its like does not
+depend on the size of the table. One row per source meets in one task, and so do a source's counts by shard and its
+sums by bucket.
 
 Defined results: a null text has size 0 and nothing is taken of it; a null source is a source of its own, the
 last; repeated rows are separate documents; a null id comes last in its bucket's order; an empty table gives no
@@ -21,18 +25,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 PRIME = 2147483647
-ROUNDS = 12
-#: Documents of a source that one bucket holds, on average.
-BUCKET_ROWS = 20_000
-#: Draws that one row of the draw list is expanded to within a task.
-CHUNK = 4096
+ROUNDS = 24
+#: Parts of a source's stream whose sizes are summed before its documents are placed.
+BUCKETS = 8192
+#: Steps of the grid by which slots find their source.
+GRID = 1024
+
+
+def uniform_steps(x: str, n: str, seed: int, div: str) -> list[str]:
+    """Projections, one after the other, that end in ``_u``: a pseudorandom number from 0 to n - 1 for each ``x``; plain SQL."""
+    return [
+        f"((({x}) % {PRIME}) * 48271 + (({x}) {div} {PRIME}) * 69621 + {seed * 7919 + 1}) % {PRIME} AS _u0",
+        f"(_u0 * _u0 + _u0 * 40692 + 1299709) % {PRIME} AS _u1",
+        f"(_u1 * _u1 + _u1 * 16807 + 15485863) % {PRIME} AS _u2",
+        f"(_u2 * _u2 + _u2 * 69621 + 32452843) % {PRIME} AS _u3",
+        f"least(({n}) - 1, CAST(floor(CAST(_u3 AS DOUBLE) * ({n}) / {PRIME}) AS BIGINT)) AS _u",
+    ]
 
 
 def permute(df: DataFrame, x: str, n: str, key: str, out: str, rounds: int = ROUNDS) -> DataFrame:
@@ -81,10 +96,11 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3
 @dataclass
 class Mix:
     """``documents``: one row per document with its place in its source's stream; ``sources``: one per source;
-    ``draws``: one per output slot (rank, epoch, block, words, slot, shard)."""
+    ``counts``: the multinomial draw (shard, rank, n); ``draws``: one per output slot (slot, shard, rank, epoch, block, words)."""
 
     documents: DataFrame
     sources: DataFrame
+    counts: DataFrame
     draws: DataFrame
     block: int
 
@@ -101,57 +117,76 @@ class Mix:
         return got.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("s").cast("long").alias("n_shards"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 1024, shard_slots: int = 64, seed: int = 1) -> Mix:
+def _numbered(spark: SparkSession, sources: DataFrame, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(the counts of each shard, one row (slot, shard, rank, r) per slot: draw r of the source of that rank)."""
+    total = int(sources.agg(F.sum("n_draws")).first()[0] or 0)
+    slots = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // 4_000_000)).selectExpr("id AS slot", f"id div {shard_slots} AS shard")
+    for step in uniform_steps("slot", f"{total}L", seed, "div"):
+        slots = slots.selectExpr("*", step)
+    slots = slots.selectExpr("slot", "shard", "_u", f"_u * {GRID} div {max(total, 1)} AS cell")
+    spans = sources.where("n_draws > 0").selectExpr("rank", "first_draw AS lo", "first_draw + n_draws AS hi")
+    spans = spans.selectExpr("*", f"explode(sequence(lo * {GRID} div {max(total, 1)}, (hi - 1) * {GRID} div {max(total, 1)})) AS cell")
+    drawn = materialize(slots.join(materialize(spans), "cell").where("lo <= _u AND _u < hi").select("slot", "shard", "rank"))
+    counts = materialize(drawn.groupBy("shard", "rank").agg(F.count("*").alias("n")))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")) - F.col("n")).drop("n")
+    at = F.row_number().over(Window.partitionBy("shard", "rank").orderBy("slot")) - 1  # at most shard_slots rows
+    given = counts.groupBy("rank").agg(F.sum("n").alias("given"))
+    balance = sources.select("rank", "n_draws").join(given, "rank", "left").selectExpr("rank", "n_draws", "coalesce(given, 0L) AS given")
+    running = Window.orderBy("rank")
+    balance = balance.selectExpr("*", "greatest(given - n_draws, 0L) AS above", "greatest(n_draws - given, 0L) AS short")
+    balance = materialize(balance.withColumn("above_from", F.sum("above").over(running) - F.col("above")).withColumn("short_from", F.sum("short").over(running) - F.col("short")).coalesce(1))
+    placed = drawn.withColumn("at", at).join(before, ["shard", "rank"]).join(balance, "rank").selectExpr("slot", "shard", "rank", "CAST(before + at AS BIGINT) AS r", "n_draws", "above_from")
+    placed = materialize(placed)
+    open_draws = balance.where("short > 0").selectExpr("rank", "given", "short_from", "explode(sequence(0L, short - 1)) AS k").selectExpr("short_from + k AS j", "rank", "given + k AS r")
+    moved = placed.where("r >= n_draws").selectExpr("slot", "shard", "above_from + r - n_draws AS j").join(open_draws, "j").select("slot", "shard", "rank", "r")
+    return counts, placed.where("r < n_draws").select("slot", "shard", "rank", "r").unionAll(moved)
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 1024, shard_slots: int = 1024, seed: int = 1) -> Mix:
     """Plan the mix of ``docs``; see the module's text."""
     spark = docs.sparkSession
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("tk"), word_count(F.col(text_col)).alias("size")))
-    buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    sized = sized.withColumn("bucket", F.pmod(F.coalesce(F.col("doc_id").cast("long") if dict(sized.dtypes)["doc_id"] != "string" else F.xxhash64("doc_id"), F.lit(0)), F.lit(buckets)))
-    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("tk"), word_count(F.col(text_col)).alias("size"))
+    number = F.col("doc_id").cast("long") if dict(sized.dtypes)["doc_id"] != "string" else F.xxhash64("doc_id")
+    sized = materialize(sized.withColumn("bucket", F.pmod(F.coalesce(number, F.lit(0)), F.lit(BUCKETS))))
+    per_bucket = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     sources = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     sources = sources.withColumn("aim", F.floor(F.col("target") + 0.5)).withColumn("n_full", F.expr(f"source_size div {block}"))
     sources = sources.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("aim div greatest(source_size, 1)")).otherwise(F.lit(0)).cast("long"))
     sources = sources.withColumn("rest", F.col("aim") - F.col("epochs") * F.col("source_size")).withColumn("n_draws", F.col("epochs") * F.col("n_blocks") + F.expr(f"(rest + {block - 1}) div {block}"))
-    sources = materialize(sources.withColumn("first_draw", F.sum("n_draws").over(Window.orderBy("rank")) - F.col("n_draws")).withColumn("all_draws", F.sum("n_draws").over(Window.partitionBy())).coalesce(1))
+    sources = materialize(sources.withColumn("first_draw", F.sum("n_draws").over(Window.orderBy("rank")) - F.col("n_draws")).coalesce(1))
     # The place of each document in its source's stream: sums before its bucket, then within.
     in_source = Window.partitionBy("rank").orderBy("bucket")
     offsets = per_bucket.join(sources.select("source", "source_size", "rank", "target"), per_bucket["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    offsets = offsets.withColumn("before", F.sum("bucket_size").over(in_source) - F.col("bucket_size")).drop("bucket_size")
+    offsets = materialize(offsets.withColumn("before", F.sum("bucket_size").over(in_source) - F.col("bucket_size")).drop("bucket_size"))
     in_bucket = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "tk", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("within", F.sum("size").over(in_bucket) - F.col("size")).withColumn("pos", F.row_number().over(in_bucket))
     documents = placed.join(offsets, placed["source"].eqNullSafe(offsets["source"]) & (placed["bucket"] == offsets["bucket"])).select(
         "doc_id", placed["source"], "rank", placed["bucket"], "pos", "size", (F.col("before") + F.col("within")).alias("start"), "source_size", "target"
     )
-    # One row per draw: chunks of a source's draws are dealt out first, then expanded.
-    chunks = sources.where("n_draws > 0").select("*", F.explode(F.expr(f"sequence(0L, (n_draws - 1) div {CHUNK})")).alias("chunk")).repartition("rank", "chunk")
-    draws = chunks.withColumn("r", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(chunk * {CHUNK} + {CHUNK - 1}, n_draws - 1))")))
-    draws = draws.selectExpr("rank", "n_full", "source_size", "epochs", "rest", "all_draws", "first_draw + r AS draw", "r div n_blocks AS epoch", "r % n_blocks AS i")
-    draws = draws.selectExpr("*", "least(i, greatest(n_full - 1, 0L)) AS spot", "greatest(n_full, 1L) AS n_perm", f"rank * 7919 + epoch * 104729 + {seed} AS key1", f"{seed} * 15485863L AS key2")
-    draws = permute(permute(draws, "spot", "n_perm", "key1", "image"), "draw", "all_draws", "key2", "slot")
-    draws = draws.selectExpr("rank", "epoch", "CASE WHEN i < n_full THEN image ELSE n_full END AS block", f"CASE WHEN epoch < epochs THEN {block}L ELSE least({block}L, rest - i * {block}) END AS words", "slot", f"slot div {shard_slots} AS shard")
-    # Written once: a filter that a join infers on the block must not be pushed through the permutations' steps.
-    return Mix(documents, sources, materialize(draws), block)
+    counts, draws = _numbered(spark, sources, shard_slots, seed)
+    draws = draws.join(sources.select("rank", "n_full", "n_blocks", "epochs", "rest"), "rank")
+    draws = draws.selectExpr("slot", "shard", "rank", "n_full", "epochs", "rest", "r div n_blocks AS epoch", "r % n_blocks AS i")
+    draws = draws.selectExpr("*", "least(i, greatest(n_full - 1, 0L)) AS spot", "greatest(n_full, 1L) AS n_perm", f"rank * 7919 + epoch * 104729 + {seed} AS key1")
+    draws = permute(draws, "spot", "n_perm", "key1", "image")
+    draws = draws.selectExpr("slot", "shard", "rank", "epoch", "CASE WHEN i < n_full THEN image ELSE n_full END AS block", f"CASE WHEN epoch < epochs THEN {block}L ELSE least({block}L, rest - i * {block}) END AS words")
+    # Written once: a filter that a join infers on the block must not be pushed through the permutation's steps.
+    return Mix(documents, sources, counts, materialize(draws), block)
 
 
 def digest(m: Mix) -> DataFrame:
     return m.taken().select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
-def oracle_sql(block: int = 1024, shard_slots: int = 64, seed: int = 1) -> str:
+def oracle_sql(block: int = 1024, shard_slots: int = 1024, seed: int = 1) -> str:
     """The same rows in plain SQL (one id per document)."""
-
-    def nested(table: str, x: str, n: str, key: str, out: str, keep: str) -> str:
-        sql = f"SELECT {keep}, CAST({x} AS BIGINT) AS _x0 FROM ({table})"
-        for cols in permute_steps(n, key):
-            sql = f"SELECT {keep}, {', '.join(cols)} FROM ({sql})"
-        return f"SELECT {keep}, _x{ROUNDS} AS {out} FROM ({sql})"
-
-    keep = "rank, epoch, n_full, epochs, rest, all_draws, draw, i, n_perm, key1, key2"
-    first = nested("SELECT * FROM dr", "spot", "n_perm", "key1", "image", keep + ", spot")
-    second = nested(first, "draw", "all_draws", "key2", "slot", keep + ", image")
+    image = "SELECT *, CAST(spot AS BIGINT) AS _x0 FROM (SELECT * FROM dr)"
+    for cols in permute_steps("n_perm", "key1"):
+        image = f"SELECT slot, shard, rank, n_full, epochs, rest, epoch, i, n_perm, key1, {', '.join(cols)} FROM ({image})"
+    drawn = "SELECT slot, slot // {0} AS shard, total FROM (SELECT unnest(range(total)) AS slot, total FROM (SELECT CAST(sum(n_draws) AS BIGINT) AS total FROM s))".format(shard_slots)
+    for step in uniform_steps("slot", "total", seed, "//"):
+        drawn = f"SELECT *, {step} FROM ({drawn})"
     return f"""
-WITH k AS (SELECT greatest(1, CAST(ceil(count(*) / {BUCKET_ROWS}.0) AS BIGINT)) AS k FROM documents),
-d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, ((doc_id % k) + k) % k AS bucket FROM documents, k),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, ((doc_id % {BUCKETS}) + {BUCKETS}) % {BUCKETS} AS bucket FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM t),
 w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS BIGINT) AS weight, source_size * 3 AS cap FROM r),
@@ -161,15 +196,19 @@ g AS (SELECT source, source_size, rank, CASE WHEN level > cpw THEN CAST(cap AS D
 a AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS aim, source_size // {block} AS n_full, (source_size + {block - 1}) // {block} AS n_blocks FROM g),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN aim // greatest(source_size, 1) ELSE 0 END AS epochs FROM a),
 q AS (SELECT *, aim - epochs * source_size AS rest, epochs * n_blocks + (aim - epochs * source_size + {block - 1}) // {block} AS n_draws FROM e),
-s AS (SELECT *, CAST(sum(n_draws) OVER (ORDER BY rank) - n_draws AS BIGINT) AS first_draw, CAST(sum(n_draws) OVER () AS BIGINT) AS all_draws FROM q),
-x AS (SELECT *, unnest(range(n_draws)) AS r FROM s),
-dr AS (SELECT rank, n_full, epochs, rest, all_draws, first_draw + r AS draw, r // n_blocks AS epoch, r % n_blocks AS i, least(r % n_blocks, greatest(n_full - 1, 0)) AS spot, greatest(n_full, 1) AS n_perm,
-       rank * 7919 + (r // n_blocks) * 104729 + {seed} AS key1, CAST({seed} * 15485863 AS BIGINT) AS key2 FROM x),
-im AS ({second}),
-draws AS (SELECT rank, CASE WHEN i < n_full THEN image ELSE n_full END AS block, CASE WHEN epoch < epochs THEN {block} ELSE least({block}, rest - i * {block}) END AS words, slot // {shard_slots} AS shard FROM im),
+s AS (SELECT *, CAST(sum(n_draws) OVER (ORDER BY rank) - n_draws AS BIGINT) AS first_draw FROM q),
+u AS ({drawn}),
+x AS (SELECT slot, shard, rank, n_draws, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS r FROM u JOIN s ON first_draw <= _u AND _u < first_draw + n_draws),
+v AS (SELECT s.rank, n_draws, coalesce(n, 0) AS given FROM s LEFT JOIN (SELECT rank, count(*) AS n FROM x GROUP BY rank) y ON y.rank = s.rank),
+y AS (SELECT *, sum(greatest(given - n_draws, 0)) OVER (ORDER BY rank) - greatest(given - n_draws, 0) AS above_from, sum(greatest(n_draws - given, 0)) OVER (ORDER BY rank) - greatest(n_draws - given, 0) AS short_from FROM v),
+o AS (SELECT short_from + k AS j, rank, given + k AS r FROM (SELECT *, unnest(range(n_draws - given)) AS k FROM y WHERE n_draws > given)),
+n AS (SELECT slot, shard, rank, r FROM x WHERE r < n_draws UNION ALL SELECT slot, shard, o.rank, o.r FROM (SELECT slot, shard, above_from + r - x.n_draws AS j FROM x JOIN y ON y.rank = x.rank WHERE r >= x.n_draws) m JOIN o ON o.j = m.j),
+dr AS (SELECT slot, shard, n.rank, n_full, epochs, rest, r // n_blocks AS epoch, r % n_blocks AS i, least(r % n_blocks, greatest(n_full - 1, 0)) AS spot, greatest(n_full, 1) AS n_perm, n.rank * 7919 + (r // n_blocks) * 104729 + {seed} AS key1 FROM n JOIN s ON s.rank = n.rank),
+im AS (SELECT *, _x{ROUNDS} AS image FROM ({image})),
+draws AS (SELECT rank, CASE WHEN i < n_full THEN image ELSE n_full END AS block, CASE WHEN epoch < epochs THEN {block} ELSE least({block}, rest - i * {block}) END AS words, shard FROM im),
 p AS (SELECT d.*, s.rank, s.source_size, s.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY bucket, doc_id) - size AS BIGINT) AS st FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 b AS (SELECT *, unnest(range(st // {block}, (st + size - 1) // {block} + 1)) AS block FROM p WHERE size > 0),
-o AS (SELECT doc_id, shard, greatest(0, least(st + size, b.block * {block} + words) - greatest(st, b.block * {block})) AS overlap FROM b JOIN draws USING (rank, block)),
-y AS (SELECT doc_id, sum(overlap) AS taken, count(DISTINCT shard) FILTER (WHERE overlap > 0) AS n_shards FROM o GROUP BY doc_id)
-SELECT p.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_shards, 0) AS BIGINT) AS n_shards FROM p LEFT JOIN y ON p.doc_id = y.doc_id
+h AS (SELECT doc_id, shard, greatest(0, least(st + size, b.block * {block} + words) - greatest(st, b.block * {block})) AS overlap FROM b JOIN draws USING (rank, block)),
+z AS (SELECT doc_id, sum(overlap) AS taken, count(DISTINCT shard) FILTER (WHERE overlap > 0) AS n_shards FROM h GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_shards, 0) AS BIGINT) AS n_shards FROM p LEFT JOIN z ON p.doc_id = z.doc_id
 """

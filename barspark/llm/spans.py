@@ -8,10 +8,13 @@ around it. From every sentence a run is hashed: at least two consecutive sentenc
 sentence); sentences covered by any other occurrence of a repeated run are removed. A passage of
 4 * window + words_per_run - 3 words (49 with the defaults) holds a whole run in any surroundings.
 
-The first occurrence is found by a window over the rows of a run, dealt once.
+Rows (run, id, text hash, sentence) are written once. Runs that more than one row in ``HEAVY`` holds are found by an
+exact count of frequent items; their first occurrence is a pre-aggregated minimum that is broadcast (fewer than
+2 * HEAVY rows), so a hot run is never shuffled. All other runs are dealt by hash, where a window finds the first.
+
 Defined results: null and empty texts have no sentences and stay; texts of fewer words than a run have none; a run
-that a document repeats is removed from the second time on; rows that repeat id and text are one document; a null
-id comes last. What remains of a text keeps its own white space.
+that a document repeats is removed from the second time on; rows that repeat id and text are one document, each of
+them treated alike; a null id comes last. What remains of a text keeps its own white space.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.llm.common import heavy_values, materialize, scratch
 from barspark.llm.textvec import SPACED, mix, text_slices, words
 
 WORDS_PER_RUN = 20
@@ -65,7 +69,7 @@ def runs(first: np.ndarray, h: np.ndarray, words_per_run: int = WORDS_PER_RUN) -
 
 
 def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_run: int = WORDS_PER_RUN, window: int = WINDOW) -> DataFrame:
-    """(id, tk, starts, counts): the runs to remove from each document that has any."""
+    """(id, tk, starts): the first sentences of the runs to remove from each document that has any."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,34 +82,42 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 if not n.sum():
                     continue
                 row = pa.array(np.repeat(np.arange(at, at + len(parts)), n))
-                cols = [np.concatenate([g[k] for g in got]) for k in range(3)]
-                out = [batch.column(0).take(row), batch.column(1).take(row), pa.array(cols[0].view(np.int64)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))]
-                yield from pa.Table.from_arrays(out, ["id", "tk", "run", "start", "n"]).to_batches(max_chunksize=20_000)
-
-    keyed = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    rows = keyed.mapInArrow(hashed, f"id {dict(keyed.dtypes)['id']}, tk long, run long, start int, n int")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "tk", "start")
-    met = rows.withColumn("first", F.min(place).over(Window.partitionBy("run"))).where(place != F.col("first"))
-    return met.groupBy("id", "tk").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs")).select("id", "tk", F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"))
+                key, start = (np.concatenate([g[k] for g in got]) for k in range(2))
+                out = [batch.column(0).take(row), batch.column(1).take(row), pa.array(key.view(np.int64)), pa.array(start.astype(np.int32))]
+                yield from pa.Table.from_arrays(out, ["id", "tk", "run", "start"]).to_batches(max_chunksize=20_000)
+
+    with scratch(docs.sparkSession):
+        keyed = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
+        rows = materialize(keyed.mapInArrow(hashed, f"id {dict(keyed.dtypes)['id']}, tk long, run long, start int"))
+        heavy = heavy_values(rows, "run")
+        place = F.struct(F.col("id").isNull().alias("last"), "id", "tk", "start")
+        light = rows.join(F.broadcast(heavy), "run", "left_anti")
+        again = light.withColumn("first", F.min(place).over(Window.partitionBy("run"))).where(place != F.col("first")).select("id", "tk", "start")
+        firsts = rows.join(F.broadcast(heavy), "run", "left_semi").groupBy("run").agg(F.min(place).alias("first"))
+        hot = rows.join(F.broadcast(firsts), "run").where(place != F.col("first")).select("id", "tk", "start")
+        found = again.unionAll(hot).groupBy("id", "tk").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+        return materialize(found, outer=True)
 
 
 def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_run: int = WORDS_PER_RUN, window: int = WINDOW) -> DataFrame:
     """(id, text, n_sentences, n_removed, words_removed) of every document; ``text`` is what remains."""
     found = repeated_sentences(docs, id_col=id_col, text_col=text_col, words_per_run=words_per_run, window=window)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    joined = keyed.join(found, keyed["id"].eqNullSafe(found["id"]) & (keyed["tk"] == found["tk"]), "left").select(keyed["id"], keyed["text"], "starts", "counts")
+    joined = keyed.join(found, keyed["id"].eqNullSafe(found["id"]) & (keyed["tk"] == found["tk"]), "left").select(keyed["id"], keyed["text"], "starts")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, parts in text_slices(batch.column(1)):
-                starts, counts = (batch.column(c).slice(at, len(parts)).to_pylist() for c in (2, 3))
+                starts = batch.column(2).slice(at, len(parts)).to_pylist()
                 null = batch.column(1).slice(at, len(parts)).is_null().to_pylist()
                 text, size, gone, gone_words = [], [], [], []
                 for i, p in enumerate(parts):
                     first, h, places = sentences(p, window)
                     drop = np.zeros(len(first) - 1, dtype=bool)
-                    for s, c in zip(starts[i] or (), counts[i] or (), strict=True):
-                        drop[s : s + c] = True
+                    if starts[i]:
+                        _, start, n = runs(first, h, words_per_run)
+                        for k in np.searchsorted(start, starts[i]):
+                            drop[start[k] : start[k] + n[k]] = True
                     if drop.any():
                         edge = np.append(places, len(p))
                         edge[0] = 0
