@@ -15,8 +15,7 @@ keeps hot keys out of the shuffle; all others are requests, one row each, that a
 per document. Where a word or its context is outside the head, three counts make one term: their requests carry the
 position, by which they are put together after the join. So the heads' sizes say only which way a count is looked up,
 never what it is. Documents are scored in ``slices`` passes by a hash of the row, so that the disk holds the requests of
-one pass. A bitmap of fixed size over the hashes of the counted bigrams spares the requests that would find nothing;
-where it fills up, more requests are sent, and the result is the same.
+one pass. A term travels as a float, so scores are good to about six digits.
 
 The held-out statistics are sums in cells (bucket, unigram and bigram probability in half powers of two), at most
 BUCKETS * STEPS * STEPS and, as a bigram's probability is at least one in its bucket, in fact under 300,000 whatever
@@ -50,10 +49,8 @@ STEPS = 96
 HEAD_WORDS = 1 << 19
 HEAD_BIGRAMS = 1 << 20
 FLUSH = 12_000_000
-#: The bitmap has 2 ** BITMAP bits.
-BITMAP = 26
-_ROW = "k long, rid long, pos int, kind int, n int, a double, r double"
-_REQUEST, _SUMS, _WORD, _DOC, _HELD, _CELL, _SPLIT = range(7)
+_ROW = "k long, rid long, at long, a double, r double"
+_REQUEST, _SUMS, _WORD, _CONTEXT, _DOC, _HELD, _CELL, _SPLIT = range(8)
 END_KEY = int((END & ~U(1)).view(np.int64))
 
 
@@ -102,22 +99,6 @@ class Model:
     n: int
     v: int
     n_held: int
-    bitmap: np.ndarray
-
-    def may_have(self, k: np.ndarray) -> np.ndarray:
-        """False where no counted bigram has the hash."""
-        at = (k >> U(64 - BITMAP)).astype(np.int64)
-        return (self.bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) != 0
-
-
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """One bit for each value of the upper bits of the keys, gathered by grouped bit-or: at most 2 ** (BITMAP - 6) rows."""
-    at = F.shiftrightunsigned("k", 64 - BITMAP)
-    got = pairs.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(k, {64 - BITMAP}) & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITMAP - 6), dtype=np.uint64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-    return out
-
 
 def _head(counts: DataFrame, limit: int) -> Head:
     """All keys above the smallest count for which at most ``limit`` keys remain, and the end in any case."""
@@ -158,8 +139,7 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
                     k, n = k[at], np.diff(np.append(at, len(k)))
                     del at
                     for a in range(0, len(k), 100_000):
-                        m = n[a : a + 100_000].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(m * (fold < 2)), pa.array(m * (fold == 1)), pa.array(np.full(len(m), fold == 2))], ["k", "n", "f", "t"])
+                        yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64) * 4 + fold)], ["k", "x"])
 
         for batch in batches:
             fold = batch.column(1).to_numpy()
@@ -176,9 +156,10 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    rows = docs.mapInArrow(partial, "k long, n long, f long, t boolean")
+    rows = docs.mapInArrow(partial, "k long, x long")  # x: count and part
+    n, part = F.shiftright("x", 2), F.col("x").bitwiseAND(3)
     # Tasks have combined their rows already: dealing them out first spares a second combining, which spills.
-    summed = rows.repartition(buckets, "k").groupBy("k").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.max("t").alias("t"))
+    summed = rows.repartition(buckets, "k").groupBy("k").agg(F.sum(F.when(part < 2, n).otherwise(0)).alias("n"), F.sum(F.when(part == 1, n).otherwise(0)).alias("f"), F.max(part == 2).alias("t"))
     return summed.where("k % 2 = 0 OR n >= 2 OR n = 1 AND t").select("k", "n", "f")
 
 
@@ -217,7 +198,8 @@ def learn_weights(cells: list[tuple[int, float, float, float]], v: int, rounds:
 def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = None) -> DataFrame:
     """Rows for the join with the counts; docs: (rid, doc_id, text, unlisted); shared: the model. Without weights: to learn them.
 
-    ``unlisted`` is the count of the document's bigrams that are not in the table; their requests carry it as n.
+    ``at`` packs the position, the kind of row and a bit: of requests, that the document's bigrams which are not in the
+    table are counted once. A word's count belongs to its own position and, as the context's, to the next one.
     """
     learn = weights is None
 
@@ -231,7 +213,7 @@ def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = N
             for first, parts in text_slices(batch.column(2)):
                 tok, at = tokens(parts)
                 rids = np.repeat(rid[first : first + len(parts)], np.diff(at))
-                once = np.repeat(unlisted[first : first + len(parts)], np.diff(at))
+                once = np.repeat(unlisted[first : first + len(parts)], np.diff(at)).astype(np.int64)
                 pos = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
                 place, known = m.words.find(tok)
                 cw = m.words.count(place, known, learn)
@@ -243,48 +225,48 @@ def _requests(docs: DataFrame, shared: Broadcast, weights: np.ndarray | None = N
                 b = _bucket(cv)
                 pair = pair_keys(tok)
                 spot, near = m.pairs.find(pair)
-                ask = whole & ~near & (cv > 0) & m.may_have(pair)
+                ask = whole & ~near & (cv > 0)
                 c = np.where(near, m.pairs.count(spot, near, learn), once)
-                here, split = whole & ~ask, ~whole
+                here, split, far = whole & ~ask, ~whole, ~known
                 out = [
-                    (pair[split].view(np.int64), rids[split], pos[split], _SPLIT, np.ones(split.sum()) if learn else once[split], np.where(before, cv, -1)[split].astype(float), np.where(known, cw, -1)[split].astype(float)),
-                    (tok[~known].view(np.int64), rids[~known], pos[~known], _WORD, np.ones((~known).sum()), None, None),
+                    (pair[split].view(np.int64), rids[split], pos[split], _SPLIT, once[split], np.where(before, cv, -1)[split].astype(float), np.where(known, cw, -1)[split].astype(float)),
+                    (tok[far].view(np.int64), rids[far], pos[far], _WORD, 0, None, None),
+                    (tok[far].view(np.int64), rids[far], pos[far] + 1, _CONTEXT, 0, None, None),
                 ]
                 if learn:
                     # Cells: (bucket, step of each probability) with the count and the sums of the probabilities.
                     p2 = np.where(cv > 0, c / np.maximum(cv, 1), 0.0)
                     cell, at_cell, n = np.unique((b * STEPS + _step(p1))[here] * (STEPS + 1) + np.where(p2 > 0, _step(p2), STEPS)[here], return_inverse=True, return_counts=True)
                     sums = [np.bincount(at_cell, x[here], minlength=len(cell)) for x in (p2, p1)]
-                    out += [
-                        (pair[ask].view(np.int64), np.zeros(ask.sum(), dtype=np.int64), None, _HELD, np.ones(ask.sum()), cv[ask].astype(float), cw[ask].astype(float)),
-                        (cell, cell, None, _CELL, n, sums[0], sums[1]),
-                    ]
+                    out += [(pair[ask].view(np.int64), np.zeros(ask.sum(), dtype=np.int64), 0, _HELD, 0, cv[ask].astype(float), cw[ask].astype(float)), (cell, cell, n, _CELL, 0, *sums)]
                 else:
                     w = weights
                     a = np.where(cv > 0, w[b, 0] / np.maximum(cv, 1), 0.0)
                     r = w[b, 1] * p1 + w[b, 2] * p0
                     full = m.n + m.v + 1
-                    score = np.add.reduceat(np.where(here, np.log10(a * c + r), 0.0), at[:-1])
+                    # log(a c + r) is log(r) here and log(1 + c a / r) once the count is known.
+                    score = np.add.reduceat(np.where(split, 0.0, np.log10(np.where(ask, 0.0, a * c) + r)), at[:-1])
                     base = np.add.reduceat(np.where(known, np.log10((cw + 1) / full), 0.0), at[:-1])
                     n_known = np.add.reduceat((known & (cw > 0)).astype(np.int64), at[:-1])
                     own, ids = rid[first : first + len(parts)], batch.column(1).slice(first, len(parts))
                     out += [
-                        (pair[ask].view(np.int64), rids[ask], None, _REQUEST, once[ask], cv[ask].astype(float), cw[ask].astype(float)),
-                        (own, own, None, _SUMS, np.zeros(len(own)), score, base),
-                        (ids.fill_null(0).to_numpy(), own, None, _DOC, ids.is_valid().to_numpy(zero_copy_only=False), np.diff(at).astype(float), n_known.astype(float)),
+                        (pair[ask].view(np.int64), rids[ask], 0, _REQUEST, once[ask], (a / r)[ask].astype(np.float32).astype(float), None),
+                        (own, own, 0, _SUMS, 0, score, base),
+                        (ids.fill_null(0).to_numpy(), own, 0, _DOC, ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at).astype(float), n_known.astype(float)),
                     ]
-                for k, r_id, p, kind, n, x, y in out:
+                for k, r_id, p, kind, bit, x, y in out:
                     z = len(k)
-                    cols = [pa.array(k, pa.int64()), pa.array(r_id, pa.int64()), pa.array(np.full(z, -1, dtype=np.int32) if p is None else p.astype(np.int32)), pa.array(np.full(z, kind, dtype=np.int32)), pa.array(np.asarray(n).astype(np.int32)), *[pa.array(np.zeros(z)) if q is None else pa.array(q) for q in (x, y)]]
-                    yield pa.RecordBatch.from_arrays(cols, ["k", "rid", "pos", "kind", "n", "a", "r"])
+                    packed = np.broadcast_to((np.asarray(p, dtype=np.int64) * 8 + kind) * 2 + bit, z)
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r_id, pa.int64()), pa.array(packed, pa.int64()), *[pa.nulls(z, pa.float64()) if q is None else pa.array(q, pa.float64()) for q in (x, y)]], ["k", "rid", "at", "a", "r"])
 
     return docs.mapInArrow(look, _ROW)
 
 
-def _twice(met: DataFrame) -> DataFrame:
-    """A word's count belongs to its own position and, as the context's, to the next one (an end follows every word)."""
-    both = F.when(F.col("kind") == _WORD, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return met.withColumn("next", F.explode(both)).withColumn("pos", F.col("pos") + F.col("next"))
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Adds kind, bit and pos (-1 where a row is of no position)."""
+    kind = F.shiftright("at", 1).bitwiseAND(7).cast("int")
+    rows = rows.withColumn("kind", kind).withColumn("bit", F.col("at").bitwiseAND(1))
+    return rows.withColumn("pos", F.when(F.col("kind").isin(_SPLIT, _WORD, _CONTEXT), F.shiftright("at", 4)).otherwise(-1))
 
 
 def _split_counts() -> list[Column]:
@@ -292,8 +274,8 @@ def _split_counts() -> list[Column]:
     kind, c = F.col("kind"), F.col("c").cast("double")
     return [
         F.max(F.when(kind == _SPLIT, c)).alias("c2"),
-        F.max(F.when(kind == _SPLIT, F.col("r")).when((kind == _WORD) & (F.col("next") == 0), c)).alias("cw"),
-        F.max(F.when(kind == _SPLIT, F.col("a")).when((kind == _WORD) & (F.col("next") == 1), c)).alias("cv"),
+        F.max(F.when(kind == _SPLIT, F.col("r")).when(kind == _WORD, c)).alias("cw"),
+        F.max(F.when(kind == _SPLIT, F.col("a")).when(kind == _CONTEXT, c)).alias("cv"),
     ]
 
 
@@ -310,7 +292,7 @@ def _step_of(x: Column) -> Column:
 def _learned(rows: DataFrame, counts: DataFrame, shared: Broadcast) -> np.ndarray:
     """The mixture weights; rows: the training documents held out of the estimates."""
     held = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.lit(0).alias("unlisted")), shared)
-    met = held.join(counts.select("k", (F.col("n") - F.col("f")).alias("c")), "k", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = _unpacked(held.join(counts.select("k", (F.col("n") - F.col("f")).alias("c")), "k", "left")).withColumn("c", F.coalesce("c", F.lit(0)))
     total = float(max(shared.value.n - shared.value.n_held, 1))
 
     def sums(cv: Column, cw: Column, c2: Column) -> list[Column]:
@@ -319,9 +301,9 @@ def _learned(rows: DataFrame, counts: DataFrame, shared: Broadcast) -> np.ndarra
         return [cell.cast("long").alias("cell"), F.lit(1).cast("long").alias("n"), p2.alias("p2"), p1.alias("p1")]
 
     kind = F.col("kind")
-    ready = met.where(kind == _CELL).select(F.col("rid").alias("cell"), F.col("n").cast("long").alias("n"), F.col("a").alias("p2"), F.col("r").alias("p1"))
+    ready = met.where(kind == _CELL).select(F.col("rid").alias("cell"), F.shiftright("at", 4).alias("n"), F.col("a").alias("p2"), F.col("r").alias("p1"))
     asked = met.where(kind == _HELD).select(*sums(F.col("a"), F.col("r"), F.col("c").cast("double")))
-    split = _twice(met.where(kind.isin(_SPLIT, _WORD))).groupBy("rid", "pos").agg(*_split_counts()).where("c2 IS NOT NULL")
+    split = met.where(kind.isin(_SPLIT, _WORD, _CONTEXT)).groupBy("rid", "pos").agg(*_split_counts()).where("c2 IS NOT NULL")
     split = split.select(*sums(F.col("cv"), F.col("cw"), F.col("c2")))
     cells = ready.unionAll(asked).unionAll(split).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
     got = sorted(cells.collect())  # bounded: buckets x steps x steps
@@ -332,9 +314,9 @@ def _scores(rows: DataFrame, counts: DataFrame, shared: Broadcast, weights: np.n
     """(doc_id, n_tokens, n_known, base_score, score) of each row."""
     n, v = shared.value.n, shared.value.v
     asked = _requests(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "unlisted"), shared, weights)
-    unlisted = F.when(F.col("kind").isin(_REQUEST, _SPLIT), F.col("n")).otherwise(0)
-    met = asked.join(counts.select("k", F.col("n").alias("c")), "k", "left").withColumn("c", F.coalesce("c", unlisted))
+    met = _unpacked(asked.join(counts.select("k", F.col("n").alias("c")), "k", "left"))
     kind, c = F.col("kind"), F.col("c")
+    met = met.withColumn("c", F.coalesce("c", F.when(kind.isin(_REQUEST, _SPLIT), F.col("bit")).otherwise(0)))
     full = float(n + v + 1)
 
     def blend(c2: Column, cv: Column, cw: Column) -> Column:
@@ -342,17 +324,18 @@ def _scores(rows: DataFrame, counts: DataFrame, shared: Broadcast, weights: np.n
         return F.log10(F.when(cv > 0, weight(0) * c2 / cv).otherwise(0.0) + weight(1) * cw / F.lit(float(max(n, 1))) + weight(2) * F.lit(1 / (v + 1)))
 
     # Dealt by row once: both groupings below, by position and by row, find their rows together.
-    dealt = _twice(met.select("rid", "pos", "kind", "n", "a", "r", "c", F.when(kind == _DOC, F.col("k")).alias("id")).repartition("rid"))
-    own = F.col("next") == 0
+    value = F.when(kind == _REQUEST, F.log10(1 + F.col("a") * c).cast("float").cast("double")).otherwise(F.col("a"))
+    carried = F.when(kind == _REQUEST, F.lit(None)).when(kind == _DOC, F.when(F.col("bit") == 1, F.col("k"))).otherwise(c)
+    dealt = met.select("rid", "pos", "kind", value.alias("a"), "r", carried.alias("c")).repartition("rid")
     by_position = dealt.groupBy("rid", "pos").agg(
-        F.max(F.when((kind == _DOC) & (F.col("n") == 1), F.col("id"))).alias("doc_id"),
+        F.max(F.when(kind == _DOC, c)).alias("doc_id"),
         F.max(F.when(kind == _DOC, F.col("a"))).alias("n_tokens"),
-        F.sum(F.when((kind == _WORD) & own, (c > 0).cast("double")).when(kind == _DOC, F.col("r"))).alias("n_known"),
-        F.sum(F.when((kind == _WORD) & own, F.log10((c + 1) / F.lit(full))).when(kind == _SUMS, F.col("r"))).alias("base_score"),
-        F.sum(F.when(kind == _REQUEST, blend(c, F.col("a"), F.col("r"))).when(kind == _SUMS, F.col("a"))).alias("score"),
+        F.sum(F.when(kind == _WORD, (c > 0).cast("double")).when(kind == _DOC, F.col("r"))).alias("n_known"),
+        F.sum(F.when(kind == _WORD, F.log10((c + 1) / F.lit(full))).when(kind == _SUMS, F.col("r"))).alias("base_score"),
+        F.sum(F.when(kind.isin(_REQUEST, _SUMS), F.col("a"))).alias("score"),
         *_split_counts(),
     )
-    term = F.when(F.col("pos") >= 0, blend(F.col("c2"), F.col("cv"), F.col("cw"))).otherwise(F.col("score"))
+    term = F.when((F.col("pos") >= 0) & F.col("c2").isNotNull(), blend(F.col("c2"), F.col("cv"), F.col("cw"))).otherwise(F.col("score"))
     return by_position.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").cast("long").alias("n_tokens"), F.sum("n_known").cast("long").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum(term).alias("score")
     ).drop("rid")
@@ -374,7 +357,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         words, pairs = counts.where("k % 2 = 0"), counts.where("k % 2 <> 0")
         n, n_held, v = words.agg(F.sum("n"), F.sum("f"), F.count("*")).first()
         n, n_held = n or 0, n_held or 0
-        model = Model(_head(words, head_words), _head(pairs, head_bigrams), n, v, n_held, _bitmap(pairs))
+        model = Model(_head(words, head_words), _head(pairs, head_bigrams), n, v, n_held)
         shared = spark.sparkContext.broadcast(model)
         weights = _learned(rows.where((F.col("fold") == weight_fold) & (F.col("fold") != test_fold)), counts, shared)
         rows = rows.withColumn("unlisted", (F.col("fold") != test_fold).cast("int"))

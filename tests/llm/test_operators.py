@@ -601,7 +601,7 @@ def test_lm(spark, texts, docs):
     other = {r["doc_id"]: r["score"] for r in interpolation.score_documents(docs, slices=1).collect()}
     for i, t in enumerate(toks):
         want = sum(math.log10((l2 * p[a, b] / c[a] if c[a] else 0) + l1 * c[b] / n + l0 / (v + 1)) for a, b in pairs_of(t) for l2, l1, l0 in [exact[c[a].bit_length()]])
-        assert math.isclose(got[i]["score"], other[i], rel_tol=1e-9)
+        assert math.isclose(got[i]["score"], other[i], rel_tol=1e-6)  # terms travel as floats
         # EM takes the means of cells of half a power of two: the scores hardly know.
         assert abs(got[i]["score"] - want) < 0.002 * len(t), i
     assert sum(other.values()) > sum(r["base_score"] for r in got.values())
@@ -619,7 +619,7 @@ def test_lm_probabilities_sum_to_one(spark):
     got = {r["doc_id"]: r["score"] for r in interpolation.score_documents(spark.createDataFrame(rows + ask, "doc_id long, text string")).collect()}
     p = {t: 10 ** got[i] for i, t in ask}
     m = np.array([[p[""], *(p[x] for x in states)], *([1.0, *(p[f"{x} {y}"] / p[x] for y in states)] for x in states)])
-    assert abs(max(abs(np.linalg.eigvals(m))) - 1) < 1e-9
+    assert abs(max(abs(np.linalg.eigvals(m))) - 1) < 1e-6
     w = interpolation.learn_weights([(0, 0.0, 0.1, 5.0), (1, 1.0, 0.1, 5.0), (2, 0.5, 0.0, 1.0)], 4)
     assert np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0
 
