@@ -10,7 +10,8 @@ sentence); sentences covered by any other occurrence of a repeated run are remov
 
 Rows (run, id, text hash, sentence) are written once. Runs that more than one row in ``HEAVY`` holds are found by an
 exact count of frequent items; their first occurrence is a pre-aggregated minimum that is broadcast (fewer than
-2 * HEAVY rows), so a hot run is never shuffled. All other runs are dealt by hash, where a window finds the first.
+2 * HEAVY rows). Rows are dealt by hash of the run, where a window finds the first; those of heavy runs, whose first is
+known, are spread over parts.
 
 Defined results: null and empty texts have no sentences and stay; texts of fewer words than a run have none; a run
 that a document repeats is removed from the second time on; rows that repeat id and text are one document, each of
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.common import heavy_values, materialize, scratch
+from barspark.llm.common import PARTS, heavy_values, materialize, scratch
 from barspark.llm.textvec import SPACED, mix, text_slices, words
 
 WORDS_PER_RUN = 20
@@ -91,11 +92,13 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         rows = materialize(keyed.mapInArrow(hashed, f"id {dict(keyed.dtypes)['id']}, tk long, run long, start int"))
         heavy = heavy_values(rows, "run")
         place = F.struct(F.col("id").isNull().alias("last"), "id", "tk", "start")
-        light = rows.join(F.broadcast(heavy), "run", "left_anti")
-        again = light.withColumn("first", F.min(place).over(Window.partitionBy("run"))).where(place != F.col("first")).select("id", "tk", "start")
-        firsts = rows.join(F.broadcast(heavy), "run", "left_semi").groupBy("run").agg(F.min(place).alias("first"))
-        hot = rows.join(F.broadcast(firsts), "run").where(place != F.col("first")).select("id", "tk", "start")
-        found = again.unionAll(hot).groupBy("id", "tk").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+        firsts = rows.join(F.broadcast(heavy), "run", "left_semi").groupBy("run").agg(F.min(place).alias("known"))
+        marked = rows.join(F.broadcast(firsts), "run", "left")
+        part = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "tk"), F.lit(PARTS)))
+        # For a heavy run the window says nothing, its parts only spread it.
+        dealt = marked.withColumn("part", part).withColumn("least", F.min(place).over(Window.partitionBy("run", "part")))
+        again = dealt.where(place != F.coalesce("known", "least")).select("id", "tk", "start")
+        found = again.groupBy("id", "tk").agg(F.array_sort(F.collect_set("start")).alias("starts"))
         return materialize(found, outer=True)
 
 
