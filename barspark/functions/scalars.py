@@ -42,6 +42,11 @@ def slipped(price: Column, side: Column, bps: float) -> Column:
     return F.when(side == "buy", price * (1 + bps / 10000)).otherwise(price * (1 - bps / 10000))
 
 
+def min_win_rate_column(tp: Column, sl: Column, cost: Column) -> Column:
+    """:func:`min_win_rate` of each row."""
+    return (sl + cost) / (tp + sl)
+
+
 def min_win_rate(tp: float, sl: float, cost: float) -> float:
     """The share of winners at which trades of (tp, sl) with ``cost`` break even."""
     return (sl + cost) / (tp + sl)
@@ -54,8 +59,10 @@ def to_decimal(text: Column, default: str = "0") -> Column:
 
 
 def std_tag(k: float) -> str:
-    """1.0 gives '1std', 1.5 gives '1p5std'."""
-    return (str(int(k)) if float(k).is_integer() else str(k).replace(".", "p")) + "std"
+    """1.0 gives '1std', 1.5 gives '1p5std'; six digits after the point count. ValueError for a multiplier not above 0."""
+    if not k > 0:
+        raise ValueError("the multiplier must be above 0")
+    return f"{k:.6f}".rstrip("0").rstrip(".").replace(".", "p") + "std"
 
 
 def timeframe(amount: int, unit: str) -> timedelta:

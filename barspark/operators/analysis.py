@@ -34,7 +34,10 @@ def data_stats(bars: DataFrame, close_digits: int = 4, pct_digits: int = 2) -> D
     return bars.groupBy("symbol").agg(F.to_date(F.min("timestamp")).alias("start_date"), F.to_date(F.max("timestamp")).alias("end_date"), F.count("*").alias("n_rows"), F.min("low").alias("min_low"), F.max("high").alias("max_high"), F.bround(F.avg("close"), close_digits).alias("mean_close"), F.bround(F.avg(F.when(imputed, 100.0).otherwise(0.0)), pct_digits).alias("pct_imputed"))
 
 
-def longest_session(bars: DataFrame) -> DataFrame:
+def longest_session(bars: DataFrame, configured: int | None = None) -> DataFrame:
+    """The most bars of a symbol's session, 1 at least; a ``configured`` number wins."""
+    if configured is not None:
+        return bars.sparkSession.range(1).select(F.lit(max(1, int(configured))).cast("long").alias("longest"))
     return with_trade_date(bars).groupBy(*SESSION).count().agg(F.greatest(F.max("count"), F.lit(1)).alias("longest"))
 
 

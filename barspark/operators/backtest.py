@@ -15,13 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import regulatory_fee, round_up_cent, slipped
+from barspark.operators.splits import ordinal
+from barspark.operators.windows import running_sum
 
 
 def with_ids(orders: DataFrame) -> DataFrame:
-    """sim-0, sim-1, ... in the order of ``seq``; given ids stay, but count. An order list is a small table."""
-    n = (F.row_number().over(Window.orderBy("seq")) - 1).cast("string")
+    """sim-0, sim-1, ... in the order of ``seq``; given ids stay, but count.
+
+    Numbers come from the counts of blocks of ``seq``: its days' worth of leading digits for texts, 65,536 for numbers.
+    """
+    block = F.substring("seq", 1, 8) if dict(orders.dtypes)["seq"] == "string" else F.floor(F.col("seq") / 65536)
+    numbered = ordinal(orders, ["seq"], "_n", block)
     given = F.col("order_id") if "order_id" in orders.columns else F.lit(None).cast("string")
-    return orders.withColumn("order_id", F.coalesce(given, F.concat(F.lit("sim-"), n)))
+    return numbered.withColumn("order_id", F.coalesce(given, F.concat(F.lit("sim-"), F.col("_n").cast("string")))).drop("_n")
 
 
 def order_violations(orders: DataFrame) -> DataFrame:
@@ -51,12 +57,13 @@ def market_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0,
 def ledger(fills: DataFrame, cash: float, account: str | None = None) -> DataFrame:
     """Running cash of the account and running quantity per symbol after each fill, by (filled, seq).
 
-    Cash is one running sum per account (``account`` names its column), which is what one account is.
+    Cash is one running sum per account (``account`` names its column), made of sums by day.
     """
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     own = [account] if account else []
-    all_, one = Window.partitionBy(*own).orderBy("filled", "seq"), Window.partitionBy(*own, "symbol").orderBy("filled", "seq")
-    return fills.withColumn("cash", F.lit(cash) + F.sum(-sign * F.col("price") * F.col("qty") - F.col("fee")).over(all_)).withColumn("position", F.sum(sign * F.col("qty")).over(one))
+    one = Window.partitionBy(*own, "symbol").orderBy("filled", "seq")
+    book = running_sum(fills, "cash", -sign * F.col("price") * F.col("qty") - F.col("fee"), ["filled", "seq"], F.to_date("filled"), own)
+    return book.withColumn("cash", F.lit(cash) + F.col("cash")).withColumn("position", F.sum(sign * F.col("qty")).over(one))
 
 
 def oversells(book: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def equity_curve(fills: DataFrame, bars: DataFrame, cash: float) -> DataFrame:
     """(timestamp, equity) at each bar time: cash plus the positions at their last close, or at their last fill's price
     before a symbol's first bar.
 
-    Per time and symbol the change of cash and of held value are summed; the curve is one running sum over times.
+    Per time and symbol the change of cash and of held value are summed; the curve is a running sum over times, by day.
     """
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     moves = fills.groupBy("symbol", F.col("filled").alias("timestamp")).agg(F.sum(sign * F.col("qty")).alias("dq"), F.sum(-sign * F.col("price") * F.col("qty") - F.col("fee")).alias("dc"), F.max_by("price", "seq").alias("p"))
@@ -91,7 +98,8 @@ def equity_curve(fills: DataFrame, bars: DataFrame, cash: float) -> DataFrame:
     value = F.col("q") * F.coalesce("mark", F.lit(0.0))
     change = held.withColumn("dv", value - F.coalesce(F.lag(value).over(w), F.lit(0.0)) + F.coalesce("dc", F.lit(0.0)))
     per_time = change.groupBy("timestamp").agg(F.sum("dv").alias("d"))
-    return per_time.select("timestamp", (F.lit(cash) + F.sum("d").over(Window.orderBy("timestamp"))).alias("equity"))
+    curve = running_sum(per_time, "equity", F.col("d"), ["timestamp"], F.to_date("timestamp"))
+    return curve.select("timestamp", (F.lit(cash) + F.col("equity")).alias("equity"))
 
 
 @dataclass

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Closures outside the rules.
-AD_HOC_CLOSURES = {date(2018, 12, 5), date(2025, 1, 9)}
+AD_HOC_CLOSURES = {
+    date(2001, 9, 11), date(2001, 9, 12), date(2001, 9, 13), date(2001, 9, 14), date(2004, 6, 11), date(2007, 1, 2),
+    date(2012, 10, 29), date(2012, 10, 30), date(2018, 12, 5), date(2025, 1, 9),
+}
 
 
 def easter(year: int) -> date:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICES = ["open", "high", "low", "close", "vwap"]
@@ -51,6 +51,22 @@ def forward_propagate(bars: DataFrame, step: str = "1 minute", sessions: DataFra
     return filled if mark_imputed else filled.drop("imputed")
 
 
+def to_utc(bars: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Times as instants: one without a zone is read as local to ``zone``, an instant stays what it is."""
+    if dict(bars.dtypes)["timestamp"] == "timestamp":
+        return bars
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("timestamp"))
+    # A time without zone becomes an instant in the session's zone, whatever that is.
+    return bars.withColumn("timestamp", F.convert_timezone(F.lit("UTC"), F.current_timezone(), utc).cast("timestamp"))
+
+
+def point_in_time(bars: DataFrame, time: Column | str, symbol: str | None = None) -> DataFrame:
+    """The bars of one time, of all symbols or of one: a filter that the Parquet scan gets."""
+    at = F.lit(time).cast(dict(bars.dtypes)["timestamp"]) if isinstance(time, str) else time
+    found = bars.where(F.col("timestamp") == at)
+    return found if symbol is None else found.where(F.col("symbol") == symbol)
+
+
 def clean(bars: DataFrame, sessions: DataFrame, mark_imputed: bool = False) -> DataFrame:
     """Session rows only, then gaps on the minute grid."""
     return forward_propagate(remove_closed_market_rows(bars, sessions), "1 minute", sessions, mark_imputed)

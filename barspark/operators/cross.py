@@ -16,6 +16,13 @@ def pivot_close(reference: DataFrame, symbols: Sequence[str], value: str = "clos
     return reference.where(F.col("symbol").isin(list(symbols))).groupBy("timestamp").agg(*[F.max(F.when(F.col("symbol") == s, F.col(value))).alias(f"{prefix}{s}") for s in symbols])
 
 
+def close_vs_symbol(bars: DataFrame, reference: DataFrame, symbol: str) -> DataFrame:
+    """:func:`close_vs_reference` for one symbol, which the reference must hold: ValueError where it is absent."""
+    if reference.where(F.col("symbol") == symbol).isEmpty():
+        raise ValueError(f"no bars of {symbol}")
+    return close_vs_reference(bars, reference, [symbol])
+
+
 def close_vs_reference(bars: DataFrame, reference: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """ratio0(close, the symbol's close at the same time), 0 where it has none; symbols in name order."""
     symbols = sorted(symbols)

@@ -38,65 +38,64 @@ def _full(spec: WindowSpec, n: int) -> Column:
     return F.count("*").over(trailing(spec, n)) == n
 
 
-def rolling_zscore(bars: DataFrame, columns: Sequence[str], window: int) -> DataFrame:
+def rolling_zscore(bars: DataFrame, columns: Sequence[str], window: int, name: Callable[[str, int], str] = "{}_zscore_{}".format) -> DataFrame:
     """(x - mean) / population std of the last ``window`` bars of the session; 0 while incomplete or flat."""
     at_least("window", window, 1)
     w = trailing(session(), window)
     z = lambda c: F.when(_full(session(), window) & (F.stddev_pop(c).over(w) > 0), (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(F.lit(0.0))
-    return with_trade_date(bars).withColumns({f"{c}_zscore_{window}": z(c) for c in columns})
+    return with_trade_date(bars).withColumns({name(c, window): z(c) for c in columns})
 
 
-def volume_roll_mean(bars: DataFrame, windows: Sequence[int]) -> DataFrame:
+def volume_roll_mean(bars: DataFrame, windows: Sequence[int], name: Naming = "volume_roll_mean_{}".format) -> DataFrame:
     for n in windows:
         at_least("window", n, 1)
-    return with_trade_date(bars).withColumns({f"volume_roll_mean_{n}": F.when(_full(session(), n), F.avg("volume").over(trailing(session(), n))).otherwise(F.lit(0.0)) for n in windows})
+    return with_trade_date(bars).withColumns({name(n): F.when(_full(session(), n), F.avg("volume").over(trailing(session(), n))).otherwise(F.lit(0.0)) for n in windows})
 
 
-def rolling_vwap(bars: DataFrame, window: int) -> DataFrame:
+def rolling_vwap(bars: DataFrame, window: int, name: Naming = "typical_vwap_{}_pct_diff".format) -> DataFrame:
     """The typical price against the volume-weighted one of the last ``window`` bars of the session."""
     at_least("window", window, 1)
     typical, volume, w = (F.col("high") + F.col("low") + F.col("close")) / 3, F.greatest(F.col("volume").cast("double"), F.lit(0.0)), trailing(session(), window)
     total = F.sum(volume).over(w)
     vwap = F.when(total > 0, F.sum(typical * volume).over(w) / total)
-    return with_trade_date(bars).withColumn(f"typical_vwap_{window}_pct_diff", ratio0(typical, vwap))
+    return with_trade_date(bars).withColumn(name(window), ratio0(typical, vwap))
 
 
-def close_sma(bars: DataFrame, periods: Sequence[int]) -> DataFrame:
+def close_sma(bars: DataFrame, periods: Sequence[int], name: Naming = "close_sma_{}_pct_diff".format) -> DataFrame:
     for p in periods:
         at_least("period", p, 1)
     mean = lambda p: F.when(_full(history(), p), F.avg("close").over(trailing(history(), p)))
-    return bars.withColumns({f"close_sma_{p}_pct_diff": ratio0(F.col("close"), mean(p)) for p in periods})
+    return bars.withColumns({name(p): ratio0(F.col("close"), mean(p)) for p in periods})
 
 
-def bollinger(bars: DataFrame, period: int, k: float) -> DataFrame:
+def bollinger(bars: DataFrame, period: int, k: float, name: Callable[[str, int, str], str] = "close_bb_{}_{}_{}_pct_diff".format) -> DataFrame:
     """The close against mean + k * std and mean - k * std (population) of the last ``period`` bars."""
     at_least("period", period, 1)
     if k <= 0:
         raise ValueError("the multiplier must be above 0")
     w = trailing(history(), period)
     band = lambda s: F.when(_full(history(), period), F.avg("close").over(w) + F.lit(float(s * k)) * F.stddev_pop("close").over(w))
-    tag = f"{period}_{std_tag(k)}_pct_diff"
-    return bars.withColumns({f"close_bb_upper_{tag}": ratio0(F.col("close"), band(1)), f"close_bb_lower_{tag}": ratio0(F.col("close"), band(-1))})
+    return bars.withColumns({name(side, period, std_tag(k)): ratio0(F.col("close"), band(s)) for side, s in (("upper", 1), ("lower", -1))})
 
 
 def close_bar_vwap(bars: DataFrame, name: str = "close_vwap_pct_diff") -> DataFrame:
     return bars.withColumn(name, F.when(F.col("vwap") != 0, (F.col("close") - F.col("vwap")) / F.col("vwap")).otherwise(F.lit(0.0)))
 
 
-def lag_pct_diff(bars: DataFrame, column: str, lags: Sequence[int]) -> DataFrame:
+def lag_pct_diff(bars: DataFrame, column: str, lags: Sequence[int], name: Callable[[str, int], str] = "{}_lag_{}_pct_diff".format) -> DataFrame:
     """ratio0(x, x[-n]) over the symbol's whole history."""
     if column not in bars.columns:
         raise ValueError(f"no column {column}")
     for n in lags:
         at_least("lag", n, 1)
-    return bars.withColumns({f"{column}_lag_{n}_pct_diff": ratio0(F.col(column), F.lag(column, n).over(history())) for n in lags})
+    return bars.withColumns({name(column, n): ratio0(F.col(column), F.lag(column, n).over(history())) for n in lags})
 
 
-def lagged_difference(bars: DataFrame, a: str, b: str, lags: Sequence[int]) -> DataFrame:
+def lagged_difference(bars: DataFrame, a: str, b: str, lags: Sequence[int], name: Callable[[str, str, int], str] = "{}_minus_{}_lag_{}".format) -> DataFrame:
     """a[-n] - b[-n], 0 where there is no such bar: ``{a}_minus_{b}_lag_{n}``."""
     for n in lags:
         at_least("lag", n, 0)
-    return bars.withColumns({f"{a}_minus_{b}_lag_{n}": F.lag(F.col(a) - F.col(b), n, 0.0).over(history()) if n else F.col(a) - F.col(b) for n in lags})
+    return bars.withColumns({name(a, b, n): F.lag(F.col(a) - F.col(b), n, 0.0).over(history()) if n else F.col(a) - F.col(b) for n in lags})
 
 
 def close_lag_vector(bars: DataFrame, longest: int, name: str = "close_lags") -> DataFrame:
@@ -116,25 +115,25 @@ def true_range(bars: DataFrame, name: str = "true_range") -> DataFrame:
     return bars.withColumn(name, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def directional_movement(bars: DataFrame) -> DataFrame:
+def directional_movement(bars: DataFrame, name: Callable[[str], str] = "{}_dm".format) -> DataFrame:
     up, down = F.col("high") - F.lag("high").over(history()), F.lag("low").over(history()) - F.col("low")
     side = lambda a, b: F.when((a > b) & (a > 0), a).otherwise(F.lit(0.0))
-    return bars.withColumns({"plus_dm": side(up, down), "minus_dm": side(down, up)})
+    return bars.withColumns({name("plus"): side(up, down), name("minus"): side(down, up)})
 
 
 def last_close_per_day(bars: DataFrame) -> DataFrame:
     return with_trade_date(bars).groupBy("symbol", "trade_date").agg(F.max_by("close", "timestamp").alias("close"))
 
 
-def daily_return(bars: DataFrame) -> DataFrame:
+def daily_return(bars: DataFrame, name: str = "daily_return") -> DataFrame:
     """Simple returns of the last closes of consecutive days; the first day has none and is left out."""
     from pyspark.sql import Window
 
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date"))
-    return last_close_per_day(bars).withColumn("daily_return", F.when(before != 0, F.col("close") / before - 1)).where("daily_return IS NOT NULL")
+    return last_close_per_day(bars).withColumn(name, F.when(before != 0, F.col("close") / before - 1)).where(F.col(name).isNotNull())
 
 
-def session_forward_return(bars: DataFrame, horizon: int) -> DataFrame:
+def session_forward_return(bars: DataFrame, horizon: int, name: str = "forward_return") -> DataFrame:
     """c[+h] / c - 1 within the session where c > 0, else null."""
     at_least("horizon", horizon, 1)
-    return with_trade_date(bars).withColumn("forward_return", F.when(F.col("close") > 0, F.lead("close", horizon).over(session()) / F.col("close") - 1))
+    return with_trade_date(bars).withColumn(name, F.when(F.col("close") > 0, F.lead("close", horizon).over(session()) / F.col("close") - 1))

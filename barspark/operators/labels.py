@@ -106,13 +106,25 @@ def gross_return(bars: DataFrame, tp: float, sl: float, horizon: int | None = No
 def grid_trades(bars: DataFrame, take_profits: Sequence[float], stop_losses: Sequence[float], horizon: int | None = None) -> DataFrame:
     """One row per opportunity (i < n - 3) and grid point: tp, sl, kind (tp, sl, eod), pnl and duration.
 
-    The arrays are built once per bar; the fixed grid is an exploded literal.
+    Each level's first hit is found once per bar; the grid's points are exploded from these, without the arrays.
     """
-    grid = F.array(*[F.struct(F.lit(float(t)).alias("tp"), F.lit(float(s)).alias("sl")) for t in take_profits for s in stop_losses])
-    ahead = _ahead(bars, horizon).where(F.col("_i") < F.col("_n") - 3)
-    rows = ahead.withColumn("g", F.explode(grid)).withColumn("tp", F.col("g.tp")).withColumn("sl", F.col("g.sl"))
-    hit = _hits(rows, F.col("tp"), F.col("sl"))
+    up_at = lambda t: _first("_highs", lambda x: x >= F.col("_entry") * (1 + F.lit(float(t))))
+    down_at = lambda s: _first("_lows", lambda x: x <= F.col("_entry") * (1 - F.lit(float(s))))
+    ups, downs = F.array(*[up_at(t) for t in take_profits]), F.array(*[down_at(s) for s in stop_losses])
+    ahead = _ahead(bars, horizon).where(F.col("_i") < F.col("_n") - 3).withColumns({"_ups": ups, "_downs": downs}).drop("_highs", "_lows")
+    points = F.array(*[F.struct(F.lit(float(t)).alias("tp"), F.lit(float(s)).alias("sl"), F.get("_ups", F.lit(i)).alias("up"), F.get("_downs", F.lit(j)).alias("down")) for i, t in enumerate(take_profits) for j, s in enumerate(stop_losses)])
+    hit = ahead.withColumn("g", F.explode(points)).withColumns({"tp": F.col("g.tp"), "sl": F.col("g.sl"), "_tp": F.col("g.up"), "_sl": F.col("g.down")}).drop("_ups", "_downs")
     ok, up, down = finite(F.col("_entry")) & (F.col("_entry") > 0), F.col("_tp"), F.col("_sl")
     kind = F.when(ok & down.isNotNull() & (up.isNull() | (down <= up)), "sl").when(ok & up.isNotNull(), "tp").otherwise("eod")
     out = hit.withColumn("kind", kind).withColumn("duration", F.when(F.col("kind") == "sl", down).when(F.col("kind") == "tp", up).otherwise(0).cast("bigint"))
     return out.withColumn("pnl", F.when(F.col("kind") == "sl", -F.col("sl")).when(F.col("kind") == "tp", F.col("tp")).otherwise(F.lit(0.0))).drop(*_TEMP, "g")
+
+
+def reachable_rows(features: DataFrame, tp: float, sl: float, horizon: int | None = None) -> DataFrame:
+    """The rows of a feature table (made before, on the whole history) from which either level is touched."""
+    return touched(features, tp, sl, horizon, "_reach").where("_reach = 1").drop("_reach")
+
+
+def eligible_rows(labelled: DataFrame) -> DataFrame:
+    """The rows of :func:`direction` that moved at all, with the way they went as a long."""
+    return labelled.where("move_eligible = 1").drop("move_eligible").withColumn("move_direction", F.col("move_direction").cast("long"))

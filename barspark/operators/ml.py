@@ -1,8 +1,8 @@
 """Classifiers and feature transformers on Spark ML, grid search on a fixed validation split, and exact SQL models.
 
 Where Spark ML lacks an option of the usual single-node libraries the nearest one is taken: gradient boosting for
-extreme gradient boosting, a full-covariance mixture for a spherical one, hinge loss for squared hinge, random Fourier
-features for a kernel, no L2 term in the perceptron.
+extreme gradient boosting, hinge loss for squared hinge, random Fourier features for a kernel, no L2 term in the
+perceptron. Class weights are those of the rows that are fitted: see :func:`weighed`.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ from typing import Any
 import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.operators.metrics import confusion, rates
-from barspark.operators.splits import balanced_weights
+from barspark.operators.splits import balanced_weights, positive_weights
+from barspark.session import cut_lineage
 
 SEED = 42
 
@@ -35,6 +36,11 @@ def assemble(frame: DataFrame, features: Sequence[str], label: str = "target", w
     return balanced_weights(out, "label") if weights else out
 
 
+def weighed(build: Callable, data: DataFrame) -> DataFrame:
+    """``data`` with the weights that ``build`` wants for a fit on just these rows: balanced ones, or its ``weigh``."""
+    return getattr(build, "weigh", balanced_weights)(data.drop("weight"), "label")
+
+
 def decision_tree(p: dict[str, Any], data: DataFrame) -> Estimator:
     return DecisionTreeClassifier(maxDepth=min(p.get("max_depth", 5), 30), minInstancesPerNode=p.get("min_samples_leaf", 1), weightCol="weight", seed=SEED)
 
@@ -47,6 +53,9 @@ def gradient_boosting(p: dict[str, Any], data: DataFrame) -> Estimator:
     return GBTClassifier(maxIter=p.get("n_estimators", 10), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), subsamplingRate=p.get("subsample", 1.0), weightCol="weight", seed=SEED)
 
 
+gradient_boosting.weigh = positive_weights
+
+
 def perceptron(p: dict[str, Any], data: DataFrame) -> Estimator:
     width = data.select(F.size(vector_to_array("features"))).first()[0]
     return MultilayerPerceptronClassifier(layers=[width, *p.get("hidden", (16,)), 2], maxIter=p.get("max_iter", 100), stepSize=p.get("learning_rate", 0.03), seed=SEED)
@@ -64,12 +73,12 @@ def linear_svc(p: dict[str, Any], data: DataFrame) -> Estimator:
 class Boosted:
     """AdaBoost (SAMME for two classes) over weighted trees: one tree per round, weights as a column.
 
-    The weight after k rounds is a function of the k trees' predictions, so each round scores the rows anew from the
-    base table and nothing grows with the rounds but the plan, which is cut by a checkpointed table per ``cut`` rounds.
+    A round's weights are built on the round before; every ``cut`` rounds they are kept by a checkpoint, so that no round
+    scores more than ``cut`` trees.
     """
 
-    def __init__(self, rounds: int = 10, depth: int = 3, rate: float = 1.0) -> None:
-        self.rounds, self.depth, self.rate = rounds, depth, rate
+    def __init__(self, rounds: int = 10, depth: int = 3, rate: float = 1.0, cut: int = 3) -> None:
+        self.rounds, self.depth, self.rate, self.cut = rounds, depth, rate, cut
 
     def fit(self, data: DataFrame) -> Boosted:
         self.trees: list[tuple[float, Model]] = []
@@ -85,6 +94,8 @@ class Boosted:
             if err <= 0:
                 break
             rows = wrong.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
+            if (k + 1) % self.cut == 0:
+                rows = cut_lineage(rows)
         return self
 
     def transform(self, data: DataFrame) -> DataFrame:
@@ -113,45 +124,59 @@ def score(preds: DataFrame, scoring: str) -> float:
 def grid_search(build: Callable[[dict, DataFrame], Any], grid: dict[str, Sequence[Any]], train: DataFrame, val: DataFrame, scoring: str = "f1", n_jobs: int = 1) -> tuple[Any, dict, float]:
     """(model refitted on train and val, best parameters, its validation score); the first of equal scores wins.
 
-    Candidates are independent Spark jobs; ``n_jobs`` of them are submitted at a time.
+    Candidates are independent Spark jobs; ``n_jobs`` of them are submitted at a time: 0 is one, -1 as many as the
+    session has cores, -2 one less and so on.
     """
     combos = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     if not grid or not combos:
         raise ValueError("the parameter grid is empty")
     if scoring not in ("f1", "roc_auc"):
         raise ValueError(f"unknown scoring {scoring}")
-    run = lambda p: score(build(p, train).fit(train).transform(val), scoring)
-    with ThreadPoolExecutor(max(1, min(n_jobs if n_jobs > 0 else 4, len(combos)))) as pool:
+    fitted = weighed(build, train)
+    run = lambda p: score(build(p, fitted).fit(fitted).transform(val), scoring)
+    with ThreadPoolExecutor(workers(n_jobs, train.sparkSession.sparkContext.defaultParallelism, len(combos))) as pool:
         found = list(pool.map(run, combos))
     best = max(range(len(found)), key=lambda i: (found[i], -i))
-    both = train.unionByName(val)
+    both = weighed(build, train.drop("weight").unionByName(val.drop("weight")))
     return build(combos[best], both).fit(both), combos[best], found[best]
 
 
+def workers(n_jobs: int, cores: int, tasks: int) -> int:
+    """Jobs to submit at a time."""
+    return max(1, min(n_jobs if n_jobs >= 0 else cores + 1 + n_jobs, tasks))
+
+
 def gaussian_nb(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str = "target", smoothing: float = 1e-9) -> DataFrame:
     """``rows`` with pred, by class means and population variances plus ``smoothing`` times the largest variance.
 
-    One aggregation per class; the classes' rows (two) are broadcast.
+    One aggregation per class; the classes' figures are one broadcast row, and each row scores all classes by itself, so
+    rows stay as they are, repeated ones too. Of equal scores the smaller class wins.
     """
     per = train.groupBy(label).agg(F.count("*").alias("_n"), *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.var_pop(f).alias(f"_v_{f}") for f in features])
     whole = train.agg(F.count("*").alias("_all"), (F.greatest(*[F.var_pop(f) for f in features]) if len(features) > 1 else F.var_pop(features[0])).alias("_top"))
     per = per.join(F.broadcast(whole)).withColumnRenamed(label, "_class")
-    v = lambda f: F.col(f"_v_{f}") + F.lit(smoothing) * F.col("_top")
-    ll = F.log(F.col("_n") / F.col("_all"))
-    for f in features:
-        ll = ll - 0.5 * F.log(F.lit(2 * math.pi) * v(f)) - (F.col(f) - F.col(f"_m_{f}")) * (F.col(f) - F.col(f"_m_{f}")) / (2 * v(f))
+
+    def scored(c: Column) -> Column:
+        ll = F.log(c["_n"] / c["_all"])
+        for f in features:
+            v, gap = c[f"_v_{f}"] + F.lit(smoothing) * c["_top"], F.col(f) - c[f"_m_{f}"]
+            ll = ll - 0.5 * F.log(F.lit(2 * math.pi) * v) - gap * gap / (2 * v)
+        return F.struct(ll.alias("ll"), (-c["_class"]).alias("o"))
+
     classes = per.agg(F.collect_list(F.struct("*")).alias("_classes"))
-    own = rows.join(F.broadcast(classes)).withColumn("_c", F.explode("_classes")).select(*rows.columns, "_c.*").withColumn("_ll", ll)
-    return own.groupBy(*rows.columns).agg(F.max_by("_class", F.struct("_ll", (-F.col("_class")).alias("o"))).cast("int").alias("pred"))
+    best = F.array_max(F.transform("_classes", scored))
+    return rows.join(F.broadcast(classes)).select(*rows.columns, (-best["o"]).cast("int").alias("pred"))
 
 
 def knn(train: DataFrame, rows: DataFrame, features: Sequence[str], key: list[str], k: int = 5, label: str = "target", p: int = 2, weighted: bool = False, block: int = 4096) -> DataFrame:
-    """(key, votes, pred): exact nearest neighbours. Train rows are dealt into numbered blocks, each query meets each
-    block, keeps the block's k nearest, and the blocks' candidates are merged: no pair is ever a row."""
+    """(key, votes, pred): exact nearest neighbours. Train rows and queries are dealt into numbered blocks; in a task one
+    block of queries meets one of train rows and keeps the k nearest, and the blocks' candidates are merged per query:
+    no pair is ever a row, and a task holds two blocks."""
     names = list(features)
-    n_blocks = max(1, -(-train.count() // block))
+    n_blocks, n_asked = max(1, -(-train.count() // block)), max(1, -(-rows.count() // block))
     blocks = train.select(F.pmod(F.xxhash64(*key), F.lit(n_blocks)).cast("int").alias("b"), F.array(*[F.col(f).cast("double") for f in names]).alias("x"), F.col(label).cast("long").alias("y"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("tkey"))
-    asked = rows.select(*key, F.array(*[F.col(f).cast("double") for f in names]).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    blocks = blocks.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    asked = rows.select(*key, F.array(*[F.col(f).cast("double") for f in names]).alias("q"), F.pmod(F.xxhash64(*key), F.lit(n_asked)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
     types = {c: t for c, t in rows.dtypes if c in key}
     schema = ", ".join(f"{c} {types[c]}" for c in key) + ", d array<double>, y array<long>, t array<string>"
 
@@ -174,7 +199,7 @@ def knn(train: DataFrame, rows: DataFrame, features: Sequence[str], key: list[st
             out.append(part[key].assign(d=list(np.take_along_axis(d, best, 1)), y=list(y[best]), t=list(t[best])))
         return pd.concat(out)
 
-    found = asked.groupBy("b").cogroup(blocks.groupBy("b")).applyInPandas(nearest, schema)
+    found = asked.groupBy("a", "b").cogroup(blocks.groupBy("a", "b")).applyInPandas(nearest, schema)
     merged = found.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "t", "y")))), 1, k).alias("near"))
     vote = (lambda n: F.when(n["d"] > 0, 1 / (F.sqrt(n["d"]) if p == 2 else n["d"])).otherwise(1e12)) if weighted else (lambda n: F.lit(1.0))
     share = F.aggregate("near", F.lit(0.0), lambda a, n: a + n["y"] * vote(n)) / F.aggregate("near", F.lit(0.0), lambda a, n: a + vote(n))
@@ -189,10 +214,54 @@ def kmeans_distances(train: DataFrame, rows: DataFrame, k: int = 8) -> DataFrame
     return rows.withColumns({f"dist_{i}": dist(c) for i, c in enumerate(centers)})
 
 
-def gmm_probabilities(train: DataFrame, rows: DataFrame, k: int = 8) -> DataFrame:
-    """``rows`` with the responsibilities of k mixture components as columns gmm_0.."""
-    out = GaussianMixture(k=k, seed=SEED).fit(train).transform(rows)
-    return out.withColumn("_p", vector_to_array("probability")).select(*rows.columns, *[F.get("_p", F.lit(i)).alias(f"gmm_{i}") for i in range(k)])
+class SphericalMixture:
+    """A mixture of k Gaussians, each with one variance for all directions, by EM from k-means centres.
+
+    A round is one aggregation of 1 + width + 1 sums per component; ``floor`` is added to the variances. It ends when the
+    mean log likelihood gains less than ``tol``.
+    """
+
+    def __init__(self, k: int = 8, rounds: int = 25, tol: float = 1e-3, floor: float = 1e-6) -> None:
+        self.k, self.rounds, self.tol, self.floor = k, rounds, tol, floor
+
+    def _logs(self) -> Column:
+        """The log of weight times density of each component, for the array column _x."""
+        parts = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in m]).alias("m"), F.lit(float(1 / (2 * s))).alias("h"), F.lit(float(math.log(max(w, 1e-300)) - len(m) / 2 * math.log(2 * math.pi * s))).alias("c")) for w, m, s in zip(self.weights, self.means, self.variances, strict=True)])
+        gap = lambda p: F.aggregate(F.zip_with("_x", p["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d)
+        return F.transform(parts, lambda p: p["c"] - p["h"] * gap(p))
+
+    def responsibilities(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (features) with arrays _x and _r and the log likelihood _l."""
+        out = rows.withColumn("_x", vector_to_array("features")).withColumn("_g", self._logs()).withColumn("_m", F.array_max("_g"))
+        out = out.withColumn("_l", F.col("_m") + F.log(F.aggregate("_g", F.lit(0.0), lambda t, g: t + F.exp(g - F.col("_m")))))
+        return out.withColumn("_r", F.transform("_g", lambda g: F.exp(g - F.col("_l")))).drop("_g", "_m")
+
+    def fit(self, data: DataFrame) -> SphericalMixture:
+        rows = data.select("features")
+        self.means = np.array(KMeans(k=self.k, seed=SEED).fit(rows).clusterCenters())
+        k, d = self.means.shape
+        x = rows.withColumn("_x", vector_to_array("features"))
+        spread = x.agg(*[F.var_pop(F.get("_x", F.lit(j))) for j in range(d)]).first()
+        self.weights, self.variances = np.full(k, 1 / k), np.full(k, np.mean(spread) + self.floor)
+        last = -math.inf
+        for _ in range(self.rounds):
+            r, at = (lambda i: F.get("_r", F.lit(i))), (lambda j: F.get("_x", F.lit(j)))
+            square = F.aggregate("_x", F.lit(0.0), lambda t, v: t + v * v)
+            got = self.responsibilities(rows).agg(F.avg("_l"), F.count("*"), *[F.sum(r(i)) for i in range(k)], *[F.sum(r(i) * square) for i in range(k)], *[F.sum(r(i) * at(j)) for i in range(k) for j in range(d)]).first()
+            mass, squares, sums = np.maximum(got[2 : 2 + k], 1e-12), np.array(got[2 + k : 2 + 2 * k]), np.array(got[2 + 2 * k :]).reshape(k, d)
+            self.weights, self.means = mass / got[1], sums / mass[:, None]
+            self.variances = np.maximum(squares / mass - (self.means**2).sum(axis=1), 0) / d + self.floor
+            self.likelihood = got[0]
+            if got[0] - last < self.tol:
+                break
+            last = got[0]
+        return self
+
+
+def gmm_probabilities(train: DataFrame, rows: DataFrame, k: int = 8, mixture: SphericalMixture | None = None) -> DataFrame:
+    """``rows`` with the responsibilities of k spherical components as columns gmm_0.."""
+    out = (mixture or SphericalMixture(k).fit(train)).responsibilities(rows)
+    return out.select(*rows.columns, *[F.get("_r", F.lit(i)).alias(f"gmm_{i}") for i in range(k)])
 
 
 def fourier_features(rows: DataFrame, width: int, n: int = 64, gamma: float = 0.1, seed: int = SEED) -> DataFrame:

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.windows import running_sum
 
-def ordinal(frame: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """A global 0-based row number without a single-task window.
 
-    The rows are dealt by ranges of the first order column's day; the days' counts, a small table, give each day's
-    offset, and the number within a day comes from a window per day.
-    """
-    day = F.to_date(order[0])
-    counts = frame.groupBy(day.alias("_day")).count()
-    offsets = counts.withColumn("_offset", F.sum("count").over(Window.orderBy("_day")) - F.col("count")).drop("count")
-    within = F.row_number().over(Window.partitionBy("_day").orderBy(*order)) - 1
-    return frame.withColumn("_day", day).join(F.broadcast(offsets), "_day").withColumn(name, within + F.col("_offset")).drop("_day", "_offset")
+def ordinal(frame: DataFrame, order: list[str], name: str = "ordinal", block: Column | None = None) -> DataFrame:
+    """A global 0-based row number without a single-task window, by blocks that grow with the order (days of its first column)."""
+    numbered = running_sum(frame, name, F.lit(1), order, F.to_date(order[0]) if block is None else block)
+    return numbered.withColumn(name, F.col(name) - 1)
 
 
 def chrono_split(frame: DataFrame, val: float, test: float, order: tuple[str, ...] = ("timestamp", "symbol")) -> DataFrame:
@@ -78,8 +73,14 @@ def class_ratio(frame: DataFrame, label: str) -> DataFrame:
 
 
 def balanced_weights(frame: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Adds n / (classes * n of the row's class)."""
-    counts = frame.groupBy(label).count()
+    """Adds n / (classes * n of the row's class); rows without a label stay, without a weight, and do not count."""
+    counts = frame.where(F.col(label).isNotNull()).groupBy(label).count()
     whole = counts.agg(F.sum("count").alias("_n"), F.count("*").alias("_k"))
     weights = counts.join(F.broadcast(whole)).select(label, (F.col("_n") / (F.col("_k") * F.col("count"))).alias(name))
-    return frame.join(F.broadcast(weights), label)  # one row per class
+    return frame.join(F.broadcast(weights), label, "left").select(*frame.columns, name)  # one row per class
+
+
+def positive_weights(frame: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """Adds n0 / n1 (1.0 without positives) for rows of class 1 and 1.0 for others."""
+    ratio = float(class_ratio(frame, label).first()["ratio"])
+    return frame.withColumn(name, F.when(F.col(label) == 1, ratio).otherwise(1.0))

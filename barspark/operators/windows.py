@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSION = ["symbol", "trade_date"]
@@ -33,3 +33,20 @@ def history() -> WindowSpec:
 def trailing(spec: WindowSpec, n: int) -> WindowSpec:
     """The last n rows, the current one included."""
     return spec.rowsBetween(-(n - 1), 0)
+
+
+def running_sum(frame: DataFrame, name: str, value: Column, order: list[str], block: Column, own: list[str] | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one in ``order``, per ``own`` columns.
+
+    ``block`` must grow with the order (a day of the first order column, say): sums per block, a small table, give each
+    block's start, and the rest is a window per block, so no task holds all rows.
+    """
+    own = own or []
+    rows = frame.withColumn("_value", value).withColumn("_block", block)
+    starts = rows.groupBy(*own, "_block").agg(F.sum("_value").alias("_total"))
+    starts = starts.withColumn("_start", F.sum("_total").over(Window.partitionBy(*own).orderBy("_block")) - F.col("_total")).withColumnsRenamed({c: f"_own_{c}" for c in own}).withColumnRenamed("_block", "_own_block")
+    met = F.col("_block").eqNullSafe(F.col("_own_block"))
+    for c in own:
+        met = met & F.col(c).eqNullSafe(F.col(f"_own_{c}"))
+    within = F.sum("_value").over(Window.partitionBy(*own, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(starts, met, "left").withColumn(name, F.col("_start") + within).select(*frame.columns, name)

@@ -111,7 +111,7 @@ QUERIES = {
     "dq_completeness_session": lambda spark, d: validate.completeness(minute(spark, d), 60, sessions(spark)),
     "dq_duplicates": lambda spark, d: validate.duplicate_keys(source.event_bars(spark, d).select("symbol", F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("timestamp"))).withColumnRenamed("count", "n"),
     "merge_upsert": upsert,
-    "point_in_time": lambda spark, d: rounded(source.event_bars(spark, d).where((F.col("timestamp") == F.lit("2024-01-10 15:00:00").cast("timestamp_ntz")) & (F.col("symbol") == "view")), "open", "high", "low", "close", "vwap"),
+    "point_in_time": lambda spark, d: rounded(clean.point_in_time(source.event_bars(spark, d), "2024-01-10 15:00:00", "view"), "open", "high", "low", "close", "vwap"),
     "to_decimal": lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", to_decimal(F.when(F.col("o_orderkey") % 3 == 0, "None").when(F.col("o_orderkey") % 3 == 1, "x1").otherwise(F.col("o_orderkey").cast("string"))).cast("double").alias("amount")),
 }
 

@@ -57,7 +57,7 @@ register(
 )
 
 # --- scans -------------------------------------------------------------------------------------------------------
-TPS, SLS = (0.5, 1.0, 2.0), (0.5, 0.9)
+TPS, SLS = tuple(0.25 * k for k in range(1, 12)), tuple(0.125 * k for k in range(2, 8))
 _SCAN = ["revenue", "cost", "profit", "pct_trades", "pct_days", "mean_duration"]
 
 
@@ -74,7 +74,7 @@ _GRID = (
 )
 _SC = "symbol, tp, sl, n_trades, imputed, " + ", ".join(f"{r6(c)} AS {c}" for c in _SCAN)
 register("scan_grid", lambda s, d: rounded(scan(s, d), *_SCAN), f"{_GRID} SELECT {_SC} FROM sc")
-register("scan_top10", lambda s, d: rounded(analysis.top_profits(scan(s, d), 3), *_SCAN), f"{_GRID} SELECT {_SC}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY profit DESC, tp, sl) AS rank FROM sc) WHERE rank <= 3")
+register("scan_top10", lambda s, d: rounded(analysis.top_profits(scan(s, d), 10), *_SCAN), f"{_GRID} SELECT {_SC}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY profit DESC, tp, sl) AS rank FROM sc) WHERE rank <= 10")
 register("scan_best_sorted", lambda s, d: rounded(analysis.top_profits(scan(s, d), 1).drop("rank").orderBy(F.desc("profit")), *_SCAN), f"{_GRID} SELECT {_SC} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY profit DESC, tp, sl) AS rank FROM sc) WHERE rank = 1 ORDER BY profit DESC")
 
 # --- splits ------------------------------------------------------------------------------------------------------
@@ -170,7 +170,7 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
 
 _SWEEP_COLS = f"threshold, tp, fp, fn, tn, n_trades, skipped, {_cols(_RATES)}, {_cols(_PNL)}"
 register("threshold_sweep", lambda s, d: rounded(sweep(s, d), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT})")
-register("best_thresholds", lambda s, d: rounded(metrics.best_thresholds(sweep(s, d), 2), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT}) WHERE NOT skipped ORDER BY {_PNL['profit']} DESC, {_RATES['precision']} DESC, n_trades, threshold LIMIT 2")
+register("best_thresholds", lambda s, d: rounded(metrics.best_thresholds(sweep(s, d), 15), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT}) WHERE NOT skipped ORDER BY {_PNL['profit']} DESC, {_RATES['precision']} DESC, n_trades, threshold LIMIT 15")
 register("score_summary", lambda s, d: rounded(metrics.score_summary(preds(s, d)), "min_score", "median_score", "max_score"), f"SELECT {r6('min(score)')} AS min_score, {r6('median(score)')} AS median_score, {r6('max(score)')} AS max_score FROM ({_PREDS})")
 _WIN = [(0.04, 0.02, 0.004), (0.03, 0.02, 0.004), (TP, SL, COST)]
 register("min_win_rate", lambda s, d: rounded(s.createDataFrame([(*w, min_win_rate(*w)) for w in _WIN], "tp double, sl double, cost double, rate double"), "rate"), " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS tp, CAST({sl} AS DOUBLE) AS sl, CAST({c} AS DOUBLE) AS cost, {r6(f'({sl} + {c}) / ({t} + {sl})')} AS rate" for t, sl, c in _WIN))

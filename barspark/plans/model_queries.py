@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,21 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scaled train, val and test rows with a features vector."""
-    data = ml.assemble(splits.zscore_splits(dq.split_table(s, d), FEATURES).withColumnRenamed("move_target", "target"), FEATURES).cache()
-    return tuple(data.where(F.col("split") == x) for x in ("train", "val", "test"))
+@contextmanager
+def tables(s: SparkSession, d: str) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """Scaled train, val and test rows with a features vector, cached while models are fitted."""
+    scaled = splits.zscore_splits(dq.split_table(s, d), FEATURES).withColumnRenamed("move_target", "target")
+    data = ml.assemble(scaled, FEATURES, weights=False).cache()
+    try:
+        yield tuple(data.where(F.col("split") == x) for x in ("train", "val", "test"))
+    finally:
+        data.unpersist()
+
+
+def fitted(build, params: dict, train: DataFrame):
+    """The model of ``train`` with the weights of just these rows."""
+    rows = ml.weighed(build, train)
+    return build(params, rows).fit(rows)
 
 
 def _report(preds: DataFrame) -> DataFrame:
@@ -26,46 +40,47 @@ def _report(preds: DataFrame) -> DataFrame:
 
 def _fitted(build, **params):
     def query(s: SparkSession, d: str) -> DataFrame:
-        train, _, test = tables(s, d)
-        return _report(build(params, train).fit(train).transform(test))
+        with tables(s, d) as (train, _, test):
+            return _report(fitted(build, params, train).transform(test))
 
     return query
 
 
 def fourier_svm(s: SparkSession, d: str) -> DataFrame:
-    train, _, test = (ml.fourier_features(t, len(FEATURES)) for t in tables(s, d))
-    return _report(ml.linear_svc({"C": 0.1}, train).fit(train).transform(test))
+    with tables(s, d) as splits_:
+        train, _, test = (ml.fourier_features(t, len(FEATURES)) for t in splits_)
+        return _report(fitted(ml.linear_svc, {"C": 0.1}, train).transform(test))
 
 
 def _sweep(build, thresholds: list[float]):
     def query(s: SparkSession, d: str) -> DataFrame:
-        train, val, _ = tables(s, d)
-        scored = ml.positive_scores(build({"C": 0.1}, train).fit(train).transform(val)).select(F.col("label").alias("y"), "score")
+        with tables(s, d) as (train, val, _):
+            scored = ml.positive_scores(fitted(build, {"C": 0.1}, train).transform(val)).select(F.col("label").alias("y"), "score")
         return rounded(metrics.threshold_sweep(scored, thresholds, dq.TP, dq.SL, dq.COST, 20), *dq._RATES, *dq._PNL)
 
     return query
 
 
 def grid_search_refit(s: SparkSession, d: str) -> DataFrame:
-    train, val, test = tables(s, d)
-    model, best, value = ml.grid_search(ml.decision_tree, {"max_depth": [2, 4], "min_samples_leaf": [1, 20]}, train, val, n_jobs=2)
+    with tables(s, d) as (train, val, test):
+        model, best, value = ml.grid_search(ml.decision_tree, {"max_depth": [2, 4], "min_samples_leaf": [1, 20]}, train, val, n_jobs=2)
     return _report(model.transform(test)).withColumn("max_depth", F.lit(best["max_depth"])).withColumn("val_score", F.lit(round(value, 6)))
 
 
 def ensemble(s: SparkSession, d: str) -> DataFrame:
-    train, _, test = tables(s, d)
-    models = [b({}, train).fit(train) for b in (ml.decision_tree, ml.logistic_regression, ml.gradient_boosting)]
+    with tables(s, d) as (train, _, test):
+        models = [fitted(b, {}, train) for b in (ml.decision_tree, ml.logistic_regression, ml.gradient_boosting)]
     return rounded(metrics.consensus_report(ml.vote(test.select("features", F.col("label").cast("int").alias("y")), models)), *dq._SHARES, *dq._RATES)
 
 
 def kmeans(s: SparkSession, d: str) -> DataFrame:
-    train, _, test = tables(s, d)
-    return ml.kmeans_distances(train.select("features"), test.select("symbol", "timestamp", "features"), 4).drop("features")
+    with tables(s, d) as (train, _, test):
+        return ml.kmeans_distances(train.select("features"), test.select("symbol", "timestamp", "features")).drop("features")
 
 
 def gmm(s: SparkSession, d: str) -> DataFrame:
-    train, _, test = tables(s, d)
-    return ml.gmm_probabilities(train.select("features"), test.select("symbol", "timestamp", "features"), 4).drop("features")
+    with tables(s, d) as (train, _, test):
+        return ml.gmm_probabilities(train.select("features"), test.select("symbol", "timestamp", "features")).drop("features")
 
 
 def _plain(s: SparkSession, d: str) -> DataFrame:
@@ -103,7 +118,7 @@ QUERIES |= {
     "decision_tree": _fitted(ml.decision_tree, max_depth=4),
     "random_forest": _fitted(ml.random_forest, n_estimators=10),
     "gbt": _fitted(ml.gradient_boosting),
-    "adaboost_samme": _fitted(ml.adaboost, n_estimators=3),
+    "adaboost_samme": _fitted(ml.adaboost),
     "mlp": _fitted(ml.perceptron, hidden=(8,), max_iter=30),
     "logreg_sweep": _sweep(ml.logistic_regression, [0.3, 0.5, 0.7]),
     "linear_svc_sweep": _sweep(ml.linear_svc, [-0.5, 0.0, 0.5]),

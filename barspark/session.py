@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "barspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +13,19 @@ def get_session(app: str = "barspark", master: str | None = None, **conf: str) -
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """``frame``, computed and kept by a reliable checkpoint, so that what is built on it does not compute it again.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``; only a session on one machine (tests) without
+    it gets one below its warehouse.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return frame.checkpoint()

@@ -47,9 +47,37 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.repartition("symbol").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
-    """A small result table as one CSV file with a header."""
-    frame.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(frame: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
+    """CSV with a header below ``path``: as many files as the frame has partitions, or ``files``."""
+    (frame if files is None else frame.coalesce(files)).write.mode(mode).csv(path, header=True)
+
+
+def validated_pair(spark: SparkSession, raw: str, cleaned: str, clean: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], None], schema: str = BAR_SCHEMA) -> DataFrame:
+    """The clean bars of a raw CSV: those at ``cleaned``, checked again, or the raw ones cleaned, checked, kept and checked as read.
+
+    ``check`` raises where bars are not fit (``validate.assert_clean`` with its options).
+    """
+    if _exists(spark, cleaned):
+        found = read_csv(spark, cleaned, schema)
+        check(found)
+        return found
+    ready = clean(read_csv(spark, raw, schema))
+    check(ready)
+    write_csv(ready, cleaned)
+    found = read_csv(spark, cleaned, schema)
+    check(found)
+    return found
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a reader finds anything at ``path``; other errors than a missing path are raised."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def cache_path(root: str, prefix: str, start: str, end: str) -> str:
@@ -59,11 +87,9 @@ def cache_path(root: str, prefix: str, start: str, end: str) -> str:
 
 def read_through(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The cached bars at ``path``; where there are none, ``clean(fetch())`` is written there first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not _exists(spark, path):
         write_bars(clean(fetch()), path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

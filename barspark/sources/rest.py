@@ -38,6 +38,15 @@ def parse_day(value: str | date) -> datetime:
     return datetime.strptime(value, "%Y-%m-%d")
 
 
+def answer_of(url: str, query: dict, head: dict | None = None) -> dict:
+    """The JSON object that the service answers with; ValueError where it is something else."""
+    with urlopen(Request(f"{url}?{urlencode(query)}", headers=head or {}), timeout=60) as answer:
+        found = json.load(answer)
+    if not isinstance(found, dict):
+        raise ValueError("the service did not answer with an object")
+    return found
+
+
 class _Symbol(InputPartition):
     def __init__(self, symbol: str) -> None:
         self.symbol = symbol
@@ -59,8 +68,7 @@ class _Reader(DataSourceReader):
         token = None
         while True:
             query = {"symbol": partition.symbol, "start": parse_day(opts["start"]).isoformat(), "end": parse_day(opts["end"]).isoformat(), "timeframe": opts.get("timeframe", "1Min")}
-            with urlopen(Request(f"{opts['url']}?{urlencode(query | ({'page_token': token} if token else {}))}", headers=head)) as answer:
-                page = json.load(answer)
+            page = answer_of(opts["url"], query | ({"page_token": token} if token else {}), head)
             for b in page.get("bars") or []:
                 yield partition.symbol, datetime.fromisoformat(b["t"]), b["o"], b["h"], b["l"], b["c"], b["v"], b["n"], b["vw"]
             token = page.get("next_page_token")
@@ -78,3 +86,31 @@ class RestBars(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+class _QuoteReader(_Reader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        opts = self.options
+        query = {"symbol": partition.symbol} | ({"function": opts["function"]} if "function" in opts else {})
+        if "key_file" in opts:
+            query["apikey"] = load_keys(opts["key_file"])[0]
+        for name, value in sorted(answer_of(opts["url"], query).items()):
+            yield partition.symbol, name, value if isinstance(value, str) or value is None else json.dumps(value)
+
+
+class RestQuotes(DataSource):
+    """Quotes or company overviews, one JSON object a symbol, as rows (symbol, field, value).
+
+    ``spark.read.format("rest_quotes").options(url=..., symbols="A,B", function="OVERVIEW", key_file=...).load()``;
+    ``scalars.to_decimal`` makes numbers of the values.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "rest_quotes"
+
+    def schema(self) -> str:
+        return "symbol string, field string, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _QuoteReader(self.options)
