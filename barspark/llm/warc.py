@@ -283,11 +283,11 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_runs(runs: DataFrame, range_rows: int = 50_000, chunk: int = 1_000, sample_rows: int = 200_000) -> DataFrame:
     """The captures of ``runs`` (a written table of sorted runs) in global order of (url_key, captured_at).
 
-    Key ranges have about ``range_rows`` captures; their bounds come from about ``sample_rows`` rows.
+    Key ranges have about ``range_rows`` captures; their bounds come from 50 rows a range, at most about ``sample_rows``.
     """
     total = runs.count()
     ranges = total // range_rows + 1
-    share = F.pmod(F.xxhash64("archive", "offset"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(total, 1)))
+    share = F.pmod(F.xxhash64("archive", "offset"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, min(sample_rows, 50 * ranges) / max(total, 1)))
     keys = sorted(tuple(r) for r in runs.select(*KEYS).where(share).toLocalIterator())
     ranges = min(ranges, max(1, len(keys)))
     bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
