@@ -22,6 +22,7 @@ rows with equal sets link with each other, rows of one id that differ do not.
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm import pairs
-from barspark.llm.common import connected_components, fresh, join_counted, materialize, scratch
+from barspark.llm.common import connected_components, join_counted, materialize, scratch, without
 from barspark.llm.textvec import LETTERS, hashed_words, mix, text_slices
 
 U = np.uint64
@@ -76,20 +77,26 @@ def runs_needed(threshold: float, coords: int, branching: float, depth: int, rec
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, coords: int = 64, branching: float = 2.2, depth: int = 4, small: int = 2048, recall: float = 0.99999, seed: int = 3) -> DataFrame:
     """One row per document: id, class_id (smallest id of its connected class), n_links, kept."""
+    found = _classified(docs, id_col, text_col, n, threshold, coords, branching, depth, small, recall, seed)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links", "kept")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, *options) -> DataFrame:
+    """(id, tk, class_id, n_links, kept), written."""
     with scratch(docs.sparkSession):
-        found = _similar(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, threshold, coords, branching, depth, small, recall, seed)
-        return materialize(found.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")), outer=True)
+        found = _similar(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")), *options)
+        return materialize(found.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id"))), outer=True)
 
 
 def _sketched(docs: DataFrame, n: int, coords: int, seed: int) -> DataFrame:
-    """(id, h1, h2, size, sketch) of each document."""
+    """(id, tk, h1, h2, size, sketch) of each document (id, tk, text)."""
     mult, add = _odd(seed, coords), _odd(seed + 1, coords)
 
     def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, parts in text_slices(batch.column(1)):
+            for first, parts in text_slices(batch.column(2)):
                 d, s = shingles(parts, n)
-                ids = batch.column(0).slice(first, len(parts))
+                ids = [batch.column(c).slice(first, len(parts)) for c in range(2)]
                 starts = np.searchsorted(d, np.arange(len(parts)))
                 size = np.diff(np.append(starts, len(d)))
                 full = np.flatnonzero(size)
@@ -100,9 +107,9 @@ def _sketched(docs: DataFrame, n: int, coords: int, seed: int) -> DataFrame:
                         low[full, c] = np.minimum.reduceat((s * mult[c] + add[c]) >> U(32), starts[full]).astype("<u4")
                     h1[full], h2[full] = set_hashes(s, starts[full])
                 sketch = pa.array([r.tobytes() for r in low], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size.astype(np.int64)), sketch], ["id", "h1", "h2", "size", "sketch"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size.astype(np.int64)), sketch], ["id", "tk", "h1", "h2", "size", "sketch"])
 
-    return docs.mapInArrow(sketches, "id long, h1 long, h2 long, size long, sketch binary")
+    return docs.mapInArrow(sketches, "id long, tk long, h1 long, h2 long, size long, sketch binary")
 
 
 def set_hashes(s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,13 +233,19 @@ def _similar(docs: DataFrame, n: int, threshold: float, coords: int, branching:
     least_id = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least_id"))
     named = named.join(least_id, "component", "left").join(links, "rep", "left")
     named = materialize(named.select("h1", "h2", "size", "weight", F.coalesce("least_id", "id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    linked = join_counted(full.select("id", "h1", "h2", "size"), named, ["h1", "h2", "size"], "weight", F.col("id"))
-    alone = base.where("NOT (size > 0 AND id IS NOT NULL)").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.select("id", "class_id", F.col("n_links").cast("long").alias("n_links")).unionAll(alone)
+    linked = join_counted(full.select("id", "tk", "h1", "h2", "size"), named, ["h1", "h2", "size"], "weight", F.col("id"))
+    alone = base.where("NOT (size > 0 AND id IS NOT NULL)").select("id", "tk", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.select("id", "tk", "class_id", F.col("n_links").cast("long").alias("n_links")).unionAll(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the others of each class, with all their columns, whatever their names."""
-    name = fresh("gone")
-    gone = materialize(similar_documents(docs, **options).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), outer=True)
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    with scratch(docs.sparkSession):
+        found = _classified(docs, id_col, text_col, *({**_defaults(), **options}).values())
+        return without(docs, found.where("NOT kept").select("id", "tk"), id_col, text_col)
+
+
+def _defaults() -> dict:
+    """The options of :func:`similar_documents` after the columns."""
+    names = inspect.signature(similar_documents).parameters
+    return {k: p.default for k, p in names.items() if k not in ("docs", "id_col", "text_col")}

@@ -130,6 +130,8 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b), (4, b), (None, a), (5, None), (5, "")]
     got = sorted(((r["doc_id"] or 0), r["class_id"] or 0, r["n_links"], r["kept"]) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([(1, 1, 1, True), (1, 1, 3, True), (2, 1, 1, False), (3, 1, 3, False), (4, 1, 3, False), (4, 1, 3, False), (0, 0, 0, True), (5, 5, 0, True), (5, 5, 0, True)])
+    kept = jaccard.keep_one(spark.createDataFrame([(0, b, 7), (1, a, 7), (1, b, 7), (5, None, 7)], "doc_id long, text string, _gone int")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted([(0, b), (1, a), (5, "")])  # of id 1 the copy alone goes
     v = np.random.default_rng(1).normal(size=(3, 8))
     rows = [(1, v[0], 1), (1, v[1], 1), (3, 2 * v[1], 1), (2, v[0], 1), (2, v[0], 1), (7, v[2], 1), (7, None, 1), (8, v[2], 2)]
     frame = spark.createDataFrame([(i, None if x is None else [float(y) for y in x], m) for i, x, m in rows], "vec_id long, embedding array<double>, label int")
@@ -312,20 +314,64 @@ def test_spans(spark, texts):
     for i in (2, 4):
         assert 35 <= got[i]["words_removed"] <= 62
     assert got[2]["text"].startswith(texts[1][:40]) and got[2]["text"].endswith(texts[2].rstrip()[-40:])
-    # The global rule, by brute force: a run is removed wherever it is not the first of its kind.
-    seen, expect = {}, {i: set() for i in cases}
+    want = brute_spans(cases)
+    assert {i: got[i]["words_removed"] for i in cases} == {i: len(x) for i, x in want.items()}
+
+
+def brute_spans(cases: dict[int, str], window: int = 8, least: int = 20) -> dict[int, set[int]]:
+    """The words that go from each text, from the rule alone: only the hash of a word, which the cuts depend on, is shared."""
+    from barspark.llm.textvec import SPACED, words as hashed
+
+    seen, gone = set(), {}
     for i in sorted(cases):
-        first, h, _ = spans.sentences(cases[i].encode())
-        for s in range(len(first) - 1):
+        text = cases[i]
+        found = [(m.start(), m.group()) for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text)]
+        h = [int(hashed(w.encode(), SPACED)[0][0]) for _, w in found]
+        cuts = {0, len(found)}
+        for k in range(1, len(found)):
+            between = text[found[k - 1][0] + len(found[k - 1][1]) : found[k][0]]
+            if "\n" in between or found[k - 1][1][-1] in ".!?":
+                cuts.add(k)
+        for k in range(len(found) - window + 1):
+            low = min(h[k : k + window])
+            cuts.add(max(j for j in range(k, k + window) if h[j] == low) + 1)
+        at = sorted(cuts)
+        gone[i] = set()
+        for s in range(len(at) - 1):
             e = s + 2
-            while e < len(first) and first[e] - first[s] < spans.WORDS_PER_RUN:
+            while e < len(at) and at[e] - at[s] < least:
                 e += 1
-            if e < len(first):
-                key = tuple(h[first[s] : first[e]].tolist())
-                if key in seen:
-                    expect[i] |= set(range(s, e))
-                seen.setdefault(key, i)
-    assert {i: got[i]["n_removed"] for i in cases} == {i: len(x) for i, x in expect.items()}
+            if e < len(at):
+                run = tuple(w for _, w in found[at[s] : at[e]])
+                if run in seen:
+                    gone[i] |= set(range(at[s], at[e]))
+                seen.add(run)
+    return gone
+
+
+def test_spans_by_brute_force(spark):
+    """Random texts with shared passages, within and across documents; a run that most documents hold."""
+    rng = random.Random(12)
+    words = vocabulary(rng, 300)
+    pool = [prose(rng, words, rng.randint(25, 60)) for _ in range(6)]
+    cases = {i: " ".join(rng.choice([rng.choice(pool), pool[0], prose(rng, words, rng.randint(5, 40))]) for _ in range(rng.randint(1, 4))) for i in range(60)}
+    got = {r["doc_id"]: r["words_removed"] for r in spans.dedup_spans(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    want = brute_spans(cases)
+    assert got == {i: len(x) for i, x in want.items()} and sum(got.values()) > 500
+
+
+def test_heavy_values(spark):
+    rng = random.Random(2)
+    values = [7] * 400 + [8] * 150 + [rng.randint(100, 10**9) for _ in range(3000)]
+    rng.shuffle(values)
+    rows = spark.createDataFrame([(v,) for v in values], "run long").repartition(5)
+    got = {r[0] for r in common.heavy_values(rows, "run", support=20).collect()}
+    assert 7 in got and got <= {7, 8}
+    assert common.heavy_values(rows.where("run < 0"), "run").count() == 0
+    left = rows.where("run < 9").withColumn("x", F.monotonically_increasing_id())
+    right = spark.createDataFrame([(7, 400, "a"), (8, 150, "b")], "run long, n long, y string")
+    joined = common.join_counted(left, right, ["run"], "n", F.col("x"))
+    assert {tuple(r) for r in joined.groupBy("run", "y").count().collect()} == {(7, "a", 400), (8, "b", 150)}
 
 
 def test_spans_find_every_passage_of_51_words(spark):
