@@ -7,12 +7,11 @@ aggregation. A row's own posterior is left out of the sums that it meets, so no
 declared languages are split in the joins.
 
 The sample has about ``sample_rows`` distinct texts, spread evenly over the labels of the whole table (the
-``MAX_LABELS`` most frequent), picked by hash of the text; copies count once. Two things are measured on one half of it
-with a model of the other half. An extra hypothesis, ``und``, stands for text of no known language: it gives each
-trigram the same probability, lower than held-out labelled texts get from their language by a wide margin (see
-:func:`unknown_level`). And trigrams overlap, so their log likelihoods are weighed as at most ``effective`` independent
-ones, the number under which the held-out labels are most likely. A row is kept if the best hypothesis is a language
-with at least ``min_posterior``.
+``MAX_LABELS`` most frequent), picked by hash of the text; copies count once. Trigrams overlap, so their log likelihoods
+are weighed as at most ``effective`` independent ones: the number under which the labels of one half of the sample are
+most likely, by a model of the other half. An extra hypothesis, ``und``, stands for text of no known language: all cells
+of trigrams are equally likely there, so text has to be likelier in a language than noise. A row is kept if the best
+hypothesis is a language with at least ``min_posterior``.
 
 Defined results: null and empty texts and texts without a letter have no text evidence, are ``und`` and are not
 kept; a null host, suffix or declared language is a value of its own, ''; repeated rows each get their row; an empty
@@ -56,7 +55,6 @@ def trigrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class TextModel:
     languages: list[str]
     table: np.ndarray  # log probability by (cell, language)
-    unknown: float  # log probability of a trigram of no known language
     effective: float
 
 
@@ -79,13 +77,6 @@ def _log_table(found: pa.Table, names: list[str], halves: tuple[int, ...]) -> np
     return np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32)
 
 
-def unknown_level(mean: np.ndarray) -> float:
-    """From the mean log probability of a trigram in held-out texts: as far below their median as eight times the distance
-    from it to their lower quartile (about five standard deviations, if they were normal), at least one natural unit."""
-    middle, low = np.median(mean), np.quantile(mean, 0.25)
-    return float(middle - max(8 * (middle - low), 1.0))
-
-
 def best_weight(ll: np.ndarray, size: np.ndarray, label: np.ndarray) -> float:
     """The entry of EFFECTIVE under which the labels are most likely, given each text's log likelihoods by language."""
 
@@ -119,7 +110,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample
         found = sample.mapInArrow(count, "label string, half int, cell int, n long").groupBy("label", "half", "cell").agg(F.sum("n").alias("n")).toArrow()
         names = sorted(set(found["label"].to_pylist()))
         if not names:
-            return TextModel([], np.zeros((CELLS, 0), dtype=np.float32), -1e3, EFFECTIVE[0])
+            return TextModel([], np.zeros((CELLS, 0), dtype=np.float32), EFFECTIVE[0])
         table, own = _log_table(found, names, (0, 1)), _log_table(found, names, (0,))
 
         def held_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +125,10 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample
         seen = sample.where("half = 1").mapInArrow(held_out, "label string, size long, ll array<double>").where("size >= 20").toArrow()
     size = seen["size"].to_numpy()
     if len(size) < 20:
-        return TextModel(names, table, -11.0, 60.0)  # too few labelled texts to measure anything
+        return TextModel(names, table, 60.0)  # too few labelled texts to measure it
     label = np.searchsorted(np.array(names, dtype=object), np.array(seen["label"].to_pylist(), dtype=object))
     ll = np.array(seen["ll"].to_pylist())
-    return TextModel(names, table, unknown_level(ll[np.arange(len(ll)), label] / size), best_weight(ll, size, label))
+    return TextModel(names, table, best_weight(ll, size, label))
 
 
 def host_suffix(host: Column) -> Column:
@@ -152,7 +143,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
 
 
 def _identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, keys: dict[str, Column], smoothing: float, min_posterior: float) -> DataFrame:
-    langs, table, unknown, effective = model.languages, model.table, model.unknown, model.effective
+    langs, table, effective = model.languages, model.table, model.effective
     m, names = len(langs), list(keys)
     src = rows.select(*[c.alias(f"k_{k}") for k, c in keys.items()], F.coalesce(F.lower(declared), F.lit("")).alias("declared"), F.coalesce(F.lower(host), F.lit("")).alias("host"), text.alias("text"))
     n_keys = len(src.columns) - 1
@@ -164,7 +155,7 @@ def _identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
                 cells, at = trigrams(parts)
                 size = np.diff(at)
                 sums = np.concatenate([np.zeros((1, m)), np.cumsum(table[cells], axis=0, dtype=np.float64)])
-                ll = np.column_stack([sums[at[1:]] - sums[at[:-1]], size * unknown]) * np.minimum(1.0, effective / np.maximum(size, 1))[:, None]
+                ll = np.column_stack([sums[at[1:]] - sums[at[:-1]], -size * np.log(CELLS)]) * np.minimum(1.0, effective / np.maximum(size, 1))[:, None]
                 ll -= ll.max(axis=1, keepdims=True)
                 p = np.exp(ll)
                 p = p / p.sum(axis=1, keepdims=True) * (size > 0)[:, None]
