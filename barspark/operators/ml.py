@@ -168,6 +168,20 @@ def gaussian_nb(train: DataFrame, rows: DataFrame, features: Sequence[str], labe
     return rows.join(F.broadcast(classes)).select(*rows.columns, (-best["o"]).cast("int").alias("pred"))
 
 
+class NaiveBayes:
+    """:func:`gaussian_nb` as a model for :func:`grid_search`: its parameters are the class figures of the fitted rows."""
+
+    def __init__(self, features: Sequence[str], smoothing: float = 1e-9) -> None:
+        self.features, self.smoothing = list(features), smoothing
+
+    def fit(self, data: DataFrame) -> NaiveBayes:
+        self.train = data.select("label", *self.features)
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return gaussian_nb(self.train, rows, self.features, "label", self.smoothing).withColumn("prediction", F.col("pred").cast("double"))
+
+
 def knn(train: DataFrame, rows: DataFrame, features: Sequence[str], key: list[str], k: int = 5, label: str = "target", p: int = 2, weighted: bool = False, block: int = 4096) -> DataFrame:
     """(key, votes, pred): exact nearest neighbours. Train rows and queries are dealt into numbered blocks; in a task one
     block of queries meets one of train rows and keeps the k nearest, and the blocks' candidates are merged per query:

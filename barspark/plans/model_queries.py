@@ -103,6 +103,34 @@ l AS (SELECT r.symbol, r.timestamp, c.target, {_LL} AS ll FROM r, c WHERE split
 SELECT symbol, timestamp, arg_max(target, ll) AS pred FROM l GROUP BY ALL"""
 
 
+SMOOTHINGS = [1e-9, 0.1, 1.0]
+
+
+def grid_search_nb(s: SparkSession, d: str) -> DataFrame:
+    """Grid search over an exact model: the winner on val, refitted on train and val, reported on test."""
+    t = _plain(s, d).withColumn("label", F.col("target").cast("double"))
+    train, val, test = (t.where(F.col("split") == x) for x in ("train", "val", "test"))
+    build = lambda p, data: ml.NaiveBayes(FEATURES, p["smoothing"])
+    model, best, value = ml.grid_search(build, {"smoothing": SMOOTHINGS}, train, val)
+    return _report(model.transform(test)).withColumn("smoothing", F.lit(best["smoothing"])).withColumn("val_score", F.lit(round(value, 6)))
+
+
+def _nb_classes(name: str, where: str) -> str:
+    return f"""g{name} AS (SELECT count(*) AS total, greatest({', '.join(f'var_pop({f})' for f in FEATURES)}) AS top FROM r WHERE {where}),
+c{name} AS (SELECT target, count(*) AS n, {', '.join(f'avg({f}) AS m_{f}, var_pop({f}) AS v_{f}' for f in FEATURES)}, any_value(total) AS total, any_value(top) AS top FROM r, g{name} WHERE {where} GROUP BY target)"""
+
+
+def _nb_preds(classes: str, where: str, candidates: str) -> str:
+    return f"SELECT symbol, timestamp, y, smoothing, o, arg_max(target, ll) AS pred FROM (SELECT r.symbol, r.timestamp, r.target AS y, smoothing, o, c.target, {_LL.replace('1e-9', 'smoothing')} AS ll FROM r, {classes} c, {candidates} WHERE {where}) GROUP BY ALL"
+
+
+_CANDIDATES = ", ".join(f"(CAST({x} AS DOUBLE), {i})" for i, x in enumerate(SMOOTHINGS))
+_GRID_NB = f"""WITH r AS ({_ROWS}), k AS (SELECT * FROM (VALUES {_CANDIDATES}) AS v(smoothing, o)),
+{_nb_classes('t', "split = 'train'")}, {_nb_classes('b', "split IN ('train', 'val')")},
+w AS (SELECT smoothing, {dq._RATES['f1']} AS f1 FROM (SELECT smoothing, o, {dq._CONF} FROM ({_nb_preds('ct', "split = 'val'", 'k')}) GROUP BY ALL) ORDER BY f1 DESC, o LIMIT 1)
+SELECT tp, fp, fn, tn, {dq._cols(dq._RATES)}, smoothing, round(f1, 6) AS val_score FROM (SELECT {dq._CONF} FROM ({_nb_preds('cb', "split = 'test'", '(SELECT smoothing, 0 AS o FROM w)')})), w"""
+
+
 def knn(s: SparkSession, d: str) -> DataFrame:
     t = _plain(s, d)
     return ml.knn(t.where("split = 'train'"), t.where("split = 'test'"), FEATURES, ["symbol", "timestamp"], 5)
@@ -115,6 +143,7 @@ SELECT symbol, timestamp, CAST(sum(target) AS BIGINT) AS votes, CAST(sum(target)
 QUERIES |= {
     "gnb_predict": gnb,
     "knn_predict": knn,
+    "grid_search_nb": grid_search_nb,
     "decision_tree": _fitted(ml.decision_tree, max_depth=4),
     "random_forest": _fitted(ml.random_forest, n_estimators=10),
     "gbt": _fitted(ml.gradient_boosting),
@@ -128,4 +157,4 @@ QUERIES |= {
     "grid_search_refit": grid_search_refit,
     "unanimous_ensemble": ensemble,
 }
-ORACLE |= {"gnb_predict": _GNB, "knn_predict": _KNN}
+ORACLE |= {"gnb_predict": _GNB, "knn_predict": _KNN, "grid_search_nb": _GRID_NB}
