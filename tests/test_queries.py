@@ -5,15 +5,13 @@ import pytest
 from barspark.plans.catalog import ORACLE, QUERIES
 from tests.compare import SF, same_rows
 
-SLOW = {"linear_svc_sweep", "rff_svm", "mlp", "gmm_proba_features", "unanimous_ensemble"}
-
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_gives_the_same_rows(spark, name):
     same_rows(spark, QUERIES[name], ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
     spark.catalog.clearCache()
