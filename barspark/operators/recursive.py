@@ -1,7 +1,8 @@
 """Features whose value depends on the one before: Wilder averages, ATR, ADX, RSI, EMA.
 
 Each needs a symbol's bars in order and carries a state, so they run as one grouped pandas function per symbol (all
-features of a call in one pass). A symbol's history is one task's work; many symbols spread over the cluster.
+features of a call in one pass). A symbol's history is one task's work; many symbols spread over the cluster. A null or
+NaN price makes every later value of its symbol NaN: ``validate.null_counts`` finds them before.
 """
 
 from __future__ import annotations

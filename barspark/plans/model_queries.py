@@ -108,10 +108,13 @@ SMOOTHINGS = [1e-9, 0.1, 1.0]
 
 def grid_search_nb(s: SparkSession, d: str) -> DataFrame:
     """Grid search over an exact model: the winner on val, refitted on train and val, reported on test."""
-    t = _plain(s, d).withColumn("label", F.col("target").cast("double"))
+    t = _plain(s, d).withColumn("label", F.col("target").cast("double")).cache()
     train, val, test = (t.where(F.col("split") == x) for x in ("train", "val", "test"))
     build = lambda p, data: ml.NaiveBayes(FEATURES, p["smoothing"])
-    model, best, value = ml.grid_search(build, {"smoothing": SMOOTHINGS}, train, val)
+    try:
+        model, best, value = ml.grid_search(build, {"smoothing": SMOOTHINGS}, train, val)
+    finally:
+        t.unpersist()
     return _report(model.transform(test)).withColumn("smoothing", F.lit(best["smoothing"])).withColumn("val_score", F.lit(round(value, 6)))
 
 
