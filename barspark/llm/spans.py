@@ -90,9 +90,9 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     with scratch(docs.sparkSession):
         keyed = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
         rows = materialize(keyed.mapInArrow(hashed, f"id {dict(keyed.dtypes)['id']}, tk long, run long, start int"))
-        heavy = heavy_values(rows, "run")
+        heavy = [r[0] for r in heavy_values(rows, "run").collect()]  # fewer than 2 * HEAVY numbers
         place = F.struct(F.col("id").isNull().alias("last"), "id", "tk", "start")
-        firsts = rows.join(F.broadcast(heavy), "run", "left_semi").groupBy("run").agg(F.min(place).alias("known"))
+        firsts = rows.where(F.col("run").isin(heavy)).groupBy("run").agg(F.min(place).alias("known"))
         marked = rows.join(F.broadcast(firsts), "run", "left")
         part = F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "tk"), F.lit(PARTS)))
         # For a heavy run the window says nothing, its parts only spread it.
