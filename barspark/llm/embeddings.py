@@ -5,7 +5,8 @@ products with ``bits`` random hyperplanes; two vectors at the threshold's angle
 (1 - angle / pi) ** bits, and as many tables are made as the recall needs. ``bits`` follows from the number of
 classes, so that buckets keep their size as the table grows.
 
-Buckets are first searched with the sign bits of all tables alone (a few dozen bytes a class): the rows that differ in
+Buckets are first searched with the sign bits of all tables alone (and of more hyperplanes, where these are fewer than
+``SKETCH``; a few dozen bytes a class): the rows that differ in
 few enough bits from another one of their bucket go on, with six standard deviations allowed for at the threshold. Only
 to these their vectors are joined, and compared by exact cosine in double precision. A pair that meets in several
 tables counts in the first of these, which both rows know from their bits, so links are counted once without being
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from barspark.llm import pairs
 from barspark.llm.common import connected_components, join_counted, materialize, scratch
 
+#: Sign bits by which candidates are told.
+SKETCH = 256
+
 
 def tables_for(threshold: float, bits: int, recall: float) -> int:
     """Tables that find a pair of cosine ``threshold`` with probability ``recall``."""
@@ -60,7 +64,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         bits = min(40, max(4, round(math.log2(max(largest, 1) / bucket)) if largest > bucket else 4))
         n_tables = tables_for(threshold, bits, recall)
         turn = math.acos(threshold) / math.pi
-        most = math.floor(n_tables * bits * turn + 6 * math.sqrt(n_tables * bits * turn * (1 - turn)))
+        width = max(n_tables * bits, SKETCH)
+        most = math.floor(width * turn + 6 * math.sqrt(width * turn * (1 - turn)))
 
         def codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             planes: dict[int, np.ndarray] = {}
@@ -70,21 +75,21 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 for d in np.unique(lengths):
                     part = batch.take(pa.array(np.flatnonzero(lengths == d)))
                     if d not in planes:
-                        planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), n_tables * bits))
+                        planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), width))
                     x = _matrix(part.column("v"))
                     signs = x / np.abs(x).max(axis=1, keepdims=True) @ planes[d] > 0
-                    code = signs.reshape(len(x), n_tables, bits) @ weigh
+                    code = signs[:, : n_tables * bits].reshape(len(x), n_tables, bits) @ weigh
                     sketch = pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary())
                     for t in range(n_tables):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(code[:, t]), *[part.column(c) for c in ("part", "rep")], sketch], ["tab", "code", "part", "rep", "sketch"])
 
         def signs_of(table: pa.Table) -> np.ndarray:
             packed = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
-            return np.unpackbits(packed, axis=1, count=n_tables * bits)
+            return np.unpackbits(packed, axis=1, count=width)
 
         def first_met(linked: np.ndarray, tab: int, signs: np.ndarray) -> np.ndarray:
             """Without the pairs that have met in an earlier table."""
-            code = signs.reshape(len(signs), n_tables, bits)[:, :tab].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+            code = signs[:, : n_tables * bits].reshape(len(signs), n_tables, bits)[:, :tab].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
             i, j = np.nonzero(linked)
             for a in range(0, len(i), 100_000):
                 met = (code[i[a : a + 100_000]] == code[j[a : a + 100_000]]).any(axis=1)
@@ -94,7 +99,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         def maybe(key: tuple, table: pa.Table) -> np.ndarray:
             signs = signs_of(table)
             s = signs.astype(np.float32) * 2 - 1
-            linked = s @ s.T >= n_tables * bits - 2 * most
+            linked = s @ s.T >= width - 2 * most
             np.fill_diagonal(linked, False)
             return first_met(linked, key[0], signs)
 
