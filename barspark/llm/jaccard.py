@@ -187,11 +187,15 @@ def _similar(docs: DataFrame, n: int, threshold: float, coords: int, branching:
         some = np.flatnonzero(linked.any(axis=1))
         lower = [(i, p) for i in some for p in paths[i] if p < path]
         if lower:
-            rows, names = zip(*lower, strict=True)
-            _, col = np.unique(np.array(names), return_inverse=True)
-            held = np.zeros((len(linked), col.max() + 1), dtype=np.float32)
-            held[np.array(rows), col] = 1
-            linked &= held @ held.T == 0
+            rows, names = (np.array(x) for x in zip(*lower, strict=True))
+            _, col, n = np.unique(names, return_inverse=True, return_counts=True)
+            shared = n[col] > 1  # a path of one row alone is no meeting
+            _, col = np.unique(col[shared], return_inverse=True)
+            for a in range(0, col.max() + 1 if len(col) else 0, 512):
+                part = (col >= a) & (col < a + 512)
+                held = np.zeros((len(linked), 512), dtype=np.float32)
+                held[rows[shared][part], col[part] - a] = 1
+                linked &= held @ held.T == 0
         return linked
 
     def maybe(key: tuple, table: pa.Table) -> np.ndarray:

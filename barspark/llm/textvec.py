@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _PIECE = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
@@ -83,19 +84,20 @@ def words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         return mix(out + (ends - starts).astype(np.uint64) * np.uint64(_R)), starts, ends
 
 
-def text_slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as bytes) in slices of about ``limit`` bytes; null is empty. A longer text is alone."""
-    held: list[bytes] = []
-    first = size = 0
-    for i, t in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-        t = t or b""
-        if held and size + len(t) > limit:
-            yield first, held
-            held, first, size = [], i, 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield first, held
+def text_slices(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as bytes) in slices of about ``limit`` bytes; null is empty. A longer text is alone.
+
+    Only one slice is out of Arrow at a time, and what is computed on it is a small multiple of its size.
+    """
+    data = texts.cast(pa.large_binary())
+    size = np.asarray(pc.fill_null(pc.binary_length(data), 0), dtype=np.int64)
+    ends = np.cumsum(size)
+    first = 0
+    while first < len(size):
+        before = ends[first] - size[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, [t or b"" for t in data.slice(first, last - first).to_pylist()]
+        first = last
 
 
 def hashed_words(parts: list[bytes], table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
