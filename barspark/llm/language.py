@@ -63,8 +63,10 @@ def _sample(rows: DataFrame, text_col: str, label_col: str, sample_rows: int) ->
     labelled = rows.select(F.col(text_col).alias("text"), F.lower(label_col).alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
     counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
     each = sample_rows / max(len(counts), 1)
-    rates = rows.sparkSession.createDataFrame([(r["label"], min(1.0, each / r["count"])) for r in counts], "label string, rate double")
-    picked = labelled.join(F.broadcast(rates), "label").withColumn("tk", F.xxhash64("text"))
+    if not counts:
+        return labelled.where(F.lit(False)).select("label", F.lit(0).alias("half"), "text")
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, each / r["count"]))])  # at most MAX_LABELS
+    picked = labelled.withColumn("rate", F.try_element_at(rates, F.col("label"))).withColumn("tk", F.xxhash64("text"))
     picked = picked.where(F.pmod("tk", F.lit(1_000_000)) < F.col("rate") * 1_000_000)
     return picked.groupBy("label", "tk").agg(F.min("text").alias("text")).select("label", F.pmod(F.shiftright("tk", 32), F.lit(2)).cast("int").alias("half"), "text")
 
