@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barspark.llm import decontaminate, embeddings, interpolation, jaccard, language, licenses, lines, mixing, spans, warc
+from barspark.llm import codebooks, decontaminate, embeddings, interpolation, jaccard, language, licenses, lines, mixing, sharding, spans, warc, whitening
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,6 +118,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.assign_shards(_table(spark, sf_dir, "documents"), 8))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.digest(codebooks.compress(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -130,6 +142,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_line_dedup": op10_line_dedup,
+    "op11_shard_documents": op11_shard_documents,
+    "op12_whiten": op12_whiten,
+    "op13_compress_vectors": op13_compress_vectors,
 }
 
 ORACLE = {
@@ -139,4 +154,5 @@ ORACLE = {
     "op5_mix_sources": mixing.oracle_sql(),
     "op6_jaccard_join": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op13_compress_vectors": codebooks.oracle_sql(),
 }
