@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +96,14 @@ def _assigned(state: DataFrame, entries: np.ndarray, d: int, last: bool) -> Data
                 code = np.stack([f[0] for f in found], axis=1).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, parts), pa.int32()), pa.array(code.ravel()))
                 if last:
-                    error = sum(f[1].astype(object) for f in found)
-                    yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), lists, pa.array(error.tolist(), pa.int64())], ["id", "label", "code", "error"])
+                    error = [Decimal(int(e)) for e in sum(f[1].astype(object) for f in found)]
+                    yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), lists, pa.array(error, pa.decimal128(38, 0))], ["id", "label", "code", "error"])
                 else:
                     yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), piece.column("x"), piece.column("code"), lists], ["id", "label", "x", "was", "code"])
 
     kinds = dict(state.dtypes)
     kept = f"id {kinds['id']}, label {kinds['label']}, "
-    return state.mapInArrow(run, kept + ("code array<int>, error long" if last else "x array<long>, was array<int>, code array<int>"))
+    return state.mapInArrow(run, kept + ("code array<int>, error decimal(38,0)" if last else "x array<long>, was array<int>, code array<int>"))
 
 
 def changes(state: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -149,7 +150,7 @@ def compress(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     with scratch(spark):
         rows, d = integer_vectors(vectors, {"id": id_col, "label": label_col}, vector_col, scale)
         kinds = dict(rows.dtypes)
-        result = f"{id_col} {kinds['id']}, {label_col} {kinds['label']}, code array<int>, error long, label_error long, codebooks_sha256 string"
+        result = f"{id_col} {kinds['id']}, {label_col} {kinds['label']}, code array<int>, error decimal(38,0), label_error decimal(38,0), codebooks_sha256 string"
         if not d:
             return spark.createDataFrame([], result)
         fill = -d % parts
@@ -172,16 +173,17 @@ def compress(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
             delete(spark, place)
         # A null label is a label: the two columns tell it from every other.
         named = coded.withColumns({"no_label": F.col("label").isNull(), "name": F.coalesce(F.col("label").cast("string"), F.lit(""))})
-        sums = named.groupBy("no_label", "name").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+        sums = named.groupBy("no_label", "name").agg(F.sum("error").cast("decimal(38,0)").alias("label_error"), F.count("*").alias("n"))
         joined = join_counted(named, materialize(sums), ["no_label", "name"], "n", F.col("id"))
         out = joined.select(F.col("id").alias(id_col), F.col("label").alias(label_col), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
         return materialize(out, outer=True)
 
 
 def digest(coded: DataFrame) -> DataFrame:
-    """The columns of the registered query: the code as two hex digits a part."""
+    """The columns of the registered query: the code as two hex digits a part, errors as longs (null where no long can hold one)."""
     code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
-    return coded.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+    whole = [F.expr(f"try_cast({c} AS long)").alias(c) for c in ("error", "label_error")]
+    return coded.select("vec_id", code.alias("code"), *whole, "codebooks_sha256")
 
 
 def oracle_sql(rounds: int = 4) -> str:
