@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from barspark.operators.metrics import confusion, rates
 from barspark.operators.splits import balanced_weights, positive_weights
-from barspark.session import cut_lineage
+from barspark.operators.boosting import BoostedTrees
+from barspark.session import stages
 
 SEED = 42
 
@@ -56,6 +57,18 @@ def gradient_boosting(p: dict[str, Any], data: DataFrame) -> Estimator:
 gradient_boosting.weigh = positive_weights
 
 
+def extreme_boosting(p: dict[str, Any], data: DataFrame) -> BoostedTrees:
+    """Parameters and defaults as usual for extreme gradient boosting; without ``scale_pos_weight`` positives weigh n0 / n1 of the fitted rows."""
+    names = {"n_estimators": "rounds", "max_depth": "depth", "learning_rate": "rate", "reg_lambda": "l2", "gamma": "gamma", "min_child_weight": "min_child", "max_bin": "bins", "base_score": "base", "subsample": "subsample", "colsample_bytree": "columns", "scale_pos_weight": "positive"}
+    unknown = set(p) - set(names)
+    if unknown:
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
+    return BoostedTrees(**{names[k]: v for k, v in p.items()}, seed=SEED)
+
+
+extreme_boosting.weigh = positive_weights
+
+
 def perceptron(p: dict[str, Any], data: DataFrame) -> Estimator:
     width = data.select(F.size(vector_to_array("features"))).first()[0]
     return MultilayerPerceptronClassifier(layers=[width, *p.get("hidden", (16,)), 2], maxIter=p.get("max_iter", 100), stepSize=p.get("learning_rate", 0.03), seed=SEED)
@@ -73,7 +86,7 @@ def linear_svc(p: dict[str, Any], data: DataFrame) -> Estimator:
 class Boosted:
     """AdaBoost (SAMME for two classes) over weighted trees: one tree per round, weights as a column.
 
-    A round's weights are built on the round before; every ``cut`` rounds they are kept by a checkpoint, so that no round
+    A round's weights are built on the round before; every ``cut`` rounds they are written to the shared folder, so that no round
     scores more than ``cut`` trees.
     """
 
@@ -83,19 +96,20 @@ class Boosted:
     def fit(self, data: DataFrame) -> Boosted:
         self.trees: list[tuple[float, Model]] = []
         rows = data.select("features", "label", F.col("weight").alias("w"))
-        for k in range(self.rounds):
-            tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="w", seed=SEED + k).fit(rows)
-            wrong = tree.transform(rows).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
-            err = wrong.agg(F.sum(F.col("miss") * F.col("w")) / F.sum("w")).first()[0]
-            if err >= 0.5:
-                break
-            alpha = self.rate * math.log((1 - err) / max(err, 1e-10))
-            self.trees.append((alpha, tree))
-            if err <= 0:
-                break
-            rows = wrong.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
-            if (k + 1) % self.cut == 0:
-                rows = cut_lineage(rows)
+        with stages(data.sparkSession) as keep:
+            for k in range(self.rounds):
+                tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="w", seed=SEED + k).fit(rows)
+                wrong = tree.transform(rows).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
+                err = wrong.agg(F.sum(F.col("miss") * F.col("w")) / F.sum("w")).first()[0]
+                if err >= 0.5:
+                    break
+                alpha = self.rate * math.log((1 - err) / max(err, 1e-10))
+                self.trees.append((alpha, tree))
+                if err <= 0:
+                    break
+                rows = wrong.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
+                if (k + 1) % self.cut == 0:
+                    rows = keep(rows)
         return self
 
     def transform(self, data: DataFrame) -> DataFrame:

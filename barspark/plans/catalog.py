@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barspark.plans import bar_queries, desk_queries, feature_queries, model_queries
+from barspark.plans import bar_queries, desk_queries, feature_queries, fitted_queries, model_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (bar_queries, feature_queries, desk_queries, model_queries):
+for _module in (bar_queries, feature_queries, desk_queries, model_queries, fitted_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,17 +19,36 @@ def get_session(app: str = "barspark", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """``frame``, computed and kept by a reliable checkpoint, so that what is built on it does not compute it again.
+def _folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only a session on one machine (tests) without it gets one below its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``keep(frame)`` writes a frame to the shared folder and reads it back, so that what is built on it does not compute it again.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session on one machine (tests) without
-    it gets one below its warehouse.
+    Of a chain of frames two are there at a time: keeping one deletes the one before the last. All are deleted at the end.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return frame.checkpoint()
+    written: list[str] = []
+
+    def delete(path: str) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+    def keep(frame: DataFrame) -> DataFrame:
+        path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+        written.append(path)
+        frame.write.parquet(path)
+        if len(written) > 2:
+            delete(written.pop(0))
+        return spark.read.schema(frame.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in written:
+            delete(path)
