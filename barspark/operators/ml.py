@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.operators.metrics import confusion, rates
+from barspark.operators.neighbours import neighbour_votes as knn  # noqa: F401  one of the models
 from barspark.operators.splits import balanced_weights, positive_weights
 from barspark.operators.boosting import BoostedTrees
 from barspark.session import stages
@@ -196,44 +197,6 @@ class NaiveBayes:
         return gaussian_nb(self.train, rows, self.features, "label", self.smoothing).withColumn("prediction", F.col("pred").cast("double"))
 
 
-def knn(train: DataFrame, rows: DataFrame, features: Sequence[str], key: list[str], k: int = 5, label: str = "target", p: int = 2, weighted: bool = False, block: int = 4096) -> DataFrame:
-    """(key, votes, pred): exact nearest neighbours. Train rows and queries are dealt into numbered blocks; in a task one
-    block of queries meets one of train rows and keeps the k nearest, and the blocks' candidates are merged per query:
-    no pair is ever a row, and a task holds two blocks."""
-    names = list(features)
-    n_blocks, n_asked = max(1, -(-train.count() // block)), max(1, -(-rows.count() // block))
-    blocks = train.select(F.pmod(F.xxhash64(*key), F.lit(n_blocks)).cast("int").alias("b"), F.array(*[F.col(f).cast("double") for f in names]).alias("x"), F.col(label).cast("long").alias("y"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("tkey"))
-    blocks = blocks.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    asked = rows.select(*key, F.array(*[F.col(f).cast("double") for f in names]).alias("q"), F.pmod(F.xxhash64(*key), F.lit(n_asked)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    types = {c: t for c, t in rows.dtypes if c in key}
-    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", d array<double>, y array<long>, t array<string>"
-
-    def nearest(_, left, right):
-        import pandas as pd
-
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[*key, "d", "y", "t"])
-        right = right.sort_values("tkey", kind="stable")
-        x, y, t = np.array(right["x"].tolist()), right["y"].to_numpy(), right["tkey"].to_numpy()
-        out = []
-        for at in range(0, len(left), 512):
-            part = left.iloc[at : at + 512]
-            q = np.array(part["q"].tolist())
-            d = np.zeros((len(q), len(x)))
-            for j in range(x.shape[1]):
-                gap = np.abs(q[:, j][:, None] - x[:, j][None, :])
-                d += gap if p == 1 else gap * gap
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(part[key].assign(d=list(np.take_along_axis(d, best, 1)), y=list(y[best]), t=list(t[best])))
-        return pd.concat(out)
-
-    found = asked.groupBy("a", "b").cogroup(blocks.groupBy("a", "b")).applyInPandas(nearest, schema)
-    merged = found.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "t", "y")))), 1, k).alias("near"))
-    vote = (lambda n: F.when(n["d"] > 0, 1 / (F.sqrt(n["d"]) if p == 2 else n["d"])).otherwise(1e12)) if weighted else (lambda n: F.lit(1.0))
-    share = F.aggregate("near", F.lit(0.0), lambda a, n: a + n["y"] * vote(n)) / F.aggregate("near", F.lit(0.0), lambda a, n: a + vote(n))
-    return merged.select(*key, F.aggregate("near", F.lit(0).cast("long"), lambda a, n: a + n["y"]).alias("votes"), (share > 0.5).cast("int").alias("pred"))
-
-
 def kmeans_distances(train: DataFrame, rows: DataFrame, k: int = 8) -> DataFrame:
     """``rows`` with the distance to each of k centres appended as columns dist_0.."""
     centers = KMeans(k=k, seed=SEED).fit(train).clusterCenters()

@@ -135,8 +135,11 @@ SELECT tp, fp, fn, tn, {dq._cols(dq._RATES)}, smoothing, round(f1, 6) AS val_sco
 
 
 def knn(s: SparkSession, d: str) -> DataFrame:
-    t = _plain(s, d)
-    return ml.knn(t.where("split = 'train'"), t.where("split = 'test'"), FEATURES, ["symbol", "timestamp"], 5)
+    t = _plain(s, d).cache()
+    try:
+        return ml.knn(t.where("split = 'train'"), t.where("split = 'test'"), FEATURES, ["symbol", "timestamp"], 5)
+    finally:
+        t.unpersist()
 
 
 _DIST = " + ".join(f"(q.{f} - r.{f}) * (q.{f} - r.{f})" for f in FEATURES)

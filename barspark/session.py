@@ -52,3 +52,11 @@ def stages(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         for path in written:
             delete(path)
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """``frame``, computed and kept by a reliable checkpoint (``spark.cleaner.referenceTracking.cleanCheckpoints`` deletes it with the frame)."""
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(_folder(frame.sparkSession))
+    return frame.checkpoint()
