@@ -1,7 +1,7 @@
 """Backtests: relational for orders that are known, a grouped function for strategies that are code.
 
 Orders are (symbol, side, qty, type, submitted, seq). Market orders fill at the close of the first bar at or after
-their time; other types stay pending. The ledger is running sums; the average cost is a fold per symbol.
+their time; other types stay pending. The ledger is running sums, the average cost an affine scan, both by days.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import regulatory_fee, round_up_cent, slipped
+from barspark.operators.scans import affine_scan
 from barspark.operators.splits import ordinal
-from barspark.operators.windows import running_sum
+from barspark.operators.windows import running_sum, running_sums
 
 
 def with_ids(orders: DataFrame) -> DataFrame:
@@ -71,35 +72,44 @@ def oversells(book: DataFrame) -> DataFrame:
     return book.where("position < 0")
 
 
+def cost_basis(fills: DataFrame) -> DataFrame:
+    """``fills`` with the symbol's position, cost basis and average price after each, by (filled, seq), and the basis before it (basis_before).
+
+    A sale of s out of q takes the basis off at the average price, which leaves (1 - s / q) of it, and a position of 0
+    has none; with the running quantities known, that is an affine scan over days.
+    """
+    sign, qty = F.when(F.col("side") == "buy", 1).otherwise(-1), F.col("qty").cast("double")
+    order, day = ["filled", "seq"], F.to_date("filled")
+    held = running_sum(fills, "position", sign * qty, order, day, ["symbol"])
+    after, before = F.col("position"), F.col("position") - sign * qty
+    kept = F.when(F.col("side") == "buy", 1.0).when(after == 0, 0.0).when(before != 0, after / before).otherwise(1.0)
+    paid = F.when(F.col("side") == "buy", qty * F.col("price")).otherwise(0.0)
+    out = affine_scan(held, {"basis": (kept, paid)}, ["symbol"], order, day, before={"basis": "basis_before"})
+    return out.withColumn("avg_price", F.when(after != 0, F.col("basis") / after).otherwise(0.0))
+
+
 def average_cost(fills: DataFrame) -> DataFrame:
-    """Per symbol: quantity and cost basis after all fills; sales take the basis off at the average price."""
-    rows = fills.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("filled", "seq", "side", F.col("qty").cast("double").alias("qty"), "price"))).alias("f"))
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("basis"))
-    avg = lambda a: F.when(a["qty"] != 0, a["basis"] / a["qty"]).otherwise(0.0)
-    left = lambda a, f: a["qty"] - f["qty"]
-    step = lambda a, f: F.when(
-        f["side"] == "buy", F.struct((a["qty"] + f["qty"]).alias("qty"), (a["basis"] + f["qty"] * f["price"]).alias("basis"))
-    ).otherwise(F.struct(left(a, f).alias("qty"), F.when(left(a, f) == 0, 0.0).otherwise(a["basis"] - avg(a) * f["qty"]).alias("basis")))
-    done = rows.select("symbol", F.aggregate("f", zero, step).alias("s"))
-    return done.select("symbol", F.col("s.qty").alias("qty"), F.col("s.basis").alias("basis"), avg(F.col("s")).alias("avg_price")).where("qty <> 0")
+    """Per symbol that is held: quantity, cost basis and average price after all fills."""
+    last = F.max_by(F.struct("position", "basis", "avg_price"), F.struct("filled", "seq"))
+    done = cost_basis(fills).groupBy("symbol").agg(last.alias("s"))
+    return done.select("symbol", F.col("s.position").alias("qty"), F.col("s.basis").alias("basis"), F.col("s.avg_price").alias("avg_price")).where("qty <> 0")
 
 
 def equity_curve(fills: DataFrame, bars: DataFrame, cash: float) -> DataFrame:
-    """(timestamp, equity) at each bar time: cash plus the positions at their last close, or at their last fill's price
-    before a symbol's first bar.
+    """(timestamp, equity) at each bar time: cash, plus each position at its symbol's close, or at its average cost where the symbol has no bar at that time.
 
-    Per time and symbol the change of cash and of held value are summed; the curve is a running sum over times, by day.
+    All positions at cost are one running sum over times; a bar adds what its close makes of the position beyond that.
     """
-    sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    moves = fills.groupBy("symbol", F.col("filled").alias("timestamp")).agg(F.sum(sign * F.col("qty")).alias("dq"), F.sum(-sign * F.col("price") * F.col("qty") - F.col("fee")).alias("dc"), F.max_by("price", "seq").alias("p"))
-    both = bars.select("symbol", "timestamp", "close").join(moves, ["symbol", "timestamp"], "full_outer")
-    w = Window.partitionBy("symbol").orderBy("timestamp")
-    held = both.withColumn("q", F.sum(F.coalesce("dq", F.lit(0))).over(w)).withColumn("mark", F.last(F.coalesce("close", "p"), True).over(w))
-    value = F.col("q") * F.coalesce("mark", F.lit(0.0))
-    change = held.withColumn("dv", value - F.coalesce(F.lag(value).over(w), F.lit(0.0)) + F.coalesce("dc", F.lit(0.0)))
-    per_time = change.groupBy("timestamp").agg(F.sum("dv").alias("d"))
-    curve = running_sum(per_time, "equity", F.col("d"), ["timestamp"], F.to_date("timestamp"))
-    return curve.select("timestamp", (F.lit(cash) + F.col("equity")).alias("equity"))
+    sign, day = F.when(F.col("side") == "buy", 1).otherwise(-1), F.to_date("timestamp")
+    changes = {"dq": sign * F.col("qty"), "db": F.col("basis") - F.col("basis_before"), "dc": -sign * F.col("price") * F.col("qty") - F.col("fee")}
+    moves = cost_basis(fills).groupBy("symbol", F.col("filled").alias("timestamp")).agg(*[F.sum(v).alias(n) for n, v in changes.items()])
+    both = bars.select("symbol", "timestamp", "close", F.lit(True).alias("bar")).join(moves, ["symbol", "timestamp"], "full_outer")
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    held = running_sums(both, {"q": none("dq"), "b": none("db")}, ["timestamp"], day, ["symbol"])
+    beyond = F.when(F.col("close").isNotNull(), F.col("q") * F.col("close") - F.col("b")).otherwise(0.0)
+    per_time = held.groupBy("timestamp").agg(F.sum(none("dc") + none("db")).alias("d"), F.sum(beyond).alias("beyond"), F.max("bar").alias("bar"))
+    curve = running_sum(per_time, "book", F.col("d"), ["timestamp"], day).where("bar")
+    return curve.select("timestamp", (F.lit(cash) + F.col("book") + F.col("beyond")).alias("equity"))
 
 
 @dataclass

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,30 +16,30 @@ def pivot_close(reference: DataFrame, symbols: Sequence[str], value: str = "clos
     return reference.where(F.col("symbol").isin(list(symbols))).groupBy("timestamp").agg(*[F.max(F.when(F.col("symbol") == s, F.col(value))).alias(f"{prefix}{s}") for s in symbols])
 
 
-def close_vs_symbol(bars: DataFrame, reference: DataFrame, symbol: str) -> DataFrame:
+def close_vs_symbol(bars: DataFrame, reference: DataFrame, symbol: str, name: Callable[[str], str] = "close_{}_pct_diff".format) -> DataFrame:
     """:func:`close_vs_reference` for one symbol, which the reference must hold: ValueError where it is absent."""
     if reference.where(F.col("symbol") == symbol).isEmpty():
         raise ValueError(f"no bars of {symbol}")
-    return close_vs_reference(bars, reference, [symbol])
+    return close_vs_reference(bars, reference, [symbol], name)
 
 
-def close_vs_reference(bars: DataFrame, reference: DataFrame, symbols: Sequence[str]) -> DataFrame:
+def close_vs_reference(bars: DataFrame, reference: DataFrame, symbols: Sequence[str], name: Callable[[str], str] = "close_{}_pct_diff".format) -> DataFrame:
     """ratio0(close, the symbol's close at the same time), 0 where it has none; symbols in name order."""
     symbols = sorted(symbols)
     if not symbols:
         return bars
     joined = bars.join(pivot_close(reference, symbols), "timestamp", "left")
-    return joined.select(*[F.col(c) for c in bars.columns], *[ratio0(F.col("close"), F.col(f"_ref_{s}")).alias(f"close_{s}_pct_diff") for s in symbols])
+    return joined.select(*[F.col(c) for c in bars.columns], *[ratio0(F.col("close"), F.col(f"_ref_{s}")).alias(name(s)) for s in symbols])
 
 
-def reference_rsi(bars: DataFrame, reference: DataFrame, symbols: Sequence[str], period: int, flat: float = 50.0) -> DataFrame:
+def reference_rsi(bars: DataFrame, reference: DataFrame, symbols: Sequence[str], period: int, flat: float = 50.0, name: Callable[[str, int], str] = "rsi_{}_{}".format) -> DataFrame:
     """The reference symbols' RSI, each on its own history, at the same time; 0 where there is none."""
     symbols = sorted(symbols)
     if not symbols:
         return bars
     with_rsi = recursive_features(reference.where(F.col("symbol").isin(symbols)), rsi=[period], flat=flat)
     joined = bars.join(pivot_close(with_rsi, symbols, f"rsi_{period}"), "timestamp", "left")
-    return joined.select(*[F.col(c) for c in bars.columns], *[F.coalesce(F.col(f"_ref_{s}"), F.lit(0.0)).alias(f"rsi_{s}_{period}") for s in symbols])
+    return joined.select(*[F.col(c) for c in bars.columns], *[F.coalesce(F.col(f"_ref_{s}"), F.lit(0.0)).alias(name(s, period)) for s in symbols])
 
 
 def pair_align(bars: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,96 +1,97 @@
 """Features whose value depends on the one before: Wilder averages, ATR, ADX, RSI, EMA.
 
-Each needs a symbol's bars in order and carries a state, so they run as one grouped pandas function per symbol (all
-features of a call in one pass). A symbol's history is one task's work; many symbols spread over the cluster. A null or
-NaN price makes every later value of its symbol NaN: ``validate.null_counts`` finds them before.
+Each is a recurrence x = a * (x before) + b whose a and b follow from a bar, the bar before and the bar's number, so
+all run as affine scans over days (see :mod:`scans`): a symbol's history spreads over as many tasks as it has days.
+A Wilder average with period p adds up 1 / p of each of the first p values, which gives their mean, and goes on from
+there. ADX takes a second scan over the directional indicators of the first. A null or NaN price makes every later
+value of its symbol NaN: ``validate.null_counts`` finds them before.
+
+A scan reads its input twice, so bars that are expensive to make should be cached or written before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from barspark.functions.scalars import at_least
+from barspark.operators.scans import affine_scan, block_places
 
+def _from(k: int) -> Column:
+    """Rows from number ``k`` on."""
+    return F.col("_k") >= k
 
-def wilder(x: np.ndarray, p: int) -> np.ndarray:
-    """The first value, at p - 1, is the mean of p; then (old * (p - 1) + x) / p. Zeros before."""
-    out = np.zeros(len(x))
-    if len(x) >= p:
-        last = out[p - 1] = x[:p].mean()
-        for i in range(p, len(x)):
-            last = out[i] = (last * (p - 1) + x[i]) / p
-    return out
-
-
-def ranges(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    tr = high - low
-    tr[1:] = np.maximum(tr[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
-    return tr
-
-
-def movements(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
-    return np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
 
+def wilder(x: Column, p: int, first: int = 0) -> tuple[Column, Column]:
+    """The map of a Wilder average over the values from row ``first`` on: their mean at row first + p - 1, then (old * (p - 1) + x) / p."""
+    a = F.when(_from(first + p), (p - 1) / p).otherwise(1.0)
+    return a, F.when(_from(first), x / p).otherwise(0.0)
 
-def rsi_values(close: np.ndarray, p: int, flat: float) -> np.ndarray:
-    """Zeros up to index p - 1; without losses 100, or ``flat`` where there are no gains either."""
-    change = np.diff(close)
-    gain, loss = np.maximum(change, 0), np.maximum(-change, 0)
-    out = np.zeros(len(close))
-    if len(close) > p:
-        g, s = gain[:p].mean(), loss[:p].mean()
-        for i in range(p, len(close)):
-            if i > p:
-                g, s = (g * (p - 1) + gain[i - 1]) / p, (s * (p - 1) + loss[i - 1]) / p
-            out[i] = 100 - 100 / (1 + g / s) if s > 0 else 100.0 if g > 0 else flat
-    return out
 
+def smoothed(x: Column, span: int) -> tuple[Column, Column]:
+    alpha = 2 / (span + 1)
+    return F.when(_from(1), 1 - alpha).otherwise(0.0), F.when(_from(1), alpha * x).otherwise(x)
 
-def ema_values(x: np.ndarray, span: int) -> np.ndarray:
-    out, alpha = np.empty(len(x)), 2 / (span + 1)
-    last = x[0] if len(x) else 0.0
-    for i in range(len(x)):
-        last = out[i] = last + alpha * (x[i] - last)
-    return out
 
+def _share(a: Column, b: Column) -> Column:
+    """100 a / b, 0 where b is not above 0; NaN stays."""
+    return F.when(F.isnan(b), b).when(b > 0, 100 * a / b).otherwise(0.0)
 
-def _ratio0(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    ok = np.isfinite(a) & np.isfinite(b) & (b > 0)
-    return np.where(ok, (a - b) / np.where(ok, b, 1), 0.0)
 
+def recursive_features(bars: DataFrame, *, atr: Sequence[int] = (), adx: Sequence[int] = (), rsi: Sequence[int] = (), ema: Sequence[int] = (), flat: float = 50.0, name: Callable[[str, int], str] | None = None) -> DataFrame:
+    """Adds atr_p, plus_di_p, minus_di_p, adx_p, rsi_p and close_ema_s_pct_diff. ``flat``: the RSI of a flat market. ``name`` gives other
+    names: of a kind (atr, plus_di, minus_di, adx, rsi, ema) and a period.
 
-def recursive_features(bars: DataFrame, *, atr: Sequence[int] = (), adx: Sequence[int] = (), rsi: Sequence[int] = (), ema: Sequence[int] = (), flat: float = 50.0) -> DataFrame:
-    """Adds atr_p, plus_di_p, minus_di_p, adx_p, rsi_p and close_ema_s_pct_diff. ``flat``: the RSI of a flat market."""
+    Values not known yet are 0: up to row p - 2 for averages, p - 1 for the RSI, s - 2 for the EMA.
+    """
     for p in (*atr, *adx, *ema):
         at_least("period", p, 1)
     for p in rsi:
         at_least("RSI period", p, 2 if flat == 50.0 else 1)
-    names = [f"atr_{p}" for p in atr] + [f"{k}_{p}" for p in adx for k in ("plus_di", "minus_di", "adx")] + [f"rsi_{p}" for p in rsi] + [f"close_ema_{s}_pct_diff" for s in ema]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp", kind="stable")
-        high, low, close = (pdf[c].to_numpy(dtype=float) for c in ("high", "low", "close"))
-        tr = ranges(high, low, close)
-        new = {f"atr_{p}": wilder(tr, p) for p in atr}
-        plus, minus = movements(high, low)
-        for p in adx:
-            t, a, b = wilder(tr, p), wilder(plus, p), wilder(minus, p)
-            safe = np.where(t > 0, t, 1)
-            a, b = np.where(t > 0, 100 * a / safe, 0.0), np.where(t > 0, 100 * b / safe, 0.0)
-            dx = np.where(a + b > 0, 100 * np.abs(a - b) / np.where(a + b > 0, a + b, 1), 0.0)
-            new |= {f"plus_di_{p}": a, f"minus_di_{p}": b, f"adx_{p}": wilder(dx, p)}
-        new |= {f"rsi_{p}": rsi_values(close, p, flat) for p in rsi}
-        for s in ema:
-            e = ema_values(close, s)
-            e[: s - 1] = 0
-            new[f"close_ema_{s}_pct_diff"] = _ratio0(close, e)
-        return pdf.assign(**new)
-
-    schema = StructType([*bars.schema.fields, *[StructField(n, DoubleType()) for n in names]])
-    return bars.groupBy("symbol").applyInPandas(one, schema)
+    day, order, own = F.to_date("timestamp"), ["timestamp"], ["symbol"]
+    high, low, close = (F.col(c).cast("double") for c in ("high", "low", "close"))
+    placed = block_places(bars, own, order, day, {"_ph": high, "_pl": low, "_pc": close}, "_k")
+    first = ~_from(1)
+    ranged = F.when(first, high - low).otherwise(F.greatest(high - low, F.abs(high - F.col("_pc")), F.abs(low - F.col("_pc"))))
+    up, down = high - F.col("_ph"), F.col("_pl") - low
+    steps = {
+        "_tr": F.when(high.isNull() | low.isNull() | (~first & F.col("_pc").isNull()), float("nan")).otherwise(ranged),
+        "_plus": F.when(~first & (up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when(~first & (down > up) & (down > 0), down).otherwise(0.0),
+        "_gain": F.when(first, 0.0).otherwise(_above(close - F.col("_pc"))), "_loss": F.when(first, 0.0).otherwise(_above(F.col("_pc") - close)),
+    }
+    rows = placed.withColumns(steps)
+    maps = {f"_tr_{p}": wilder(F.col("_tr"), p) for p in {*atr, *adx}}
+    maps |= {f"_{s}_{p}": wilder(F.col(f"_{s}"), p) for p in adx for s in ("plus", "minus")}
+    maps |= {f"_{s}_{p}": wilder(F.col(f"_{s}"), p, 1) for p in rsi for s in ("gain", "loss")}
+    maps |= {f"_ema_{s}": smoothed(close, s) for s in ema}
+    known = lambda x, k: F.when(_from(k), x).otherwise(F.when(F.isnan(x), x).otherwise(0.0))
+    out: dict[tuple[str, int], Column] = {}
+    if maps:
+        rows = affine_scan(rows, maps, own, order, day)
+    if adx:
+        di = {f"_{s}_di_{p}": known(_share(F.col(f"_{s}_{p}"), F.col(f"_tr_{p}")), p - 1) for p in adx for s in ("plus", "minus")}
+        rows = rows.withColumns(di)
+        gap = {p: _share(F.abs(F.col(f"_plus_di_{p}") - F.col(f"_minus_di_{p}")), F.col(f"_plus_di_{p}") + F.col(f"_minus_di_{p}")) for p in adx}
+        rows = affine_scan(rows, {f"_dx_{p}": wilder(gap[p], p) for p in adx}, own, order, day)
+    for p in atr:
+        out["atr", p] = known(F.col(f"_tr_{p}"), p - 1)
+    for p in adx:
+        out |= {("plus_di", p): F.col(f"_plus_di_{p}"), ("minus_di", p): F.col(f"_minus_di_{p}"), ("adx", p): known(F.col(f"_dx_{p}"), p - 1)}
+    for p in rsi:
+        g, s = F.col(f"_gain_{p}"), F.col(f"_loss_{p}")
+        value = F.when(F.isnan(g) | F.isnan(s), float("nan")).when(s > 0, 100 - 100 / (1 + g / s)).when(g > 0, 100.0).otherwise(flat)
+        out["rsi", p] = known(value, p)
+    for span in ema:
+        e = known(F.col(f"_ema_{span}"), span - 1)
+        fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        out["ema", span] = F.when(fine(close) & fine(e) & (e > 0), (close - e) / e).otherwise(0.0)
+    usual = lambda kind, p: f"close_ema_{p}_pct_diff" if kind == "ema" else f"{kind}_{p}"
+    return rows.select(*bars.columns, *[c.alias((name or usual)(*k)) for k, c in out.items()])
+
+
+def _above(x: Column) -> Column:
+    """The part above 0; unknown values stay unknown."""
+    return F.when(x.isNull() | F.isnan(x), float("nan")).otherwise(F.greatest(x, F.lit(0.0)))
+

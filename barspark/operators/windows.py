@@ -36,17 +36,24 @@ def trailing(spec: WindowSpec, n: int) -> WindowSpec:
 
 
 def running_sum(frame: DataFrame, name: str, value: Column, order: list[str], block: Column, own: list[str] | None = None) -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to this one in ``order``, per ``own`` columns.
+    """:func:`running_sums` of one value."""
+    return running_sums(frame, {name: value}, order, block, own)
+
+
+def running_sums(frame: DataFrame, values: dict[str, Column], order: list[str], block: Column, own: list[str] | None = None) -> DataFrame:
+    """Adds, for each name, the sum of its value over all rows up to this one in ``order``, per ``own`` columns.
 
     ``block`` must grow with the order (a day of the first order column, say): sums per block, a small table, give each
     block's start, and the rest is a window per block, so no task holds all rows.
     """
-    own = own or []
-    rows = frame.withColumn("_value", value).withColumn("_block", block)
-    starts = rows.groupBy(*own, "_block").agg(F.sum("_value").alias("_total"))
-    starts = starts.withColumn("_start", F.sum("_total").over(Window.partitionBy(*own).orderBy("_block")) - F.col("_total")).withColumnsRenamed({c: f"_own_{c}" for c in own}).withColumnRenamed("_block", "_own_block")
+    own, names = own or [], list(values)
+    rows = frame.withColumns({f"_value_{n}": v for n, v in values.items()}).withColumn("_block", block)
+    starts = rows.groupBy(*own, "_block").agg(*[F.sum(f"_value_{n}").alias(f"_total_{n}") for n in names])
+    blocks = Window.partitionBy(*own).orderBy("_block")
+    starts = starts.withColumns({f"_start_{n}": F.sum(f"_total_{n}").over(blocks) - F.col(f"_total_{n}") for n in names}).withColumnsRenamed({c: f"_own_{c}" for c in own}).withColumnRenamed("_block", "_own_block")
     met = F.col("_block").eqNullSafe(F.col("_own_block"))
     for c in own:
         met = met & F.col(c).eqNullSafe(F.col(f"_own_{c}"))
-    within = F.sum("_value").over(Window.partitionBy(*own, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(starts, met, "left").withColumn(name, F.col("_start") + within).select(*frame.columns, name)
+    within = Window.partitionBy(*own, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(starts, met, "left")
+    return joined.select(*[c for c in frame.columns if c not in names], *[(F.col(f"_start_{n}") + F.sum(f"_value_{n}").over(within)).alias(n) for n in names])

@@ -208,16 +208,25 @@ _LEDGER = f"SELECT *, {CASH} + sum(-({_SGN}) * price * qty - fee) OVER (ORDER BY
 register("ledger_cash_qty", lambda s, d: rounded(backtest.ledger(fills(s, d), CASH).select("symbol", "seq", "filled", "cash", "position"), "cash"), f"SELECT symbol, seq, filled, {r6('cash')} AS cash, position FROM ({_LEDGER})")
 register("oversell_violations", lambda s, d: backtest.oversells(backtest.ledger(fills(s, d).where("side = 'sell' OR dayofmonth(filled) < 4"), CASH)).select("symbol", "seq", "position"), f"SELECT symbol, seq, position FROM ({_LEDGER.replace(f'FROM ({_FILLS})', f"FROM ({_FILLS}) WHERE side = 'sell' OR day(filled) < 4")}) WHERE position < 0")
 _SEQF = f"f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filled, seq) AS k FROM ({_FILLS}))"
+_AVG = "CASE WHEN q <> 0 THEN basis / q ELSE 0 END"
+_STEP = f"CASE WHEN side = 'buy' THEN basis + qty * price WHEN q - qty = 0 THEN 0.0 ELSE basis - {_AVG} * qty END"
+_BASIS = f"""{_SEQF}, r AS (
+SELECT symbol, k, filled, seq, CAST(({_SGN}) * qty AS DOUBLE) AS q, CASE WHEN side = 'buy' THEN qty * price ELSE 0.0 END AS basis FROM f WHERE k = 1
+UNION ALL SELECT f.symbol, f.k, f.filled, f.seq, q + ({_SGN}) * qty, {_STEP} FROM r JOIN f ON f.symbol = r.symbol AND f.k = r.k + 1)"""
 register(
     "avg_cost_basis", lambda s, d: rounded(backtest.average_cost(fills(s, d)), "qty", "basis", "avg_price"),
-    f"WITH RECURSIVE {_SEQF}, r AS (SELECT symbol, k, CAST(CASE WHEN side = 'buy' THEN qty ELSE -qty END AS DOUBLE) AS q, CASE WHEN side = 'buy' THEN qty * price ELSE 0.0 END AS basis FROM f WHERE k = 1 UNION ALL SELECT f.symbol, f.k, CASE WHEN side = 'buy' THEN q + qty ELSE q - qty END, CASE WHEN side = 'buy' THEN basis + qty * price WHEN q - qty = 0 THEN 0.0 ELSE basis - CASE WHEN q <> 0 THEN basis / q ELSE 0 END * qty END FROM r JOIN f ON f.symbol = r.symbol AND f.k = r.k + 1), "
-    f"z AS (SELECT symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM r GROUP BY symbol) SELECT symbol, {r6('q')} AS qty, {r6('basis')} AS basis, {r6('basis / q')} AS avg_price FROM z WHERE q <> 0",
+    f"WITH RECURSIVE {_BASIS}, z AS (SELECT symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM r GROUP BY symbol) SELECT symbol, {r6('q')} AS qty, {r6('basis')} AS basis, {r6('basis / q')} AS avg_price FROM z WHERE q <> 0",
 )
 register(
-    "equity_curve", lambda s, d: rounded(backtest.equity_curve(fills(s, d), hourly(s, d), CASH), "equity"),
-    f"WITH f AS ({_FILLS}), b AS ({HOURLY}), t AS (SELECT DISTINCT timestamp FROM b), m AS (SELECT t.timestamp, s.symbol, (SELECT last(close ORDER BY b.timestamp) FROM b WHERE b.symbol = s.symbol AND b.timestamp <= t.timestamp) AS mark FROM t, (SELECT DISTINCT symbol FROM b) s), "
-    f"p AS (SELECT t.timestamp, f.symbol, sum(({_SGN}) * qty) AS q, sum(-({_SGN}) * price * qty - fee) AS c FROM t JOIN f ON f.filled <= t.timestamp GROUP BY ALL) SELECT t.timestamp, {r6(f'{CASH} + coalesce(sum(c + q * mark), 0)')} AS equity FROM t LEFT JOIN p USING (timestamp) LEFT JOIN m ON m.timestamp = p.timestamp AND m.symbol = p.symbol GROUP BY t.timestamp",
+    "cost_basis_ledger", lambda s, d: rounded(backtest.cost_basis(fills(s, d)).select("symbol", "seq", "filled", "position", "basis", "avg_price"), "position", "basis", "avg_price"),
+    f"WITH RECURSIVE {_BASIS} SELECT symbol, seq, filled, {r6('q')} AS position, {r6('basis')} AS basis, {r6(_AVG)} AS avg_price FROM r",
 )
+_EQUITY = f"""WITH RECURSIVE {_BASIS}, b AS ({HOURLY}), t AS (SELECT DISTINCT timestamp FROM b),
+h AS (SELECT t.timestamp, r.symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM t JOIN r ON r.filled <= t.timestamp GROUP BY ALL),
+c AS (SELECT t.timestamp, sum(-({_SGN}) * price * qty - fee) AS cash FROM t JOIN f ON f.filled <= t.timestamp GROUP BY ALL),
+v AS (SELECT h.timestamp, sum(q * coalesce(close, {_AVG})) AS held FROM h LEFT JOIN b ON b.symbol = h.symbol AND b.timestamp = h.timestamp GROUP BY ALL)
+SELECT timestamp, {r6(f'{CASH} + coalesce(cash, 0) + coalesce(held, 0)')} AS equity FROM t LEFT JOIN c USING (timestamp) LEFT JOIN v USING (timestamp)"""
+register("equity_curve", lambda s, d: rounded(backtest.equity_curve(fills(s, d), hourly(s, d), CASH), "equity"), _EQUITY)
 register(
     "order_violations", lambda s, d: backtest.order_violations(orders(s, d).withColumn("qty", F.when(F.dayofmonth("submitted") == 5, 0).otherwise(F.col("qty")))).select("symbol", "seq", "violation"),
     f"SELECT symbol, seq, CASE WHEN qty <= 0 THEN 'quantity must be above 0' ELSE 'limit price missing' END AS violation FROM (SELECT * REPLACE (CASE WHEN day(submitted) = 5 THEN 0 ELSE qty END AS qty) FROM ({_ORDERS})) WHERE qty <= 0 OR type = 'limit'",
