@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.cross import pair_align
+from barspark.operators.selection import exact_median
 from barspark.operators.windows import SESSION, with_trade_date
 
 
@@ -61,10 +62,13 @@ def pair_returns(bars: DataFrame, a: str, b: str, horizon: int) -> DataFrame:
 
 
 def band_stats(pairs: DataFrame, low: float, high: float) -> DataFrame:
-    """Where a's return is in [low, high]: b's n, mean, median, sample std, mean of the sum, and its share in [-high, -low]."""
+    """Where a's return is in [low, high]: b's n, mean, median, sample std, mean of the sum, and its share in [-high, -low].
+
+    The median is found when this is called, by counts (see :mod:`selection`).
+    """
     rows = pairs.where(F.col("ret_a").isNotNull() & F.col("ret_b").isNotNull() & F.col("ret_a").between(low, high))
     mirror = F.col("ret_b").between(-high, -low)
-    return rows.agg(F.count("*").alias("n"), F.avg("ret_b").alias("mean"), F.median("ret_b").alias("median"), F.stddev_samp("ret_b").alias("std"), F.avg(F.col("ret_a") + F.col("ret_b")).alias("mean_sum"), F.count_if(mirror).alias("n_mirror"), F.try_divide(F.count_if(mirror), F.count("*")).alias("share_mirror"))
+    return rows.agg(F.count("*").alias("n"), F.avg("ret_b").alias("mean"), F.lit(exact_median(rows, "ret_b")).cast("double").alias("median"), F.stddev_samp("ret_b").alias("std"), F.avg(F.col("ret_a") + F.col("ret_b")).alias("mean_sum"), F.count_if(mirror).alias("n_mirror"), F.try_divide(F.count_if(mirror), F.count("*")).alias("share_mirror"))
 
 
 def exit_summary(trades: DataFrame) -> DataFrame:

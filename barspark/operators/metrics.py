@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barspark.operators.selection import exact_median
+
 
 def _zero(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -70,4 +72,6 @@ def best_thresholds(sweep: DataFrame, k: int = 15) -> DataFrame:
 
 
 def score_summary(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.min("score").alias("min_score"), F.median("score").alias("median_score"), F.max("score").alias("max_score"))
+    """Smallest, median and largest score; the median is found when this is called, by counts (see :mod:`selection`)."""
+    middle = F.lit(exact_median(scores, "score")).cast("double")
+    return scores.agg(F.min("score").alias("min_score"), F.max("score").alias("max_score")).select("min_score", middle.alias("median_score"), "max_score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.selection import with_smallest
 from barspark.operators.windows import running_sum
 
 
@@ -37,8 +38,8 @@ def split_stats(frame: DataFrame, target: str) -> DataFrame:
 def downsample(frame: DataFrame, label: str, keys: list[str], seed: int = 42, only_negatives: bool = False) -> DataFrame:
     """As many rows of the larger class as the smaller has, picked by a hash of the keys and the seed.
 
-    A threshold on the hash is found from counts per hash bucket, so no class is sorted in one task; only the bucket
-    on the border is ranked. ``only_negatives``: positives are never dropped. Without a smaller class nothing changes.
+    A threshold on the hash is found digit by digit, so that no class is sorted in one task; only the few rows on the
+    border are ranked. ``only_negatives``: positives are never dropped. Without a smaller class nothing changes.
     """
     counts = {r[0]: r[1] for r in frame.groupBy(label).count().collect()}
     neg, pos = counts.get(0, 0), counts.get(1, 0)
@@ -46,17 +47,8 @@ def downsample(frame: DataFrame, label: str, keys: list[str], seed: int = 42, on
     if not min(neg, pos) or neg == pos or (only_negatives and big == 1):
         return frame
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-    hashed = frame.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 2))
-    before, edge = 0, None
-    for r in hashed.where(F.col(label) == big).groupBy("_b").count().orderBy("_b").collect():  # 256 buckets
-        if before + r[1] >= keep:
-            edge = r[0]
-            break
-        before += r[1]
-    border = hashed.where((F.col(label) == big) & (F.col("_b") == edge))
-    ranked = border.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))).where(F.col("_r") <= keep - before).drop("_r")
-    rest = hashed.where((F.col(label) != big) | (F.col("_b") < edge))
-    return rest.unionByName(ranked).drop("_h", "_b")
+    # Rows without a label were never picked from: they stay out, as rows of neither class.
+    return with_smallest(frame, digest, keep, F.col(label) == big, keys).where((F.col(label) != big) | F.col("_in")).drop("_in")
 
 
 def zscore_splits(frame: DataFrame, features: list[str]) -> DataFrame:
