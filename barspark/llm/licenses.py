@@ -13,7 +13,9 @@ The sequence is matched against the licence rules in their order: a rule is a se
 one another, an unknown sentence breaks it, and what a rule matches is used up, so that a longer rule takes precedence.
 A rule may ask for the end of the text (``$``): two-clause BSD needs its disclaimer or the end after its clauses, so a
 text with one more clause, known or not, is never called by that name. What the rules leave is named by sentences that
-stand for a licence alone. All of it happens within a row: nothing is shuffled.
+stand for a licence alone. A grant that is followed by a sentence that is not known, at once or after sentences of its
+own licence, is no such name: the text is an "unknown variant of" that licence (a grant with one more condition, say).
+All of it happens within a row: nothing is shuffled.
 
 Defined results: null and empty texts have no sentences; a licence that occurs twice is named once; documents
 without known sentences get empty lists; repeated documents each get their row; other columns are ignored.
@@ -125,6 +127,17 @@ RULES = [
 # Sentences that name a licence by themselves.
 ALONE = {"mit-grant": "MIT", "apache-grant": "Apache-2.0", "isc-grant": "ISC", "isc-grant-2": "ISC", "0bsd-grant": "0BSD", "zlib-grant": "Zlib", "bsl-grant": "BSL-1.0", "bsl-line": "BSL-1.0", "unlicense": "Unlicense", "cc0-line": "CC0-1.0", "cc0-waived": "CC0-1.0", "mpl2-grant": "MPL-2.0", "epl2-grant": "EPL-2.0", "epl1-grant": "EPL-1.0"}
 
+# Grants that name a licence only where no stranger stands between them and the sentences that belong to them.
+GRANTS = {
+    "MIT": (["mit-grant"], ["mit-notice", "mit-notice-2", "mit-warranty", "mit-liability"]),
+    "ISC": (["isc-grant", "isc-grant-2"], ["isc-warranty", "isc-liability"]),
+    "0BSD": (["0bsd-grant"], ["isc-warranty", "isc-liability"]),
+    "Zlib": (["zlib-grant"], ["zlib-warranty", "zlib-liability"]),
+    "BSL-1.0": (["bsl-grant"], ["mit-warranty", "mit-liability"]),
+}
+#: The same as (pattern, replacement) on the joined identifiers: a grant, its own sentences, a sentence that is not known.
+VARIANTS = [(f",(?:{'|'.join(grants)}),(?:,(?:{'|'.join(own)}),)*,[?],", f",variant-{name},") for name, (grants, own) in GRANTS.items()]
+
 #: Every known sentence holds one of these (single words, as texts may be wrapped anywhere), so other texts need no closer look.
 ANCHORS = ["licen", "permission", "redistribut", "domain", "warrant", "liable", "endorse", "advertising", "developed", "apache", "mpl", "released", "distributed", "available", "published", "provided", "spdx"]
 
@@ -174,7 +187,8 @@ def normalised(sentence: Column) -> Column:
 
 def known_sentences() -> tuple[dict[str, str], dict[str, str]]:
     """(identifier by normalised sentence, licence by identifier of those that name one alone)."""
-    ids, alone = {normalise(re.sub(r"\bv\. ", "v ", s)): k for k, s in SENTENCES.items()}, dict(ALONE)
+    ids = {normalise(re.sub(r"\bv\. ", "v ", s)): k for k, s in SENTENCES.items()}
+    alone = ALONE | {f"variant-{name}": f"unknown variant of {name}" for name in GRANTS}
 
     def line(sid: str, license_name: str, *sentences: str) -> None:
         for s in sentences:
@@ -232,7 +246,13 @@ def match_rules(seq: Column, rules: list[tuple[str, list[str]]], alone: dict[str
         F.contains(acc["seq"], r["ids"]), F.struct(F.replace(acc["seq"], r["ids"], F.lit(",*,")).alias("seq"), F.array_append(acc["found"], r["name"]).alias("found"))
     ).otherwise(acc)
     names = F.create_map(*[F.lit(x) for pair in alone.items() for x in pair])
-    rest = lambda acc: F.concat(acc["found"], F.filter(F.transform(F.split(acc["seq"], ","), lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()))
+
+    def left(seq: Column) -> Column:
+        for pattern, by in VARIANTS:
+            seq = F.regexp_replace(seq, pattern, by)
+        return seq
+
+    rest = lambda acc: F.concat(acc["found"], F.filter(F.transform(F.split(left(acc["seq"]), ","), lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()))
     return F.array_sort(F.array_distinct(F.aggregate(table, start, step, rest)))
 
 
@@ -272,6 +292,9 @@ def oracle_sql() -> str:
     for name, seq in RULES:
         pat = "," + ",,".join(seq) + ","
         fold = f"SELECT doc_id, l, CASE WHEN contains(seq, '{pat}') THEN replace(seq, '{pat}', ',*,') ELSE seq END AS seq, CASE WHEN contains(seq, '{pat}') THEN found || '{name},' ELSE found END AS found FROM ({fold})"
+    left = "seq"
+    for pattern, by in VARIANTS:
+        left = f"regexp_replace({left}, {quoted(pattern)}, {quoted(by)}, 'g')"
     named = lambda x: f"coalesce(i.id, CASE WHEN regexp_matches({x}, {quoted(SKIPPED)}) THEN '' ELSE '?' END)"
     return f"""
 WITH i AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS id FROM (SELECT {sql_map(ids)} AS m)),
@@ -285,7 +308,7 @@ z AS (SELECT doc_id, pos, ln, {named("norm")} AS id FROM y LEFT JOIN i ON i.k =
 q AS (SELECT doc_id, pos, ln, id FROM w WHERE NOT (id = '?' AND contains(piece, chr(10))) UNION ALL SELECT doc_id, pos, ln, id FROM z),
 s AS (SELECT doc_id, list_append(coalesce(list(id ORDER BY pos, ln) FILTER (WHERE id <> ''), []), '$') AS l FROM q GROUP BY doc_id),
 f AS ({fold}),
-r AS (SELECT doc_id, l, list_concat(string_split(found, ','), list_transform(string_split(seq, ','), lambda t: {sql_map(alone)}[t])) AS names FROM f),
+r AS (SELECT doc_id, l, list_concat(string_split(found, ','), list_transform(string_split({left}, ','), lambda t: {sql_map(alone)}[t])) AS names FROM f),
 o AS (SELECT doc_id, list_filter(l, lambda t: t <> '?' AND t <> '$') AS known, list_sort(list_distinct(list_filter(names, lambda t: t IS NOT NULL AND t <> ''))) AS licenses FROM r)
 SELECT d.doc_id, CAST(coalesce(len(known), 0) AS BIGINT) AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids, coalesce(array_to_string(licenses, ','), '') AS licenses, coalesce(len(licenses), 0) > 0 AS has_license
 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id

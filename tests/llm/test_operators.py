@@ -506,7 +506,9 @@ def test_licenses(spark):
         ("x = 1\n# SPDX-License-Identifier: GPL-2.0-only\ny = 2", ["GPL-2.0-only"]), ("words here\nSPDX-License-Identifier: MIT\nand more words", ["MIT"]),
         ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]), ("Licensed under the GNU General Public License v3.0.", ["GPL-3.0-only"]),
         ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", ["BSL-1.0"]), ("This work is dedicated to the public domain under CC0 1.0.", ["CC0-1.0"]),
-        (licenses.SENTENCES["mit-grant"] + " A stranger in between. " + licenses.SENTENCES["mit-notice"], ["MIT"]), (licenses.SENTENCES["mit-notice"], []), (None, []), ("", []),
+        (licenses.SENTENCES["mit-grant"] + " A stranger in between. " + licenses.SENTENCES["mit-notice"], ["unknown variant of MIT"]), (licenses.SENTENCES["mit-notice"], []),
+        (MIT_TEXT.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil.\n\nTHE SOFTWARE IS PROVIDED", 1), ["unknown variant of MIT"]),
+        (licenses.SENTENCES["mit-grant"] + " " + licenses.SENTENCES["mit-notice"], ["MIT"]), (isc + "\nBut not on Sundays.", ["unknown variant of ISC"]), (None, []), ("", []),
     ]
     rows = [(i, t) for i, (t, _) in enumerate(cases)]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
