@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barspark.llm import codebooks, decontaminate, embeddings, interpolation, jaccard, language, licenses, lines, mixing, sharding, spans, warc, whitening
+from barspark.llm.common import materialize, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,7 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    with scratch(spark):
+        found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+        return materialize(decontaminate.digest(found), outer=True)
 
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -68,7 +71,8 @@ FROM u
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
+    with scratch(spark):
+        return materialize(mixing.digest(mixing.mix(_table(spark, sf_dir, "documents"))), outer=True)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
