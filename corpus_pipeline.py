@@ -46,7 +46,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document; nothing of a null text, which has size 0."""
-    return mixing.mix(docs).taken()
+    with scratch(spark):
+        return materialize(mixing.mix(docs).taken(), outer=True)
 
 
 STAGES = [
