@@ -68,7 +68,7 @@ class Tree:
         return np.array([self.leaves[int(k)] for k in known], dtype=np.float64)[back] if len(at) else np.zeros(0)
 
 
-def _features(data: DataFrame) -> Column:
+def feature_array(data: DataFrame) -> Column:
     kind = dict(data.dtypes)["features"]
     return F.col("features").cast("array<double>") if kind.startswith("array") else vector_to_array("features")
 
@@ -101,7 +101,7 @@ class BoostedTrees:
         weight = F.col("weight").cast("double") if "weight" in data.columns else F.lit(1.0)
         if self.positive is not None:
             weight = F.when(F.col("label") == 1, float(self.positive)).otherwise(1.0)
-        rows = data.where("label IS NOT NULL").select(_features(data).alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w"))
+        rows = data.where("label IS NOT NULL").select(feature_array(data).alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w"))
         self.trees, start = [], math.log(self.base / (1 - self.base))
         with stages(data.sparkSession) as keep:
             rows = keep(rows)
@@ -269,7 +269,7 @@ class BoostedTrees:
             rows = np.array([v if v is not None and len(v) == width else [np.nan] * width for v in x], dtype=np.float64).reshape(len(x), width)
             return pd.Series(start + sum((t.values(rows) for t in trees), np.zeros(len(rows))))
 
-        scored = data.withColumn("score", margin(_features(data)))
+        scored = data.withColumn("score", margin(feature_array(data)))
         return scored.withColumns({"probability_1": 1 / (1 + F.exp(-F.col("score"))), "prediction": (F.col("score") > 0).cast("double")})
 
     def table(self) -> list[tuple[int, int, int | None, float | None, bool | None, float | None, float | None]]:

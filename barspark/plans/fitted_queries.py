@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.operators import features, ml, splits
+from barspark.operators import features, linear, metrics, ml, splits
 from barspark.operators.windows import session
 from barspark.plans import desk_queries as dq
 from barspark.plans.bar_queries import rounded
@@ -88,3 +88,86 @@ def _boost_sql() -> str:
 
 
 QUERIES["xgb_boosted"], ORACLE["xgb_boosted"] = xgb_boosted, _boost_sql()
+
+
+# --- linear models --------------------------------------------------------------------------------------------------
+def scaled(s: SparkSession, d: str) -> DataFrame:
+    """The rows of all splits, features scaled by the train split's mean and deviation."""
+    rows = splits.zscore_splits(next_up(s, d), FEATURES)
+    return rows.select(*KEYS, "split", F.col("target").cast("double").alias("label"), F.array(*FEATURES).alias("features"))
+
+
+_SCALED = f"""r AS MATERIALIZED ({ROWS}), u AS (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in FEATURES)} FROM r WHERE split = 'train'),
+z AS MATERIALIZED (SELECT symbol, timestamp, split, target, {', '.join(f'({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END AS x{i}' for i, f in enumerate(FEATURES))}, 1.0 AS x{len(FEATURES)},
+  CASE WHEN target = 1 THEN 1.0 ELSE -1.0 END AS y, count(*) OVER (PARTITION BY split) / (2.0 * count(*) OVER (PARTITION BY split, target)) AS even FROM r, u)"""
+
+
+def newton_sql(name: str, loss: str, c: float, weight: str, rounds: int = 14) -> str:
+    """CTEs that end in ``name``: one row with the coefficients w0, w1, ... (the last is the intercept) of plain Newton rounds from 0, each with an elimination."""
+    n = len(FEATURES) + 1
+    w = [f"w{i}" for i in range(n)]
+    ctes = [f"{name}_0 AS (SELECT {', '.join(f'0.0::DOUBLE AS {x}' for x in w)})"]
+    for k in range(rounds):
+        dot = " + ".join(f"w{i} * x{i}" for i in range(n))
+        if loss == "squared_hinge":
+            first, second = "-2 * greatest(0, 1 - m)", "CASE WHEN m < 1 THEN 2.0 ELSE 0.0 END"
+        else:
+            first, second = "-1 / (1 + exp(m))", "(1 / (1 + exp(m))) * (1 - 1 / (1 + exp(m)))"
+        sums = [f"{int(i == j)} + {c} * sum(c * d2 * x{i} * x{j}) AS h{i}{j}" for i in range(n) for j in range(n)]
+        sums += [f"any_value(w{i}) + {c} * sum(c * y * d1 * x{i}) AS g{i}" for i in range(n)]
+        at = f"SELECT {', '.join([*sums, *[f'any_value({x}) AS {x}' for x in w]])} FROM (SELECT *, {first} AS d1, {second} AS d2 FROM (SELECT *, {weight} AS c, y * ({dot}) AS m FROM z, {name}_{k} WHERE split = 'train'))"
+        for p in range(n):
+            cells = [f"h{i}{j} - h{i}{p} / h{p}{p} * h{p}{j} AS h{i}{j}" if i > p else f"h{i}{j}" for i in range(n) for j in range(n)]
+            right = [f"g{i} - h{i}{p} / h{p}{p} * g{p} AS g{i}" if i > p else f"g{i}" for i in range(n)]
+            at = f"SELECT {', '.join([*cells, *right, *w])} FROM ({at})"
+        for p in reversed(range(n)):
+            rest = " - ".join([f"g{p}", *[f"h{p}{j} * s{j}" for j in range(p + 1, n)]])
+            at = f"SELECT *, ({rest}) / h{p}{p} AS s{p} FROM ({at})"
+        ctes.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {', '.join(f'w{i} - s{i} AS w{i}' for i in range(n))} FROM ({at}))")
+    return ", ".join(ctes) + f", {name} AS (SELECT * FROM {name}_{rounds})"
+
+
+_DOT = " + ".join(f"w{i} * x{i}" for i in range(len(FEATURES) + 1))
+
+
+def linear_svc_squared(s: SparkSession, d: str) -> DataFrame:
+    rows = scaled(s, d)
+    train = ml.weighed(linear.build("squared_hinge"), rows.where("split = 'train'"))
+    model = linear.LinearModel("squared_hinge", 0.1).fit(train)
+    return rounded(model.transform(rows.where("split = 'test'")).select(*KEYS, "score"), "score")
+
+
+QUERIES["linear_svc_squared"] = linear_svc_squared
+ORACLE["linear_svc_squared"] = f"WITH {_SCALED}, {newton_sql('k', 'squared_hinge', 0.1, 'even')} SELECT symbol, timestamp, {r6(_DOT)} AS score FROM z, k WHERE split = 'test'"
+
+GRID = [(0.01, False), (0.01, True), (1.0, False), (1.0, True)]
+THRESHOLDS = [0.3, 0.4, 0.5, 0.6]
+FIGURES = ["tp", "fp", "fn", "tn", "n_trades", "accuracy", "precision", "recall", "profit"]
+
+
+def logreg_threshold_grid(s: SparkSession, d: str) -> DataFrame:
+    """(C, class weight, threshold) with the figures on val and test side by side."""
+    rows = scaled(s, d).cache()
+    try:
+        part = lambda x: rows.where(F.col("split") == x)
+        # Scores are cut to 6 digits, so that both engines cut at the same values.
+        sweep = lambda scored, at, strict: metrics.threshold_sweep(rounded(scored, "score"), at, dq.TP, dq.SL, dq.COST, strict=strict).select("threshold", *FIGURES)
+        grid = linear.threshold_grid(part("train"), {"val": part("val"), "test": part("test")}, GRID, THRESHOLDS, sweep)
+        out = rounded(grid, *[f"{p}_{f}" for p in ("val", "test") for f in ("accuracy", "precision", "recall", "profit")])
+        return s.createDataFrame(out.collect(), out.schema)  # a row per point of the grid
+    finally:
+        rows.unpersist()
+
+
+def _grid_sql() -> str:
+    fits = [newton_sql(f"k{i}", "logistic", c, "even" if even else "1.0") for i, (c, even) in enumerate(GRID)]
+    scored = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS C, {str(even).lower()} AS balanced, split, target, {r6(f'1 / (1 + exp(-({_DOT})))')} AS score FROM z, k{i} WHERE split <> 'train'" for i, (c, even) in enumerate(GRID))
+    counts = f"SELECT C, balanced, threshold, split, {dq._CONF} FROM (SELECT C, balanced, threshold, split, target AS y, CAST(score >= threshold AS INTEGER) AS pred FROM p, (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in THRESHOLDS)}]) AS threshold)) GROUP BY ALL"
+    ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE ({a}) / ({b}) END"
+    of = {"accuracy": r6(ratio("tp + tn", "tp + fp + fn + tn")), "precision": r6(ratio("tp", "tp + fp")), "recall": r6(ratio("tp", "tp + fn")), "profit": r6(f"tp * {dq.TP} - fp * {dq.SL} - (tp + fp) * {dq.COST}"), "n_trades": "tp + fp"}
+    figures = ", ".join(f"{of.get(f, f)} AS {f}" for f in FIGURES)
+    sides = ", ".join(f"{p}.{f} AS {p}_{f}" for p in ("val", "test") for f in FIGURES)
+    return f"WITH {_SCALED}, {', '.join(fits)}, p AS ({scored}), f AS (SELECT C, balanced, threshold, split, {figures} FROM ({counts})) SELECT val.C, val.balanced, val.threshold, {sides} FROM f val JOIN f test USING (C, balanced, threshold) WHERE val.split = 'val' AND test.split = 'test'"
+
+
+QUERIES["logreg_threshold_grid"], ORACLE["logreg_threshold_grid"] = logreg_threshold_grid, _grid_sql()
