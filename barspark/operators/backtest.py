@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import regulatory_fee, round_up_cent, slipped
-from barspark.operators.scans import affine_scan
+from barspark.operators.scans import affine_scan, nearest_known
 from barspark.operators.splits import ordinal
 from barspark.operators.windows import running_sum, running_sums
+from barspark.session import checkpointed
 
 
 def with_ids(orders: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def order_violations(orders: DataFrame) -> DataFrame:
 
 
 def market_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, fee: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """Fills of market orders: a forward as-of match by one sort per symbol, no range join.
+    """Fills of market orders: a forward as-of match by a sort per symbol and day, in which the next day's first bar carries over; no range join.
 
     ``fee`` maps (side, qty, price) to a column; the default is the regulatory fee. Fees are rounded up to a cent.
     """
@@ -47,9 +48,9 @@ def market_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0,
     columns = [c for c in o.columns if c not in ("symbol",)]
     marked = o.select("symbol", F.col("submitted").alias("_t"), F.lit(0).alias("_bar"), F.struct(*columns).alias("_o"), F.lit(None).cast("struct<timestamp:timestamp_ntz,close:double>").alias("_b"))
     b = bars.where(F.col("close").isNotNull()).select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_bar"), F.lit(None).cast(marked.schema["_o"].dataType).alias("_o"), F.struct(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col("close").cast("double").alias("close")).alias("_b"))
-    # Latest first: the last bar seen is the first one at or after the order; a bar comes before orders of its time.
-    w = Window.partitionBy("symbol").orderBy(F.desc("_t"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
-    met = marked.unionByName(b).withColumn("_b", F.last("_b", True).over(w)).where("_bar = 0 AND _b IS NOT NULL")
+    # At one time orders come before the bar, so it is the next one for them.
+    known = nearest_known(marked.unionByName(b), ["symbol"], ["_t", "_bar"], F.to_date("_t"), ahead={"_met": "_b"})
+    met = known.where("_bar = 0 AND _met IS NOT NULL").drop("_b").withColumnRenamed("_met", "_b")
     filled = met.select("symbol", *[F.col(f"_o.{c}").alias(c) for c in columns], F.col("_b.timestamp").alias("filled"), slipped(F.col("_b.close"), F.col("_o.side"), slippage_bps).alias("price"))
     cost = fee(F.col("side"), F.col("qty"), F.col("price")) if fee else regulatory_fee(F.col("side"), F.col("qty"))
     return filled.withColumn("fee", round_up_cent(cost))
@@ -99,10 +100,11 @@ def equity_curve(fills: DataFrame, bars: DataFrame, cash: float) -> DataFrame:
     """(timestamp, equity) at each bar time: cash, plus each position at its symbol's close, or at its average cost where the symbol has no bar at that time.
 
     All positions at cost are one running sum over times; a bar adds what its close makes of the position beyond that.
+    The changes by symbol and time are checkpointed, as what follows reads them several times.
     """
     sign, day = F.when(F.col("side") == "buy", 1).otherwise(-1), F.to_date("timestamp")
     changes = {"dq": sign * F.col("qty"), "db": F.col("basis") - F.col("basis_before"), "dc": -sign * F.col("price") * F.col("qty") - F.col("fee")}
-    moves = cost_basis(fills).groupBy("symbol", F.col("filled").alias("timestamp")).agg(*[F.sum(v).alias(n) for n, v in changes.items()])
+    moves = checkpointed(cost_basis(fills).groupBy("symbol", F.col("filled").alias("timestamp")).agg(*[F.sum(v).alias(n) for n, v in changes.items()]))
     both = bars.select("symbol", "timestamp", "close", F.lit(True).alias("bar")).join(moves, ["symbol", "timestamp"], "full_outer")
     none = lambda c: F.coalesce(c, F.lit(0.0))
     held = running_sums(both, {"q": none("dq"), "b": none("db")}, ["timestamp"], day, ["symbol"])

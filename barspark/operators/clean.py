@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barspark.operators.scans import nearest_known
+
 PRICES = ["open", "high", "low", "close", "vwap"]
 COUNTS = ["volume", "trade_count"]
 
@@ -36,14 +38,14 @@ def forward_propagate(bars: DataFrame, step: str = "1 minute", sessions: DataFra
     """Bars on the whole grid: gaps repeat the last bar (the next one before the first), without volume.
 
     A row whose close is null counts as inserted and loses its volume. Rows off the grid are dropped. A symbol without
-    grid times keeps its rows. Duplicate keys are an error of the input: see ``validate.duplicate_keys``.
+    grid times keeps its rows. Duplicate keys are an error of the input: see ``validate.duplicate_keys``. Values carry
+    over from day to day, so a symbol is as many tasks' work as it has days; the joined grid is read twice.
     """
     grid = expected_times(bars, step, sessions)
     columns = [c for c in bars.columns if c not in ("symbol", "timestamp", "imputed")]
     joined = grid.join(bars.drop("imputed"), ["symbol", "timestamp"], "left").withColumn("imputed", F.col("close").isNull())
-    # Growing frames in both directions: Spark carries their state, where a frame to the end would start anew.
-    past, future = Window.partitionBy("symbol").orderBy("timestamp"), Window.partitionBy("symbol").orderBy(F.desc("timestamp"))
-    filled = joined.select("symbol", "timestamp", *[F.coalesce(F.last(c, True).over(past), F.last(c, True).over(future)).alias(c) for c in columns], "imputed")
+    known = nearest_known(joined, ["symbol"], ["timestamp"], F.to_date("timestamp"), {f"_past_{c}": c for c in columns}, {f"_ahead_{c}": c for c in columns})
+    filled = known.select("symbol", "timestamp", *[F.coalesce(f"_past_{c}", f"_ahead_{c}").alias(c) for c in columns], "imputed")
     filled = filled.withColumns({c: F.when(F.col("imputed"), F.lit(0)).otherwise(F.col(c)).cast("bigint") for c in COUNTS if c in columns})
     if sessions is not None:
         none = bars.join(grid.select("symbol").distinct(), "symbol", "left_anti")

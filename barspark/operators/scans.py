@@ -142,3 +142,30 @@ def block_places(frame: DataFrame, own: Sequence[str], order: Sequence[str], blo
     joined = rows.join(named, met, "left")
     placed = joined.withColumns({place: F.col("_start") + F.row_number().over(inside) - 1, "_before": F.coalesce(F.lag(_X).over(inside), F.col("_carry"))})
     return placed.select(*frame.columns, F.col(place).cast(LongType()).alias(place), *[F.col(f"_before.{n}").alias(n) for n in carried])
+
+
+def nearest_known(frame: DataFrame, own: Sequence[str], order: Sequence[str], block: Column, past: dict[str, str] | None = None, ahead: dict[str, str] | None = None) -> DataFrame:
+    """``frame`` with, for each of ``past`` (new name -> column), the column's last value that is not null up to the row, and for each of ``ahead`` the first one from the row on.
+
+    A block's last and first known values, a small table, carry over to the blocks after and before it; the rest is a
+    window per block in each direction. The frame is read twice.
+    """
+    own, past, ahead = list(own), past or {}, ahead or {}
+    rows, at = frame.withColumn(_BLOCK, block), F.struct(*order)
+    known = lambda c: F.when(F.col(c).isNotNull(), at)
+    facts = rows.groupBy(*own, _BLOCK).agg(
+        *[F.max_by(c, known(c)).alias(f"_last_{n}") for n, c in past.items()], *[F.min_by(c, known(c)).alias(f"_next_{n}") for n, c in ahead.items()], F.count("*").alias("_n")
+    )
+    before = Window.partitionBy(*own).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*own).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    carries = {f"_carry_{n}": F.last(f"_last_{n}", True).over(before) for n in past} | {f"_carry_{n}": F.last(f"_next_{n}", True).over(after) for n in ahead}
+    named = facts.select(*[F.col(c).alias(f"_own_{c}") for c in own], F.col(_BLOCK).alias("_own_block"), *[v.alias(n) for n, v in carries.items()])
+    met = F.col(_BLOCK).eqNullSafe(F.col("_own_block"))
+    for c in own:
+        met = met & F.col(c).eqNullSafe(F.col(f"_own_{c}"))
+    # Growing frames in both directions: Spark carries their state, where a frame to the end would start anew.
+    up = Window.partitionBy(*own, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*own, _BLOCK).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = {n: F.coalesce(F.last(c, True).over(up), F.col(f"_carry_{n}")) for n, c in past.items()} | {n: F.coalesce(F.last(c, True).over(down), F.col(f"_carry_{n}")) for n, c in ahead.items()}
+    joined = rows.join(named, met, "left")
+    return joined.select(*frame.columns, *[v.alias(n) for n, v in found.items()])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from barspark.operators import backtest, cross
 from barspark.operators.recursive import recursive_features
-from barspark.operators.scans import affine_scan, block_places, composed
+from barspark.operators.clean import forward_propagate
+from barspark.operators.scans import affine_scan, block_places, composed, nearest_known
 
 
 @pytest.fixture
@@ -173,3 +174,34 @@ def test_equity_and_basis_are_those_of_a_replay(spark, small_batches):
     assert set(got) == set(curve) and all(math.isclose(got[t], curve[t], abs_tol=1e-6) for t in curve)
     rows = backtest.cost_basis(df).collect()
     assert len(rows) == 150 and all(r["position"] == basis[r["seq"]][0] and math.isclose(r["basis"], basis[r["seq"]][1], abs_tol=1e-6) for r in rows)
+
+
+def test_nearest_known(spark):
+    rng = random.Random(3)
+    rows = [(s, t, rng.choice([None, None, None, i]), rng.choice([None, f"v{i}"])) for i, (s, t, _, _) in enumerate(history(["A", None], 70))]
+    df = spark.createDataFrame(rows, "s string, t timestamp_ntz, a int, b string")
+    got = nearest_known(df, ["s"], ["t"], F.to_date("t"), {"last_a": "a", "last_b": "b"}, {"next_a": "a"}).collect()
+    assert len(got) == len(rows)
+    for s in ("A", None):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: r[1])
+        for i, r in enumerate(own):
+            mine = next(g for g in got if g["s"] == s and g["t"] == r[1])
+            assert mine["last_a"] == next((x[2] for x in reversed(own[: i + 1]) if x[2] is not None), None)
+            assert mine["last_b"] == next((x[3] for x in reversed(own[: i + 1]) if x[3] is not None), None)
+            assert mine["next_a"] == next((x[2] for x in own[i:] if x[2] is not None), None)
+
+
+def test_fills_and_gaps_have_no_window_over_a_symbol(spark):
+    """Orders find the next bar days later; a gap of days is filled; what is sorted per symbol is a row a day."""
+    at = datetime(2025, 1, 6, 10)
+    bars = spark.createDataFrame([("A", at, 1.0, 5), ("A", at + timedelta(days=3, hours=1), 2.0, 7)], "symbol string, timestamp timestamp_ntz, close double, volume long")
+    orders = spark.createDataFrame([("A", "buy", 1, "market", at + timedelta(minutes=1), 0), ("A", "buy", 1, "market", at, 1), ("A", "buy", 1, "market", at + timedelta(days=9), 2), ("B", "buy", 1, "market", at, 3)], "symbol string, side string, qty int, type string, submitted timestamp_ntz, seq int")
+    fills = backtest.market_fills(orders, bars)
+    assert sorted((r["seq"], r["price"], r["filled"]) for r in fills.collect()) == [(0, 2.0, at + timedelta(days=3, hours=1)), (1, 1.0, at)]
+    whole = forward_propagate(bars, "1 hour")
+    got = whole.orderBy("timestamp").collect()
+    assert [r["close"] for r in got] == [1.0] * 73 + [2.0] and [r["volume"] for r in got] == [5] + [0] * 72 + [7]
+    for df in (fills, whole):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [x for x in plan.splitlines() if "Window [" in x]
+        assert windows and all("_scan_block" in x for x in windows)
