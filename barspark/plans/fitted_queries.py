@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.operators import features, linear, metrics, ml, splits
+from barspark.operators import features, linear, metrics, ml, perceptron, splits
 from barspark.operators.windows import session
 from barspark.plans import desk_queries as dq
+from barspark.plans import model_queries as mq
 from barspark.plans.bar_queries import rounded
 from barspark.plans.sqlbars import HOURLY, bars, r6
 
@@ -171,3 +172,17 @@ def _grid_sql() -> str:
 
 
 QUERIES["logreg_threshold_grid"], ORACLE["logreg_threshold_grid"] = logreg_threshold_grid, _grid_sql()
+
+
+def mlp_adam(s: SparkSession, d: str) -> DataFrame:
+    """Test rates of a perceptron with L2, relu and Adam after at most a few epochs; training stops early on a held-out tenth."""
+    rows = scaled(s, d).cache()
+    try:
+        model = perceptron.build({"hidden_layer_sizes": (16,), "learning_rate_init": 0.02, "max_iter": 4, "steps": 2, "n_iter_no_change": 2}, rows).fit(rows.where("split = 'train'"))
+        out = mq._report(model.transform(rows.where("split = 'test'")))
+        return s.createDataFrame(out.collect(), out.schema)  # one row
+    finally:
+        rows.unpersist()
+
+
+QUERIES["mlp_adam"] = mlp_adam

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def stages(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """``keep(frame)`` writes a frame to the shared folder and reads it back, so that what is built on it does not compute it again.
+def stages(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """``keep(frame)`` writes a frame to the shared folder (by the columns ``by``, if given) and reads it back, so that what is built on it does not compute it again.
 
     Of a chain of frames two are there at a time: keeping one deletes the one before the last. All are deleted at the end.
     """
@@ -39,10 +39,10 @@ def stages(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
-    def keep(frame: DataFrame) -> DataFrame:
+    def keep(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         path = f"{_folder(spark)}/{uuid.uuid4().hex}"
         written.append(path)
-        frame.write.parquet(path)
+        frame.write.parquet(path, partitionBy=list(by) or None)
         if len(written) > 2:
             delete(written.pop(0))
         return spark.read.schema(frame.schema).parquet(path)
