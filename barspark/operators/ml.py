@@ -161,15 +161,21 @@ def workers(n_jobs: int, cores: int, tasks: int) -> int:
     return max(1, min(n_jobs if n_jobs >= 0 else cores + 1 + n_jobs, tasks))
 
 
-def gaussian_nb(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str = "target", smoothing: float = 1e-9) -> DataFrame:
+def class_figures(train: DataFrame, features: Sequence[str], label: str = "target") -> DataFrame:
+    """Per class its number of rows, means and population variances, with the number of all rows and their largest variance: one row per class, computed here."""
+    per = train.groupBy(label).agg(F.count("*").alias("_n"), *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.var_pop(f).alias(f"_v_{f}") for f in features])
+    whole = train.agg(F.count("*").alias("_all"), (F.greatest(*[F.var_pop(f) for f in features]) if len(features) > 1 else F.var_pop(features[0])).alias("_top"))
+    found = per.join(F.broadcast(whole)).withColumnRenamed(label, "_class")
+    return train.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def gaussian_nb(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str = "target", smoothing: float = 1e-9, figures: DataFrame | None = None) -> DataFrame:
     """``rows`` with pred, by class means and population variances plus ``smoothing`` times the largest variance.
 
-    One aggregation per class; the classes' figures are one broadcast row, and each row scores all classes by itself, so
-    rows stay as they are, repeated ones too. Of equal scores the smaller class wins.
+    The classes' figures (:func:`class_figures` of ``train``, unless given) are one broadcast row, and each row scores
+    all classes by itself, so rows stay as they are, repeated ones too. Of equal scores the smaller class wins.
     """
-    per = train.groupBy(label).agg(F.count("*").alias("_n"), *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.var_pop(f).alias(f"_v_{f}") for f in features])
-    whole = train.agg(F.count("*").alias("_all"), (F.greatest(*[F.var_pop(f) for f in features]) if len(features) > 1 else F.var_pop(features[0])).alias("_top"))
-    per = per.join(F.broadcast(whole)).withColumnRenamed(label, "_class")
+    per = class_figures(train, features, label) if figures is None else figures
 
     def scored(c: Column) -> Column:
         ll = F.log(c["_n"] / c["_all"])
@@ -190,11 +196,11 @@ class NaiveBayes:
         self.features, self.smoothing = list(features), smoothing
 
     def fit(self, data: DataFrame) -> NaiveBayes:
-        self.train = data.select("label", *self.features)
+        self.figures = class_figures(data.select("label", *self.features), self.features, "label")
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return gaussian_nb(self.train, rows, self.features, "label", self.smoothing).withColumn("prediction", F.col("pred").cast("double"))
+        return gaussian_nb(rows, rows, self.features, "label", self.smoothing, self.figures).withColumn("prediction", F.col("pred").cast("double"))
 
 
 def kmeans_distances(train: DataFrame, rows: DataFrame, k: int = 8) -> DataFrame:

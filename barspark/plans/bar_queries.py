@@ -36,8 +36,38 @@ def minute(spark: SparkSession, d: str) -> DataFrame:
     return source.event_bars(spark, d, "minute")
 
 
+def _in_sessions(spark: SparkSession, d: str, days: DataFrame, times: DataFrame) -> DataFrame:
+    """``days`` with n_events, how many of ``times`` (ts) lie between open and close; the days are a small dimension."""
+    met = times.join(F.broadcast(days), F.col("ts").between(F.col("market_open"), F.col("market_close")))
+    counts = met.groupBy("trade_date").agg(F.count("*").alias("n_events"))
+    return days.join(counts, "trade_date", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("long"))
+
+
+def _event_times(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def nyse(spark: SparkSession, d: str) -> DataFrame:
-    return calendar.nyse_sessions(spark, date(2022, 1, 1), date(2025, 12, 31)).groupBy(F.year("trade_date").cast("int").alias("year")).agg(F.count("*").alias("n_sessions"), F.count_if("early").alias("n_early"), F.min("market_open").alias("first_open"), F.max("market_close").alias("last_close"))
+    """Per year its sessions and the events within them."""
+    days = _in_sessions(spark, d, calendar.nyse_sessions(spark, date(2022, 1, 1), date(2025, 12, 31)), _event_times(spark, d))
+    return days.groupBy(F.year("trade_date").cast("int").alias("year")).agg(
+        F.count("*").alias("n_sessions"), F.count_if("early").alias("n_early"), F.min("market_open").alias("first_open"), F.max("market_close").alias("last_close"), F.sum("n_events").alias("n_events")
+    )
+
+
+def grid_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """Per session the minutes of its grid and those in which something happened."""
+    seen = _event_times(spark, d).select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("timestamp")).distinct().withColumn("seen", F.lit(1))
+    grid = calendar.rth_grid(sessions(spark)).join(seen, "timestamp", "left")
+    return grid.groupBy("trade_date").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count("seen").alias("n_seen"))
+
+
+def events_between_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The gaps between sessions and the events that fall into each (its start belongs to it, its end does not)."""
+    gaps = calendar.non_rth_intervals(sessions(spark), "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    met = _event_times(spark, d).join(F.broadcast(gaps), (F.col("ts") >= F.col("gap_start")) & (F.col("ts") < F.col("gap_end")))
+    counts = met.groupBy("gap_start").agg(F.count("*").alias("n_events"))
+    return gaps.join(counts, "gap_start", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("long"))
 
 
 # The sessions' exceptions from 2022 to 2025.
@@ -100,8 +130,8 @@ QUERIES = {
     "bars_daily": source.daily_bars,
     "bars_orders": _bars(source.order_bars),
     "nyse_sessions": nyse,
-    "rth_grid": lambda spark, d: calendar.rth_grid(sessions(spark)).groupBy("trade_date").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")),
-    "non_rth_intervals": lambda spark, d: calendar.non_rth_intervals(sessions(spark), "2024-01-01 00:00:00", "2024-02-01 00:00:00"),
+    "rth_grid": grid_of_events,
+    "non_rth_intervals": events_between_sessions,
     "remove_closed_rows": closed_removed,
     "forward_propagate": propagated,
     "forward_propagate_rth": propagated_rth,
@@ -122,9 +152,9 @@ ORACLE = {
     "bars_minute": _bar_sql(MINUTE),
     "bars_daily": f"SELECT symbol, timestamp, open, high, low, close, volume, trade_count, vwap FROM ({DAILY})",
     "bars_orders": _bar_sql(ORDERS),
-    "nyse_sessions": f"SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n_sessions, CAST(count(*) FILTER (WHERE early) AS BIGINT) AS n_early, min(market_open) AS first_open, max(market_close) AS last_close FROM ({_SESSIONS}) GROUP BY 1",
-    "rth_grid": f"SELECT trade_date, count(*) AS n, min(t) AS first_ts, max(t) AS last_ts FROM (SELECT trade_date, unnest(generate_series(market_open, market_close, INTERVAL 1 MINUTE)) AS t FROM ({_JAN})) GROUP BY 1",
-    "non_rth_intervals": f"WITH s AS ({_JAN}) SELECT coalesce(lag(market_close) OVER (ORDER BY market_open), TIMESTAMP '2024-01-01') AS gap_start, market_open AS gap_end FROM s UNION ALL SELECT max(market_close), TIMESTAMP '2024-02-01' FROM s",
+    "nyse_sessions": f"SELECT CAST(year(trade_date) AS INTEGER) AS year, count(DISTINCT trade_date) AS n_sessions, CAST(count(DISTINCT trade_date) FILTER (WHERE early) AS BIGINT) AS n_early, min(market_open) AS first_open, max(market_close) AS last_close, count(ts) AS n_events FROM ({_SESSIONS}) LEFT JOIN events ON ts BETWEEN market_open AND market_close GROUP BY 1",
+    "rth_grid": f"SELECT trade_date, count(*) AS n, min(t) AS first_ts, max(t) AS last_ts, count(m) AS n_seen FROM (SELECT trade_date, unnest(generate_series(market_open, market_close, INTERVAL 1 MINUTE)) AS t FROM ({_JAN})) LEFT JOIN (SELECT DISTINCT date_trunc('minute', ts) AS m FROM events) ON m = t GROUP BY 1",
+    "non_rth_intervals": f"WITH s AS ({_JAN}), g AS (SELECT coalesce(lag(market_close) OVER (ORDER BY market_open), TIMESTAMP '2024-01-01') AS gap_start, market_open AS gap_end FROM s UNION ALL SELECT max(market_close), TIMESTAMP '2024-02-01' FROM s) SELECT gap_start, gap_end, count(ts) AS n_events FROM g LEFT JOIN events ON ts >= gap_start AND ts < gap_end GROUP BY 1, 2",
     "remove_closed_rows": _bar_sql(_RTH),
     "forward_propagate": _fill_sql(HOURLY, "SELECT symbol, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS timestamp FROM span"),
     "forward_propagate_rth": _fill_sql(_RTH, _MIN_GRID),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.functions.scalars import min_win_rate, regulatory_fee
+from barspark.functions.scalars import min_win_rate_column, regulatory_fee
 from barspark.operators import analysis, backtest, cross, features, labels, metrics, splits
 from barspark.plans import feature_queries as fq
 from barspark.plans.bar_queries import rounded
@@ -173,8 +173,13 @@ _SWEEP_COLS = f"threshold, tp, fp, fn, tn, n_trades, skipped, {_cols(_RATES)}, {
 register("threshold_sweep", lambda s, d: rounded(sweep(s, d), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT})")
 register("best_thresholds", lambda s, d: rounded(metrics.best_thresholds(sweep(s, d), 15), *_RATES, *_PNL), f"SELECT {_SWEEP_COLS} FROM ({_SWEPT}) WHERE NOT skipped ORDER BY {_PNL['profit']} DESC, {_RATES['precision']} DESC, n_trades, threshold LIMIT 15")
 register("score_summary", lambda s, d: rounded(metrics.score_summary(preds(s, d)), "min_score", "median_score", "max_score"), f"SELECT {r6('min(score)')} AS min_score, {r6('median(score)')} AS median_score, {r6('max(score)')} AS max_score FROM ({_PREDS})")
-_WIN = [(0.04, 0.02, 0.004), (0.03, 0.02, 0.004), (TP, SL, COST)]
-register("min_win_rate", lambda s, d: rounded(s.createDataFrame([(*w, min_win_rate(*w)) for w in _WIN], "tp double, sl double, cost double, rate double"), "rate"), " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS tp, CAST({sl} AS DOUBLE) AS sl, CAST({c} AS DOUBLE) AS cost, {r6(f'({sl} + {c}) / ({t} + {sl})')} AS rate" for t, sl, c in _WIN))
+def win_rates(s: SparkSession, d: str) -> DataFrame:
+    """Per discount and tax, taken as take-profit and stop, the break-even share of winners and how many lines have them."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_discount").cast("double").alias("tp"), F.col("l_tax").cast("double").alias("sl")).where("tp + sl > 0")
+    return rounded(lines.groupBy("tp", "sl").agg(F.count("*").alias("n")).withColumn("rate", min_win_rate_column(F.col("tp"), F.col("sl"), F.lit(COST))), "rate")
+
+
+register("min_win_rate", win_rates, f"SELECT CAST(l_discount AS DOUBLE) AS tp, CAST(l_tax AS DOUBLE) AS sl, count(*) AS n, {r6(f'(sl + {COST}) / (tp + sl)')} AS rate FROM lineitem WHERE l_discount + l_tax > 0 GROUP BY 1, 2")
 
 # --- backtest ----------------------------------------------------------------------------------------------------
 BPS, CASH = 10.0, 1_000_000.0

@@ -155,7 +155,7 @@ def logreg_threshold_grid(s: SparkSession, d: str) -> DataFrame:
         sweep = lambda scored, at, strict: metrics.threshold_sweep(rounded(scored, "score"), at, dq.TP, dq.SL, dq.COST, strict=strict).select("threshold", *FIGURES)
         grid = linear.threshold_grid(part("train"), {"val": part("val"), "test": part("test")}, GRID, THRESHOLDS, sweep)
         out = rounded(grid, *[f"{p}_{f}" for p in ("val", "test") for f in ("accuracy", "precision", "recall", "profit")])
-        return s.createDataFrame(out.collect(), out.schema)  # a row per point of the grid
+        return mq.now(out)  # a row per point of the grid
     finally:
         rows.unpersist()
 
@@ -179,8 +179,7 @@ def mlp_adam(s: SparkSession, d: str) -> DataFrame:
     rows = scaled(s, d).cache()
     try:
         model = perceptron.build({"hidden_layer_sizes": (16,), "learning_rate_init": 0.02, "max_iter": 4, "steps": 2, "n_iter_no_change": 2}, rows).fit(rows.where("split = 'train'"))
-        out = mq._report(model.transform(rows.where("split = 'test'")))
-        return s.createDataFrame(out.collect(), out.schema)  # one row
+        return mq.now(mq._report(model.transform(rows.where("split = 'test'"))))
     finally:
         rows.unpersist()
 

@@ -34,6 +34,11 @@ def fitted(build, params: dict, train: DataFrame):
     return build(params, rows).fit(rows)
 
 
+def now(report: DataFrame) -> DataFrame:
+    """A report of a few rows, evaluated here, while what it stands on is cached."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
+
+
 def _report(preds: DataFrame) -> DataFrame:
     return rounded(metrics.rates(metrics.confusion(preds.select(F.col("label").alias("y"), F.col("prediction").alias("pred")))), *dq._RATES)
 
@@ -41,7 +46,7 @@ def _report(preds: DataFrame) -> DataFrame:
 def _fitted(build, **params):
     def query(s: SparkSession, d: str) -> DataFrame:
         with tables(s, d) as (train, _, test):
-            return _report(fitted(build, params, train).transform(test))
+            return now(_report(fitted(build, params, train).transform(test)))
 
     return query
 
@@ -49,14 +54,14 @@ def _fitted(build, **params):
 def fourier_svm(s: SparkSession, d: str) -> DataFrame:
     with tables(s, d) as splits_:
         train, _, test = (ml.fourier_features(t, len(FEATURES)) for t in splits_)
-        return _report(fitted(ml.linear_svc, {"C": 0.1}, train).transform(test))
+        return now(_report(fitted(ml.linear_svc, {"C": 0.1}, train).transform(test)))
 
 
 def _sweep(build, thresholds: list[float]):
     def query(s: SparkSession, d: str) -> DataFrame:
         with tables(s, d) as (train, val, _):
             scored = ml.positive_scores(fitted(build, {"C": 0.1}, train).transform(val)).select(F.col("label").alias("y"), "score")
-        return rounded(metrics.threshold_sweep(scored, thresholds, dq.TP, dq.SL, dq.COST, 20), *dq._RATES, *dq._PNL)
+            return now(rounded(metrics.threshold_sweep(scored, thresholds, dq.TP, dq.SL, dq.COST, 20), *dq._RATES, *dq._PNL))
 
     return query
 
@@ -64,13 +69,14 @@ def _sweep(build, thresholds: list[float]):
 def grid_search_refit(s: SparkSession, d: str) -> DataFrame:
     with tables(s, d) as (train, val, test):
         model, best, value = ml.grid_search(ml.decision_tree, {"max_depth": [2, 4], "min_samples_leaf": [1, 20]}, train, val, n_jobs=2)
-    return _report(model.transform(test)).withColumn("max_depth", F.lit(best["max_depth"])).withColumn("val_score", F.lit(round(value, 6)))
+        report = now(_report(model.transform(test)))
+    return report.withColumn("max_depth", F.lit(best["max_depth"])).withColumn("val_score", F.lit(round(value, 6)))
 
 
 def ensemble(s: SparkSession, d: str) -> DataFrame:
     with tables(s, d) as (train, _, test):
         models = [fitted(b, {}, train) for b in (ml.decision_tree, ml.logistic_regression, ml.gradient_boosting)]
-    return rounded(metrics.consensus_report(ml.vote(test.select("features", F.col("label").cast("int").alias("y")), models)), *dq._SHARES, *dq._RATES)
+        return now(rounded(metrics.consensus_report(ml.vote(test.select("features", F.col("label").cast("int").alias("y")), models)), *dq._SHARES, *dq._RATES))
 
 
 def kmeans(s: SparkSession, d: str) -> DataFrame:
@@ -113,9 +119,10 @@ def grid_search_nb(s: SparkSession, d: str) -> DataFrame:
     build = lambda p, data: ml.NaiveBayes(FEATURES, p["smoothing"])
     try:
         model, best, value = ml.grid_search(build, {"smoothing": SMOOTHINGS}, train, val)
+        report = now(_report(model.transform(test)))
     finally:
         t.unpersist()
-    return _report(model.transform(test)).withColumn("smoothing", F.lit(best["smoothing"])).withColumn("val_score", F.lit(round(value, 6)))
+    return report.withColumn("smoothing", F.lit(best["smoothing"])).withColumn("val_score", F.lit(round(value, 6)))
 
 
 def _nb_classes(name: str, where: str) -> str:
