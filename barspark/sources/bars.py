@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from barspark.session import stages
+
 BAR_SCHEMA = "symbol string, timestamp timestamp, open double, high double, low double, close double, volume bigint, trade_count bigint, vwap double"
 
 
@@ -93,8 +95,45 @@ def read_through(spark: SparkSession, path: str, fetch: Callable[[], DataFrame],
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """MERGE: rows of ``source`` replace those of ``target`` with the same keys; others are inserted or stay."""
+    """MERGE: rows of ``source`` replace those of ``target`` with the same keys; others are inserted or stay.
+
+    Keys are unique in ``source``; :func:`merge_into` checks that and touches only what changes.
+    """
     values = [c for c in target.columns if c not in keys]
     t, s = target.withColumn("_t", F.lit(True)), source.withColumn("_s", F.lit(True)).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values], "_s")
     joined = t.join(s, keys, "full_outer")
     return joined.select(*keys, *[F.when(F.col("_s"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
+def merge_into(path: str, source: DataFrame, keys: Sequence[str], by: Sequence[str]) -> list[Row]:
+    """MERGE into the Parquet table at ``path``, partitioned by the columns ``by``, which are among ``keys``; the partitions that were rewritten.
+
+    Only the partitions that ``source`` has rows for are read, joined and rewritten; the files of all others stay as
+    they are. The new partitions are written to the shared folder first and then put in place by one dynamic partition
+    overwrite, so a run that fails before that leaves the table as it was. A key that ``source`` repeats is a
+    ValueError, as is one with a null partition value. A table that is not there yet is created. ``source`` is written
+    once, so it may stand on the table itself.
+    """
+    keys, by = list(keys), list(by)
+    if not by or not set(by) <= set(keys):
+        raise ValueError("a table is partitioned by some of its keys")
+    spark = source.sparkSession
+    with stages(spark) as keep, stages(spark) as keep_new:
+        new = keep(source)
+        nothing = " OR ".join(f"`{c}` IS NULL" for c in by)
+        if not new.where(nothing).isEmpty():
+            raise ValueError("a key has no partition")
+        if not new.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ValueError("the source repeats a key")
+        # A row per partition: folders of the table, which the driver lists anyway.
+        touched = new.select(*by).distinct().collect()
+        if not touched:
+            return []
+        merged = new
+        if _exists(spark, path):
+            old = spark.read.parquet(path)
+            few = spark.createDataFrame(touched, new.select(*by).schema)
+            merged = merge_upsert(old.join(F.broadcast(few), by, "left_semi").select(*old.columns), new.select(*old.columns), keys).select(*old.columns)
+        staged = keep_new(merged)
+        staged.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return touched
