@@ -204,6 +204,15 @@ def fills(s: SparkSession, d: str) -> DataFrame:
     return backtest.market_fills(orders(s, d), hourly(s, d), BPS)
 
 
+def nudged(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded to 6 digits after a nudge: halves of the last digit, common where shares of a basis are taken, round alike however sums are ordered."""
+    return rounded(df.withColumns({c: F.col(c) + F.lit(2e-9) for c in columns}), *columns)
+
+
+def _n6(x: str) -> str:
+    return r6(f"({x}) + 2e-9")
+
+
 def recorded_fills(s: SparkSession, d: str) -> DataFrame:
     """The fills, kept: books read them several times."""
     return checkpointed(fills(s, d))
@@ -225,19 +234,19 @@ _BASIS = f"""{_SEQF}, r AS (
 SELECT symbol, k, filled, seq, CAST(({_SGN}) * qty AS DOUBLE) AS q, CASE WHEN side = 'buy' THEN qty * price ELSE 0.0 END AS basis FROM f WHERE k = 1
 UNION ALL SELECT f.symbol, f.k, f.filled, f.seq, q + ({_SGN}) * qty, {_STEP} FROM r JOIN f ON f.symbol = r.symbol AND f.k = r.k + 1)"""
 register(
-    "avg_cost_basis", lambda s, d: rounded(backtest.average_cost(recorded_fills(s, d)), "qty", "basis", "avg_price"),
-    f"WITH RECURSIVE {_BASIS}, z AS (SELECT symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM r GROUP BY symbol) SELECT symbol, {r6('q')} AS qty, {r6('basis')} AS basis, {r6('basis / q')} AS avg_price FROM z WHERE q <> 0",
+    "avg_cost_basis", lambda s, d: nudged(backtest.average_cost(recorded_fills(s, d)), "qty", "basis", "avg_price"),
+    f"WITH RECURSIVE {_BASIS}, z AS (SELECT symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM r GROUP BY symbol) SELECT symbol, {_n6('q')} AS qty, {_n6('basis')} AS basis, {_n6('basis / q')} AS avg_price FROM z WHERE q <> 0",
 )
 register(
-    "cost_basis_ledger", lambda s, d: rounded(backtest.cost_basis(recorded_fills(s, d)).select("symbol", "seq", "filled", "position", "basis", "avg_price"), "position", "basis", "avg_price"),
-    f"WITH RECURSIVE {_BASIS} SELECT symbol, seq, filled, {r6('q')} AS position, {r6('basis')} AS basis, {r6(_AVG)} AS avg_price FROM r",
+    "cost_basis_ledger", lambda s, d: nudged(backtest.cost_basis(recorded_fills(s, d)).select("symbol", "seq", "filled", "position", "basis", "avg_price"), "position", "basis", "avg_price"),
+    f"WITH RECURSIVE {_BASIS} SELECT symbol, seq, filled, {_n6('q')} AS position, {_n6('basis')} AS basis, {_n6(_AVG)} AS avg_price FROM r",
 )
 _EQUITY = f"""WITH RECURSIVE {_BASIS}, b AS ({HOURLY}), t AS (SELECT DISTINCT timestamp FROM b),
 h AS (SELECT t.timestamp, r.symbol, last(q ORDER BY k) AS q, last(basis ORDER BY k) AS basis FROM t JOIN r ON r.filled <= t.timestamp GROUP BY ALL),
 c AS (SELECT t.timestamp, sum(-({_SGN}) * price * qty - fee) AS cash FROM t JOIN f ON f.filled <= t.timestamp GROUP BY ALL),
 v AS (SELECT h.timestamp, sum(q * coalesce(close, {_AVG})) AS held FROM h LEFT JOIN b ON b.symbol = h.symbol AND b.timestamp = h.timestamp GROUP BY ALL)
-SELECT timestamp, {r6(f'{CASH} + coalesce(cash, 0) + coalesce(held, 0)')} AS equity FROM t LEFT JOIN c USING (timestamp) LEFT JOIN v USING (timestamp)"""
-register("equity_curve", lambda s, d: rounded(backtest.equity_curve(recorded_fills(s, d), hourly(s, d), CASH), "equity"), _EQUITY)
+SELECT timestamp, {_n6(f'{CASH} + coalesce(cash, 0) + coalesce(held, 0)')} AS equity FROM t LEFT JOIN c USING (timestamp) LEFT JOIN v USING (timestamp)"""
+register("equity_curve", lambda s, d: nudged(backtest.equity_curve(recorded_fills(s, d), hourly(s, d), CASH), "equity"), _EQUITY)
 register(
     "order_violations", lambda s, d: backtest.order_violations(orders(s, d).withColumn("qty", F.when(F.dayofmonth("submitted") == 5, 0).otherwise(F.col("qty")))).select("symbol", "seq", "violation"),
     f"SELECT symbol, seq, CASE WHEN qty <= 0 THEN 'quantity must be above 0' ELSE 'limit price missing' END AS violation FROM (SELECT * REPLACE (CASE WHEN day(submitted) = 5 THEN 0 ELSE qty END AS qty) FROM ({_ORDERS})) WHERE qty <= 0 OR type = 'limit'",
