@@ -288,3 +288,14 @@ def test_awkward_vectors_coded(spark):
         assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"] and got.count() == 0
     repeated = [(None, [1.0, 2.0, 3.0, 4.0], None), (2, [1.0, 2.0, 3.0, 5.0], 1), (2, [1.0, 2.0, 3.0, 4.0], 1), (2, [1.0, 2.0, 3.0, 4.0], 1)]
     assert coded(awkward(spark, repeated), entries=2) == plain_codes(repeated, size=2)
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_mix_sources", "op11_shard_documents", "op12_whiten", "op13_compress_vectors"])
+def test_one_table_is_left(spark, name):
+    """Of all that a query writes to the shared folder only its result stays."""
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_checkpoints")
+    before = set(root.iterdir()) if root.exists() else set()
+    assert QUERIES[name](spark, SF).count() > 0
+    assert len(set(root.iterdir()) - before) == 1
