@@ -218,6 +218,18 @@ def known_sentences() -> tuple[dict[str, str], dict[str, str]]:
     return ids, alone
 
 
+SPDX = "spdx license identifier "
+#: In a normalised expression: what must not be taken for an operator, and the operators.
+OR_LATER, OPERATORS = (" or later", " or_later"), " (?:or|and|with) "
+
+
+def _expression(norm: Column, table: Column) -> Column:
+    """The identifiers that a normalised SPDX expression names, ``?`` for those that are not known, joined by ``,,``."""
+    parts = F.split(F.replace(F.substring(norm, len(SPDX) + 1, 1 << 30), F.lit(OR_LATER[0]), F.lit(OR_LATER[1])), OPERATORS)
+    ids = F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, F.concat(F.lit(SPDX), F.replace(p, F.lit(OR_LATER[1]), F.lit(OR_LATER[0])))), F.lit("?")))
+    return F.array_join(ids, ",,")
+
+
 def _prepared(text: Column) -> Column:
     for pattern, by in PREPARE:
         text = F.regexp_replace(text, "(?md)" + pattern, re.sub(r"\\(\d)", r"$\1", by))
@@ -231,10 +243,14 @@ def identifiers(text: Column) -> Column:
     # A piece's normal form is computed once: an element of an array that a lambda walks over.
     name = lambda norm: F.coalesce(F.try_element_at(table, norm), F.when(norm.rlike(SKIPPED), F.lit("")).otherwise(F.lit("?")))
     named = lambda pieces: F.transform(F.transform(pieces, normalised), name)
-    lines = lambda piece: named(F.split(piece, "\n"))
+    # An expression of several identifiers is one line.
+    spelled = lambda norm: F.when(norm.startswith(SPDX) & F.try_element_at(table, norm).isNull(), _expression(norm, table)).otherwise(name(norm))
+    lines = lambda piece: F.transform(F.transform(F.split(piece, "\n"), normalised), spelled)
     pieces = F.split(_prepared(text), CUT)
     whole = F.arrays_zip(pieces.alias("piece"), named(pieces).alias("id"))
-    found = F.flatten(F.transform(whole, lambda p: F.when((p["id"] == "?") & F.contains(p["piece"], F.lit("\n")), lines(p["piece"])).otherwise(F.array(p["id"]))))
+    closer = lambda p: (p["id"] == "?") & (F.contains(p["piece"], F.lit("\n")) | p["piece"].rlike("(?i)spdx"))
+    found = F.flatten(F.transform(whole, lambda p: F.when(closer(p), lines(p["piece"])).otherwise(F.array(p["id"]))))
+    found = F.flatten(F.transform(found, lambda x: F.split(x, ",,")))
     return F.concat(F.filter(found, lambda x: x != ""), F.array(F.lit("$")))
 
 
@@ -295,18 +311,21 @@ def oracle_sql() -> str:
     left = "seq"
     for pattern, by in VARIANTS:
         left = f"regexp_replace({left}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    spdx = sql_map({k: v for k, v in ids.items() if k.startswith(SPDX)})
+    parts = f"string_split_regex(replace(substr(norm, {len(SPDX) + 1}), '{OR_LATER[0]}', '{OR_LATER[1]}'), '{OPERATORS}')"
+    expression = f"array_to_string(list_transform({parts}, lambda p: coalesce({spdx}['{SPDX}' || replace(p, '{OR_LATER[1]}', '{OR_LATER[0]}')], '?')), ',,')"
     named = lambda x: f"coalesce(i.id, CASE WHEN regexp_matches({x}, {quoted(SKIPPED)}) THEN '' ELSE '?' END)"
     return f"""
 WITH i AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS id FROM (SELECT {sql_map(ids)} AS m)),
 a AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS name FROM (SELECT {sql_map(alone)} AS m)),
 p AS (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) AS pos FROM (SELECT doc_id, string_split_regex({text}, {quoted(CUT)}) AS c FROM documents)),
 n AS (SELECT doc_id, pos, 0 AS ln, piece, {norm("piece")} AS norm FROM p),
-w AS (SELECT doc_id, pos, ln, piece, {named("norm")} AS id FROM n LEFT JOIN i ON i.k = norm),
+w AS (SELECT doc_id, pos, ln, piece, CASE WHEN i.id IS NULL AND starts_with(norm, '{SPDX}') AND NOT contains(piece, chr(10)) THEN {expression} ELSE {named("norm")} END AS id FROM n LEFT JOIN i ON i.k = norm),
 x AS (SELECT doc_id, pos, unnest(c) AS line, generate_subscripts(c, 1) AS ln FROM (SELECT doc_id, pos, string_split(piece, chr(10)) AS c FROM w WHERE id = '?' AND contains(piece, chr(10)))),
 y AS (SELECT doc_id, pos, ln, {norm("line")} AS norm FROM x),
-z AS (SELECT doc_id, pos, ln, {named("norm")} AS id FROM y LEFT JOIN i ON i.k = norm),
+z AS (SELECT doc_id, pos, ln, CASE WHEN i.id IS NULL AND starts_with(norm, '{SPDX}') THEN {expression} ELSE {named("norm")} END AS id FROM y LEFT JOIN i ON i.k = norm),
 q AS (SELECT doc_id, pos, ln, id FROM w WHERE NOT (id = '?' AND contains(piece, chr(10))) UNION ALL SELECT doc_id, pos, ln, id FROM z),
-s AS (SELECT doc_id, list_append(coalesce(list(id ORDER BY pos, ln) FILTER (WHERE id <> ''), []), '$') AS l FROM q GROUP BY doc_id),
+s AS (SELECT doc_id, list_append(flatten(list_transform(coalesce(list(id ORDER BY pos, ln) FILTER (WHERE id <> ''), []), lambda t: string_split(t, ',,'))), '$') AS l FROM q GROUP BY doc_id),
 f AS ({fold}),
 r AS (SELECT doc_id, l, list_concat(string_split(found, ','), list_transform(string_split({left}, ','), lambda t: {sql_map(alone)}[t])) AS names FROM f),
 o AS (SELECT doc_id, list_filter(l, lambda t: t <> '?' AND t <> '$') AS known, list_sort(list_distinct(list_filter(names, lambda t: t IS NOT NULL AND t <> ''))) AS licenses FROM r)

@@ -9,12 +9,13 @@ import math
 import random
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.llm import codebooks, sharding, whitening
+from barspark.llm import codebooks, common, sharding, whitening
 from barspark.llm.queries import QUERIES
 from tests.compare import SF
 
@@ -291,11 +292,15 @@ def test_awkward_vectors_coded(spark):
 
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op5_mix_sources", "op11_shard_documents", "op12_whiten", "op13_compress_vectors"])
-def test_one_table_is_left(spark, name):
+def test_one_table_is_left(spark, name, monkeypatch):
     """Of all that a query writes to the shared folder only its result stays."""
-    from pathlib import Path
+    written, folder = [], common.shared_folder
 
-    root = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_checkpoints")
-    before = set(root.iterdir()) if root.exists() else set()
+    def recorded(*args, **kw):
+        written.append(folder(*args, **kw))
+        return written[-1]
+
+    for module in (common, codebooks):
+        monkeypatch.setattr(module, "shared_folder", recorded)
     assert QUERIES[name](spark, SF).count() > 0
-    assert len(set(root.iterdir()) - before) == 1
+    assert written and len([p for p in written if Path(p.removeprefix("file:")).exists()]) == 1

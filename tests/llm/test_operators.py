@@ -504,6 +504,8 @@ def test_licenses(spark):
         (mpl, ["MPL-2.0"]), (commented(mpl, "--"), ["MPL-2.0"]), (isc, ["ISC"]),
         ("this is under the MIT licence, roughly", []), ("A word. Licensed under CC BY-NC 4.0. Released  under the mit license!", ["CC-BY-NC-4.0", "MIT"]),
         ("x = 1\n# SPDX-License-Identifier: GPL-2.0-only\ny = 2", ["GPL-2.0-only"]), ("words here\nSPDX-License-Identifier: MIT\nand more words", ["MIT"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\nint x;", ["GPL-2.0-only"]),
+        ("# SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) AND MIT\ncode here", ["BSD-3-Clause", "GPL-2.0-or-later", "MIT"]), ("SPDX-License-Identifier: Strange OR Stranger", []),
         ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]), ("Licensed under the GNU General Public License v3.0.", ["GPL-3.0-only"]),
         ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", ["BSL-1.0"]), ("This work is dedicated to the public domain under CC0 1.0.", ["CC0-1.0"]),
         (licenses.SENTENCES["mit-grant"] + " A stranger in between. " + licenses.SENTENCES["mit-notice"], ["unknown variant of MIT"]), (licenses.SENTENCES["mit-notice"], []),
