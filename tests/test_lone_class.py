@@ -18,7 +18,7 @@ def tables(request, tmp_path, monkeypatch):
     monkeypatch.setattr(compare, "SF", str(tmp_path))
 
 
-@pytest.mark.parametrize("name", ["balanced_weights"])
+@pytest.mark.parametrize("name", ["balanced_weights", "downsample_majority"])
 def test_queries_follow_their_sql(spark, tables, name):
     compare.same_rows(spark, QUERIES[name], ORACLE[name])
 
@@ -27,3 +27,9 @@ def test_weights_of_a_lone_class(spark):
     df = spark.createDataFrame([(0,), (0,), (None,)], "y int")
     weights = lambda **k: [r["weight"] for r in splits.balanced_weights(df, "y", **k).orderBy("y").collect()]
     assert weights() == [None, 1.0, 1.0] and weights(classes=2) == [None, 0.5, 0.5]
+
+
+def test_a_lone_class_is_kept_or_cut(spark):
+    df = spark.createDataFrame([(i, 0) for i in range(5)], "k int, y int")
+    assert splits.downsample(df, "y", ["k"]).count() == 5 and splits.downsample(df, "y", ["k"], lone=False).count() == 0
+    assert splits.downsample(df, "y", ["k"], only_negatives=True, lone=False).count() == 0
