@@ -18,7 +18,7 @@ def tables(request, tmp_path, monkeypatch):
     monkeypatch.setattr(compare, "SF", str(tmp_path))
 
 
-@pytest.mark.parametrize("name", ["balanced_weights", "downsample_majority"])
+@pytest.mark.parametrize("name", ["balanced_weights", "downsample_majority", "downsample_negatives"])
 def test_queries_follow_their_sql(spark, tables, name):
     compare.same_rows(spark, QUERIES[name], ORACLE[name])
 
