@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barspark.operators import metrics, ml, splits
 from barspark.plans import desk_queries as dq
 from barspark.plans.bar_queries import rounded
+from barspark.session import checkpointed
 
 FEATURES = dq._FEATURES
 QUERIES: dict = {}
@@ -19,13 +20,20 @@ ORACLE: dict = {}
 
 @contextmanager
 def tables(s: SparkSession, d: str) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
-    """Scaled train, val and test rows with a features vector, cached while models are fitted."""
-    scaled = splits.zscore_splits(dq.split_table(s, d), FEATURES).withColumnRenamed("move_target", "target")
-    data = ml.assemble(scaled, FEATURES, weights=False).cache()
+    """Scaled train, val and test rows with a features vector, cached while models are fitted.
+
+    The training table is cached as well, since splitting and scaling read it five times, and it reads all ticks.
+    """
+    table = dq.fq.training_table(s, d).cache()
+    data = None
     try:
+        scaled = splits.zscore_splits(dq.split_rows(table), FEATURES).withColumnRenamed("move_target", "target")
+        data = ml.assemble(scaled, FEATURES, weights=False).cache()
         yield tuple(data.where(F.col("split") == x) for x in ("train", "val", "test"))
     finally:
-        data.unpersist()
+        if data is not None:
+            data.unpersist()
+        table.unpersist()
 
 
 def fitted(build, params: dict, train: DataFrame):
@@ -81,12 +89,12 @@ def ensemble(s: SparkSession, d: str) -> DataFrame:
 
 def kmeans(s: SparkSession, d: str) -> DataFrame:
     with tables(s, d) as (train, _, test):
-        return ml.kmeans_distances(train.select("features"), test.select("symbol", "timestamp", "features")).drop("features")
+        return checkpointed(ml.kmeans_distances(train.select("features"), test.select("symbol", "timestamp", "features")).drop("features"))
 
 
 def gmm(s: SparkSession, d: str) -> DataFrame:
     with tables(s, d) as (train, _, test):
-        return ml.gmm_probabilities(train.select("features"), test.select("symbol", "timestamp", "features")).drop("features")
+        return checkpointed(ml.gmm_probabilities(train.select("features"), test.select("symbol", "timestamp", "features")).drop("features"))
 
 
 def _plain(s: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,8 @@ from barspark.functions import scalars
 from barspark.operators import analysis, backtest, clean, cross, labels, ml, splits, validate
 from barspark.sources import bars as source
 from barspark.sources import rest
+from barspark.plans.catalog import QUERIES
+from tests.compare import SF
 
 
 def points(n: int = 240, seed: int = 0):
@@ -188,3 +190,22 @@ def test_rest_sources(spark, tmp_path):
         assert {r["field"]: r["value"] for r in quotes.collect()} == {"Symbol": "A", "PERatio": "None", "Key": "k", "Deep": '{"a": 1}'}
     finally:
         server.shutdown()
+
+
+@pytest.mark.parametrize("name", ["gmm_proba_features", "kmeans_distance_features"])
+def test_fitted_features_do_not_read_the_ticks_again(spark, name):
+    got = QUERIES[name](spark, SF)
+    assert not got.inputFiles() and got.count() == QUERIES["chrono_split"](spark, SF).where("split = 'test'").count()
+
+
+def test_a_round_of_the_mixture_has_no_task_for_each_small_part(spark, frame):
+    model = ml.SphericalMixture(3, rounds=2)
+    asked, status = frame.repartition(100).cache(), spark.sparkContext.statusTracker()
+    asked.count()
+    spark.sparkContext.setJobGroup("mixture", "")
+    model.fit(asked)
+    stages = [s for j in status.getJobIdsForGroup("mixture") for s in status.getJobInfo(j).stageIds]
+    tasks = [info.numTasks for s in sorted(stages) if (info := status.getStageInfo(s))]
+    asked.unpersist()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < max(tasks[-2:]) <= 2 * spark.sparkContext.defaultParallelism
